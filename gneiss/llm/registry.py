@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gneiss.llm import exact_dedup, mixing, sharding
+from gneiss.llm import bpe, exact_dedup, mixing, neighbours, sharding, token_files, toxicity
 
-_MODULES = (sharding, exact_dedup, mixing)
+_MODULES = (sharding, toxicity, neighbours, exact_dedup, bpe, mixing, token_files)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
