@@ -29,6 +29,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Else every store reserves megabytes of disk ahead of use.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Identifiers and digests of copies are broadcast up to so many rows (under 50 MB); beyond, texts are joined by shuffle.
 BROADCAST_HITS = 300_000
