@@ -1,12 +1,14 @@
-"""Toxicity scores from a counterfactual-regularised logistic model over the words of a text.
+"""Toxicity scores from a counterfactual-regularised logistic model over the words of a text and their beginnings.
 
 Training rows come from the label table. Their identity terms are swapped for others of the same group, or, where a text
 has none, one is added: the counterfactual differs from the text in nothing that should matter. The loss adds the squared
 difference of the two scores, so weights move away from identity terms and mere mentions of a group don't raise a score.
-An L1 step keeps only words that carry evidence; long clean texts therefore don't add up noise.
+An L1 step keeps only words that carry evidence; long clean texts therefore don't add up noise. Beginnings (the first
+four and five bytes) let inflected and compound forms of a word share a weight. Last the bias is moved so that THRESHOLD
+lies in the middle of the gap that parts the training rows best.
 
 The model is fitted on the driver on at most SAMPLE rows of each class, drawn by a hash of doc_id, and has at most
-FEATURES words; both bounds hold at any size of input. Scoring streams whole texts past it without a shuffle.
+FEATURES features; both bounds hold at any size of input. Scoring streams whole texts past it without a shuffle.
 
 Defined results: a null or empty text has the score of the bias alone; null labels aren't learnt from; a null doc_id
 counts as not held out; without labels of both classes every score is 0.5 or below; repeated rows score alike; other
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,11 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import read_table
 from gneiss.llm.tokenizer import text_blocks
 
-SAMPLE, FEATURES, ROW_WORDS = 4000, 20_000, 20_000
+#: Training rows of each class, features of the model before the L1 step, distinct words of a training row (those of the
+#: smallest hash); a scored text is always read whole.
+SAMPLE, FEATURES, ROW_WORDS = 4000, 2000, 20_000
+#: A feature has to occur in so many training rows, with class shares so many standard errors apart.
+MIN_ROWS, MIN_Z = 3, 4.0
 THRESHOLD = 0.7
 #: Terms within a group may replace each other.
 IDENTITY_GROUPS = (
@@ -41,7 +48,7 @@ IDENTITY_GROUPS = (
     ("old", "young", "elderly"),
     ("disabled", "deaf", "blind"),
 )
-_SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY_GROUPS for i, t in enumerate(group)}
+_SWAP = {t.encode(): group[(i + 1) % len(group)].encode() for group in IDENTITY_GROUPS for i, t in enumerate(group)}
 _TERMS = sorted(_SWAP)
 #: Letters, digits and all bytes of non-ASCII characters stay, upper case folded; the rest parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -51,60 +58,105 @@ def words(text: bytes) -> set[bytes]:
     return set(text.translate(_FOLD).split())
 
 
-def counterfactual(found: set[str], key: int) -> set[str]:
+def counterfactual(found: set[bytes], key: int) -> set[bytes]:
     """found with its identity terms swapped, or with one more, chosen by key."""
     terms = found & _SWAP.keys()
     return (found - terms) | {_SWAP[t] for t in terms} if terms else found | {_TERMS[key % len(_TERMS)]}
 
 
+#: Feature kinds by length of the beginning; 0 is the whole word.
+KINDS = (0, 4, 5)
+
+
 @dataclass
 class Model:
     bias: float
-    weights: dict[bytes, float]
+    #: Weights by kind.
+    weights: dict[int, dict[bytes, float]]
 
     def score(self, text: bytes) -> float:
-        w = self.weights
-        total = self.bias + sum(sorted(w[x] for x in words(text) & w.keys()))
-        return 1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0)))
+        found, total = words(text), self.bias
+        for kind, w in self.weights.items():
+            total += sum(sorted(w[x] for x in ({x[:kind] for x in found} if kind else found) & w.keys()))
+        return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
+
+
+def features(found: set[bytes]) -> set[tuple[int, bytes]]:
+    return {(kind, x[:kind] if kind else x) for kind in KINDS for x in found}
 
 
-def _matrix(rows: list[set[str]], column: dict[str, int]):
+def _matrix(rows: list[set], column: dict):
     found = [np.array(sorted(column[w] for w in r if w in column), np.int64) for r in rows]
     return np.concatenate([*found, np.zeros(0, np.int64)]), np.array([len(x) for x in found])
 
 
-def fit(rows: list[set[str]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 4e-4, steps: int = 400, rate: float = 0.5) -> Model:
-    """Proximal gradient descent with momentum on balanced log loss + penalty * mean squared score change + l1 * |weights|."""
+def _evidence(own: list[set], toxic: np.ndarray) -> list:
+    """Features whose shares in the two classes differ clearly, the clearest first."""
+    counts = [Counter(f for r, t in zip(own, toxic, strict=True) if t == label for f in r) for label in (0, 1)]
+    n = [int((toxic == label).sum()) for label in (0, 1)]
+    found = []
+    for f in counts[0].keys() | counts[1].keys():
+        c = counts[0][f], counts[1][f]
+        if sum(c) >= MIN_ROWS:
+            share = sum(c) / sum(n)
+            z = (c[1] / n[1] - c[0] / n[0]) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+            if abs(z) >= MIN_Z:
+                found.append((-abs(z), f))
+    return [f for _, f in sorted(found)[:FEATURES]]
+
+
+def fit(rows: list[set[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
+    """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|."""
     toxic = np.asarray(toxic, float)
     n, positive = len(rows), toxic.sum()
     if not n or positive in (0, n):
         return Model(0.0 if positive and positive == n else -2.0, {})
-    seen = Counter(w for r in rows for w in r)
-    vocabulary = sorted((w for w, c in seen.items() if c >= 3), key=lambda w: (-seen[w], w))[:FEATURES]
-    column = {w: i for i, w in enumerate(sorted({*vocabulary, *_TERMS}))}
-    parts = [_matrix(rows, column), _matrix([counterfactual(r, k) for r, k in zip(rows, keys, strict=True)], column)]
+    own, other = [features(r) for r in rows], [features(counterfactual(r, k)) for r, k in zip(rows, keys, strict=True)]
+    column = {f: i for i, f in enumerate(sorted({*_evidence(own, toxic), *features(set(_TERMS))}))}
+    parts = [_matrix(own, column), _matrix(other, column)]
     spread = [np.repeat(np.arange(n), counts) for _, counts in parts]
     share = np.where(toxic == 1, 0.5 / positive, 0.5 / (n - positive))
-    w = v = np.zeros(len(column))
-    b = vb = 0.0
 
-    def scores(w, b):
-        return [1 / (1 + np.exp(-np.clip(b + np.bincount(at, w[idx], n), -30, 30))) for (idx, _), at in zip(parts, spread, strict=True)]
+    def forward(w, b, part):
+        return b + np.bincount(spread[part], w[parts[part][0]], n)
+
+    def backward(g, part):
+        return np.bincount(parts[part][0], g[spread[part]], len(column))
 
-    # Words differ in frequency by orders of magnitude, so each has a step of its own, from the first gradients' squares.
-    square, square_b = np.zeros(len(column)), 0.0
-    for _ in range(steps):
-        s, c = scores(w, b)
+    # The largest curvature, by power iteration, gives the step.
+    x = np.ones(len(column) + 1)
+    for _ in range(30):
+        x /= np.linalg.norm(x)
+        rest = [forward(x[1:], x[0], p) for p in (0, 1)]
+        weight = 0.25 * share * rest[0], penalty / n * 0.25 * (rest[0] - rest[1])
+        x = np.concatenate([[weight[0].sum()], backward(weight[0] + weight[1], 0) - backward(weight[1], 1)])
+    step = 0.9 / np.linalg.norm(x)
+    w = v = np.zeros(len(column))
+    b = vb = 0.0
+    for i in range(steps):
+        s, c = (1 / (1 + np.exp(-np.clip(forward(v, vb, p), -30, 30))) for p in (0, 1))
         change = 2 * penalty * (s - c) / n
         gs, gc = share * (s - toxic) + change * s * (1 - s), -change * c * (1 - c)
-        grad = sum(np.bincount(idx, g[at], len(column)) for (idx, _), at, g in zip(parts, spread, (gs, gc), strict=True))
-        grad_b = gs.sum() + gc.sum()
-        square, square_b = 0.99 * square + 0.01 * grad**2, 0.99 * square_b + 0.01 * grad_b**2
-        step = rate / (np.sqrt(square) + 1e-3)
-        w = w - step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        b -= rate / (np.sqrt(square_b) + 1e-3) * grad_b * 0.1
-    return Model(float(b), {t.encode(): float(w[i]) for t, i in column.items() if w[i]})
+        new = v - step * (backward(gs, 0) + backward(gc, 1))
+        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+        new_b = vb - step * (gs.sum() + gc.sum())
+        v, vb = new + i / (i + 3) * (new - w), new_b + i / (i + 3) * (new_b - b)
+        w, b = new, new_b
+    b += np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(forward(w, b, 0), toxic)
+    return Model(float(b), {k: {x: float(w[i]) for (kind, x), i in column.items() if kind == k and w[i]} for k in KINDS})
+
+
+def _cut(logits: np.ndarray, toxic: np.ndarray, clean_weight: float = 3.0) -> float:
+    """The logit that parts the classes best, a wrongly rejected share of clean rows counting clean_weight times; in the middle of its gap."""
+    order = np.argsort(logits, kind="stable")
+    z, t = logits[order], toxic[order]
+    gain = clean_weight * np.cumsum(1 - t) / (1 - t).sum() - np.cumsum(t) / t.sum()
+    apart = np.flatnonzero(np.diff(z) > 1e-9)
+    if not len(apart):
+        return float(z[-1]) + 1.0
+    best = apart[gain[apart] >= gain[apart].max() - 1e-9]
+    i = best[np.argmax(z[best + 1] - z[best])]
+    return float(z[i] + z[i + 1]) / 2
 
 
 def held_out(doc_id) -> F.Column:
@@ -119,20 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def distinct(batches):
         for batch in batches:
-            found = [sorted(words(t or b""))[:] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            found = [[w.decode("utf-8", "replace") for w in (f if len(f) <= ROW_WORDS else sorted(f, key=hash_word)[:ROW_WORDS])] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array(found, pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+            found = [sorted(words(t or b""), key=lambda w: (crc32(w), w))[:ROW_WORDS] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "toxic", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words array<string>").collect()
+    rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words array<binary>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([set(r["words"]) for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
-
-
-def hash_word(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word)
+    return fit([{bytes(w) for w in r["words"]} for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:
