@@ -1,7 +1,7 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gneiss.llm import bpe, exact_dedup, minhash, mixing, neighbours, sharding, token_files, toxicity
+from gneiss.llm import bpe, exact_dedup, minhash, mixing, neighbours, sharding, substrings, token_files, toxicity
 
-_MODULES = (sharding, toxicity, neighbours, minhash, exact_dedup, bpe, mixing, token_files)
+_MODULES = (sharding, toxicity, neighbours, minhash, exact_dedup, bpe, mixing, token_files, substrings)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
