@@ -34,6 +34,7 @@ STATE_CONF = {
 }
 #: Identifiers and digests of copies are broadcast up to so many rows (under 50 MB); beyond, texts are joined by shuffle.
 BROADCAST_HITS = 300_000
+ROWS_PER_SALT = 200
 #: A null doc_id sorts after every other.
 LAST = (1 << 63) - 1
 
@@ -80,13 +81,16 @@ def _mismatches(docs: DataFrame, found: DataFrame, digest) -> DataFrame:
     """Digests under which some row's normalised bytes differ from its holder's. Normalises and moves only texts of shared digests."""
     shared = found.filter("group_size > 1")
     ids = shared.select(F.col("doc_id").alias("_id")).distinct()
-    keeps = shared.select("digest", F.col("keep_id").alias("_keep")).distinct()
+    keeps = shared.select("digest", F.col("keep_id").alias("_keep"), F.ceil(F.col("group_size") / ROWS_PER_SALT).alias("_salts")).distinct()
     if shared.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS:
         ids, keeps = F.broadcast(ids), F.broadcast(keeps)
     hits = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     hits = hits.select("doc_id", normalised(text_or_empty()).alias("norm")).withColumn("digest", digest(F.col("norm"))).join(keeps, "digest")
-    held = hits.filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("digest").agg(F.min("norm").alias("held"))
-    return hits.join(held, "digest").filter(F.col("norm") != F.col("held")).select("digest").distinct()
+    # The holder's text goes to every part of a large group, so no task gets the whole group.
+    held = hits.filter(F.col("doc_id").eqNullSafe(F.col("_keep"))).groupBy("digest").agg(F.min("norm").alias("held"), F.max("_salts").alias("_salts"))
+    held = held.select("digest", "held", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)).alias("_salt"))
+    salted = hits.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.col("_salts")))
+    return salted.join(held, ["digest", "_salt"]).filter(F.col("norm") != F.col("held")).select("digest").distinct()
 
 
 def exact_dedup(docs: DataFrame, digest=sha256_digest, state_dir: str | None = None) -> DataFrame:
