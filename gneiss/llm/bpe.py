@@ -93,7 +93,7 @@ class ChunkEncoder:
         joined = [self._joins(keys) for keys in split]
         self.words.learn({x for parts in joined for x, again in parts if again})
         out = [b"".join(encoded[x] if again else x for x, again in parts) for parts in joined]
-        self.words.turn()
+        encoded.turn()
         self.chunks.turn()
         return out
 

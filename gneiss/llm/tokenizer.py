@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Entries of one generation of a cache; two generations live at a time.
-PIECES = 200_000
+PIECES = 400_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -59,57 +58,69 @@ class Generations(dict):
 _MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 #: Letters and digits that were in Unicode from its first versions, so every library agrees on them; U+0130 lower-cases to more than a letter.
 _WORD_END = frozenset(chr(i) for i in range(0x250) if i != 0x130 and (chr(i).isalpha() or chr(i) in "0123456789"))
+_MARK_BYTES, _WORD_END_BYTES = _MARKS.encode(), frozenset(c.encode() for c in _WORD_END)
 
 
 class PieceEncoder:
-    """Encodings of pieces as little-endian unsigned integers of dtype.
+    """Encodings of pieces, all str or all bytes, as little-endian unsigned integers of dtype (<u2 or <u4).
 
     A new piece is first taken apart where the tokenizer's own pattern always does: before the marks that end a word
-    and at single line breaks. The library encodes those atoms, each once while the cache has it. fold: the tokenizer
-    lower-cases, so ASCII pieces that differ in case are the same."""
+    and, given an encoder of the lines after the first, at single line breaks. The library encodes what remains, once
+    while the cache has it. fold: the tokenizer lower-cases, so pieces that differ in the case of A-Z are the same."""
 
-    def __init__(self, name: str, dtype: str = "<u4", prefix: str = "", most: int = PIECES, fold: bool = False):
-        self.tokenizer, self.dtype, self.prefix, self.fold = load(name), dtype, prefix, fold
-        self.cache, self.atoms = Generations(most), Generations(most)
+    def __init__(self, name: str, dtype: str = "<u4", prefix: str = "", most: int = PIECES, fold: bool = False, lines: PieceEncoder | None = None):
+        self.tokenizer, self.prefix, self.fold, self.lines = load(name), prefix, fold, lines
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.cache, self.marks = Generations(most), {}
+        self.line_break = self.whole(["\n"])[0]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """By the library alone."""
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _apart(self, piece: bytes | str) -> list[str]:
-        text = self.prefix + (piece.decode("utf-8", "replace") if isinstance(piece, bytes) else piece)
-        if self.fold and text.isascii():
-            text = text.lower()
-        if "<|" in text:
-            return [text]
-        lines = text.split("\n")
-        if len(lines) > 1 and (any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:]) or not lines[0].strip() or lines[0][-1].isspace()):
-            return [text]
-        atoms = []
-        for line in lines:
-            if atoms:
-                atoms.append("\n")
-            stem = line.rstrip(_MARKS)
-            if stem != line and stem and stem[-1] in _WORD_END:
-                atoms += [stem, line[len(stem) :]]
-            else:
-                atoms.append(line)
-        return atoms
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add(self, pieces: list) -> None:
+        texts = [self.prefix + (p.decode("utf-8", "replace") if isinstance(p, bytes) else p) for p in pieces]
+        self.cache.update(zip(pieces, self.whole(texts), strict=True))
 
     def learn(self, pieces) -> None:
-        """Afterwards cache[piece] holds the encoding of prefix + piece for each piece; bytes or str."""
+        """Afterwards cache[piece] holds the encoding of prefix + piece for each piece."""
         cache, old = self.cache, self.cache.old
-        new = {p: self._apart(p) for p in pieces if p not in cache and p not in old}
+        new = [p for p in pieces if p not in cache and p not in old]
         if not new:
             return
-        unknown = [x for x in {a for atoms in new.values() for a in atoms} if not self.atoms.known(x)]
-        self.atoms.update(zip(unknown, self.whole(unknown), strict=True))
-        known = self.atoms.__getitem__
-        cache.update((p, known(atoms[0]) if len(atoms) == 1 else b"".join(map(known, atoms))) for p, atoms in new.items())
-
-    def turn(self) -> None:
-        self.cache.turn()
-        self.atoms.turn()
+        as_bytes = isinstance(new[0], bytes)
+        marks, ends, special = (_MARK_BYTES, _WORD_END_BYTES, b"<|") if as_bytes else (_MARKS, _WORD_END, "<|")
+        lined, marked, plain = {}, {}, set()
+        for p in new:
+            if special in p:
+                plain.add(p)
+                continue
+            if self.lines and "\n" in p:
+                lines = p.split("\n")
+                if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                    lined[p] = lines
+                    continue
+            key = p.lower() if self.fold else p
+            stem = key.rstrip(marks)
+            if stem is not key and stem and stem != key and (stem[-1:] in ends or (as_bytes and stem[-2:] in ends)):
+                marked[p] = stem, key[len(stem) :]
+            elif key is not p and key != p:
+                marked[p] = key, key[:0]
+            else:
+                plain.add(p)
+        plain.update(stem for stem, _ in marked.values() if stem not in cache and stem not in old)
+        self._add(list(plain))
+        if len(self.marks) > 10_000:
+            self.marks.clear()
+        unknown = {m for _, m in marked.values()} - self.marks.keys()
+        self.marks.update(zip(unknown, self.whole([m.decode() if as_bytes else m for m in unknown]), strict=True))
+        cache.update((p, cache[stem] + self.marks[m]) for p, (stem, m) in marked.items())
+        if lined:
+            self.learn({x[0] for x in lined.values()})
+            self.lines.learn({y for x in lined.values() for y in x[1:]})
+            rest = self.lines.cache
+            cache.update((p, self.line_break.join([cache[x[0]], *(rest[y] for y in x[1:])])) for p, x in lined.items())
 
 
 #: A blank that another white space or the end follows, so that a byte-level tokenizer may join it with what is before.
@@ -121,8 +132,9 @@ class BlankEncoder:
     """For byte-level tokenizers: a blank before a character that isn't white space always begins a piece."""
 
     def __init__(self, name: str, dtype: str = "<u2", most: int = PIECES):
-        self.first = PieceEncoder(name, dtype, "", most)
-        self.rest = PieceEncoder(name, dtype, " ", most)
+        self.first = PieceEncoder(name, dtype, "", most // 4)
+        self.first.lines = self.first
+        self.rest = PieceEncoder(name, dtype, " ", most, lines=self.first)
         special = [t.content for t in self.first.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
 
@@ -137,8 +149,8 @@ class BlankEncoder:
         self.first.learn({p[0] for p in parts if p is not None})
         first, rest = self.first.cache, self.rest.cache
         out = [next(whole) if p is None else first[p[0]] + b"".join(map(rest.__getitem__, p[1:])) for p in parts]
-        self.first.turn()
-        self.rest.turn()
+        first.turn()
+        rest.turn()
         return out
 
 
