@@ -143,17 +143,19 @@ def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tup
             yield batch.slice(a, b - a), encoder.encode([x or b"" for x in texts.slice(a, b - a).to_pylist()]), encoder
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (the text that the ids decode to) for each row of docs."""
+def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, decode: bool = True) -> DataFrame:
+    """doc_id, ids (array of int) and, with decode, decoded (the text that the ids decode to) for each row of docs."""
 
     def run(batches):
         for batch, ids, encoder in _encoded(batches, vocabulary):
             arrays = [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]
             offsets = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array([encoder.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+            decoded = [pa.array([encoder.decode(x).decode() for x in ids], pa.string())] if decode else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *decoded], names)
 
-    return _input(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    names = ["doc_id", "ids", *["decoded"] * decode]
+    return _input(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

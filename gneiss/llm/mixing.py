@@ -37,8 +37,9 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0) -> Da
     # Sources reach their limits in the order of limit / weight. Of the levels that follow from the first i sources being
     # at their limits, the right one is the first that leaves the next source below its limit.
     order = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    below, rest, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(below), F.lit(0.0))) / F.sum("weight").over(rest)
+    below, every = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))
+    level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("limit").over(below), F.lit(0.0))) / rest
     levelled = weighed.withColumn("level", level).withColumn("own", F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level")))
     levelled = levelled.withColumn("level", F.max("own").over(every))
     target = F.when(F.col("level").isNull(), F.col("limit")).otherwise(F.least("limit", F.col("level") * F.col("weight")))
