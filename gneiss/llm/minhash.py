@@ -7,9 +7,11 @@ estimate lies five standard deviations below the threshold are dropped, the rest
 
 Work stays linear in large groups. Documents with equal sets form one class, represented by its smallest doc_id. In each
 band bucket members are first compared with the bucket's smallest id only, each with the one hub that it shares most
-bands with. Confirmed links give components; then, in buckets that still hold more than one component, members outside
-the bucket's largest component are compared with every member of another component. Pairs within a component need no
-test, so no link between components is lost and a group of copies never becomes all its pairs.
+bands with. Confirmed links give components. Members that a hub draws together, linked or not, are a group; where a group
+holds several components, tiles of members outside its largest component and of all its members are compared within one
+task, which returns at most one link for each member and other component. Last, pairs that share a bucket but neither
+group nor component are compared. Pairs within a component need no test, so no link between components is lost and a
+group of copies never becomes all its pairs.
 
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**32, 5e-8.
 
@@ -133,10 +135,8 @@ def signatures(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
     return _texts(docs).mapInArrow(run, f"id long, n_shingles long, set_key binary, {', '.join(f'{s} long' for s in SIGNATURE)}, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. Reads the texts of ids in pairs only."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _grams(docs: DataFrame, ids: DataFrame, shingle: int, fold: bool) -> DataFrame:
+    """id and grams (its full set) of the rows of docs whose id is in the written table ids."""
 
     def sets(batches):
         for batch in batches:
@@ -145,6 +145,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, perce
                 found = shingle_sets(texts.slice(a, b - a).to_pylist(), shingle, fold)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grams"])
 
+    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return _texts(docs).join(chosen, "id", "left_semi").mapInArrow(sets, "id long, grams binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. Reads the texts of ids in pairs only."""
+    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+
     def agree(batches):
         for batch in batches:
             keep = []
@@ -154,7 +162,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, perce
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    grams = written(_texts(docs).join(chosen, "id", "left_semi").mapInArrow(sets, "id long, grams binary"), "pair-sets")
+    grams = written(_grams(docs, ids, shingle, fold), "pair-sets")
     joined = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
     out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed")
     drop_written(ids, grams)
@@ -162,6 +170,58 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, perce
     return out
 
 
+def tile_links(few: dict, many: dict, least: float, percent: int) -> list[tuple[int, int]]:
+    """Links (id, id) between members of few and of many in another component, one for each member of few and component.
+
+    Both hold arrays id, component, a matrix signature and a list of sets grams."""
+    sizes = np.array([len(g) for g in many["grams"]])
+    tokens, coded = np.unique(np.concatenate(many["grams"]), return_inverse=True)
+    starts = np.cumsum([0, *sizes])[:-1]
+    lanes = np.uint64(sum(1 << (BITS * i) for i in range(_LANES)))
+    chance = 1 / (1 << BITS)
+    most_different = int((1 - (chance + (1 - chance) * least)) * HASHES + 1e-9)
+    signature, links = many["signature"].astype(np.int64).view(np.uint64), []
+    for i, component, own, grams in zip(few["id"].tolist(), few["component"].tolist(), few["signature"].astype(np.int64).view(np.uint64), few["grams"], strict=True):
+        x = signature ^ own[None, :]
+        near = (np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1) <= most_different) & (many["component"] != component)
+        if not near.any():
+            continue
+        at = np.minimum(np.searchsorted(tokens, grams), len(tokens) - 1)
+        has = np.zeros(len(tokens), bool)
+        has[at[tokens[at] == grams]] = True
+        both = np.add.reduceat(has[coded].astype(np.int64), starts)
+        hit = np.flatnonzero(near & (100 * both >= percent * (sizes + len(grams) - both)))
+        _, first = np.unique(many["component"][hit], return_index=True)
+        links += [(i, j) for j in many["id"][hit[first]].tolist()]
+    return links
+
+
+#: Members in one tile: those outside the largest component, and all of a group.
+FEW, MANY = 512, 1024
+
+
+def _group_links(groups: DataFrame, grams: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between components of the same group; groups has group, major, component, id and the signature."""
+    counts = groups.groupBy("group").agg(F.count_if(F.col("component") != F.col("major")).alias("few"), F.count(F.lit(1)).alias("many"))
+    tall, wide = F.ceil(F.col("few") / FEW).cast("int"), F.ceil(F.col("many") / MANY).cast("int")
+    rows = groups.join(counts, "group").join(grams, "id").withColumns({"tall": tall, "wide": wide})
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["group", "id", "component", *SIGNATURE, "grams"]
+    few = rows.filter("component <> major").select(*columns, deal(1, "tall").alias("row"), every("wide").alias("column"))
+    many = rows.select(*(F.col(c).alias(c) for c in columns), every("tall").alias("row"), deal(2, "wide").alias("column"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def side(t: pa.Table) -> dict:
+        return {"id": t.column("id").to_numpy(), "component": t.column("component").to_numpy(), "signature": np.stack([t.column(s).to_numpy() for s in SIGNATURE], axis=1), "grams": [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]}
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = tile_links(side(left), side(right), least, percent) if left.num_rows and right.num_rows else []
+        return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=schema)
+
+    return few.groupBy("group", "row", "column").cogroup(many.groupBy("group", "row", "column")).applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs."""
     rows = written(signatures(docs, shingle, fold), "signatures")
@@ -183,15 +243,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, fold:
     links = confirmed(first, docs, shingle, fold, percent)
     found = written(components(links), "hub-components")
 
-    # Buckets that still hold several components: members outside the largest one against all of another component.
-    labelled = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), *SIGNATURE)
+    # Members that a hub draws together: components of all hub pairs, confirmed or not.
+    drawn = written(components(first).withColumnRenamed("component", "group"), "groups")
+    grouped = drawn.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("component"))
+    major = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c"))
+    mixed = grouped.join(major.filter("c > 1").select("group", F.col("most.component").alias("major")), "group")
+    mixed = written(mixed.join(members.select("id", *SIGNATURE).dropDuplicates(["id"]), "id"), "mixed-groups")
+    grams = written(_grams(docs, written(mixed.select("id"), "mixed-ids"), shingle, fold), "mixed-sets")
+    links = written(links.unionByName(_group_links(mixed, grams.dropDuplicates(["id"]), least, percent)), "group-links")
+    drop_written(grams)
+    release_shuffles(docs.sparkSession)
+    found = written(components(links), "group-components")
+
+    # Buckets that still hold several components: members outside the largest one against those of other groups.
+    labelled = members.join(found, "id", "left").join(drawn, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("group", "id").alias("group"), *SIGNATURE)
     sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("most.component").alias("major"))
     rest = written(labelled.join(mixed, "key"), "mixed-members")
     x, y = rest.filter("component <> major").alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
     second = x.join(y, apart & (estimate("x", "y") >= least)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    second = written(second.join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest-pairs")
+    second = written(second, "rest-pairs")
     drop_written(members, rest)
     release_shuffles(docs.sparkSession)
     if not second.isEmpty():
