@@ -58,10 +58,11 @@ def words(text: bytes) -> set[bytes]:
     return set(text.translate(_FOLD).split())
 
 
-def counterfactual(found: set[bytes], key: int) -> set[bytes]:
+def counterfactual(found: list[bytes], key: int) -> list[bytes]:
     """found with its identity terms swapped, or with one more, chosen by key."""
-    terms = found & _SWAP.keys()
-    return (found - terms) | {_SWAP[t] for t in terms} if terms else found | {_TERMS[key % len(_TERMS)]}
+    if not _SWAP.keys().isdisjoint(found):
+        return [_SWAP.get(w, w) for w in found]
+    return [*found, _TERMS[key % len(_TERMS)]]
 
 
 #: Feature kinds by length of the beginning; 0 is the whole word.
@@ -81,39 +82,45 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def features(found: set[bytes]) -> set[tuple[int, bytes]]:
-    return {(kind, x[:kind] if kind else x) for kind in KINDS for x in found}
+def _feature_rows(rows: list[list[bytes]]) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
+    """All features, and the numbers of those of each row. Words and features are held once, rows as numbers."""
+    words: dict[bytes, int] = {}
+    numbers = [np.array([words.setdefault(w, len(words)) for w in r], np.int32) for r in rows]
+    found: dict[tuple[int, bytes], int] = {}
+    of_kind = [np.array([found.setdefault((kind, w[:kind] if kind else w), len(found)) for w in words], np.int32) for kind in KINDS]
+    return list(found), [np.unique(np.concatenate([k[r] for k in of_kind])) if len(r) else r for r in numbers]
 
 
-def _matrix(rows: list[set], column: dict):
-    found = [np.array(sorted(column[w] for w in r if w in column), np.int64) for r in rows]
-    return np.concatenate([*found, np.zeros(0, np.int64)]), np.array([len(x) for x in found])
+def _matrix(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found = [c[c >= 0] for c in (column[r] for r in rows)]
+    return np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in found])
 
 
-def _evidence(own: list[set], toxic: np.ndarray) -> list:
-    """Features whose shares in the two classes differ clearly, the clearest first."""
-    counts = [Counter(f for r, t in zip(own, toxic, strict=True) if t == label for f in r) for label in (0, 1)]
-    n = [int((toxic == label).sum()) for label in (0, 1)]
-    found = []
-    for f in counts[0].keys() | counts[1].keys():
-        c = counts[0][f], counts[1][f]
-        if sum(c) >= MIN_ROWS:
-            share = sum(c) / sum(n)
-            z = (c[1] / n[1] - c[0] / n[0]) / np.sqrt(max(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
-            if abs(z) >= MIN_Z:
-                found.append((-abs(z), f))
-    return [f for _, f in sorted(found)[:FEATURES]]
+def _evidence(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+    """How many standard errors each feature's shares in the two classes lie apart; 0 for rare ones."""
+    counts = [np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == label]), minlength=size) for label in (0, 1)]
+    n = [(toxic == label).sum() for label in (0, 1)]
+    share = (counts[0] + counts[1]) / sum(n)
+    z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
+    return np.where(counts[0] + counts[1] >= MIN_ROWS, np.abs(z), 0)
 
 
-def fit(rows: list[set[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
-    """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|."""
+def fit(rows: list[list[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
+    """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|.
+
+    A row is the list of its distinct words."""
     toxic = np.asarray(toxic, float)
     n, positive = len(rows), toxic.sum()
     if not n or positive in (0, n):
         return Model(0.0 if positive and positive == n else -2.0, {})
-    own, other = [features(r) for r in rows], [features(counterfactual(r, k)) for r, k in zip(rows, keys, strict=True)]
-    column = {f: i for i, f in enumerate(sorted({*_evidence(own, toxic), *features(set(_TERMS))}))}
-    parts = [_matrix(own, column), _matrix(other, column)]
+    names, numbers = _feature_rows([*rows, *(counterfactual(r, k) for r, k in zip(rows, keys, strict=True)), _TERMS])
+    z = _evidence(numbers[:n], toxic, len(names))
+    chosen = sorted(np.flatnonzero(z >= MIN_Z).tolist(), key=lambda i: (-z[i], names[i]))[:FEATURES]
+    chosen = sorted({*chosen, *numbers[-1].tolist()}, key=lambda i: names[i])
+    column = np.full(len(names), -1)
+    column[chosen] = np.arange(len(chosen))
+    parts = [_matrix(numbers[:n], column), _matrix(numbers[n:-1], column)]
+    column = {names[i]: j for j, i in enumerate(chosen)}
     spread = [np.repeat(np.arange(n), counts) for _, counts in parts]
     share = np.where(toxic == 1, 0.5 / positive, 0.5 / (n - positive))
 
@@ -172,12 +179,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     def distinct(batches):
         for batch in batches:
             found = [sorted(words(t or b""), key=lambda w: (crc32(w), w))[:ROW_WORDS] for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array([b" ".join(f) for f in found], pa.binary())], ["doc_id", "toxic", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words array<binary>").collect()
+    rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([{bytes(w) for w in r["words"]} for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
+    return fit([bytes(r["words"]).split() for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:
