@@ -205,19 +205,24 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     every = rows.select("id", F.explode("anchors").alias("anchor"))
     several = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
     repeated = written(every.join(several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    # Only what the result needs stays on disk besides the repeated anchors.
+    whole_rows = written(rows.select("id", "n_words", "sha"), "whole-rows")
+    drop_written(rows)
     release_shuffles(spark)
 
     found = _passages(_chosen(docs, repeated), repeated, window, gram).withColumn("key", F.xxhash64("anchor", "words"))
     found = written(found, "passages")
+    drop_written(repeated)
     release_shuffles(spark)
     reference = written(found.groupBy("key", "anchor", "words").agg(F.min("id").alias("owner")), "reference")
+    release_shuffles(spark)
     size = reference.agg(F.sum(F.length("words"))).first()[0] or 0
     least = written(_least(reference, max(1, ceil(size / 4 / SHARD_WORDS)), window), "least-owners")
     release_shuffles(spark)
     hits = found.select("id", "start", "key").join(least, "key")
     hits = hits.select("id", F.expr("transform(filter(transform(owners, (o, i) -> struct(o as owner, i as i)), x -> x.owner < id), x -> start + x.i)").alias("starts")).filter(F.size("starts") > 0)
     hits = written(hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
-    drop_written(repeated, found, reference, least)
+    drop_written(found, reference, least)
     release_shuffles(spark)
 
     def run(batches):
@@ -239,7 +244,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     cut = _texts(_chosen(docs, hits)).join(hits, "id").mapInArrow(run, schema)
-    whole = rows.join(hits.select("id"), "id", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    whole = whole_rows.join(hits.select("id"), "id", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     if texts:
         joined = _texts(docs).join(hits.select("id"), "id", "left_anti").select("id", F.array_join(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), " ").alias("kept_text"))
         whole = joined.withColumn("kept_sha256", F.sha2("kept_text", 256)).withColumn("n_words", F.when(F.col("kept_text") == "", 0).otherwise(F.length("kept_text") - F.length(F.replace("kept_text", F.lit(" "))) + 1).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
