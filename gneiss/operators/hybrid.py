@@ -38,13 +38,13 @@ def top(fused: DataFrame, k: int, key: str = "chunk_id", digits: int = 4) -> Dat
     return fused.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), key).limit(k)
 
 
-def explain(ranked: DataFrame, w: tuple[float, float], key: str = "chunk_id", rows: int = 10) -> DataFrame:
+def explain(ranked: DataFrame, w: tuple[float, float], key: str = "chunk_id", rows: int = 10, digits: int = 4) -> DataFrame:
     """Rank, contributions and percentages of the first rows; ranked is the bounded output of a search."""
     share = lambda part: F.when(F.col("score") > 0, F.round(100 * part / F.col("score"), 1)).otherwise(0.0)
     lexical, semantic = w[0] * F.col("bm25_score"), w[1] * F.col("semantic_score")
     order = Window.orderBy(F.desc("score"), key)
     out = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    return out.select("rank", key, F.round("score", 4).alias("score"), F.round(lexical, 4).alias("bm25_part"), F.round(semantic, 4).alias("semantic_part"), share(lexical).alias("bm25_percent"), share(semantic).alias("semantic_percent"))
+    return out.select("rank", key, F.round("score", digits).alias("score"), F.round(lexical, digits).alias("bm25_part"), F.round(semantic, digits).alias("semantic_part"), share(lexical).alias("bm25_percent"), share(semantic).alias("semantic_percent"))
 
 
 def top_per_group(hits: DataFrame, group: str, n: int, over: int = 10, key: str = "chunk_id") -> DataFrame:

@@ -241,22 +241,23 @@ h AS (SELECT doc_id, b, s, {w[0]}::DOUBLE * b + {w[1]}::DOUBLE * s score, CASE W
   FROM f WHERE {w[0]}::DOUBLE * b + {w[1]}::DOUBLE * s >= {least}::DOUBLE)"""
 
 
+#: Inputs have up to six digits and weights two, so eight digits never round half a digit, where engines differ.
 _HIT = ["doc_id", "score", "bm25_score", "semantic_score", "result_type"]
 
 
-@query(_hybrid() + " SELECT doc_id, round(score, 4) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
+@query(_hybrid() + " SELECT doc_id, round(score, 8) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
 def hybrid_topk(spark, sf_dir):
-    return hybrid.top(_fused(spark, sf_dir), 20, "doc_id").select(*_HIT)
+    return hybrid.top(_fused(spark, sf_dir), 20, "doc_id", 8).select(*_HIT)
 
 
-@query(_hybrid((0.25, 0.75)) + " SELECT doc_id, round(score, 4) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
+@query(_hybrid((0.25, 0.75)) + " SELECT doc_id, round(score, 8) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
 def hybrid_weights(spark, sf_dir):
-    return hybrid.top(_fused(spark, sf_dir, w=hybrid.weights(1, 3)), 20, "doc_id").select(*_HIT)
+    return hybrid.top(_fused(spark, sf_dir, w=hybrid.weights(1, 3)), 20, "doc_id", 8).select(*_HIT)
 
 
-@query(_hybrid(least=0.4) + " SELECT doc_id, round(score, 4) score FROM h")
+@query(_hybrid(least=0.4) + " SELECT doc_id, round(score, 8) score FROM h")
 def hybrid_threshold(spark, sf_dir):
-    return _fused(spark, sf_dir, least=0.4).select("doc_id", F.round("score", 4).alias("score"))
+    return _fused(spark, sf_dir, least=0.4).select("doc_id", F.round("score", 8).alias("score"))
 
 
 @query(_hybrid() + " SELECT result_type, count(*) n FROM h GROUP BY result_type")
@@ -264,11 +265,11 @@ def hybrid_result_type(spark, sf_dir):
     return _fused(spark, sf_dir).groupBy("result_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_hybrid() + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT rank FROM (SELECT * REPLACE (round(score, 4) AS score) FROM h ORDER BY score DESC, doc_id LIMIT 20))
-SELECT rank, doc_id, round(score, 4) score, round(0.5::DOUBLE * b, 4) bm25_part, round(0.5::DOUBLE * s, 4) semantic_part,
+@query(_hybrid() + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT rank FROM (SELECT * REPLACE (round(score, 8) AS score) FROM h ORDER BY score DESC, doc_id LIMIT 20))
+SELECT rank, doc_id, round(score, 8) score, round(0.5::DOUBLE * b, 8) bm25_part, round(0.5::DOUBLE * s, 8) semantic_part,
 CASE WHEN score > 0 THEN round(100 * (0.5::DOUBLE * b) / score, 1) ELSE 0.0::DOUBLE END bm25_percent, CASE WHEN score > 0 THEN round(100 * (0.5::DOUBLE * s) / score, 1) ELSE 0.0::DOUBLE END semantic_percent FROM r WHERE rank <= 10""")
 def hybrid_explain(spark, sf_dir):
-    return hybrid.explain(hybrid.top(_fused(spark, sf_dir), 20, "doc_id"), (0.5, 0.5), "doc_id")
+    return hybrid.explain(hybrid.top(_fused(spark, sf_dir), 20, "doc_id", 8), (0.5, 0.5), "doc_id", digits=8)
 
 
 @query(_bm25(TERMS) + """, best AS (SELECT doc_id, source, round(sc, 4) score FROM sc ORDER BY score DESC, doc_id LIMIT 50)
