@@ -17,7 +17,7 @@ columns are not carried by toxicity_scores and untouched by keep_clean.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -82,13 +82,25 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def _feature_rows(rows: list[list[bytes]]) -> tuple[list[tuple[int, bytes]], list[np.ndarray]]:
-    """All features, and the numbers of those of each row. Words and features are held once, rows as numbers."""
+def _feature_rows(rows: Iterable[list[bytes]], keys: list[int]) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Kind and text of all features, and the feature numbers of each row, of its counterfactual, and of the identity terms.
+
+    Words are held once and rows as numbers, so rows may come from a generator."""
     words: dict[bytes, int] = {}
-    numbers = [np.array([words.setdefault(w, len(words)) for w in r], np.int32) for r in rows]
-    found: dict[tuple[int, bytes], int] = {}
-    of_kind = [np.array([found.setdefault((kind, w[:kind] if kind else w), len(found)) for w in words], np.int32) for kind in KINDS]
-    return list(found), [np.unique(np.concatenate([k[r] for k in of_kind])) if len(r) else r for r in numbers]
+    number = lambda r: np.array([words.setdefault(w, len(words)) for w in r], np.int32)
+    own, other = [], []
+    for r, key in zip(rows, keys, strict=True):
+        own.append(number(r))
+        other.append(number(counterfactual(r, key)))
+    terms = number(_TERMS)
+    kinds, names, of_kind = [], [], []
+    for kind in KINDS:
+        found: dict[bytes, int] = {}
+        of_kind.append(np.fromiter((found.setdefault(w[:kind] if kind else w, len(found)) for w in words), np.int32, len(words)) + len(names))
+        kinds += [kind] * len(found)
+        names += found
+    every = lambda r: np.unique(np.concatenate([k[r] for k in of_kind])) if len(r) else r
+    return np.array(kinds), names, [every(r) for r in own], [every(r) for r in other], every(terms)
 
 
 def _matrix(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,22 +117,23 @@ def _evidence(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarra
     return np.where(counts[0] + counts[1] >= MIN_ROWS, np.abs(z), 0)
 
 
-def fit(rows: list[list[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
+def fit(rows: Iterable[list[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
     """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|.
 
     A row is the list of its distinct words."""
     toxic = np.asarray(toxic, float)
-    n, positive = len(rows), toxic.sum()
+    n, positive = len(toxic), toxic.sum()
     if not n or positive in (0, n):
         return Model(0.0 if positive and positive == n else -2.0, {})
-    names, numbers = _feature_rows([*rows, *(counterfactual(r, k) for r, k in zip(rows, keys, strict=True)), _TERMS])
-    z = _evidence(numbers[:n], toxic, len(names))
-    chosen = sorted(np.flatnonzero(z >= MIN_Z).tolist(), key=lambda i: (-z[i], names[i]))[:FEATURES]
-    chosen = sorted({*chosen, *numbers[-1].tolist()}, key=lambda i: names[i])
-    column = np.full(len(names), -1)
-    column[chosen] = np.arange(len(chosen))
-    parts = [_matrix(numbers[:n], column), _matrix(numbers[n:-1], column)]
-    column = {names[i]: j for j, i in enumerate(chosen)}
+    kinds, names, own, other, terms = _feature_rows(rows, keys)
+    z = _evidence(own, toxic, len(names))
+    chosen = sorted(np.flatnonzero(z >= MIN_Z).tolist(), key=lambda i: (-z[i], kinds[i], names[i]))[:FEATURES]
+    chosen = sorted({*chosen, *terms.tolist()}, key=lambda i: (kinds[i], names[i]))
+    place = np.full(len(names), -1)
+    place[chosen] = np.arange(len(chosen))
+    parts = [_matrix(own, place), _matrix(other, place)]
+    column = {(int(kinds[i]), names[i]): j for j, i in enumerate(chosen)}
+    del own, other, names
     spread = [np.repeat(np.arange(n), counts) for _, counts in parts]
     share = np.where(toxic == 1, 0.5 / positive, 0.5 / (n - positive))
 
@@ -184,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit([bytes(r["words"]).split() for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
+    return fit((bytes(r["words"]).split() for r in rows), np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:
