@@ -49,15 +49,17 @@ def search(tokenised: DataFrame, terms: list[str], key: str = "chunk_id", keep:
         return tokenised.select(key, F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("terms"), *keep).limit(0)
 
     def count(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == term))
+        return F.size(F.filter("asked", lambda t: t == term))
 
-    counted = tokenised.select(key, "doc_len", *keep, *(count(t).alias(f"tf{i}") for i, t in enumerate(distinct)))
+    asked = tokenised.select(key, "doc_len", *keep, F.filter("tokens", lambda t: t.isin(distinct)).alias("asked"))
+    counted = asked.select(key, "doc_len", *keep, *(count(t).alias(f"tf{i}") for i, t in enumerate(distinct)))
     stats = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("doc_len").cast("double")).alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(distinct))))
     parts = [F.when(F.col(f"tf{i}") > 0, idf(F.col("n"), F.col(f"df{i}")) * weight(F.col(f"tf{i}"), F.col("doc_len"), F.col("avg_len"))).otherwise(0.0) for i in map(distinct.index, terms)]
     found = F.array_compact(F.array(*(F.when(F.col(f"tf{i}") > 0, F.lit(t)) for i, t in enumerate(distinct))))
-    hits = counted.filter(reduce(Column.__or__, (F.col(f"tf{i}") > 0 for i in range(len(distinct)))))
-    # The one row of statistics is broadcast.
-    return hits.crossJoin(F.broadcast(stats)).select(key, reduce(Column.__add__, parts).alias("score"), F.array_sort(found).alias("terms"), *keep)
+    # The one row of statistics is broadcast. A score above 0 means a query term; a filter on the counts themselves would
+    # be pushed below and tokenise each text once more for every term.
+    scored = counted.crossJoin(F.broadcast(stats)).select(key, reduce(Column.__add__, parts).alias("score"), F.array_sort(found).alias("terms"), *keep)
+    return scored.filter("score > 0")
 
 
 def top(scored: DataFrame, k: int, key: str = "chunk_id", digits: int = 4) -> DataFrame:
