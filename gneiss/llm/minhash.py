@@ -164,7 +164,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, perce
 
     grams = written(_grams(docs, ids, shingle, fold), "pair-sets")
     joined = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed")
+    out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed", batch=100)
     drop_written(ids, grams)
     release_shuffles(docs.sparkSession)
     return out

@@ -26,11 +26,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, computes Python stages once."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, computes Python stages once.
+
+    batch: rows that go to a Python worker at a time; fewer where rows are large."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.gneiss_path = path
     return out
 
