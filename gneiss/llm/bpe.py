@@ -28,8 +28,8 @@ from gneiss.llm.tokenizer import Generations, PieceEncoder, text_blocks
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of about 512 bytes, and of MIN_CHUNK at least; a cut depends on the 32 bytes before it.
 CHUNK_BITS, MIN_CHUNK, WINDOW = 9, 64, 32
-#: Chunks in one generation of a worker's cache.
-CHUNKS = 50_000
+#: Chunks and words in one generation of a worker's caches, under 100 MB together.
+CHUNKS, WORDS = 30_000, 120_000
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -64,7 +64,7 @@ class ChunkEncoder:
         import xxhash
 
         self.digest = xxhash.xxh3_128_digest
-        self.words, self.chunks = PieceEncoder(vocabulary, fold=True), Generations(chunks)
+        self.words, self.chunks = PieceEncoder(vocabulary, most=WORDS, fold=True), Generations(chunks)
         vocab = self.words.tokenizer.get_vocab(with_added_tokens=True)
         self.strings = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
