@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and rows in a block: 2048 x 2048 products take 32 MB in double precision.
+BLOCK = 2048
+
 
 def as_double(v: str | Column) -> Column:
     return (F.col(v) if isinstance(v, str) else v).cast("array<double>")
@@ -60,27 +63,61 @@ def knn(vectors: DataFrame, query: DataFrame, k: int = 10, metric: str = "ip", k
     return scored.orderBy(F.desc("score") if metric == "ip" else "score", key).limit(k)
 
 
-def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, key, score by cosine for a bounded list of queries.
-
-    Queries travel with the task as one matrix; each batch of rows is one matrix product of which k rows a query stay, so
-    only these reach the final ranking."""
-    ids = np.array([i for i, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64).reshape(len(ids), -1)
-    matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-    def run(batches):
-        for batch in batches:
-            rows = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            own = batch.column("id").to_numpy(zero_copy_only=False)
-            if not len(own):
-                continue
-            scores = np.round(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300) @ matrix.T, 6)
-            picks = [np.lexsort((own, -scores[:, j]))[:k] for j in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(p) for p in picks])), pa.array(own[np.concatenate(picks)]), pa.array(np.concatenate([scores[p, j] for j, p in enumerate(picks)]))], ["query_id", key, "score"])
-
-    rows = vectors.select(F.col(key).cast("long").alias("id"), as_double(vector).alias("v")).filter(F.col("v").isNotNull())
-    found = rows.mapInArrow(run, f"query_id long, {key} long, score double")
+def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, key, score by cosine for the queries, a list or a DataFrame (query_id, q) of any size."""
+    one = F.lit(0).alias("cell")
+    return _ranked(vectors.select(one, F.col(key).alias("id"), as_double(vector).alias("v")), _as_rows(vectors, queries).select(one, "query_id", "q"), k, key)
+
+
+def _as_rows(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame) -> DataFrame:
+    """query_id, q."""
+    if not isinstance(queries, DataFrame):
+        queries = vectors.sparkSession.createDataFrame([(int(i), [float(x) for x in v]) for i, v in queries], "query_id long, q array<double>")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), as_double("q").alias("q"))
+
+
+def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, id and score of the k best rows of each query."""
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    scores = np.round(unit(queries) @ unit(rows).T, 6) + 0.0
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+    q, c = np.nonzero(scores >= least)
+    order = np.lexsort((ids[c], -scores[q, c], q))
+    q, c = q[order], c[order]
+    stays = np.arange(len(q)) - np.searchsorted(q, q) < k
+    q, c = q[stays], c[stays]
+    return query_ids[q], ids[c], scores[q, c]
+
+
+def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+    """query_id, rank, key, score: the k best rows (cell, id, v) in the cells that each query is asked in (cell, query_id, q).
+
+    In each cell both sides are dealt into blocks of bounded size by a hash of their ids, and each pair of blocks is one
+    tile, a matrix product in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
+    component take no part, and vectors of different lengths don't meet."""
+    good = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(good("v"))
+    asked = asked.select("cell", "query_id", "q", F.size("q").alias("dim")).filter(good("q"))
+    on = ["cell", "dim"]
+    n = F.col("n")
+    wide = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).select(*on, F.greatest(F.ceil(n / BLOCK), F.least(F.lit(16), F.ceil(n / 512))).cast("int").alias("wide"))
+    tall = asked.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).select(*on, F.ceil(n / BLOCK).cast("int").alias("tall"))
+    blocks = F.broadcast(wide.join(tall, on))  # a row a cell
+    deal = lambda x, m, seed: F.pmod(F.xxhash64(F.lit(seed), x), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = asked.join(blocks, on).select(*on, "query_id", "q", deal("query_id", "tall", 1).alias("row"), every("wide").alias("column"))
+    right = rows.join(blocks, on).select(*on, "id", "v", every("tall").alias("row"), deal("id", "wide", 2).alias("column"))
+    schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return schema.empty_table()
+        matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+        found = _tile(a.column("query_id").to_numpy(), matrix(a, "q"), b.column("id").to_numpy(), matrix(b, "v"), k)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
+
+    tile = [*on, "row", "column"]
+    found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, f"query_id long, {key} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 

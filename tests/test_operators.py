@@ -1,5 +1,6 @@
 """Operators on hand-made rows."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from gneiss import config, validate
 from gneiss.engine import Engine
 from gneiss.functions import text
 from gneiss.operators import catalog, chunks, embedding, hybrid, lexical, symbols, vector
+from gneiss.plans import catalog as plans
 from gneiss.sources import files
 from gneiss.streaming import replay
 
@@ -145,6 +147,30 @@ def test_vectors(spark):
     assert all(abs(a - b) < 0.05 for r in back for a, b in zip(r["v"], r["embedding"], strict=True))
 
 
+def test_batch_of_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK", 32)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 8))
+    x[100:300] = x[0]
+    bad = [(1000, None), (1050, [float("nan")] * 8), (1100, [None] * 8), (1150, [1.0])]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + bad, "chunk_id long, embedding array<double>")
+    asked = frame.filter("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = {}
+    for r in vector.knn_batch(frame, asked, 10).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+    assert found.pop(1150) == [(1150, 1.0)] and sorted(found) == list(range(0, 600, 5))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 6)
+    for q in found:
+        assert found[q] == [(j, scores[q, j]) for j in np.lexsort((np.arange(600), -scores[q]))[:10].tolist()]
+
+
+def test_every_fiftieth_row_is_asked(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = plans.QUERIES["knn_batch_all"](spark, sf_dir)
+    assert {r[0] for r in found.select("query_id").distinct().collect()} == {r[0] for r in rows.filter("vec_id % 50 = 0").select("vec_id").collect()}
+
+
 def test_cells_have_recall(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     centroids = vector.train_cells(rows, nlist=8)
