@@ -76,10 +76,17 @@ def _as_rows(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFr
     return queries.select(F.col("query_id").cast("long").alias("query_id"), as_double("q").alias("q"))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _finite(v: str) -> Column:
+    return F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+
+
 def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, id and score of the k best rows of each query."""
-    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-    scores = np.round(unit(queries) @ unit(rows).T, 6) + 0.0
+    scores = np.round(_unit(queries) @ _unit(rows).T, 6) + 0.0
     least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
     q, c = np.nonzero(scores >= least)
     order = np.lexsort((ids[c], -scores[q, c], q))
@@ -95,9 +102,8 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
     In each cell both sides are dealt into blocks of bounded size by a hash of their ids, and each pair of blocks is one
     tile, a matrix product in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
     component take no part, and vectors of different lengths don't meet."""
-    good = lambda v: F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(good("v"))
-    asked = asked.select("cell", "query_id", "q", F.size("q").alias("dim")).filter(good("q"))
+    rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(_finite("v"))
+    asked = asked.select("cell", "query_id", "q", F.size("q").alias("dim")).filter(_finite("q"))
     on = ["cell", "dim"]
     n = F.col("n")
     wide = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).select(*on, F.greatest(F.ceil(n / BLOCK), F.least(F.lit(16), F.ceil(n / 512))).cast("int").alias("wide"))
@@ -151,3 +157,59 @@ def knn_cells(vectors: DataFrame, query: DataFrame, centroids: DataFrame, k: int
     """knn among the cells nearest to the query; vectors carry cell, as a partition column for pruning at scale."""
     near = vectors.join(F.broadcast(probe(query, centroids, nprobe)), "cell", "left_semi")
     return knn(near, query, k, key=key, vector=vector, digits=digits)
+
+
+def nearest_cells(rows: DataFrame, centroids: DataFrame, nprobe: int, id_name: str, vector: str) -> DataFrame:
+    """id, vector and cells, the nprobe nearest (ties to the smaller), for rows as assign_cells takes them, by matrix products.
+
+    Rows of another length than the centroids, or with a null or non-finite component, take no part."""
+    known = sorted((r["cell"], list(r["c"])) for r in centroids.collect())  # nlist rows
+    numbers, matrix = np.array([i for i, _ in known], np.int32), np.array([c for _, c in known], np.float64)
+    matrix = _unit(matrix)
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column("v")
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, matrix.shape[1]))
+            order = np.argsort(-np.round(_unit(x) @ matrix.T, 9), axis=1, kind="stable")[:, :nprobe]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), v, pa.array(numbers[order].tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
+
+    good = rows.select(F.col(id_name).cast("long").alias("id"), as_double(vector).alias("v")).filter(_finite("v") & (F.size("v") == matrix.shape[1]))
+    return good.mapInArrow(run, "id long, v array<double>, cells array<int>").select(F.col("id").alias(id_name), F.col("v").alias(vector), "cells")
+
+
+def with_cells(vectors: DataFrame, centroids: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """key, vector and cell of every vector: assign_cells for tables that a search reads as a whole."""
+    return nearest_cells(vectors, centroids, 1, key, vector).select(key, vector, F.col("cells")[0].alias("cell"))
+
+
+def cell_order(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
+    """query_id, q, place, cell: the nprobe cells nearest to each query (query_id, q), the nearest at place 0."""
+    return nearest_cells(queries, centroids, nprobe, "query_id", "q").select("query_id", "q", F.posexplode("cells").alias("place", "cell"))
+
+
+def recall_by_probes(cells: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> list[float]:
+    """Recall against brute force with 1, 2, ... probed cells; cells are all vectors with their cell.
+
+    A true neighbour is found once its cell is probed, so the places of the neighbours' cells give every recall at once.
+    A query's own row is left out, as it is found at no cost."""
+    true = knn_batch(cells, queries, k, key, vector).filter(F.col(key) != F.col("query_id")).select("query_id", key)
+    places = cell_order(queries, centroids, centroids.count()).select("query_id", "cell", "place")
+    found = true.join(cells.select(F.col(key).cast("long").alias(key), "cell"), key).join(places, ["query_id", "cell"]).groupBy("place").count().collect()  # a row a cell at most
+    hits = np.zeros(max((r["place"] for r in found), default=-1) + 1)
+    for r in found:
+        hits[r["place"]] = r["count"]
+    return (np.cumsum(hits) / max(hits.sum(), 1)).tolist()
+
+
+def least_probes(cells: DataFrame, queries: DataFrame, centroids: DataFrame, recall: float = 0.92, k: int = 10, sample: int = 1024, key: str = "chunk_id", vector: str = "embedding") -> int:
+    """The fewest probed cells with the wanted recall, measured on all queries, or on sample of them where there are more."""
+    chosen = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(sample)
+    measured = recall_by_probes(cells, chosen, centroids, k, key, vector)
+    return next((i for i, r in enumerate(measured, 1) if r >= recall), max(len(measured), 1))
+
+
+def knn_cells_batch(cells: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """knn_batch among the nprobe cells nearest to each query; each cell's vectors meet only the queries that probe it."""
+    asked = cell_order(queries, centroids, nprobe).select("cell", "query_id", "q")
+    return _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), asked, k, key)

@@ -184,6 +184,14 @@ def test_cells_have_recall(spark, sf_dir):
     assert hits >= 45
 
 
+def test_index_search_has_recall_of_every_asked_row(spark, sf_dir):
+    pairs = {name: {(r["query_id"], r["vec_id"]): r["score"] for r in plans.QUERIES[name](spark, sf_dir).collect()} for name in ("ivf_batch", "knn_batch_all")}
+    exact, found = pairs["knn_batch_all"], pairs["ivf_batch"]
+    assert {q for q, _ in found} == {q for q, _ in exact} and len(found) == len(exact)
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(found[p] == exact[p] for p in exact.keys() & found.keys())
+
+
 def test_fusion(spark):
     words = spark.createDataFrame([(1, 2.0, ["a"]), (2, 1.0, ["b"])], "chunk_id long, score double, terms array<string>")
     near = spark.createDataFrame([(2, 0.5), (3, 0.9), (4, -0.2), (5, 0.001)], "chunk_id long, score double")
