@@ -29,9 +29,8 @@ from pyspark.sql import functions as F
 from gneiss.llm.shared import read_table
 from gneiss.llm.tokenizer import text_blocks
 
-#: Training rows of each class, features of the model before the L1 step, distinct words of a training row (those of the
-#: smallest hash); a scored text is always read whole.
-SAMPLE, FEATURES, ROW_WORDS = 4000, 2000, 20_000
+#: Training rows of each class, features of the model before the L1 step; texts are read whole, in the fit and in scoring.
+SAMPLE, FEATURES = 4000, 2000
 #: A feature has to occur in so many training rows, with class shares so many standard errors apart.
 MIN_ROWS, MIN_Z = 3, 4.0
 THRESHOLD = 0.7
@@ -191,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def distinct(batches):
         for batch in batches:
-            found = [sorted(words(t or b""), key=lambda w: (crc32(w), w))[:ROW_WORDS] for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [sorted(words(t or b""), key=lambda w: (crc32(w), w)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array([b" ".join(f) for f in found], pa.binary())], ["doc_id", "toxic", "words"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -154,6 +154,19 @@ def test_toxicity_on_held_out_rows(spark, sf_dir, odd):
     assert toxicity.fit([], np.array([]), []).score(b"x") < 0.5
 
 
+def test_long_labelled_texts_are_learnt_whole(spark):
+    # The one toxic word has the largest hash of over 20,000 in each text.
+    filler = [f"w{i}" for i in range(21_000)]
+    bad = max((f"vile{i}" for i in range(200_000)), key=lambda w: zlib.crc32(w.encode()))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sum(zlib.crc32(w.encode()) < zlib.crc32(bad.encode()) for w in filler) > 20_000
+    frame = spark.createDataFrame([(i, " ".join([*filler, bad] if i % 2 else filler)) for i in ids], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    model = toxicity.train(frame, known)
+    whole = " ".join(filler)
+    assert model.score(f"{whole} {bad}".encode()) >= toxicity.THRESHOLD > model.score(whole.encode())
+
+
 def test_penalty_ties_swapped_terms():
     random.seed(3)
     rows = [sorted({f"w{random.randint(0, 50)}".encode() for _ in range(12)} | ({b"bad"} if t and random.random() < 0.6 else set()) | ({b"women"} if random.random() < (0.9 if t else 0.3) else set())) for t in (i % 2 for i in range(300))]
