@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from gneiss.llm.shared import read_table
 
@@ -33,11 +34,17 @@ BLOCK = 2048
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 values, scales, and the norms of what they stand for, of what they miss and of x, a row each."""
     scale = np.abs(x).max(axis=1) / 127
+    scale[scale == 0] = 1.0
     q = np.rint(x / scale[:, None]).astype(np.int8)
     stands = q * scale[:, None]
     return q, scale, np.linalg.norm(stands, axis=1), np.linalg.norm(x - stands, axis=1), np.linalg.norm(x, axis=1)
 
 
+def shrunk(x: np.ndarray, axis: int | None) -> np.ndarray:
+    """x times a power of two (one a row, or one in all) that takes its largest component to below 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=axis, keepdims=True))[1])
+
+
 def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of rows of x and y, summed component by component, so that equal rows give equal bits wherever they stand."""
     total = np.zeros(len(x))
@@ -48,15 +55,16 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query id, id, inner product) of the k nearest of each query, its own id left out."""
-    _, first, group = np.unique(vectors.astype(np.float32).view(np.dtype((np.void, 4 * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    _, first, group = np.unique(np.ascontiguousarray(vectors, np.float64).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
     order = np.lexsort((ids, group))
     starts = np.searchsorted(group[order], np.arange(len(first) + 1))
     members = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
     own = {int(i): g for i, g in zip(ids, group, strict=True)}
     distinct = vectors[first]
-    a, b = quantised(queries), quantised(distinct)
+    # The order for a query survives a factor of its own and one of all candidates, so bounds neither overflow nor vanish.
+    a, b = quantised(shrunk(queries, 1)), quantised(shrunk(distinct, None))
     products = (a[0].astype(np.float32) @ b[0].astype(np.float32).T).astype(np.float64) * a[1][:, None] * b[1][None, :]
-    error = a[2][:, None] * b[3][None, :] + a[3][:, None] * b[4][None, :] + 1e-9 * a[4][:, None] * b[4][None, :]
+    error = a[2][:, None] * b[3][None, :] + a[3][:, None] * b[4][None, :] + 1e-9 * a[4][:, None] * b[4][None, :] + 1e-140
     upper, lower = products + error, products - error
     for r, i in enumerate(query_ids.tolist()):
         if (g := own.get(i)) is not None and len(members[g]) == 1:
@@ -78,8 +86,10 @@ def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id and v, the vectors that take part, each id once."""
-    v = F.col(vector).cast("array<float>")
-    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast("float"))
+    # Components as they are where they are floats, else as doubles; products are in double precision of either.
+    kind = "float" if vectors.schema[vector].dataType == ArrayType(FloatType(), vectors.schema[vector].dataType.containsNull) else "double"
+    v = F.col(vector).cast(f"array<{kind}>")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast(kind))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()

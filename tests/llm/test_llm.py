@@ -199,6 +199,22 @@ def test_neighbours(spark):
     assert neighbours.nearest(frame.filter("vec_id < 3"), lambda i: i % 20 == 0).count() == 2
 
 
+@pytest.mark.parametrize("size", [1.0, 1e60, 1e-60])
+def test_neighbours_of_doubles(spark, size):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    x[100:] = x[0] * (1 + 1e-12 * rng.permutation(200)[:, None])  # equal as floats
+    x *= size
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in neighbours.nearest(frame, lambda i: i % 20 == 0, block=128).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(found) == set(range(0, 300, 20))
+    for q in found:
+        scores = neighbours.inner_products(np.repeat(x[q : q + 1], 300, axis=0), x)
+        assert found[q] == [(j, scores[j]) for j in sorted((j for j in range(300) if j != q), key=lambda j: (-scores[j], j))[:20]]
+
+
 # Near duplicates
 
 
