@@ -1,10 +1,11 @@
 """Exact deduplication by stateful streaming.
 
-A digest log (digest, stable identifier, length, content locator) is written for the rows of a table and streamed into
-keyed state on disk (RocksDB) that never expires: for each digest the best holder so far and the number of rows. A later
-run on the same state folder meets what earlier runs left there. Rows that hit a digest whose holder is another row
+A digest log (digest, doc_id, code points, length) is written for the rows of a table and streamed into keyed state on
+disk (RocksDB) that never expires: for each digest the best holder so far and the number of rows. A later run on the
+same state folder meets what earlier runs left there. Rows that hit a digest whose holder is another row of the same run
 are then checked byte by byte against the holder's normalised text; rows of a digest that fails this are grouped by
-their full bytes instead.
+their full bytes instead. Neither log nor state holds a content locator, so the check covers the current run only: a row
+whose holder came in an earlier run counts as equal by its SHA-256 digest alone, its bytes unchecked.
 
 Texts are equal when identical after every blank and U+0009 to U+000D is deleted. Of equal texts the row with the most
 code points stays, then the smallest doc_id.
