@@ -14,9 +14,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), a temporary one, set for the session."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (tests, one machine), a temporary one, set for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -43,12 +45,47 @@ def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     return out
 
 
+def _store(spark: SparkSession, path: str):
+    """The path as Spark's file systems know it, and its file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    p, store = _store(spark, path)
+    store.delete(p, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file; None where there is none."""
+    p, store = _store(spark, path)
+    if not store.exists(p):
+        return None
+    stream = store.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, store = _store(spark, path)
+    stream = store.create(p, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Deletes tables made by written() that no later plan reads."""
     for df in tables:
-        spark, path = df.sparkSession, df.gneiss_path
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        drop_path(df.sparkSession, df.gneiss_path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -59,6 +96,30 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Keys that hold more than one of HOT_SHARE of all rows, and more than HOT_ROWS, are joined by broadcast: HOT_SHARE of them at most.
+HOT_SHARE, HOT_ROWS = 100_000, 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with side, which has a row for each key and in size how many of all rows have it; total: of all keys.
+
+    The few keys that hold many rows are joined by broadcast, the rest by shuffle, so no task gets all rows of a key."""
+    hot = F.col(size) > max(HOT_ROWS, total // HOT_SHARE)
+    many = F.broadcast(side.filter(hot))
+    rest = rows.join(many.select(key), key, "left_anti").join(side.filter(~hot), key)
+    return rows.join(many, key).unionByName(rest)
+
+
+def join_salted(rows: DataFrame, side: DataFrame, counts: DataFrame, key: str, size: str, total: int, spread: str, per_task: int = 1000) -> DataFrame:
+    """rows joined with side, whose rows are large, one for each key; counts has each key's number of rows in size.
+
+    A key with many rows is parted by a hash of spread, and its row of side goes to each part."""
+    parts = F.ceil(F.col(size) / per_task)
+    salted = join_hot(rows, counts, key, size, total).withColumn("_salt", F.pmod(F.xxhash64(spread), parts)).drop(size)
+    copied = side.join(counts, key).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop(size)
+    return salted.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
