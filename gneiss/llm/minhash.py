@@ -5,8 +5,8 @@ low bits are retained and packed into four longs. For a candidate pair, XOR and
 the share P of equal lanes, and (P - 1/4) / (3/4) estimates the similarity with chance collisions taken out. Pairs whose
 estimate lies five standard deviations below the threshold are dropped, the rest is confirmed on the full sets.
 
-Work stays linear in large groups. Documents with equal sets form one class, represented by its smallest doc_id. In each
-band bucket members are first compared with the bucket's smallest id only, each with the one hub that it shares most
+Work stays linear in large groups. Documents with equal sets form one class, a numbered node in the order of its smallest
+doc_id. In each band bucket members are first compared with the bucket's smallest node only, each with the one hub that it shares most
 bands with. Confirmed links give components. Members that a hub draws together, linked or not, are a group; where a group
 holds several components, tiles of members outside its largest component and of all its members are compared within one
 task, which returns at most one link for each member and other component. Last, pairs that share a bucket but neither
@@ -16,9 +16,12 @@ group of copies never becomes all its pairs.
 At a similarity of 0.8 a pair shares no band with probability (1 - 0.8**4)**32, 5e-8.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a text with fewer words than a
-shingle has its whole sequence as its one shingle; rows that repeat a doc_id count as one document; null doc_ids are one
-document, after all others; an empty table gives an empty table; other columns are not carried by near_duplicates and
-untouched by keep_representatives. Sets hold 64-bit hashes of shingles.
+shingle has its whole sequence as its one shingle; rows that repeat a doc_id are rows of their own, linked by their texts
+only, and so are null doc_ids, which come after all others: a group of these alone has a null component_id; kept says that
+doc_id is the group's component_id; an empty table gives an empty table; other columns are not carried by near_duplicates.
+keep_representatives keeps one row of each group, of several with its smallest doc_id the one whose text has the smallest
+hash, and every wordless row, with all columns. Sets hold 64-bit hashes of shingles; a row is known by its doc_id and a
+64-bit hash of its text.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.shared import drop_written, read_table, release_shuffles, written
+from gneiss.llm.shared import drop_written, join_hot, join_salted, read_table, release_shuffles, written
 from gneiss.llm.tokenizer import text_blocks
 from gneiss.llm.words import gram_hashes, mix, sequence_hash, word_hashes
 
 HASHES, BANDS, BITS = 128, 32, 2
 _ROWS, _LANES = HASHES // BANDS, 64 // BITS
 LAST = (1 << 63) - 1
-#: Up to so many ids (under 20 MB) are broadcast to pick out texts; beyond, texts are shuffled.
+#: Up to so many rows of ids (under 30 MB) are broadcast to pick out texts; beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
 
 
@@ -108,12 +111,17 @@ def least_estimate(similarity: float, deviations: float = 5.0) -> float:
     return similarity - deviations * sqrt(p * (1 - p) / HASHES) / (1 - chance)
 
 
+ROW = ["id", "row"]
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """id, row (a hash of the text) and text of each row; id and row together stand for a row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def signatures(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
-    """id, n_shingles, set_key (a digest of the set), the packed signature and band keys of each row."""
+    """id, row, n_shingles, set_key (a digest of the set), the packed signature and band keys of each row."""
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -129,29 +137,30 @@ def signatures(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
                     signature[some] = packed(lows)
                     for i, keys in zip(some, band_keys(lows), strict=True):
                         bands[i] = keys
-                columns = [batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *map(pa.array, signature.T), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "set_key", *SIGNATURE, "bands"])
+                columns = [*(batch.column(c).slice(a, b - a) for c in ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *map(pa.array, signature.T), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, [*ROW, "n_shingles", "set_key", *SIGNATURE, "bands"])
 
-    return _texts(docs).mapInArrow(run, f"id long, n_shingles long, set_key binary, {', '.join(f'{s} long' for s in SIGNATURE)}, bands array<long>")
+    return _texts(docs).mapInArrow(run, f"id long, row long, n_shingles long, set_key binary, {', '.join(f'{s} long' for s in SIGNATURE)}, bands array<long>")
 
 
-def _grams(docs: DataFrame, ids: DataFrame, shingle: int, fold: bool) -> DataFrame:
-    """id and grams (its full set) of the rows of docs whose id is in the written table ids."""
+def _grams(docs: DataFrame, nodes: DataFrame, shingle: int, fold: bool) -> DataFrame:
+    """node and grams (its full set) of the rows of docs that the written table nodes (id, row, node) names."""
 
     def sets(batches):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for a, b in text_blocks(texts):
                 found = shingle_sets(texts.slice(a, b - a).to_pylist(), shingle, fold)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], ["id", "grams"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "grams"])
 
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return _texts(docs).join(chosen, "id", "left_semi").mapInArrow(sets, "id long, grams binary")
+    chosen = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    return _texts(docs).join(chosen, ROW).select("node", "text").mapInArrow(sets, "node long, grams binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union. Reads the texts of ids in pairs only."""
-    ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
+    """Of pairs of nodes (a, b) those whose full sets have 100 * intersection >= percent * union. Reads the texts of these nodes only."""
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = written(classes.select(*ROW, "node").join(ids, "node"), "pair-nodes")
 
     def agree(batches):
         for batch in batches:
@@ -162,18 +171,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, fold: bool, perce
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    grams = written(_grams(docs, ids, shingle, fold), "pair-sets")
-    joined = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    grams = written(_grams(docs, ids, shingle, fold).dropDuplicates(["node"]), "pair-sets")
+    # A hub is in the pairs of all its members; its set goes to parts of them.
+    uses = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("uses")), "pair-uses")
+    members = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+    joined = join_salted(members, grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), uses, "b", "uses", pairs.count(), "a")
     out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed", batch=100)
-    drop_written(ids, grams)
+    drop_written(ids, grams, uses)
     release_shuffles(docs.sparkSession)
     return out
 
 
 def tile_links(few: dict, many: dict, least: float, percent: int) -> list[tuple[int, int]]:
-    """Links (id, id) between members of few and of many in another component, one for each member of few and component.
+    """Links (node, node) between members of few and of many in another component, one for each member of few and component.
 
-    Both hold arrays id, component, a matrix signature and a list of sets grams."""
+    Both hold arrays node, component, a matrix signature and a list of sets grams."""
     sizes = np.array([len(g) for g in many["grams"]])
     tokens, coded = np.unique(np.concatenate(many["grams"]), return_inverse=True)
     starts = np.cumsum([0, *sizes])[:-1]
@@ -181,7 +193,7 @@ def tile_links(few: dict, many: dict, least: float, percent: int) -> list[tuple[
     chance = 1 / (1 << BITS)
     most_different = int((1 - (chance + (1 - chance) * least)) * HASHES + 1e-9)
     signature, links = many["signature"].astype(np.int64).view(np.uint64), []
-    for i, component, own, grams in zip(few["id"].tolist(), few["component"].tolist(), few["signature"].astype(np.int64).view(np.uint64), few["grams"], strict=True):
+    for i, component, own, grams in zip(few["node"].tolist(), few["component"].tolist(), few["signature"].astype(np.int64).view(np.uint64), few["grams"], strict=True):
         x = signature ^ own[None, :]
         near = (np.bitwise_count((x | (x >> np.uint64(1))) & lanes).sum(axis=1) <= most_different) & (many["component"] != component)
         if not near.any():
@@ -192,7 +204,7 @@ def tile_links(few: dict, many: dict, least: float, percent: int) -> list[tuple[
         both = np.add.reduceat(has[coded].astype(np.int64), starts)
         hit = np.flatnonzero(near & (100 * both >= percent * (sizes + len(grams) - both)))
         _, first = np.unique(many["component"][hit], return_index=True)
-        links += [(i, j) for j in many["id"][hit[first]].tolist()]
+        links += [(i, j) for j in many["node"][hit[first]].tolist()]
     return links
 
 
@@ -201,19 +213,18 @@ FEW, MANY = 512, 1024
 
 
 def _group_links(groups: DataFrame, grams: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links between components of the same group; groups has group, major, component, id and the signature."""
-    counts = groups.groupBy("group").agg(F.count_if(F.col("component") != F.col("major")).alias("few"), F.count(F.lit(1)).alias("many"))
+    """Links between components of the same group; groups has group, few, many, major, component, node and the signature."""
     tall, wide = F.ceil(F.col("few") / FEW).cast("int"), F.ceil(F.col("many") / MANY).cast("int")
-    rows = groups.join(counts, "group").join(grams, "id").withColumns({"tall": tall, "wide": wide})
-    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(n)).cast("int")
+    rows = groups.join(grams, "node").withColumns({"tall": tall, "wide": wide})
+    deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["group", "id", "component", *SIGNATURE, "grams"]
+    columns = ["group", "node", "component", *SIGNATURE, "grams"]
     few = rows.filter("component <> major").select(*columns, deal(1, "tall").alias("row"), every("wide").alias("column"))
     many = rows.select(*(F.col(c).alias(c) for c in columns), every("tall").alias("row"), deal(2, "wide").alias("column"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def side(t: pa.Table) -> dict:
-        return {"id": t.column("id").to_numpy(), "component": t.column("component").to_numpy(), "signature": np.stack([t.column(s).to_numpy() for s in SIGNATURE], axis=1), "grams": [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]}
+        return {"node": t.column("node").to_numpy(), "component": t.column("component").to_numpy(), "signature": np.stack([t.column(s).to_numpy() for s in SIGNATURE], axis=1), "grams": [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]}
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         links = tile_links(side(left), side(right), least, percent) if left.num_rows and right.num_rows else []
@@ -222,65 +233,109 @@ def _group_links(groups: DataFrame, grams: DataFrame, least: float, percent: int
     return few.groupBy("group", "row", "column").cogroup(many.groupBy("group", "row", "column")).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
+def _major(sizes: DataFrame, key: str) -> DataFrame:
+    """Of key, component and n: for each key with several components the largest one, few members outside it, and many in all."""
+    major = sizes.groupBy(key).agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("many")).filter("c > 1")
+    return major.select(key, F.col("most.component").alias("major"), (F.col("many") - F.col("most.n")).alias("few"), "many")
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """set_key, n (its rows), id and row of its first row, and node, a number in the order of id."""
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = classes.select("set_key", "n", "first.*").repartitionByRange("id", "set_key").sortWithinPartitions("id", "set_key")
+    return written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _labelled(docs: DataFrame, shingle: int, percent: int, fold: bool) -> DataFrame:
+    """id, row, n_shingles and component of each row of docs: the first node that its class reaches, and in first_id that node's id; both null for wordless rows."""
     rows = written(signatures(docs, shingle, fold), "signatures")
-    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("rep"))
-    classes = written(classes, "classes")
-    reps = rows.filter("n_shingles > 0").join(classes.select(F.col("rep").alias("id"), "set_key"), ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])
-    bands = reps.select("id", F.explode("bands").alias("key"), *SIGNATURE)
-    hubs = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("high")).filter("hub < high").select("key", "hub")
-    members = written(bands.join(hubs, "key"), "band-members")
+    classes = _classes(rows)
+    reps = rows.join(classes.select(*ROW, "set_key", "node"), [*ROW, "set_key"]).dropDuplicates(["node"])
+    bands = reps.select("node", F.explode("bands").alias("key"), *SIGNATURE)
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # Bands of one node differ, but for chance; one that stands alone in its bucket compares with itself and goes.
+    hubs = written(hubs, "band-hubs")
+    total = classes.count() * BANDS
+    members = written(join_hot(bands, hubs, "key", "size", total).drop("size"), "band-members")
+    drop_written(hubs)
     release_shuffles(docs.sparkSession)
     least = least_estimate(percent / 100)
 
     # One comparison for each member: with the hub that it shares most bands with.
-    shares = members.filter("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("n"), *(F.first(s).alias(s) for s in SIGNATURE))
-    best = shares.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("minus_hub"), *SIGNATURE)).alias("best")).select("id", (-F.col("best.minus_hub")).alias("hub"), *(F.col(f"best.{s}").alias(s) for s in SIGNATURE))
-    hub_signatures = members.filter("id = hub").select("id", *SIGNATURE).dropDuplicates(["id"])
-    first = best.alias("x").join(hub_signatures.alias("y"), F.col("x.hub") == F.col("y.id")).filter(estimate("x", "y") >= least).select(F.col("x.id").alias("a"), F.col("x.hub").alias("b"))
-    first = written(first, "hub-pairs")
-    links = confirmed(first, docs, shingle, fold, percent)
+    shares = members.filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), *(F.first(s).alias(s) for s in SIGNATURE))
+    best = shares.groupBy("node").agg(F.max(F.struct("n", (-F.col("hub")).alias("minus_hub"), *SIGNATURE)).alias("best")).select("node", (-F.col("best.minus_hub")).alias("hub"), *(F.col(f"best.{s}").alias(s) for s in SIGNATURE))
+    best = written(best, "best-hubs")
+    own = members.filter("node = hub").select("hub", *(F.col(s).alias(f"h_{s}") for s in SIGNATURE)).dropDuplicates(["hub"])
+    own = written(own.join(best.groupBy("hub").agg(F.count(F.lit(1)).alias("size")), "hub"), "hub-signatures")
+    pairs = join_hot(best, own, "hub", "size", best.count())
+    pairs = pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"), F.struct(*SIGNATURE).alias("x"), F.struct(*(F.col(f"h_{s}").alias(s) for s in SIGNATURE)).alias("y"))
+    first = written(pairs.filter(estimate("x", "y") >= least).select("a", "b"), "hub-pairs")
+    drop_written(best, own)
+    links = confirmed(first, docs, classes, shingle, fold, percent)
     found = written(components(links), "hub-components")
 
     # Members that a hub draws together: components of all hub pairs, confirmed or not.
     drawn = written(components(first).withColumnRenamed("component", "group"), "groups")
-    grouped = drawn.join(found, "id", "left").select("id", "group", F.coalesce("component", "id").alias("component"))
-    major = grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c"))
-    mixed = grouped.join(major.filter("c > 1").select("group", F.col("most.component").alias("major")), "group")
-    mixed = written(mixed.join(members.select("id", *SIGNATURE).dropDuplicates(["id"]), "id"), "mixed-groups")
-    grams = written(_grams(docs, written(mixed.select("id"), "mixed-ids"), shingle, fold), "mixed-sets")
-    links = written(links.unionByName(_group_links(mixed, grams.dropDuplicates(["id"]), least, percent)), "group-links")
-    drop_written(grams)
+    grouped = written(drawn.join(found, "id", "left").select(F.col("id").alias("node"), "group", F.coalesce("component", "id").alias("component")), "grouped")
+    major = written(_major(grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")), "group"), "majors")
+    mixed = join_hot(grouped, major, "group", "many", grouped.count())
+    mixed = written(mixed.join(members.select("node", *SIGNATURE).dropDuplicates(["node"]), "node"), "mixed-groups")
+    ids = written(classes.select(*ROW, "node").join(mixed.select("node"), "node"), "mixed-nodes")
+    grams = written(_grams(docs, ids, shingle, fold).dropDuplicates(["node"]), "mixed-sets")
+    links = written(links.unionByName(_group_links(mixed, grams, least, percent)), "group-links")
+    drop_written(grams, ids, mixed, major)
     release_shuffles(docs.sparkSession)
     found = written(components(links), "group-components")
 
     # Buckets that still hold several components: members outside the largest one against those of other groups.
-    labelled = members.join(found, "id", "left").join(drawn, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("group", "id").alias("group"), *SIGNATURE)
-    sizes = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.col("most.component").alias("major"))
-    rest = written(labelled.join(mixed, "key"), "mixed-members")
+    of_node = lambda df, name: df.select(F.col("id").alias("node"), name)
+    labelled = members.join(of_node(found, "component"), "node", "left").join(of_node(drawn, "group"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("group", "node").alias("group"), *SIGNATURE)
+    major = written(_major(labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "key"), "majors")
+    rest = written(join_hot(labelled, major, "key", "many", total).drop("few", "many"), "mixed-members")
     x, y = rest.filter("component <> major").alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-    second = x.join(y, apart & (estimate("x", "y") >= least)).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
+    second = x.join(y, apart & (estimate("x", "y") >= least)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     second = written(second, "rest-pairs")
-    drop_written(members, rest)
+    drop_written(members, rest, major, grouped, drawn)
     release_shuffles(docs.sparkSession)
     if not second.isEmpty():
-        found = written(components(links.unionByName(confirmed(second, docs, shingle, fold, percent))), "components")
+        found = written(components(links.unionByName(confirmed(second, docs, classes, shingle, fold, percent))), "components")
 
-    whole = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n_shingles", "set_key").join(whole, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id"))
-    named = lambda c: F.when(c != LAST, c)
-    return out.select(named(F.col("id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+    whole = classes.join(of_node(found, "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = classes.select(F.col("node").alias("component"), F.col("id").alias("first_id"))
+    sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    whole = join_hot(whole.select("set_key", "n", "component"), names.join(sizes, "component"), "component", "size", classes.count()).drop("size")
+    rows_of = rows.select(*ROW, "n_shingles", "set_key")
+    some = join_hot(rows_of.filter("n_shingles > 0"), written(whole, "class-components"), "set_key", "n", rows.count())
+    none = rows_of.filter("n_shingles = 0").withColumns({"component": F.lit(None).cast("long"), "first_id": F.lit(None).cast("long")})
+    columns = [*ROW, "n_shingles", "component", "first_id"]
+    return some.select(*columns).unionByName(none.select(*columns))
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay: one document of each group, with the columns of docs."""
-    dropped = written(near_duplicates(docs, **options).filter(~F.col("kept")).select(F.coalesce("doc_id", F.lit(LAST)).alias("_id")).distinct(), "near-dropped")
-    few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id"), "left_anti")
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs."""
+    component = F.coalesce("first_id", "id")
+    named = lambda c: F.when(c != LAST, c)
+    return _labelled(docs, shingle, percent, fold).select(named(F.col("id")).alias("doc_id"), "n_shingles", named(component).alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, shingle: int = 5, percent: int = 80, fold: bool = True) -> DataFrame:
+    """The rows of docs that stay: one of each group and all wordless ones, with the columns of docs."""
+    rows = written(_labelled(docs, shingle, percent, fold), "near-labelled")
+    first = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct(*ROW)).alias("first")).select("component", "first.*")
+    # What goes, by id alone where each id is on one row.
+    own = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id"))
+    ids = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+    if ids["n"] == ids["ids"]:
+        gone = written(rows.filter("id <> first_id").select(F.col("id").alias("_id")), "near-dropped")
+        few = gone.count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(gone) if few else gone, own, "left_anti")
+    stays = written(first.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(True).alias("_one")).unionByName(rows.filter("component is null").select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.lit(False).alias("_one")).distinct()), "near-kept")
+    keyed = docs.withColumns({"_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))), "_all": F.struct(*docs.columns)})
+    keyed = keyed.join(stays, own & (F.col("_hash") == F.col("_row"))).select("_id", "_row", "_one", "_all")
+    # Rows alike in doc_id and text: one of them, wordless ones all.
+    one = keyed.filter("_one").groupBy("_id", "_row").agg(F.first("_all").alias("_all"))
+    return one.select("_all.*").unionByName(keyed.filter(~F.col("_one")).select("_all.*"))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
