@@ -4,21 +4,25 @@ A window is 13 consecutive words of a document; a word goes if a window that cov
 smaller doc_id. Every text is one's own reference here, so the reference is as large as the corpus, and no automaton of
 all of it can be broadcast. It is cut down and sharded without losing a window:
 
-1. Anchors. Of the eight 6-grams within a window the one with the smallest hash is the window's anchor. Equal windows
+1. Copies. Of rows whose words are all equal one of the smallest doc_id is worked on; every window of a copy with a larger
+   doc_id also starts there, so such a copy loses all words from 13 words on. Groups of copies go no further.
+2. Anchors. Of the eight 6-grams within a window the one with the smallest hash is the window's anchor. Equal windows
    have equal anchors, so windows whose anchor occurs in one document only are no repeats. About two of nine 6-grams are
    anchors; they are counted over all documents.
-2. Passages. The runs of consecutive windows that share an anchor which occurs in several documents are passages (seldom
+3. Passages. The runs of consecutive windows that share an anchor which occurs in several documents are passages (seldom
    over 20 words). Equal passages are one reference passage with its smallest doc_id.
-3. Shards. Reference passages are dealt into shards of bounded size by their anchor. A shard's suffix automaton holds
-   all its passages, and each state the smallest doc_id of the passages that contain its strings. The shard's passages
-   are streamed through it for matching statistics: at each word the state of the longest match gives, by way of suffix
+4. Shards. Reference passages are dealt into shards of bounded size by their anchor. Passages of an anchor that has more
+   than a shard's words are cut into windows, which are dealt by their words. A shard's suffix automaton holds all its
+   passages, and each state the smallest doc_id of the passages that contain its strings. The shard's passages are
+   streamed through it for matching statistics: at each word the state of the longest match gives, by way of suffix
    links, the state of the last 13 words and so the smallest document in which this window starts.
-4. Spans. Windows that start in a smaller document are merged into maximal spans, and their words removed.
+5. Spans. Windows that start in a smaller document are merged into maximal spans, and their words removed.
 
 Defined results: a null or blank text has no words; texts of fewer than 13 words stay whole; null doc_ids come after
-all others and are one document; rows that repeat a doc_id are one document for windows and rows of their own in the
-result; an empty table gives an empty table; other columns are not carried. Words are compared by 32-bit hashes, 13 in
-a row, after a 64-bit hash of their anchor.
+all others, each a row of its own of which none is smaller than another; rows that repeat a doc_id are one document for
+windows, none smaller than another, and keep or lose their own words; an empty table gives an empty table; other columns
+are not carried. Words are compared by 32-bit hashes, 13 in a row, after a 64-bit hash of their anchor; a row is known by
+its doc_id and a 64-bit hash of its text.
 """
 
 from __future__ import annotations
@@ -128,7 +132,12 @@ class SuffixAutomaton:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """id, row (a hash of the text) and text of each row; id and row together stand for a row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+ROW = ["id", "row"]
 
 
 def _blocks(batch: pa.RecordBatch):
@@ -142,7 +151,7 @@ def _sha(words: list[bytes]) -> str:
 
 
 def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """id, n_words, the digest of all words, and the distinct anchors of each row."""
+    """id, row, n_words, the digest of all words, and the distinct anchors of each row."""
 
     def run(batches):
         for batch in batches:
@@ -150,14 +159,14 @@ def _anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 hashes, at = word_hashes(texts)
                 low = window_anchors(hashes, window, gram)
                 anchors = [np.unique(low[i : j - window + 1]) if j - i >= window else low[:0] for i, j in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array([_sha(t.split()) for t in texts]), pa.array(anchors, pa.list_(pa.int64()))], ["id", "n_words", "sha", "anchors"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ROW), pa.array(np.diff(at), pa.int64()), pa.array([_sha(t.split()) for t in texts]), pa.array(anchors, pa.list_(pa.int64()))], [*ROW, "n_words", "sha", "anchors"])
 
-    return _texts(docs).mapInArrow(run, "id long, n_words long, sha string, anchors array<long>")
+    return _texts(docs).mapInArrow(run, "id long, row long, n_words long, sha string, anchors array<long>")
 
 
 def _passages(docs: DataFrame, repeated: DataFrame, window: int, gram: int) -> DataFrame:
-    """id, start, anchor and words of each run of windows that share a repeated anchor; repeated has id and anchors."""
-    schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())])
+    """id, row, start, anchor and words of each run of windows that share a repeated anchor; repeated has id, row and anchors."""
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("anchor", pa.int64()), ("words", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -177,14 +186,14 @@ def _passages(docs: DataFrame, repeated: DataFrame, window: int, gram: int) -> D
                     if len(starts):
                         raw = short[text_start : text_start + n + window - 1].tobytes()
                         words = [raw[4 * x : 4 * (y + window - 1)] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), batch.column("id")[a + i].as_py()), pa.int64()), pa.array(starts, pa.int64()), pa.array(own[starts], pa.int64()), pa.array(words, pa.binary())], schema=schema)
+                        yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(starts), batch.column(c)[a + i].as_py()), pa.int64()) for c in ROW), pa.array(starts, pa.int64()), pa.array(own[starts], pa.int64()), pa.array(words, pa.binary())], schema=schema)
 
-    return _texts(docs).join(repeated, "id").mapInArrow(run, "id long, start long, anchor long, words binary")
+    return _texts(_chosen(docs, repeated)).join(repeated, ROW).mapInArrow(run, "id long, row long, start long, anchor long, words binary")
 
 
 def _least(reference: DataFrame, shards: int, window: int) -> DataFrame:
-    """key and owners (for each window of the passage the smallest id in which it starts) of each reference passage."""
-    schema = pa.schema([("key", pa.int64()), ("owners", pa.list_(pa.int64()))])
+    """key, anchor and owners (for each window of the passage the smallest id in which it starts) of each reference passage."""
+    schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("owners", pa.list_(pa.int64()))])
 
     def run(table: pa.Table) -> pa.Table:
         automaton = SuffixAutomaton()
@@ -193,35 +202,68 @@ def _least(reference: DataFrame, shards: int, window: int) -> DataFrame:
             automaton.add(passage, owner)
         automaton.close()
         owners = [automaton.least_owners(p, window) for p in passages]
-        return pa.Table.from_arrays([table.column("key").combine_chunks(), pa.array(owners, pa.list_(pa.int64()))], schema=schema)
+        return pa.Table.from_arrays([*(table.column(c).combine_chunks() for c in ("key", "anchor")), pa.array(owners, pa.list_(pa.int64()))], schema=schema)
+
+    return reference.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "deal"), F.lit(shards))).groupBy("shard").applyInArrow(run, "key long, anchor long, owners array<long>")
+
+
+def _reference(found: DataFrame) -> DataFrame:
+    """The distinct passages, each with the smallest id that holds it."""
+    return written(found.groupBy("key", "anchor", "words", "deal").agg(F.min("id").alias("owner")), "reference")
+
 
-    return reference.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "anchor"), F.lit(shards))).groupBy("shard").applyInArrow(run, "key long, owners array<long>")
+def _split(found: DataFrame, reference: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """found and reference, with the passages of anchors that have more than a shard's words cut into windows."""
+    crowded = reference.groupBy("anchor").agg(F.sum(F.length("words")).alias("size")).filter(F.col("size") > 4 * SHARD_WORDS).select("anchor")
+    crowded = written(crowded, "crowded-anchors")
+    if crowded.isEmpty():
+        return found, reference
+    # At most one anchor for each SHARD_WORDS words of the reference, so their number is checked before a broadcast.
+    small = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    windows = F.transform(F.sequence(F.lit(0), (F.length("words") / 4).cast("int") - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.expr("words").substr(i * 4 + 1, F.lit(4 * window)).alias("words")))
+    cut = found.join(small, "anchor", "left_semi").select(*ROW, "anchor", F.explode(windows).alias("w")).select(*ROW, "w.start", "anchor", "w.words")
+    cut = _keyed(cut).withColumn("deal", F.col("key"))
+    split = written(found.join(small, "anchor", "left_anti").unionByName(cut), "passages")
+    drop_written(found, reference)
+    return split, _reference(split)
+
+
+def _keyed(found: DataFrame) -> DataFrame:
+    return found.withColumn("key", F.xxhash64("anchor", "words"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs; with texts also kept_text, the words that stay."""
     spark = docs.sparkSession
     rows = written(_anchors(docs, window, gram), "anchors")
-    every = rows.select("id", F.explode("anchors").alias("anchor"))
+    copies = rows.groupBy("sha").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = written(copies.select("sha", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "first-copies")
+    few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 2 else copies
+    rows_of = rows.join(few, "sha", "left").withColumns({"first_id": F.coalesce("first_id", "id"), "first_row": F.coalesce("first_row", "row")})
+    firsts = rows_of.filter("id = first_id and row = first_row")
+
+    every = firsts.select(*ROW, F.explode("anchors").alias("anchor"))
     several = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    repeated = written(every.join(several, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    repeated = written(every.join(several, "anchor").groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
     # Only what the result needs stays on disk besides the repeated anchors.
-    whole_rows = written(rows.select("id", "n_words", "sha"), "whole-rows")
-    drop_written(rows)
+    rows_of = written(rows_of.select("id", "row", "n_words", "sha", "first_id", "first_row"), "whole-rows")
+    drop_written(rows, copies)
     release_shuffles(spark)
 
-    found = _passages(_chosen(docs, repeated), repeated, window, gram).withColumn("key", F.xxhash64("anchor", "words"))
+    found = _keyed(_passages(docs, repeated, window, gram)).withColumn("deal", F.col("anchor"))
     found = written(found, "passages")
     drop_written(repeated)
     release_shuffles(spark)
-    reference = written(found.groupBy("key", "anchor", "words").agg(F.min("id").alias("owner")), "reference")
+    reference = _reference(found)
     release_shuffles(spark)
+    found, reference = _split(found, reference, window)
     size = reference.agg(F.sum(F.length("words"))).first()[0] or 0
     least = written(_least(reference, max(1, ceil(size / 4 / SHARD_WORDS)), window), "least-owners")
     release_shuffles(spark)
-    hits = found.select("id", "start", "key").join(least, "key")
-    hits = hits.select("id", F.expr("transform(filter(transform(owners, (o, i) -> struct(o as owner, i as i)), x -> x.owner < id), x -> start + x.i)").alias("starts")).filter(F.size("starts") > 0)
-    hits = written(hits.groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
+    hits = found.select(*ROW, "start", "key", "anchor").join(least, ["key", "anchor"])
+    hits = hits.select(*ROW, F.expr("transform(filter(transform(owners, (o, i) -> struct(o as owner, i as i)), x -> x.owner < id), x -> start + x.i)").alias("starts")).filter(F.size("starts") > 0)
+    # Rows of one id and text give equal lists: a set of lists, not a list of all.
+    hits = written(hits.groupBy(*ROW).agg(F.flatten(F.collect_set("starts")).alias("starts")), "repeats")
     drop_written(found, reference, least)
     release_shuffles(spark)
 
@@ -233,32 +275,40 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
                 # 1 where a window begins, -1 behind its end: the running sum is above 0 on the spans that go.
                 change = np.zeros(len(words) + 1, np.int64)
                 starts = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                starts = starts[starts + window <= len(words)]
                 np.add.at(change, starts, 1)
                 np.add.at(change, starts + window, -1)
                 stays = np.cumsum(change)[:-1] == 0
                 kept = [words[i] for i in np.flatnonzero(stays).tolist()]
-                out.append((len(words), len(words) - len(kept), _sha(kept), b" ".join(kept).decode() if texts else None))
-            columns = [batch.column("id"), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                out.append((len(words) - len(kept), _sha(kept), b" ".join(kept).decode() if texts else None))
+            columns = [*(batch.column(c) for c in ROW), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string())))]
+            yield pa.RecordBatch.from_arrays(columns, ["first_id", "first_row", "cut", "cut_sha", "cut_text"])
 
-    schema = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    cut = _texts(_chosen(docs, hits)).join(hits, "id").mapInArrow(run, schema)
-    whole = whole_rows.join(hits.select("id"), "id", "left_anti").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    schema = "first_id long, first_row long, cut long, cut_sha string, cut_text string"
+    cut = _texts(_chosen(docs, hits)).join(hits, ROW).mapInArrow(run, schema)
+    cut = written((cut if texts else cut.drop("cut_text")).dropDuplicates(["first_id", "first_row"]), "cut-rows")
     if texts:
-        joined = _texts(docs).join(hits.select("id"), "id", "left_anti").select("id", F.array_join(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), " ").alias("kept_text"))
-        whole = joined.withColumn("kept_sha256", F.sha2("kept_text", 256)).withColumn("n_words", F.when(F.col("kept_text") == "", 0).otherwise(F.length("kept_text") - F.length(F.replace("kept_text", F.lit(" "))) + 1).cast("long")).withColumn("n_removed", F.lit(0).cast("long"))
-    else:
-        cut = cut.drop("kept_text")
-    out = cut.unionByName(whole)
-    return out.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), *[c for c in out.columns if c != "id"])
-
-
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+        plain = F.array_join(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), " ")
+        own = rows_of.dropDuplicates(ROW).withColumnRenamed("id", "_id").withColumnRenamed("row", "_row")
+        rows_of = _texts(docs).join(own, (F.col("id") == F.col("_id")) & (F.col("row") == F.col("_row"))).withColumn("plain", plain)
+    later = F.col("id") > F.col("first_id")
+    gone = later & (F.col("n_words") >= window)
+    # Copies with a larger id than their first one need no join.
+    parts = [rows_of.filter(later).withColumns({c: F.lit(None).cast(cut.schema[c].dataType) for c in cut.columns[2:]}), rows_of.filter(~later).join(cut, ["first_id", "first_row"], "left")]
+    out = parts[0].unionByName(parts[1])
+    columns = [
+        F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"),
+        "n_words",
+        F.when(gone, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(gone, F.lit(_sha([]))).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
+    ]
+    return out.select(*columns, *[F.when(gone, F.lit("")).otherwise(F.coalesce("cut_text", "plain")).alias("kept_text")] * texts)
+
+
+def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """docs narrowed to the ids of a written table before any shuffle, where they are few enough to be broadcast."""
-    if ids.count() > BROADCAST_IDS:
+    if rows.count() > BROADCAST_IDS:
         return docs
-    return docs.join(F.broadcast(ids.select(F.col("id").alias("_id")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id"), "left_semi")
+    return docs.join(F.broadcast(rows.select(F.col("id").alias("_id")).distinct()), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_id"), "left_semi")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,4 +316,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_substrings": op10_substrings}
-ORACLE_SQL: dict[str, str] = {}
+#: Windows as strings of 13 words joined by U+001F, which no word that the tables hold contains.
+ORACLE_SQL = {
+    "op10_substrings": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 12], chr(31))) AS h FROM s),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS low FROM g),
+r AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS gone FROM f WHERE low < doc_id GROUP BY doc_id),
+k AS (SELECT d.doc_id, d.w, list_filter(range(1, len(d.w) + 1), lambda i: r.gone IS NULL OR NOT list_contains(r.gone, i)) AS stays FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(stays))::BIGINT AS n_removed, sha256(array_to_string(list_transform(stays, lambda i: w[i]), ' ')) AS kept_sha256 FROM k
+"""
+}
