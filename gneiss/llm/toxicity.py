@@ -1,18 +1,21 @@
 """Toxicity scores from a counterfactual-regularised logistic model over the words of a text and their beginnings.
 
-Training rows come from the label table. Their identity terms are swapped for others of the same group, or, where a text
-has none, one is added: the counterfactual differs from the text in nothing that should matter. The loss adds the squared
-difference of the two scores, so weights move away from identity terms and mere mentions of a group don't raise a score.
-An L1 step keeps only words that carry evidence; long clean texts therefore don't add up noise. Beginnings (the first
-four and five bytes) let inflected and compound forms of a word share a weight. Last the bias is moved so that THRESHOLD
-lies in the middle of the gap that parts the training rows best.
-
-The model is fitted on the driver on at most SAMPLE rows of each class, drawn by a hash of doc_id, and has at most
-FEATURES features; both bounds hold at any size of input. Scoring streams whole texts past it without a shuffle.
+Training rows come from the label table. Each has several counterfactuals: its identity terms are swapped for others of
+the same group and left out, or, where a text has none, one is added, so that they differ from the text in nothing that
+should matter.
+The loss adds the mean squared difference of their scores to the text's, so weights move away from identity terms and
+mere mentions of a group don't raise a score. An L1 step keeps only words that carry evidence; long clean texts therefore
+don't add up noise. Beginnings (the first four and five bytes) let inflected and compound forms of a word share a weight.
+Last the bias is moved so that THRESHOLD lies in the middle of the gap that parts the training rows best.
+
+The model is fitted on the driver on at most SAMPLE distinct texts of each class, drawn by a hash of the text, and has at
+most FEATURES features; both bounds hold at any size of input. Neither sample nor fit depends on doc_ids but for the rows
+held out. Scoring streams whole texts past the model without a shuffle.
 
 Defined results: a null or empty text has the score of the bias alone; null labels aren't learnt from; a null doc_id
-counts as not held out; without labels of both classes every score is 0.5 or below; repeated rows score alike; other
-columns are not carried by toxicity_scores and untouched by keep_clean.
+counts as not held out; a text with rows of both labels is learnt from in each class; without labels of both classes
+every score is 0.5 or below; repeated rows count as often as they are labelled and score alike; other columns are not carried by toxicity_scores and untouched by
+keep_clean.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ SAMPLE, FEATURES = 4000, 2000
 #: A feature has to occur in so many training rows, with class shares so many standard errors apart.
 MIN_ROWS, MIN_Z = 3, 4.0
 THRESHOLD = 0.7
+#: Counterfactuals of each training row.
+VARIANTS = 3
 #: Terms within a group may replace each other.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
@@ -46,9 +51,27 @@ IDENTITY_GROUPS = (
     ("immigrants", "refugees", "foreigners", "citizens"),
     ("old", "young", "elderly"),
     ("disabled", "deaf", "blind"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("schwule", "lesben", "bisexuelle", "transsexuelle"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("behinderte", "gehörlose", "blinde"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "transgenres"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("handicapés", "sourds", "aveugles"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "transexuales"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
+    ("discapacitados", "sordos", "ciegos"),
 )
-_SWAP = {t.encode(): group[(i + 1) % len(group)].encode() for group in IDENTITY_GROUPS for i, t in enumerate(group)}
-_TERMS = sorted(_SWAP)
+_GROUP = {t.encode(): ([x.encode() for x in group], i) for group in IDENTITY_GROUPS for i, t in enumerate(group)}
+_TERMS = sorted(_GROUP)
 #: Letters, digits and all bytes of non-ASCII characters stay, upper case folded; the rest parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -57,11 +80,15 @@ def words(text: bytes) -> set[bytes]:
     return set(text.translate(_FOLD).split())
 
 
-def counterfactual(found: list[bytes], key: int) -> list[bytes]:
-    """found with its identity terms swapped, or with one more, chosen by key."""
-    if not _SWAP.keys().isdisjoint(found):
-        return [_SWAP.get(w, w) for w in found]
-    return [*found, _TERMS[key % len(_TERMS)]]
+def counterfactual(found: list[bytes], variant: int) -> list[bytes]:
+    """found with its identity terms swapped (the last variant: left out), or with one more, chosen by the words."""
+    if not _GROUP.keys().isdisjoint(found):
+        if variant == VARIANTS - 1:
+            return [w for w in found if w not in _GROUP]
+        step = crc32(b" ".join(found)) + variant
+        swap = lambda w, group, i: group[(i + 1 + step % (len(group) - 1)) % len(group)]
+        return [swap(w, *_GROUP[w]) if w in _GROUP else w for w in found]
+    return [*found, _TERMS[(crc32(b" ".join(found)) + variant * (len(_TERMS) // VARIANTS)) % len(_TERMS)]]
 
 
 #: Feature kinds by length of the beginning; 0 is the whole word.
@@ -81,16 +108,18 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def _feature_rows(rows: Iterable[list[bytes]], keys: list[int]) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Kind and text of all features, and the feature numbers of each row, of its counterfactual, and of the identity terms.
+def _feature_rows(rows: Iterable[list[bytes]]) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]:
+    """Kind and text of all features, the feature numbers of each row, for each variant what each row's counterfactual has more and less, and the numbers of the identity terms.
 
     Words are held once and rows as numbers, so rows may come from a generator."""
     words: dict[bytes, int] = {}
     number = lambda r: np.array([words.setdefault(w, len(words)) for w in r], np.int32)
-    own, other = [], []
-    for r, key in zip(rows, keys, strict=True):
+    own, other = [], [[] for _ in range(VARIANTS)]
+    for r in rows:
         own.append(number(r))
-        other.append(number(counterfactual(r, key)))
+        for v, out in enumerate(other):
+            changed = counterfactual(r, v)
+            out.append(tuple(number(x) for x in ([w for w in changed if w in _GROUP], [w for w in r if w in _GROUP])))
     terms = number(_TERMS)
     kinds, names, of_kind = [], [], []
     for kind in KINDS:
@@ -99,7 +128,14 @@ def _feature_rows(rows: Iterable[list[bytes]], keys: list[int]) -> tuple[np.ndar
         kinds += [kind] * len(found)
         names += found
     every = lambda r: np.unique(np.concatenate([k[r] for k in of_kind])) if len(r) else r
-    return np.array(kinds), names, [every(r) for r in own], [every(r) for r in other], every(terms)
+
+    def change(r: np.ndarray, came: np.ndarray, went: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(went):  # a word was added
+            return np.setdiff1d(every(came), every(r)), went
+        before, after = every(r), every(np.concatenate([np.setdiff1d(r, went), came]))
+        return np.setdiff1d(after, before), np.setdiff1d(before, after)
+
+    return np.array(kinds), names, [every(r) for r in own], [[change(r, *x) for r, x in zip(own, out, strict=True)] for out in other], every(terms)
 
 
 def _matrix(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,69 +143,86 @@ def _matrix(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in found])
 
 
-def _evidence(rows: list[np.ndarray], toxic: np.ndarray, size: int) -> np.ndarray:
+def _evidence(rows: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
     """How many standard errors each feature's shares in the two classes lie apart; 0 for rare ones."""
-    counts = [np.bincount(np.concatenate([r for r, t in zip(rows, toxic, strict=True) if t == label]), minlength=size) for label in (0, 1)]
-    n = [(toxic == label).sum() for label in (0, 1)]
+    at, of = np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    counts = [np.bincount(at, (weights * (toxic == label))[of], size) for label in (0, 1)]
+    n = [weights[toxic == label].sum() for label in (0, 1)]
     share = (counts[0] + counts[1]) / sum(n)
     z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n[0] + 1 / n[1]))
     return np.where(counts[0] + counts[1] >= MIN_ROWS, np.abs(z), 0)
 
 
-def fit(rows: Iterable[list[bytes]], toxic: np.ndarray, keys: list[int], penalty: float = 1.0, l1: float = 5e-4, steps: int = 300) -> Model:
+def fit(rows: Iterable[list[bytes]], toxic: np.ndarray, weights: np.ndarray | None = None, penalty: float = 10.0, l1: float = 5e-4, steps: int = 400) -> Model:
     """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|.
 
-    A row is the list of its distinct words."""
+    A row is the list of its distinct words, and its weight says how often it counts; the mean is over rows and variants."""
     toxic = np.asarray(toxic, float)
-    n, positive = len(toxic), toxic.sum()
-    if not n or positive in (0, n):
-        return Model(0.0 if positive and positive == n else -2.0, {})
-    kinds, names, own, other, terms = _feature_rows(rows, keys)
-    z = _evidence(own, toxic, len(names))
+    weights = np.ones(len(toxic)) if weights is None else np.asarray(weights, float)
+    n, whole, positive = len(toxic), weights.sum(), (weights * toxic).sum()
+    if not n or positive in (0, whole):
+        return Model(0.0 if positive and positive == whole else -2.0, {})
+    kinds, names, own, changes, terms = _feature_rows(rows)
+    z = _evidence(own, toxic, weights, len(names))
     chosen = sorted(np.flatnonzero(z >= MIN_Z).tolist(), key=lambda i: (-z[i], kinds[i], names[i]))[:FEATURES]
     chosen = sorted({*chosen, *terms.tolist()}, key=lambda i: (kinds[i], names[i]))
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
-    parts = [_matrix(own, place), _matrix(other, place)]
     column = {(int(kinds[i]), names[i]): j for j, i in enumerate(chosen)}
-    del own, other, names
-    spread = [np.repeat(np.arange(n), counts) for _, counts in parts]
-    share = np.where(toxic == 1, 0.5 / positive, 0.5 / (n - positive))
-
-    def forward(w, b, part):
-        return b + np.bincount(spread[part], w[parts[part][0]], n)
-
-    def backward(g, part):
-        return np.bincount(parts[part][0], g[spread[part]], len(column))
+    # A matrix as its columns, rows and values; a counterfactual as what it adds to its row's sum.
+    at, counts = _matrix(own, place)
+    base = at, np.repeat(np.arange(n), counts), np.ones(len(at))
+    deltas = []
+    for variant in changes:
+        parts = [_matrix([x[i] for x in variant], place) for i in (0, 1)]
+        deltas.append((np.concatenate([p[0] for p in parts]), np.concatenate([np.repeat(np.arange(n), p[1]) for p in parts]), np.repeat([1.0, -1.0], [len(p[0]) for p in parts])))
+    del own, changes, names
+    share = weights * np.where(toxic == 1, 0.5 / positive, 0.5 / (whole - positive))
+    weight = penalty * weights / whole / len(deltas)
+
+    def times(m, w):
+        return np.bincount(m[1], m[2] * w[m[0]], n)
+
+    def back(m, g):
+        return np.bincount(m[0], m[2] * g[m[1]], len(column))
 
     # The largest curvature, by power iteration, gives the step.
     x = np.ones(len(column) + 1)
     for _ in range(30):
         x /= np.linalg.norm(x)
-        rest = [forward(x[1:], x[0], p) for p in (0, 1)]
-        weight = 0.25 * share * rest[0], penalty / n * 0.25 * (rest[0] - rest[1])
-        x = np.concatenate([[weight[0].sum()], backward(weight[0] + weight[1], 0) - backward(weight[1], 1)])
+        on_base, on_delta = 0.25 * share * (x[0] + times(base, x[1:])), np.zeros(len(column))
+        for m in deltas:
+            on_delta += back(m, weight * 0.25 * times(m, x[1:]))
+        x = np.concatenate([[on_base.sum()], back(base, on_base) + on_delta])
     step = 0.9 / np.linalg.norm(x)
     w = v = np.zeros(len(column))
     b = vb = 0.0
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -30, 30)))
     for i in range(steps):
-        s, c = (1 / (1 + np.exp(-np.clip(forward(v, vb, p), -30, 30))) for p in (0, 1))
-        change = 2 * penalty * (s - c) / n
-        gs, gc = share * (s - toxic) + change * s * (1 - s), -change * c * (1 - c)
-        new = v - step * (backward(gs, 0) + backward(gc, 1))
+        logits = vb + times(base, v)
+        s = sigmoid(logits)
+        g_base, g = share * (s - toxic), np.zeros(len(column))
+        for m in deltas:
+            c = sigmoid(logits + times(m, v))
+            change = 2 * weight * (s - c)
+            # The counterfactual's sum is the row's and its own change, so its gradient reaches both.
+            g_base += change * (s * (1 - s) - c * (1 - c))
+            g -= back(m, change * c * (1 - c))
+        g += back(base, g_base)
+        new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        new_b = vb - step * (gs.sum() + gc.sum())
+        new_b = vb - step * g_base.sum()
         v, vb = new + i / (i + 3) * (new - w), new_b + i / (i + 3) * (new_b - b)
         w, b = new, new_b
-    b += np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(forward(w, b, 0), toxic)
+    b += np.log(THRESHOLD / (1 - THRESHOLD)) - _cut(b + times(base, w), toxic, weights)
     return Model(float(b), {k: {x: float(w[i]) for (kind, x), i in column.items() if kind == k and w[i]} for k in KINDS})
 
 
-def _cut(logits: np.ndarray, toxic: np.ndarray, clean_weight: float = 3.0) -> float:
+def _cut(logits: np.ndarray, toxic: np.ndarray, weights: np.ndarray, clean_weight: float = 3.0) -> float:
     """The logit that parts the classes best, a wrongly rejected share of clean rows counting clean_weight times; in the middle of its gap."""
     order = np.argsort(logits, kind="stable")
-    z, t = logits[order], toxic[order]
-    gain = clean_weight * np.cumsum(1 - t) / (1 - t).sum() - np.cumsum(t) / t.sum()
+    z, clean, bad = logits[order], (weights * (1 - toxic))[order], (weights * toxic)[order]
+    gain = clean_weight * np.cumsum(clean) / clean.sum() - np.cumsum(bad) / bad.sum()
     apart = np.flatnonzero(np.diff(z) > 1e-9)
     if not len(apart):
         return float(z[-1]) + 1.0
@@ -183,20 +236,24 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most sample rows of each class whose doc_id isn't held out."""
-    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"))
-    chosen = [known.filter(F.col("_toxic") == t).orderBy(F.xxhash64("_id"), "_id").limit(sample) for t in (0, 1)]
+    """Fits on at most sample distinct texts of each class, of rows whose doc_id isn't held out."""
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_hash")).join(known, "_id").groupBy("_toxic", "_hash").agg(F.count(F.lit(1)).alias("_times"))
+    chosen = [hashed.filter(F.col("_toxic") == t).orderBy("_hash").limit(sample) for t in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
+    columns = ["_toxic", "_hash", "_times"]
 
     def distinct(batches):
         for batch in batches:
-            found = [sorted(words(t or b""), key=lambda w: (crc32(w), w)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_toxic"), pa.array([b" ".join(f) for f in found], pa.binary())], ["doc_id", "toxic", "words"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", F.col("_toxic").cast("int").alias("_toxic"), "text").mapInArrow(distinct, "doc_id long, toxic int, words binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return fit((bytes(r["words"]).split() for r in rows), np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
+            found = [b" ".join(sorted(words(t))) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.binary())], [*columns, "words"])
+
+    # One row for each class and text, so at most 2 * sample come to the driver however often a text repeats.
+    rows = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).join(chosen, "_hash").dropDuplicates(["_toxic", "_hash"]).select(*columns, "text")
+    rows = rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary").collect()
+    rows.sort(key=lambda r: (r["_hash"], r["_toxic"]))
+    return fit((bytes(r["words"]).split() for r in rows), np.array([r["_toxic"] for r in rows]), np.array([r["_times"] for r in rows]))
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:
