@@ -3,7 +3,7 @@
 Generators propose spans: four strict ones, whose valid matches are always reported (the base), and loose ones for
 forms that the strict patterns miss (spelled-out addresses, bracketed dots, national phone numbers, other separators).
 Each candidate gets features of its format and of the text around it. Boosted trees, fitted on generated sentences with
-known answers, score the loose candidates; a threshold for each kind, calibrated on the half of the sentences that the
+known answers, score the loose candidates; a threshold for each kind, calibrated on templates of sentences that the
 trees haven't seen, selects those that are reported besides the base.
 
 All is done with DataFrame functions: matches come from regexp_extract_all, their places from the lengths of what split
@@ -158,14 +158,18 @@ def feature_columns() -> dict[str, Column]:
     return {k: F.coalesce(c, F.lit(False)).cast("int") for k, c in found.items()}
 
 
-def training_sentences(seed: int = 5, each: int = SENTENCES) -> list[tuple[str, int]]:
-    """Sentences with one loose candidate each, and whether it is personal data."""
+def training_sentences(seed: int = 5, each: int = SENTENCES) -> list[tuple[str, int, bool]]:
+    """Sentences with one loose candidate each, whether it is personal data, and whether its template is for calibration only.
+
+    Every third template of each kind and label is kept from the fit, so thresholds rest on forms that trees haven't seen."""
     r = random.Random(seed)
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuvw") for _ in range(r.randint(3, 8)))
     tld = lambda: r.choice(["com", "org", "net", "de", "fr", "es", "io", "info"])
     area = lambda: r.choice("23456789") + d(2)
     octet = lambda: str(r.randint(0, 255))
+    large = lambda: str(r.randint(256, 999))
+    group = lambda: "%x" % r.randint(4096, 65535)
 
     def card():
         body = "4" + d(14)
@@ -173,26 +177,61 @@ def training_sentences(seed: int = 5, each: int = SENTENCES) -> list[tuple[str,
         return body + str(-total % 10)
 
     quads = lambda s, mark: mark.join(s[i : i + 4] for i in range(0, 16, 4))
-    templates = [
-        (1, lambda: f"{r.choice(['write to', 'e-mail me:', 'contact', 'reach us,', word()])} {word()}.{word()} {r.choice(['(at)', '[at]', '(AT)'])} {word()} {r.choice(['(dot)', '[dot]'])} {tld()} {word()}"),
-        (1, lambda: f"{r.choice(['write to', 'my mail is', 'contact'])} {word()} at {word()} dot {tld()}, {word()}"),
-        (0, lambda: f"{word()} {word()} at {word()}.{word()} {word()}"),
-        (0, lambda: f"we met {word()} at {word()} dot {word()}{word()} again"),
-        (1, lambda: f"{r.choice(['mail', word()])} {word()}{d(2)} @ {word()}. {tld()} {word()}"),
-        (0, lambda: f"{d(2)} {word()} @ {word()}. {word().capitalize()} {word()}"),
-        (1, lambda: f"{r.choice(['host', 'login from', 'server', word()])} {'[.]'.join(octet() for _ in range(4))} {word()}"),
-        (0, lambda: f"{r.choice(['section', 'version', word()])} {'(.)'.join(str(r.randint(256, 999)) for _ in range(4))} {word()}"),
-        (1, lambda: f"{r.choice(['host', 'address', word()])} {':'.join('%x' % r.randint(4096, 65535) for _ in range(8))} {word()}"),
-        (1, lambda: f"{r.choice(['card', 'visa', 'pay with', word()])} {quads(card(), r.choice(['.', '/', '_', '  ']))} {word()}"),
-        (0, lambda: f"{r.choice(['order', 'part', 'serial', 'ref', word()])} {quads('9' + d(14) + '1', r.choice(['.', '/', '_']))}{r.choice(['', ' kg', ' items'])}"),
-        (1, lambda: f"{r.choice(['call', 'tel', 'phone', word()])} ({area()}) {area()}-{d(4)} {word()}"),
-        (0, lambda: f"{r.choice(['item', 'part', 'order'])} ({r.choice('01') + d(2)}) {d(3)}-{d(4)} {word()}"),
-        (1, lambda: f"{r.choice(['call', 'tel', 'phone', 'cell', word()])} {area()}{(m := r.choice('.-'))}{area()}{m}{d(4)} {word()}"),
-        (0, lambda: f"{r.choice(['order', 'version', 'ticket', 'isbn', 'invoice #', '$'])} {r.choice('01') + d(2)}{r.choice('.-')}{d(3)}{r.choice('.-')}{d(4)}{r.choice(['', ' kg', '%'])}"),
-        (1, lambda: f"{r.choice(['call', 'tel', 'fax', 'dial'])} 00{r.choice(['1', '49', '33', '34'])} {d(3)} {d(3)} {d(4)} {word()}"),
-        (0, lambda: f"{r.choice(['serial', 'order', 'part', 'item'])} 00{r.choice('123456789')}{d(2)}.{d(3)}.{d(3)} {word()}"),
-    ]
-    return [(t(), label) for label, t in templates for _ in range(each)]
+    templates = {
+        ("email", 1): [
+            lambda: f"{r.choice(['write to', 'e-mail me:', 'contact', 'reach us,', word()])} {word()}.{word()} {r.choice(['(at)', '[at]', '(AT)'])} {word()} {r.choice(['(dot)', '[dot]'])} {tld()} {word()}",
+            lambda: f"{r.choice(['write to', 'my mail is', 'contact'])} {word()} at {word()} dot {tld()}, {word()}",
+            lambda: f"{r.choice(['schreiben Sie an', 'courriel :', 'correo:'])} {word()}_{word()}[at]{word()}.{tld()} {word()}",
+            lambda: f"{r.choice(['mail', word()])} {word()}{d(2)} @ {word()}. {tld()} {word()}",
+            lambda: f"{word()} <at> {word()} <dot> {tld()}",
+            lambda: f"{r.choice(['address', 'to:', 'e-mail'])} {word()}.{word()} @ {word()}.{tld()}",
+        ],
+        ("email", 0): [
+            lambda: f"{word()} {word()} at {word()}.{word()} {word()}",
+            lambda: f"we met {word()} at {word()} dot {word()}{word()} again",
+            lambda: f"look at {word()}.{word()} for {word()}",
+            lambda: f"{d(2)} {word()} @ {word()}. {word().capitalize()} {word()}",
+            lambda: f"sold {d(3)} @ {word()}. {word()} later",
+            lambda: f"arrive at {word()} dot {word()}, {word()}",
+        ],
+        ("ip", 1): [
+            lambda: f"{r.choice(['host', 'login from', 'server', word()])} {'[.]'.join(octet() for _ in range(4))} {word()}",
+            lambda: f"{r.choice(['host', 'address', word()])} {':'.join(group() for _ in range(8))} {word()}",
+            lambda: f"{r.choice(['ping', 'adresse', 'logged in from'])} {'(.)'.join(octet() for _ in range(4))}, {word()}",
+        ],
+        ("ip", 0): [
+            lambda: f"{r.choice(['section', 'version', word()])} {'(.)'.join(large() for _ in range(4))} {word()}",
+            lambda: f"{word()} {'[.]'.join([large(), *(octet() for _ in range(3))])} {word()}",
+            lambda: f"{r.choice(['part', 'figure'])} {'[.]'.join([octet(), large(), large(), octet()])}",
+        ],
+        ("card", 1): [
+            lambda: f"{r.choice(['card', 'visa', 'pay with', word()])} {quads(card(), r.choice(['.', '/', '_', '  ']))} {word()}",
+            lambda: f"{word()} {quads(card(), '.')}",
+            lambda: f"{r.choice(['Karte', 'carte', 'tarjeta'])} {quads(card(), '/')}, {word()}",
+        ],
+        ("card", 0): [
+            lambda: f"{r.choice(['order', 'part', 'serial', 'ref', word()])} {quads('9' + d(14) + '1', r.choice(['.', '/', '_']))}{r.choice(['', ' kg', ' items'])}",
+            lambda: f"{r.choice(['isbn', 'ticket', word()])} {quads('1' * 16, r.choice(['.', '_']))} {word()}",
+            lambda: f"{r.choice(['id', 'sku', 'order'])} {quads('0' + d(14) + '3', '/')} {word()}",
+        ],
+        ("phone", 1): [
+            lambda: f"{r.choice(['call', 'tel', 'phone', word()])} ({area()}) {area()}-{d(4)} {word()}",
+            lambda: f"{r.choice(['call', 'tel', 'phone', 'cell', word()])} {area()}{(m := r.choice('.-'))}{area()}{m}{d(4)} {word()}",
+            lambda: f"{r.choice(['mobile', 'Telefon', 'fax'])} ({area()}) {area()} {d(4)}, {word()}",
+            lambda: f"{r.choice(['call', 'tel', 'fax', 'dial'])} 00{r.choice(['1', '49', '33', '34'])} {d(3)} {d(3)} {d(4)} {word()}",
+            lambda: f"{word()} 1-{area()}-{area()}-{d(4)} {word()}",
+            lambda: f"{r.choice(['tel', 'ring', 'number is'])} {area()}.{area()}.{d(4)}",
+        ],
+        ("phone", 0): [
+            lambda: f"{r.choice(['item', 'part', 'order'])} ({r.choice('01') + d(2)}) {d(3)}-{d(4)} {word()}",
+            lambda: f"{r.choice(['order', 'version', 'ticket', 'isbn', 'invoice #', '$'])} {r.choice('01') + d(2)}{r.choice('.-')}{d(3)}{r.choice('.-')}{d(4)}{r.choice(['', ' kg', '%'])}",
+            lambda: f"{r.choice(['sku', 'ref', 'build'])} {area()}-{d(3)}-{d(4)} {word()}",
+            lambda: f"{r.choice(['serial', 'order', 'part', 'item'])} 00{r.choice('123456789')}{d(2)}.{d(3)}.{d(3)} {word()}",
+            lambda: f"{r.choice(['invoice', 'id', 'score'])} {area()}.{d(3)}.{d(4)}{r.choice([' kg', '%', ' eur'])}",
+            lambda: f"{word()} {r.choice('01') + d(2)}-{d(3)}-{d(4)} {word()}",
+        ],
+    }
+    return [(t(), label, i % 3 == 2) for (_, label), own in templates.items() for i, t in enumerate(own) for _ in range(each)]
 
 
 @dataclass
@@ -218,12 +257,12 @@ class Trees:
         return total
 
 
-def boost(rows: list[dict[str, int]], labels: list[int], kinds: list[str], rounds: int = ROUNDS, rate: float = RATE) -> Trees:
-    """Newton boosting on log loss over the even rows; thresholds on Platt-scaled scores of the odd rows."""
-    held = range(1, len(rows), 2)
+def boost(rows: list[dict[str, int]], labels: list[int], kinds: list[str], apart: list[bool], rounds: int = ROUNDS, rate: float = RATE) -> Trees:
+    """Newton boosting on log loss over the rows not set apart; thresholds on Platt-scaled scores of those set apart."""
+    held = [i for i, x in enumerate(apart) if x]
     names = sorted(rows[0])
     # Rows alike in features and label are one, with a weight.
-    weights = Counter((tuple(rows[i][f] for f in names), labels[i]) for i in range(0, len(rows), 2))
+    weights = Counter((tuple(rows[i][f] for f in names), labels[i]) for i in range(len(rows)) if not apart[i])
     fit = sorted(weights)
     total = sum(weights.values())
     share = sum(n for (_, label), n in weights.items() if label) / total
@@ -291,15 +330,32 @@ def _threshold(own: list[tuple[float, int]], precision: float = PRECISION) -> fl
 def train(spark: SparkSession) -> Trees:
     """Fits the trees on the generated sentences, which pass through the same generators and features as texts do."""
     sentences = training_sentences()
-    frame = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sentences)], "doc_id long, text string").coalesce(1)
+    frame = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(sentences)], "doc_id long, text string").coalesce(1)
     features = feature_columns()
     strict = sum(g.strict for g in GENERATORS)
     found = located(frame).filter(F.col("generator") >= strict).select("doc_id", "generator", *(c.alias(k) for k, c in features.items())).orderBy("doc_id", "generator").collect()
-    return boost([{k: r[k] for k in features} for r in found], [sentences[r["doc_id"]][1] for r in found], [GENERATORS[r["generator"]].kind for r in found])
+    return boost([{k: r[k] for k in features} for r in found], [sentences[r["doc_id"]][1] for r in found], [GENERATORS[r["generator"]].kind for r in found], [sentences[r["doc_id"]][2] for r in found])
 
 
-def find_spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
-    """doc_id, row, kind, start, end, value, base and score of each span reported; one line of nulls for rows without any."""
+def _without_overlaps(loose: Column) -> Column:
+    """Of loose spans in the order of kind and start, those that begin where the last one taken of their kind has ended."""
+    empty = F.struct(F.array().cast(_SPANS).alias("taken"), F.lit(-1).alias("place"), F.lit(-1).alias("end"))
+
+    def take(found: Column, x: Column) -> Column:
+        free = (x["place"] != found["place"]) | (x["start"] >= found["end"])
+        return F.when(free, F.struct(F.concat(found["taken"], F.array(x)).alias("taken"), x["place"].alias("place"), x["end"].alias("end"))).otherwise(found)
+
+    return F.aggregate(loose, empty, take, lambda found: found["taken"])
+
+
+_SPANS = "array<struct<place:int,start:int,end:int,kind:string,base:boolean,value:string,score:double>>"
+
+
+def span_lists(docs: DataFrame, model: Trees | None = None) -> DataFrame:
+    """doc_id, row and spans (an array in the order of kind and start) of each row of docs.
+
+    Spans of the base all stay. A loose span goes where it overlaps one of the base or a loose one that was taken before
+    it, of its own kind; spans of different kinds may overlap."""
     model = model or train(docs.sparkSession)
     strict = [i for i, g in enumerate(GENERATORS) if g.strict]
     of_kind = F.element_at(F.array(*(F.lit(g.kind) for g in GENERATORS)), F.col("generator") + 1)
@@ -308,26 +364,32 @@ def find_spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     rows = located(docs).withColumn("kind", of_kind).withColumn("base", F.coalesce(valid(), F.lit(False)))
     loose = ~F.col("generator").isin(strict)
     scored = rows.withColumns({k: F.when(loose, c) for k, c in features.items()}).withColumn("score", F.when(loose, model.column(features))).drop(*features)
-    chosen = scored.withColumn("taken", F.coalesce(F.col("base") | (F.col("score") >= limit), F.lit(False)))
-    # A loose span goes where it overlaps one of the base or an earlier loose one of its kind.
+    # A loose span goes where it overlaps one of the base of its kind.
     order = Window.partitionBy("row", "kind").orderBy("start", F.desc("base"), "generator")
     back = Window.partitionBy("row", "kind").orderBy(F.desc("start"), "base", F.desc("generator"))
     earlier, later = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (order, back))
-    overlaps = (F.coalesce(F.max(F.when(F.col("taken"), F.col("end"))).over(earlier), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(later), F.lit(1 << 30)) < F.col("end"))
-    chosen = chosen.withColumn("taken", F.col("base") | (F.col("taken") & ~overlaps))
-    blank = {c: F.when(F.col("taken"), F.col(c)) for c in ("kind", "start", "end", "value", "base", "score")}
-    return chosen.select("doc_id", "row", *(c.alias(k) for k, c in blank.items()))
+    covered = (F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(earlier), F.lit(-1)) > F.col("start")) | (F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(later), F.lit(1 << 30)) < F.col("end"))
+    chosen = scored.withColumn("taken", F.coalesce(F.col("base") | ((F.col("score") >= limit) & ~covered), F.lit(False)))
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int").alias("place")
+    span = F.when(F.col("taken"), F.struct(place, "start", "end", "kind", "base", "value", "score"))
+    grouped = chosen.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(span)).cast(_SPANS).alias("every"))
+    apart = [F.filter("every", lambda x: x["base"]), F.filter("every", lambda x: ~x["base"])]
+    spans = F.when(F.size(apart[1]) == 0, apart[0]).otherwise(F.array_sort(F.concat(apart[0], _without_overlaps(apart[1]))))
+    return grouped.select("doc_id", "row", spans.alias("spans"))
+
+
+def find_spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
+    """doc_id, row, kind, start, end, value, base and score of each span reported; one line of nulls for rows without any."""
+    found = span_lists(docs, model).select("doc_id", "row", F.explode_outer("spans").alias("x"))
+    return found.select("doc_id", "row", *(f"x.{c}" for c in ("kind", "start", "end", "value", "base", "score")))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_spans(read_table(spark, sf_dir, "documents"))
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    span = F.when(F.col("kind").isNotNull(), F.struct(place.alias("place"), "start", "end", "kind", "base"))
-    counts = [F.count_if(F.col("base") & (F.col("kind") == k)).alias(f"n_{k}") for k in KINDS]
+    found = span_lists(read_table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda x: x["base"]))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    grouped = found.groupBy("row", "doc_id").agg(*counts, F.array_sort(F.collect_list(span)).alias("all"))
-    base = F.filter("all", lambda x: x["base"])
-    return grouped.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
 QUERIES = {"op1_pii": op1_pii}
