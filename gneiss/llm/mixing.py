@@ -18,10 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import read_table, text_or_empty, written
+from gneiss.llm.shared import join_hot, read_table, text_or_empty, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: The source table is broadcast up to so many sources (under 10 MB); beyond, it is joined by shuffle.
+#: The source table is broadcast up to so many sources (under 10 MB); beyond, only large sources are, the rest is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
 
@@ -56,11 +56,16 @@ def mix_sources(docs: DataFrame, seed: int = 17, share: float = 1.5, cap: float
     """docs with size, source_size, target and copies, the number of times that the mix takes the row."""
     # Sizes are computed in the aggregate and again beside each row: cheaper than to write texts or to shuffle them.
     sized = docs.withColumn("size", word_count(text_or_empty()))
-    per_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
-    few = per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    targets = source_targets(per_source, share, cap).withColumnRenamed("source", "_source")
+    per_source = written(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "mix-sources")
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    targets = source_targets(per_source.select("source", "source_size"), share, cap).withColumn("_source", named).drop("source")
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "rate", "copies")]
-    joined = sized.select(*own, "size").join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")), "left")
+    rows = sized.select(*own, "size").withColumn("_source", named)
+    if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = rows.join(F.broadcast(targets), "_source")
+    else:
+        counts = per_source.select(named.alias("_source"), "n")
+        joined = join_hot(rows, written(targets.join(counts, "_source"), "mix-targets"), "_source", "n", docs.count())
     whole = F.floor("rate")
     copies = (whole + F.when(draw(F.col("doc_id"), seed) < F.col("rate") - whole, 1).otherwise(0)).cast("long")
     return joined.select(*own, "size", "source_size", "target", copies.alias("copies"))

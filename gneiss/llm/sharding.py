@@ -3,9 +3,10 @@
 A row's shard depends on its key and the number of shards alone. With one more shard, a row stays or moves into the
 new shard. No ring table exists and nothing is broadcast but one row for each pair of shard and sub-bucket.
 
-Slots number the rows of a shard without gaps. A shard may hold any share of the rows, so its rows are dealt over
-sub-buckets by another hash of the key: sub-buckets are counted, counts summed before each, and rows ranked within
-theirs, so no task holds a whole shard.
+Slots number the rows of a shard without gaps. A shard, and a key, may hold any share of the rows, so a shard's rows are
+dealt over sub-buckets by a hash of their place in the input: sub-buckets are counted, counts summed before each, and rows
+ranked within theirs, so no task holds a whole shard or all rows of a key. Places are taken once, in a written table of
+everything but the texts.
 
 Defined results: a null key counts as key 0; rows that repeat a key share a shard and get slots of their own; a null
 text has size 16 and crc 0; an empty table gives an empty table; other columns are not carried, so none can clash.
@@ -18,7 +19,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import read_table, text_or_empty
+from gneiss.llm.shared import read_table, text_or_empty, written
 
 #: The multiplier of the published algorithm's 64-bit generator.
 MULTIPLIER = 2862933555777941757
@@ -61,21 +62,23 @@ def jump_hash(key: Column, shards: int) -> Column:
 def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", rows_per_task: int = 1_000_000) -> DataFrame:
     """key, size, text_crc32, shard, grown_shard (with one more shard) and slot for each row of docs."""
     at = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
-    subs = max(8, ceil(docs.count() / (shards * rows_per_task)) * 8)
-    place = [jump_hash(at, shards).alias("shard"), F.pmod(F.xxhash64(at), F.lit(subs)).cast("int").alias("sub")]
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.octet_length(text_or_empty(text)).cast("long") + 16).alias("size"),
         F.crc32(text_or_empty(text)).alias("text_crc32"),
-        *place,
+        jump_hash(at, shards).alias("shard"),
         jump_hash(at, shards + 1).alias("grown_shard"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("place"),
     )
-    counts = docs.select(*place).groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
+    rows = written(rows, "shard-rows")
+    subs = max(8, ceil(rows.count() / (shards * rows_per_task)) * 8)
+    rows = rows.withColumn("sub", F.pmod("place", F.lit(subs)).cast("int"))
+    counts = rows.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # At most shards * subs rows, eight for every rows_per_task rows of a shard: a size known before the plan runs.
     base = F.broadcast(base) if shards * subs <= 200_000 else base
-    within = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "sub").orderBy("doc_id", "text_crc32", "size", "place")
     return (
         rows.withColumn("rank", F.row_number().over(within).cast("long"))
         .join(base, ["shard", "sub"])
