@@ -4,12 +4,15 @@ A data set is a folder: for each part a .bin file of ids (unsigned integers of o
 64-bit offsets (one more than documents, counted in ids from the part's start), a .doc file of 64-bit document ids, and
 one manifest.json that lists the parts in order with their bases: the ids and documents of all parts before, from prefix
 sums of the parts' counts. Documents are in ascending doc_id, so a range partitioning and a sort within partitions do;
-each task writes its own part under a name of its own, and only parts that the write stage returned are in the manifest,
-so failed or repeated attempts leave nothing that is read. Readers map .bin and .idx into memory.
+each task encodes its texts and writes its own part under a name of its own, and only parts that the write stage returned
+are in the manifest, so failed or repeated attempts leave nothing that is read. Readers map .bin and .idx into memory
+where the store is a file system of their machine, and read the files from another store.
+
+Texts move, not ids: compressed, both take about as much in the shuffle, and ids would have to be written once more.
 
 Defined results: a null text counts as empty: the end id alone; a null doc_id comes first and is stored as -2**63; rows
-that repeat a doc_id are in the order of their texts; an empty table gives a manifest without parts; other columns are
-not carried.
+that repeat a doc_id are in the order of a hash of their texts, and may fall into several parts; an empty table gives a
+manifest without parts; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,10 +36,14 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 NULL_ID = -(1 << 63)
 
+#: Bytes of text that are encoded together.
+BLOCK = 2 << 20
+
 _encoders: dict[tuple, BlankEncoder] = {}
 
 
 def _encoder(vocabulary: str, dtype: str) -> BlankEncoder:
+    """One for each worker, vocabulary and width, kept between tasks."""
     if (key := (vocabulary, dtype)) not in _encoders:
         _encoders[key] = BlankEncoder(vocabulary, dtype)
     return _encoders[key]
@@ -70,13 +77,13 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     """Writes the ids of all texts to folder (by default a new one in the shared folder) and returns it. dtype has to hold every id."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], dtype).tobytes()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # A hash beside doc_id, so that many rows of one doc_id needn't share a task.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_hash"), text.alias("text"))
+    rows = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").select("doc_id", "text")
 
     def run(batches):
-        encoder, width = _encoder(vocabulary, dtype), np.dtype(dtype).itemsize
-        name = f"part-{uuid.uuid4().hex}"
+        encoder, name = _encoder(vocabulary, dtype), f"part-{uuid.uuid4().hex}"
         store, path = _store(folder)
         store.create_dir(path, recursive=True)
         ids_of, lengths = [], []
@@ -84,16 +91,17 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
             for batch in batches:
                 texts = batch.column("text")
                 ids_of.append(batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
-                for a, b in text_blocks(texts):
-                    encoded = encoder.encode(texts.slice(a, b - a).to_pylist())
-                    lengths += [len(x) // width + 1 for x in encoded]
-                    out.write(end.join([*encoded, b""]))
-        if not lengths:
+                for a, b in text_blocks(texts, BLOCK):
+                    ids, counts = encoder.encode(texts.slice(a, b - a), end_id)
+                    lengths.append(counts)
+                    out.write(ids.tobytes())
+        lengths = np.concatenate([*lengths, np.zeros(0, np.int64)])
+        if not len(lengths):
             store.delete_file(f"{path}/{name}.bin")
             return
-        _put(folder, f"{name}.idx", np.cumsum([0, *lengths], dtype="<u8").tobytes())
+        _put(folder, f"{name}.idx", np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes())
         _put(folder, f"{name}.doc", np.concatenate(ids_of).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "name": [name], "docs": [len(lengths)], "tokens": [sum(lengths)]}, pa.schema([("at", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
+        yield pa.RecordBatch.from_pydict({"at": [TaskContext.get().partitionId()], "name": [name], "docs": [len(lengths)], "tokens": [int(lengths.sum())]}, pa.schema([("at", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     # One row for each part, so what comes to the driver grows with the number of partitions only.
     parts = [r.asDict() for r in written(rows.mapInArrow(run, "at int, name string, docs long, tokens long"), "token-parts").orderBy("at").collect()]
