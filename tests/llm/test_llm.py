@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,12 +86,30 @@ def test_pii_base_spans(spark, texts, odd, trees, monkeypatch):
     assert pii.find_spans(odd.limit(0), trees).count() == 0
 
 
-def test_pii_trees_on_new_sentences(spark, trees):
-    sentences = pii.training_sentences(seed=99, each=12)
-    frame = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(sentences)], "doc_id long, text string")
+def test_pii_overlaps_of_loose_spans(spark, trees, monkeypatch):
+    # Spans of 0-10, 8-14 and 12-20: the second goes for the first, and the third, which only meets the second, stays.
+    found = [pii.Generator("a", "phone", "A.{9}", ""), pii.Generator("b", "phone", "B.{5}", ""), pii.Generator("c", "phone", "C.{7}", ""), pii.Generator("d", "email", "D.{7}", "")]
+    monkeypatch.setattr(pii, "GENERATORS", found)
+    monkeypatch.setattr(pii, "valid", lambda: F.lit(False))
+    monkeypatch.setattr(pii, "feature_columns", lambda: {"x": F.lit(1)})
+    frame = spark.createDataFrame([(1, "A1234567B123C1234567"), (2, "D123AbcdB123456789012"), (3, "")], "doc_id long, text string")
+    model = pii.Trees(1.0, [], dict.fromkeys(pii.KINDS, 0.5))
+    spans = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in pii.span_lists(frame, model).collect()}
+    assert spans == {1: [("phone", 0, 10), ("phone", 12, 20)], 2: [("email", 0, 8), ("phone", 4, 14)], 3: []}
+
+
+def test_pii_trees_on_forms_of_no_template(spark, trees):
+    right = ["please ring (415) 555-2671 tonight", "her number is 415.555.2671 or later", "my cell 312-555-0188, evenings", "fax: (212) 736-5000", "dial 0049 301 234 5678 from abroad",
+             "mail joe.smith (at) uni-bonn (dot) de today", "reach me: anna [at] posteo [dot] net", "to: karl92 @ gmx. net",
+             "login from 192[.]168[.]1[.]77 failed", "the host 10(.)0(.)0(.)12 is down", "server 2001:0db8:85a3:0000:0000:8a2e:0370:7334 answered",
+             "visa 4539.1488.0343.6467 exp 09/27", "paid by card 4485/2757/4230/8327"]
+    wrong = ["invoice 000-123-4567 was paid", "order (001) 234-5678 has shipped", "section 300(.)400(.)500(.)600 applies", "see us at noon.then leave", "serial 0047.123.456 expired", "part 9999/8888/7777/6661 is out",
+             "12 apples @ noon. Sharp knives", "they met at dawn dot everyone left", "isbn 012-345-6789 sold out", "ref 012.345.6789% up"]
+    frame = spark.createDataFrame(list(enumerate(right + wrong)), "doc_id long, text string")
     hit = {r["doc_id"] for r in pii.find_spans(frame, trees).filter("kind is not null").collect()}
-    right = [i for i, (_, label) in enumerate(sentences) if label]
-    assert len(hit & set(right)) >= 0.9 * len(right) and len(hit - set(right)) <= 0.1 * len(hit)
+    found = {i for i in hit if i < len(right)}
+    assert len(found) >= 0.75 * len(right), [right[i] for i in set(range(len(right))) - found]
+    assert len(hit) - len(found) <= 1, [wrong[i - len(right)] for i in hit - found]
 
 
 # Sharding
@@ -125,6 +144,10 @@ def test_shards(spark, sf_dir, texts, odd):
     rows = sharding.shard_documents(odd, 2).collect()
     assert sorted((r["size"], r["text_crc32"]) for r in rows if r["doc_id"] in (3, 4)) == [(16, 0), (16, 0)]
     assert len(rows) == 10 and sharding.shard_documents(odd.limit(0)).count() == 0
+    one = spark.createDataFrame([(7 if i % 3 else None, "same") for i in range(500)], "doc_id long, text string")
+    rows = sharding.shard_documents(one, 5, rows_per_task=10).collect()
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
 
 
 # Toxicity
@@ -151,7 +174,7 @@ def test_toxicity_on_held_out_rows(spark, sf_dir, odd):
     assert toxicity.toxicity_scores(odd, model).count() == 10 and toxicity.toxicity_scores(odd.limit(0), model).count() == 0
     kept = toxicity.keep_clean(odd, model)
     assert kept.columns == odd.columns and kept.count() == 10
-    assert toxicity.fit([], np.array([]), []).score(b"x") < 0.5
+    assert toxicity.fit([], np.array([])).score(b"x") < 0.5
 
 
 def test_long_labelled_texts_are_learnt_whole(spark):
@@ -167,13 +190,75 @@ def test_long_labelled_texts_are_learnt_whole(spark):
     assert model.score(f"{whole} {bad}".encode()) >= toxicity.THRESHOLD > model.score(whole.encode())
 
 
-def test_penalty_ties_swapped_terms():
+def toxic_rows(n=300):
     random.seed(3)
-    rows = [sorted({f"w{random.randint(0, 50)}".encode() for _ in range(12)} | ({b"bad"} if t and random.random() < 0.6 else set()) | ({b"women"} if random.random() < (0.9 if t else 0.3) else set())) for t in (i % 2 for i in range(300))]
-    toxic = np.array([i % 2 for i in range(300)])
-    free, tied = (toxicity.fit(rows, toxic, list(range(300)), penalty=p) for p in (0.0, 1.0))
-    change = [abs(m.score(b"w1 women w2") - m.score(b"w1 men w2")) for m in (free, tied)]
-    assert change[1] < 0.1 * change[0] and tied.weights[0][b"bad"] > 1
+    rows = [sorted({f"w{random.randint(0, 50)}".encode() for _ in range(12)} | ({b"bad"} if t and random.random() < 0.6 else set()) | ({b"women"} if random.random() < (0.9 if t else 0.3) else set())) for t in (i % 2 for i in range(n))]
+    return rows, np.array([i % 2 for i in range(n)])
+
+
+def test_penalty_ties_swapped_terms():
+    rows, toxic = toxic_rows()
+    free, tied = (toxicity.fit(rows, toxic, penalty=p) for p in (0.0, 10.0))
+    for other in (b"men", b"girls", b"boys"):
+        change = [abs(m.score(b"w1 women w2") - m.score(b"w1 " + other + b" w2")) for m in (free, tied)]
+        assert change[1] < 0.1 * change[0]
+    assert tied.weights[0][b"bad"] > 1
+    # A mention added to neutral rows changes their scores little, in any language.
+    neutral = [b" ".join(r) for r, t in zip(rows, toxic, strict=True) if not t and b"women" not in r]
+    for term in (b"women", "männer".encode(), b"juifs", b"mujeres"):
+        change = [np.mean([abs(m.score(r + b" " + term) - m.score(r)) for r in neutral]) for m in (free, tied)]
+        assert change[1] < 0.05 and (term != b"women" or change[1] < 0.3 * change[0])
+
+
+@pytest.mark.parametrize("penalty", [0.0, 1.0])
+def test_fit_against_a_dense_one(penalty):
+    rows, toxic = toxic_rows(200)
+    l1 = 5e-4
+    model = toxicity.fit(rows, toxic, penalty=penalty, l1=l1, steps=1500)
+    features = lambda r: {(k, w[:k] if k else w) for w in r for k in toxicity.KINDS}
+    names = sorted({f for r in rows for f in features(r)} | features(toxicity._TERMS))
+    dense = lambda every: np.array([[f in features(r) for f in names] for r in every], float)
+    x = dense(rows)
+    z = toxicity._evidence([np.flatnonzero(r) for r in x], toxic, np.ones(len(rows)), len(names))
+    used = (z >= toxicity.MIN_Z) | np.isin(np.arange(len(names)), [names.index(f) for f in features(toxicity._TERMS)])
+    others = [dense([toxicity.counterfactual(r, v) for r in rows]) for v in range(toxicity.VARIANTS)]
+    share = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
+    sigmoid = lambda t: 1 / (1 + np.exp(-t))
+
+    def loss(w, b):
+        s = sigmoid(x @ w + b)
+        change = np.mean([np.mean((s - sigmoid(o @ w + b)) ** 2) for o in others])
+        return -(share * np.where(toxic == 1, np.log(s), np.log(1 - s))).sum() + penalty * change + l1 * np.abs(w).sum()
+
+    w, b = np.zeros(len(names)), 0.0
+    for _ in range(6000):  # plain proximal gradient
+        s = sigmoid(x @ w + b)
+        g, gb = x.T @ (share * (s - toxic)), (share * (s - toxic)).sum()
+        for o in others:
+            c = sigmoid(o @ w + b)
+            d = 2 * penalty * (s - c) / len(rows) / len(others)
+            g += x.T @ (d * s * (1 - s)) - o.T @ (d * c * (1 - c))
+            gb += (d * s * (1 - s) - d * c * (1 - c)).sum()
+        w = (w - 0.3 * g) * used
+        w, b = np.sign(w) * np.maximum(np.abs(w) - 0.3 * l1, 0), b - 0.3 * gb
+    found = np.array([model.weights[k].get(f, 0.0) for k, f in names])
+    best = min((loss(found, t) for t in np.linspace(b - 1, b + 1, 201)))
+    assert best <= loss(w, b) + 1e-3
+    assert np.abs(x @ found - x @ w - (x @ found - x @ w).mean()).max() < 0.2
+
+
+def test_scores_do_not_depend_on_doc_ids(spark):
+    random.seed(2)
+    rows = [(i, " ".join([f"word{random.randint(0, 90)}" for _ in range(30)] + ["nasty"] * (i % 3 == 0))) for i in range(300)]
+    trained = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    moved = [i for i in range(1000, 3000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = dict(rows)
+    models = []
+    for ids in (trained, moved[: len(trained)], moved[: len(trained)][::-1]):
+        frame = spark.createDataFrame([(i, text[j]) for i, j in zip(ids, trained, strict=True)] * 2, "doc_id long, text string")
+        known = spark.createDataFrame([(i, int(j % 3 == 0)) for i, j in zip(ids, trained, strict=True)], "doc_id long, toxic int")
+        models.append(toxicity.train(frame, known, sample=60))
+    assert models[0] == models[1] == models[2] and models[0].weights[0]
 
 
 # Neighbours
@@ -218,6 +303,17 @@ def test_neighbours_of_doubles(spark, size):
 # Near duplicates
 
 
+def linked_rows(rows, n=2, percent=80):
+    """(doc_id, set size, smallest doc_id of the group, number of the group) of each row, ids repeated or not."""
+    numbered = {k: LAST if i is None else i for k, (i, _) in enumerate(rows)}
+    found = linked([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    low = {}
+    for k, (_, c) in found.items():
+        low[c] = min(low.get(c, LAST), numbered[k])
+    plain = lambda i: None if i == LAST else i
+    return [(plain(numbered[k]), size, plain(low[c]), c) for k, (size, c) in found.items()]
+
+
 def linked(rows, n=2, percent=80):
     fold = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
@@ -271,8 +367,51 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     found = [(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, shingle=2).collect()]
     assert len(found) == 10 and (3, 0, 3, True) in found and (5, 0, 5, True) in found and (7, 1, 7, True) in found
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
+    # Of the row that stands twice one stays.
     kept = minhash.keep_representatives(odd)
-    assert kept.columns == odd.columns and kept.count() == 10
+    assert kept.columns == odd.columns and kept.count() == 9
+
+
+def repeated_ids(seed=9):
+    random.seed(seed)
+    word = lambda: f"w{random.randint(0, 300)}"
+    bases = [[word() for _ in range(60)] for _ in range(12)]
+    rows = []
+    for k in range(120):
+        w = list(random.choice(bases))
+        for _ in range(random.choice([0, 0, 1, 2, 30])):
+            w[random.randrange(60)] = word()
+        rows.append((random.choice([None, 1, 2, 3, 7, 100 + k, 100 + k, 100 + k]), " ".join(w)))
+    return [*rows, *rows[:15], (None, ""), (7, None), (7, " "), (1, "a"), (None, "a")]
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, near, other = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s x", "some other words that no other row has"
+    rows = [(1, a), (None, near), (None, other), (4, a), (4, other + " but longer by far than that"), (4, a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = Counter(tuple(r)[:4] for r in minhash.near_duplicates(frame, shingle=2).select("doc_id", "component_id", "kept", "n_shingles").collect())
+    assert found == Counter({(1, 1, True, 19): 1, (None, 1, False, 19): 1, (None, None, True, 7): 1, (4, 1, False, 19): 2, (4, 4, True, 13): 1})
+    kept = minhash.keep_representatives(frame, shingle=2).collect()
+    assert sorted(r["text"] for r in kept) == sorted([a, other, rows[4][1]])
+    rows = repeated_ids()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1))
+    expected = linked_rows(rows)
+    found = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(frame, shingle=2).collect())
+    assert found == Counter(e[:3] for e in expected)
+    kept = minhash.keep_representatives(frame, shingle=2)
+    assert kept.columns == frame.columns and kept.count() == len({e[3] for e in expected if e[1]}) + sum(not e[1] for e in expected)
+
+
+def test_joins_beyond_the_broadcast_bounds(spark, monkeypatch):
+    from gneiss.llm import shared
+
+    rows = repeated_ids(10) + [(500 + i, t) for i, t in variants(2, 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    results = lambda: [sorted(map(str, df.collect())) for df in (minhash.near_duplicates(frame, shingle=2), exact_dedup.exact_dedup(frame), substrings.remove_repeats(frame), mixing.mix_sources(frame.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 5))))]
+    expected = results()
+    for module, name, value in ((minhash, "BROADCAST_IDS", 0), (substrings, "BROADCAST_IDS", 0), (exact_dedup, "BROADCAST_HITS", 0), (mixing, "BROADCAST_SOURCES", 0), (shared, "HOT_ROWS", 2), (shared, "HOT_SHARE", 10**6)):
+        monkeypatch.setattr(module, name, value)
+    assert results() == expected
 
 
 def test_signature_estimates():
@@ -313,7 +452,9 @@ def test_exact_dedup_of_odd_rows(spark, odd):
     assert found == Counter({(1, 1, 3, True): 2, (None, 1, 3, False): 1, (1, 1, 1, True): 1, (3, 5, 3, False): 1, (4, 5, 3, False): 1, (5, 5, 3, True): 1, (6, 6, 1, True): 1, (7, 7, 1, True): 1, (8, 8, 1, True): 1})
     kept = exact_dedup.keep_first_copies(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 1, 5, 6, 7, 8]
-    assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0
+    assert exact_dedup.exact_dedup(odd.limit(0)).count() == 0 and exact_dedup.keep_first_copies(odd.limit(0)).count() == 0
+    rows = spark.createDataFrame([(1, "a b"), (1, "a    b"), (1, "ab"), (None, "c d"), (None, "cd"), (2, "c d"), (2, "c d")], "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.keep_first_copies(rows).collect())) == [(1, "a    b"), (2, "c d")]
 
 
 def test_full_bytes_part_equal_digests(spark):
@@ -323,15 +464,27 @@ def test_full_bytes_part_equal_digests(spark):
     assert found == {1: (2, 2), 2: (2, 2), 3: (4, 2), 4: (4, 2), 5: (5, 1)}
 
 
-def test_state_outlives_a_run(spark, tmp_path):
-    from gneiss.llm.shared import written
+@pytest.mark.parametrize("weak", [False, True])
+def test_state_outlives_a_run(spark, tmp_path, weak):
+    digest = (lambda norm: F.sha2(F.octet_length(norm).cast("string"), 256)) if weak else exact_dedup.sha256_digest
+    state, source = str(tmp_path / "state"), str(tmp_path / "source")
+    run = lambda rows, **o: {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest, state, **o).collect()}
+    assert run([(1, "ab"), (2, " a b"), (3, "xyz")]) == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}
+    # The second run's rows meet holders of the first one, whose bytes are read through the locator; under the weak digest cd is no ab.
+    second = [(4, "a   b"), (5, "ab"), (6, "cd"), (7, "xyz")]
+    spark.createDataFrame(second, "doc_id long, text string").write.parquet(source)
+    assert run(second, source=source) == {4: (4, 4, True), 5: (4, 4, False), 6: (6, 1, True), 7: (3, 2, False)}
+    assert run([(8, "c d"), (9, "ab"), (10, "xy z"), (11, None)]) == {8: (8, 2, True), 9: (4, 5, False), 10: (10, 3, True), 11: (11, 1, True)}
+    assert run([]) == {}
+
 
-    log = written(exact_dedup.digest_log(spark.createDataFrame([(1, "a"), (2, " a")], "doc_id long, text string")), "log")
-    state = exact_dedup.stream_state(log, str(tmp_path / "state"))
-    assert state.first()["group_size"] == 2
-    exact_dedup.digest_log(spark.createDataFrame([(3, "  a"), (4, "b")], "doc_id long, text string")).write.mode("append").parquet(log.gneiss_path)
-    state = {r["keep_id"]: r["group_size"] for r in exact_dedup.stream_state(log, str(tmp_path / "state")).collect()}
-    assert state == {3: 3, 4: 1}
+def test_a_stopped_run_is_repeated(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "ab"), (2, "a b")], "doc_id long, text string")
+    state = exact_dedup.State(spark, str(tmp_path / "state"))
+    state.write_log(rows, exact_dedup.sha256_digest, 0)
+    state.stream()  # stops here
+    found = exact_dedup.exact_dedup(rows, state_dir=str(tmp_path / "state")).collect()
+    assert {r["group_size"] for r in found} == {2}
 
 
 # Encoding
@@ -346,24 +499,54 @@ def strange(seed=1, n=600):
     return [*out, *(base[: random.randint(0, 2500)] + "x" + base[random.randint(0, 2500) :] for _ in range(40)), "", " ", "x" * 20000, "ab " * 5000]
 
 
+def per_text(found):
+    ids, counts = found
+    return np.split(ids, np.cumsum(counts)[:-1])
+
+
 def test_bpe_as_the_library(texts):
     library, encoder = tokenizer.load("word_bpe_49k.json"), bpe.ChunkEncoder()
     for own in (strange(), list(texts.values()), strange()):
-        for text, ids in zip(own, encoder.encode([t.encode() for t in own]), strict=True):
+        for text, ids in zip(own, per_text(encoder.encode(pa.array(own))), strict=True):
             expected = library.encode(text, add_special_tokens=False).ids
-            assert np.frombuffer(ids, "<u4").tolist() == expected
+            assert ids.tolist() == expected
             assert encoder.decode(ids).decode() == library.decode(expected, skip_special_tokens=False)
+    assert encoder.figures["reused"] and not encoder.figures["whole"]
+
+
+MARKS = ["a", "B", "I", "E", "=", "<", " ", "  ", "\n", ",", "'S", "'s", "é", "\u0307", "\u0338", "\u0301", "İ", "Σ", "ﬁ", "ᄀ", "ᅡ", "가", "²", "\u3000", "\x85", "\x1c", "\u180e", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>"]
+
+
+@pytest.mark.parametrize("most", [5, 300])
+def test_marks_case_and_special_tokens_as_the_library(most):
+    # Small stores drop rows all the time; most: pieces in a text.
+    random.seed(most)
+    words, blanks = bpe.ChunkEncoder(chunks=200, pieces=1000, stretches=200), tokenizer.BlankEncoder("byte_bpe_50k.json", most=1000)
+    libraries = [tokenizer.load(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json")]
+    for _ in range(10):
+        own = ["".join(random.choice(MARKS) for _ in range(random.randint(0, most))) for _ in range(6000 // most)]
+        for encoder, library in zip((words, blanks), libraries, strict=True):
+            expected = [e.ids for e in library.encode_batch(own, add_special_tokens=False)]
+            assert [x.tolist() for x in per_text(encoder.encode(pa.array(own)))] == expected
+    assert not words.figures["whole"]
+
+
+def test_joins_that_do_not_agree_are_encoded_whole(texts):
+    # A tokenizer that keeps white space: words of chunks, encoded apart, don't agree with the stretches.
+    library, encoder = tokenizer.load("byte_bpe_50k.json"), bpe.ChunkEncoder("byte_bpe_50k.json")
+    own = [t for t in texts.values() if len(t) > 200]
+    assert [x.tolist() for x in per_text(encoder.encode(pa.array(own)))] == [library.encode(t, add_special_tokens=False).ids for t in own]
+    assert encoder.figures["whole"] == len(own)
 
 
 def test_chunks_are_shared():
     random.seed(7)
     passage = " ".join(f"word{random.randint(0, 9999)}" for _ in range(1500)).encode()
-    a, b = (set(), set())
-    for found, before in ((a, b"one two three " * 9), (b, b"other beginning of text " * 7)):
-        data = before + passage
-        cuts = bpe.cut_points(data)
-        assert b"".join(data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)) == data
-        found.update(data[x:y] for x, y in zip(cuts, cuts[1:], strict=False))
+    texts = [b"one two three " * 9 + passage, b"other beginning of text " * 7 + passage, b""]
+    data, borders = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    raw, (a, b, none) = data.tobytes(), bpe.cut_points(data, borders)
+    assert [x[0] for x in (a, b, none)] == borders[:-1].tolist() and [x[-1] for x in (a, b, none)] == borders[1:].tolist()
+    a, b = ({raw[x:y] for x, y in zip(cuts, cuts[1:], strict=False)} for cuts in (a, b))
     assert len(a & b) >= 0.7 * len(a)
 
 
@@ -388,8 +571,19 @@ def test_token_files(spark, sf_dir, texts, odd):
 def test_byte_pieces_as_the_library():
     library, encoder = tokenizer.load("byte_bpe_50k.json"), tokenizer.BlankEncoder("byte_bpe_50k.json")
     own = strange(3)
-    for text, ids in zip(own, encoder.encode(own), strict=True):
-        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    for text, ids in zip(own, per_text(encoder.encode(pa.array(own))), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in per_text(encoder.encode(pa.array(["a", ""]), 2))] == [[64, 2], [2]]
+
+
+def test_token_files_of_one_doc_id(spark):
+    rows = [(7, f"text {i} of many") for i in range(400)] + [(3, "first"), (9, "last")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = token_files.write_token_files(frame)
+    found = token_files.read_token_files(spark, folder).orderBy("start").collect()
+    library = tokenizer.load("byte_bpe_50k.json")
+    assert [r["doc_id"] for r in found] == [3] + [7] * 400 + [9]
+    assert sorted(tuple(r["ids"][:-1]) for r in found) == sorted(tuple(library.encode(t, add_special_tokens=False).ids) for _, t in rows)
 
 
 # Mixing
@@ -465,6 +659,25 @@ def test_repeats_in_crowded_texts(spark, monkeypatch):
     assert substrings.remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_repeats_under_one_id(spark, monkeypatch):
+    base = " ".join(f"w{i}" for i in range(13))
+    unique = " ".join(f"u{i}" for i in range(20))
+    rows = [(1, base + " tail"), (5, base + " other end"), (5, unique), (None, base + " x"), (None, unique + " y"), (None, unique + " z"), (7, unique), (7, "  " + unique), (7, unique + " z"), (9, unique)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.remove_repeats(frame).collect()), key=str) == without_repeats(rows)
+    random.seed(11)
+    passages = [" ".join(random.choice("abcdefgh") for _ in range(25)) for _ in range(6)]
+    rows = [(random.choice([None, 1, 2, 3, 50 + k, 60 + k]), " ".join(random.choice(passages) if random.random() < 0.5 else random.choice("abcdxyz") for _ in range(random.randint(0, 9)))) for k in range(150)]
+    rows += rows[:20]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for words in (100_000, 300):  # with few words a shard, crowded anchors are cut into windows
+        monkeypatch.setattr(substrings, "SHARD_WORDS", words)
+        assert sorted(map(tuple, substrings.remove_repeats(frame).collect()), key=str) == without_repeats(rows)
+    full = substrings.remove_repeats(frame, texts=True).collect()
+    assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in full)
+    assert sorted(map(tuple, (r[:4] for r in full)), key=str) == without_repeats(rows)
+
+
 def test_suffix_automaton():
     random.seed(8)
     passages = [[random.randrange(3) for _ in range(random.randint(3, 25))] for _ in range(60)]
@@ -481,6 +694,23 @@ def test_suffix_automaton():
 # Pipeline
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir, odd, monkeypatch):
+    """Nulls in any column, repeated and null ids, empty tables, and extra columns with the operators' own names."""
+    import corpus_pipeline
+
+    model = toxicity.Model(-2.0, {0: {b"vile": 9.0}})
+    monkeypatch.setattr(toxicity, "train", lambda *_: model)
+    more = odd.limit(1).withColumns({"doc_id": F.lit(50).cast("long"), "text": F.lit("a vile text")})
+    for frame in (odd.unionByName(more), odd.limit(0)):
+        now = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, sf_dir)
+            assert now.columns == frame.columns
+        rows = corpus_pipeline.STAGES[-1][1](spark, now, sf_dir)
+        assert rows.columns == ["doc_id", "n_tokens", "ids"]
+        assert {r["doc_id"] for r in rows.collect()} <= {1, 5, 6, 7, 8}
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline
 
