@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss import schema, validate
 from gneiss.config import Settings
+from gneiss.functions import text as columns
 from gneiss.operators import catalog, embedding, hybrid, lexical, vector
 from gneiss.sources import files
 from gneiss.streaming import replay
+from gneiss.streaming.jobs import Jobs, RateLimiter, Watch
+
+log = logging.getLogger(__name__)
+TABLES = ("repos", "chunks", "embeddings", "emb_cache", "file_state", "file_events", "scan")
+HITS = "chunk_id long, score double, terms array<string>"
 
 
 class Engine:
@@ -19,6 +28,7 @@ class Engine:
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
         self.embedder = embedder or embedding.HashingEmbedder(self.settings.embedding_size)
         self.weights = hybrid.weights(self.settings.bm25_weight, self.settings.semantic_weight)
+        self.jobs, self.limiter = Jobs(), RateLimiter(self.settings.requests_per_minute)
 
     def table(self, name: str) -> catalog.Table:
         return catalog.Table(self.spark, f"{self.folder}/{name}")
@@ -44,55 +54,129 @@ class Engine:
         seen = self.spark.createDataFrame([(root, name or root.rsplit("/", 1)[-1])], "path string, name string").withColumn("last_indexed", F.current_timestamp())
         repos = self.table("repos").write(catalog.upsert_repos(self.repos(), seen))
         repo = repos.filter(F.col("path") == root).first()["repo_id"]
-        found = files.scan(self.spark, root)
-        new = files.chunks(found, repo).withColumn("file_path", F.concat(F.lit(root + "/"), "file_path")).withColumn("chunk_id", F.xxhash64("file_path", "start_line"))
-        rest = self.chunks().filter(F.col("repo_id") != repo)
-        state = found.select(F.concat(F.lit(root + "/"), "file_path").alias("file_path"), "file_hash", F.current_timestamp().alias("seen_at"))
-        others = self._read("file_state", schema.FILE_STATE).filter(~F.startswith("file_path", F.lit(root + "/")))
-        chunks = self.table("chunks").write(rest.unionByName(new))
-        self.table("file_state").write(others.unionByName(state))
+        found = self.table("scan").write(self._scan(root))
+        rest = catalog.delete_repo(repo, self.chunks())[0]
+        others = self._read("file_state", schema.FILE_STATE).filter(~self._below(root))
+        chunks = self.table("chunks").write(rest.unionByName(self._chunked(found, repo)))
+        self.table("file_state").write(others.unionByName(found.select("file_path", "file_hash", F.current_timestamp().alias("seen_at"))))
         self._embed(chunks)
         self.build()
         return {"repo_id": repo, "files": found.count(), "chunks": chunks.filter(F.col("repo_id") == repo).count()}
 
+    def _scan(self, root: str) -> DataFrame:
+        return files.scan(self.spark, root).withColumn("file_path", F.concat(F.lit(root + "/"), "file_path"))
+
+    @staticmethod
+    def _below(root: str):
+        return F.startswith("file_path", F.lit(root + "/"))
+
+    @staticmethod
+    def _chunked(found: DataFrame, repo: int) -> DataFrame:
+        return files.chunks(found, repo).withColumn("chunk_id", F.xxhash64("file_path", "start_line"))
+
     def _embed(self, chunks: DataFrame) -> None:
+        """Embeds texts that the cache lacks, once: new vectors are written before anything is made from them."""
         cache = self._read("emb_cache", schema.EMB_CACHE)
-        vectors, new = embedding.embed(chunks, self.embedder, cache)
-        self.table("embeddings").write(vectors)
-        self.table("emb_cache").write(cache.unionByName(new.withColumn("created_at", F.current_timestamp())))
+        _, new = embedding.embed(chunks, self.embedder, cache)
+        new = new.withColumn("created_at", F.current_timestamp())
+        cache = self.table("emb_cache").write(cache.unionByName(new))
+        self.table("embeddings").write(embedding.vectors(chunks, self.embedder, cache))
+        self._drop_old()
+
+    def evict(self, most_bytes: int) -> int:
+        """Drops the oldest fifth of the vector cache where its vectors take more than most_bytes; returns the number of entries left."""
+        cache = self._read("emb_cache", schema.EMB_CACHE).withColumn("_size", F.size("embedding") * 4)
+        left = catalog.evicted(cache, size="_size", most=most_bytes).drop("_size")
+        return self.table("emb_cache").write(left).count()
+
+    def embedded(self) -> DataFrame:
+        """The chunks, with embedding_id where a vector is stored."""
+        return catalog.mark_embedded(self.chunks(), self.embeddings())
+
+    def _drop_old(self) -> None:
+        for name in TABLES:
+            self.table(name).forget()
 
     def build(self) -> None:
         lexical.Index.build(self.chunks(), self.settings.chunk_limit).save(f"{self.folder}/bm25")
 
+    def build_cells(self, nlist: int = 100, sample: int = 50_000) -> vector.CellIndex:
+        """Trains cells on a bounded sample and stores all vectors by cell."""
+        vectors = self.embeddings()
+        return vector.CellIndex.build(vectors, vector.train_cells(vectors, nlist, sample), f"{self.folder}/cells")
+
     def refresh(self, root: str) -> DataFrame:
-        """The events between the last state of root and now; indexes root again if there are any."""
+        """The events between the last state of root and now. Only changed files are cut and embedded again, and where nothing changed nothing is written."""
         root = validate.directory(root)
-        now = replay.watched(files.scan(self.spark, root)).select(F.concat(F.lit(root + "/"), "file_path").alias("file_path"), "file_hash")
-        before = self._read("file_state", schema.FILE_STATE).filter(F.startswith("file_path", F.lit(root + "/")))
-        rows = replay.snapshot_diff(before, now).collect()  # what one watch step has found
-        if rows:
+        now = replay.watched(self._scan(root))
+        state = self._read("file_state", schema.FILE_STATE)
+        events = replay.snapshot_diff(state.filter(self._below(root)), now.select("file_path", "file_hash"))
+        events = self.table("file_events").write(events.withColumn("ts", F.current_timestamp()).select("event_type", "file_path", "ts", "file_hash"))
+        if not events.isEmpty():
+            self._apply(root, now, events, state)
+        return events.select("event_type", "file_path", "file_hash")
+
+    def _apply(self, root: str, now: DataFrame, events: DataFrame, state: DataFrame) -> None:
+        known = self.repos().filter(F.col("path") == root).first()
+        if known is None:
             self.index(root)
-        return self.spark.createDataFrame(rows, "event_type string, file_path string, file_hash string")
+            return
+        changed = now.join(events.filter("event_type <> 'deleted'").select("file_path"), "file_path", "left_semi")
+        chunks = self.table("chunks").write(catalog.replace_files(self.chunks(), self._chunked(changed, known["repo_id"]), events))
+        seen = events.filter("event_type <> 'deleted'").select("file_path", "file_hash", F.col("ts").alias("seen_at"))
+        self.table("file_state").write(catalog.replace_files(state, seen, events))
+        self._embed(chunks)
+        self.build()
+
+    def watch(self, root: str, interval: float = 0.5) -> Watch:
+        """Polls root and applies what changes; start(), stop() and status() are the watch's."""
+        return Watch(lambda: self.refresh(root).count(), interval)
+
+    def set_weights(self, lexical_weight: float, semantic_weight: float) -> tuple[float, float]:
+        self.weights = hybrid.weights(lexical_weight, semantic_weight, self.weights)
+        return self.weights
+
+    def _arm(self, find, columns: str) -> DataFrame:
+        """The hits of one arm, a bounded number; none where it fails."""
+        try:
+            return self.spark.createDataFrame(find().collect(), columns)
+        except (PySparkException, FileNotFoundError) as e:
+            log.warning("search arm failed: %s", e)
+            return self.spark.createDataFrame([], columns)
 
     def search(self, text: str, language: str | None = None, limit: int | None = None, bm25: bool = True, semantic: bool = True, weights: tuple[float, float] | None = None) -> DataFrame:
-        """Hits with scores, their parts and payload; both arms off give none. Weights hold for this call only."""
-        limit, text = limit or self.settings.limit, validate.query(text)
+        """Hits with scores, their parts and payload; a blank query and both arms off give none. Weights hold for this call only."""
+        limit, blank = limit or self.settings.limit, not (text or "").strip()
         chunks = self.chunks() if language is None else self.chunks().filter(F.col("language") == language)
-        none = self.spark.createDataFrame([], "chunk_id long, score double, terms array<string>")
-        words = lexical.Index.load(self.spark, f"{self.folder}/bm25").search(text, language, 2 * limit) if bm25 else none
-        near = none.select("chunk_id", "score")
-        if semantic:
-            vectors = self.embeddings().join(chunks.select("chunk_id"), "chunk_id", "left_semi") if language else self.embeddings()
-            asked = self.spark.createDataFrame([([float(x) for x in self.embedder.embed([text])[0]],)], "q array<float>")
-            near = vector.knn(vectors, asked, 2 * limit)
+        words = near = None
+        if not blank:
+            text = validate.query(text)
+
+            def of_words() -> DataFrame:
+                return lexical.Index.load(self.spark, f"{self.folder}/bm25").search(text, language, 2 * limit, None).select("chunk_id", "score", "terms")
+
+            def of_vectors() -> DataFrame:
+                vectors = self.embeddings().join(chunks.select("chunk_id"), "chunk_id", "left_semi") if language else self.embeddings()
+                asked = self.spark.createDataFrame([([float(x) for x in self.embedder.embed([text])[0]],)], "q array<float>")
+                return vector.knn(vectors, asked, 2 * limit, digits=None)
+
+            words = self._arm(of_words, HITS) if bm25 else None
+            near = self._arm(of_vectors, "chunk_id long, score double") if semantic else None
+        none = self.spark.createDataFrame([], HITS)
         w = hybrid.weights(*weights) if weights else self.weights
-        best = hybrid.top(hybrid.fuse(words, near, w, least=self.settings.min_score), limit)
+        best = hybrid.top(hybrid.fuse(words or none, near or none.drop("terms"), w, least=self.settings.min_score), limit, digits=None)
         # Few rows are left, so the payload joins a broadcast of them.
-        return chunks.select("chunk_id", "repo_id", "file_path", "start_line", "end_line", "code", "language").join(F.broadcast(best), "chunk_id").orderBy(F.desc("score"), "chunk_id")
+        found = chunks.select("chunk_id", "repo_id", "file_path", "start_line", "end_line", "code", "language").join(F.broadcast(best), "chunk_id")
+        return found.orderBy(F.desc("score"), "chunk_id")
+
+    def rows(self, found: DataFrame, preview: int = 200) -> DataFrame:
+        """Hits as shown: preview, line range, and the score with four digits."""
+        order = found.select("*", columns.preview(F.col("code"), preview).alias("preview"), columns.line_range(F.col("start_line"), F.col("end_line")).alias("lines"))
+        return order.withColumn("score", F.round("score", 4)).drop("code")
 
-    def search_multi(self, text: str, per_repo: int = 5) -> DataFrame:
-        """The best per_repo hits of each repository among the best overall."""
-        found = self.search(text, limit=10 * per_repo)
+    def search_multi(self, text: str, per_repo: int = 5, language: str | None = None) -> DataFrame:
+        """The best per_repo hits of each repository among the vectors nearest overall."""
+        found = self.search(text, language, limit=10 * per_repo, bm25=False)
         return hybrid.top_per_group(found, "repo_id", per_repo)
 
     def delete(self, repo_id: int) -> int:
@@ -115,9 +199,32 @@ class Engine:
         return gone
 
     def vacuum(self) -> None:
-        for name in ("repos", "chunks", "embeddings", "emb_cache", "file_state"):
-            self.table(name).vacuum()
+        for name in TABLES:
+            try:
+                self.table(name).vacuum()
+            except FileNotFoundError:  # never written
+                continue
+
+    def clear(self) -> None:
+        """Empties all tables and the index; their columns stay."""
+        for name in TABLES:
+            try:
+                self.table(name).clear()
+            except FileNotFoundError:
+                continue
+        self.build()
 
     def stats(self) -> dict:
+        """Counts of chunks, repositories, languages and characters, and of both search arms."""
         chunks = self.chunks()
-        return catalog.stats(chunks).first().asDict() | {"by_language": {r["language"]: r["n"] for r in catalog.by_language(chunks).collect()}}
+        found = catalog.stats(chunks).first().asDict() | {"by_language": {r["language"]: r["n"] for r in catalog.by_language(chunks).collect()}}
+        try:
+            words = lexical.Index.load(self.spark, f"{self.folder}/bm25").stats().first().asDict()
+        except FileNotFoundError:
+            words = {"doc_count": 0}
+        vectors = self.embeddings().count()
+        found["bm25"] = {"enabled": words["doc_count"] > 0, **words}
+        found["semantic"] = {"enabled": vectors > 0, "count": vectors}
+        found["weights"] = {"bm25_weight": self.weights[0], "semantic_weight": self.weights[1]}
+        found["cache"] = catalog.cache_size(self._read("emb_cache", schema.EMB_CACHE).withColumn("size", F.size("embedding") * 4)).first().asDict()
+        return found | {"min_score": self.settings.min_score}

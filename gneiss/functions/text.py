@@ -126,3 +126,16 @@ def repo_key(path: Column) -> Column:
 
 def stripped_length(code: Column) -> Column:
     return F.length(F.regexp_replace(code, r"^\s+|\s+$", ""))
+
+
+def hash_64(code: Column) -> Column:
+    """The first 64 bits of the MD5, as an unsigned decimal."""
+    return F.conv(F.substring(F.md5(code.cast("binary")), 1, 16), 16, 10)
+
+
+def encoded_names(names: Column) -> Column:
+    return F.to_json(names)
+
+
+def decoded_names(encoded: Column) -> Column:
+    return F.from_json(encoded, "array<string>")

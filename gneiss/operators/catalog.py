@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +63,57 @@ def cache_key(model: str, code) -> F.Column:
     return F.substring(F.sha2(F.concat(F.lit(model + ":"), code), 256), 1, 32)
 
 
-def evicted(cache: DataFrame, share: int = 5, order: str = "created_at", key: str = "key") -> DataFrame:
-    """cache without the oldest 1/share of its rows. The cut is found by a quantile of the order, without one task for all rows."""
-    n = cache.count() // share
-    if n == 0:
+def cache_size(cache: DataFrame, size: str = "size") -> DataFrame:
+    """One row: entries and their summed size."""
+    return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("size"))
+
+
+def evicted(cache: DataFrame, share: int = 5, order: str = "created_at", key: str = "key", size: str | None = None, most: int = 0) -> DataFrame:
+    """cache without the oldest 1/share of its rows, in the order of order (nulls first) and key; with size only where its sum is above most.
+
+    The value of order at the cut is found by counts over ever finer ranges, so no task takes the rows that go; only rows
+    that share this one value are sorted by key."""
+    stats = cache.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("size") if size else F.lit(0).alias("size")).first()
+    n = stats["n"] // share
+    if n == 0 or (size and stats["size"] <= most):
         return cache
-    oldest = cache.select(order, key).orderBy(order, key).limit(n)
-    return cache.join(oldest.select(key), key, "left_anti")
+    number = F.unix_micros(order) if dict(cache.dtypes)[order] == "timestamp" else F.col(order)
+    value = F.coalesce(number.cast("double"), F.lit(-1e300))
+    low, high = cache.agg(F.min(value), F.max(value)).first()
+    before = 0  # rows below low; up to high there are n or more
+    while high > low:
+        slot = F.least(F.floor((value - low) / F.lit((high - low) / 1024)), F.lit(1023))
+        slots = cache.filter((value >= low) & (value <= high)).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+        for r in sorted(slots.collect()):  # 1024 rows at most
+            low, high = r["low"], r["high"]
+            if before + r["n"] >= n:
+                break
+            before += r["n"]
+    going = cache.filter(value == low).select(key).orderBy(key).limit(n - before)
+    return cache.filter(value > low).unionByName(cache.filter(value == low).join(going, key, "left_anti"))
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
 
 
+def for_embedding(chunks: DataFrame, repo_id: int | None = None, path: str = "file_path") -> DataFrame:
+    """The chunks of a repository, or with None or 0 of all, in the order of path and first line."""
+    own = chunks.filter(F.col("repo_id") == repo_id) if repo_id else chunks
+    return own.orderBy(path, "start_line")
+
+
+def replace_files(chunks: DataFrame, new: DataFrame, changed: DataFrame, path: str = "file_path") -> DataFrame:
+    """chunks without those of changed paths, and the new ones of these."""
+    return chunks.join(changed.select(path).distinct(), path, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def mark_embedded(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """chunks whose embedding_id names their vector's row, null where there is none."""
+    has = embeddings.select(key, F.lit(True).alias("_has"))
+    return chunks.join(has, key, "left").withColumn("embedding_id", F.when(F.col("_has"), F.col(key))).drop("_has")
+
+
 class Table:
     """A Parquet table under a pointer: writers fill a new folder and then move the pointer; a read plan keeps its folder."""
 
@@ -93,24 +133,46 @@ class Table:
         return sorted(int(x[1:]) for x in found if x.startswith("v") and x[1:] in done)
 
     def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.at())
+
+    def at(self) -> str:
+        """The folder of the present version."""
         versions = self._versions()
         if not versions:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/v{versions[-1]}")
+        return f"{self.path}/v{versions[-1]}"
+
+    def _delete(self, name: str) -> None:
+        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    @contextmanager
+    def version(self):
+        """The folder of a new version; the pointer moves to it when the block ends without an error."""
+        number = max([0, *self._versions()]) + 1
+        self._delete(f"v{number}")  # left by a writer that failed
+        yield f"{self.path}/v{number}"
+        self._fs().create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{number}")).close()
 
     def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        version = max([0, *self._versions()]) + 1
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.path}/v{version}")
-        self._fs().create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{version}")).close()
+        with self.version() as to:
+            df.write.partitionBy(*partition_by).parquet(to)
         return self.read()
 
+    def clear(self) -> DataFrame:
+        """An empty version with the same columns."""
+        return self.write(self.read().limit(0))
+
     def append(self, df: DataFrame) -> DataFrame:
         return self.write(self.read().unionByName(df) if self._versions() else df)
 
     def vacuum(self, files: int | None = None, keep: int = 1) -> DataFrame:
         """Rewrites the table into few files and deletes older versions."""
         now = self.write(self.read().coalesce(files) if files else self.read())
+        self.forget(keep)
+        return now
+
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all versions but the latest ones; with two kept, plans over the one before still read."""
         for v in self._versions()[:-keep]:
             for name in (f"done-{v}", f"v{v}"):
-                self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
-        return now
+                self._delete(name)

@@ -38,5 +38,5 @@ def duplicates(chunks: DataFrame, key: str = "ast_hash") -> DataFrame:
     return chunks.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def with_hash(chunks: DataFrame, ast_hash: str) -> DataFrame:
-    return chunks.filter(F.col("ast_hash") == ast_hash).orderBy("file_path", "start_line")
+def with_hash(chunks: DataFrame, ast_hash: str, path: str = "file_path") -> DataFrame:
+    return chunks.filter(F.col("ast_hash") == ast_hash).orderBy(path, "start_line")

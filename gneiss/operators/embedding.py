@@ -40,23 +40,67 @@ class HashingEmbedder:
         return np.divide(out, length, out=out, where=length > 0)
 
 
-def embed(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, key: str = "chunk_id", code: str = "code") -> tuple[DataFrame, DataFrame]:
-    """(key, embedding) for each chunk, and the new rows of the cache (key, model, embedding)."""
-    keyed = chunks.select(key, F.col(code).alias("code"), cache_key(embedder.name, F.coalesce(F.col(code), F.lit(""))).alias("key"))
+class QuantisedEmbedder:
+    """Another embedder's vectors, each component as one of 255 steps of the vector's largest."""
+
+    def __init__(self, inner: Embedder):
+        self.inner, self.name, self.size = inner, f"{inner.name}-int8", inner.size
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        x = self.inner.embed(texts)
+        most = np.abs(x).max(axis=1, keepdims=True) if len(x) else x
+        scale = np.where(most > 0, most / 127, 1)
+        return (np.rint(x / scale) * scale).astype(np.float32)
+
+
+def cut_words(text: str, most: int) -> str:
+    """The beginning of text with at most so many words, as models of a limited length take it."""
+    words = text.split(None, most)
+    return text if len(words) <= most else text[: len(text) - len(words[-1])].rstrip()
+
+
+def batches_of(texts: list[str], size: int, most_chars: int) -> Iterator[list[str]]:
+    """Texts in order, size at a time, fewer where they are long."""
+    batch, chars = [], 0
+    for t in texts:
+        if batch and (len(batch) == size or chars + len(t) > most_chars):
+            yield batch
+            batch, chars = [], 0
+        batch.append(t)
+        chars += len(t)
+    if batch:
+        yield batch
+
+
+def missing(chunks: DataFrame, model: str, cache: DataFrame | None, key: str = "chunk_id", code: str = "code") -> DataFrame:
+    """key and code of the distinct texts that the cache doesn't hold."""
+    keyed = chunks.select(F.col(code).alias("code"), cache_key(model, F.coalesce(F.col(code), F.lit(""))).alias("key"))
     texts = keyed.groupBy("key").agg(F.min("code").alias("code"))
-    missing = texts.join(cache.select("key"), "key", "left_anti") if cache is not None else texts
+    return texts.join(cache.select("key"), "key", "left_anti") if cache is not None else texts
+
+
+def embed(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, key: str = "chunk_id", code: str = "code", batch_size: int = 64, most_words: int = 512, most_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+    """(key, embedding) for each chunk, and the new rows of the cache (key, model, embedding).
+
+    batch_size texts go to the embedder at a time, fewer where they hold more than most_chars; of each the first most_words."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(embedder.embed(batch.fillna("").tolist())))
+            texts = [cut_words(t, most_words) for t in batch.fillna("").tolist()]
+            yield pd.Series([v for part in batches_of(texts, batch_size, most_chars) for v in embedder.embed(part)])
+
+    new = missing(chunks, embedder.name, cache, key, code).select("key", F.lit(embedder.name).alias("model"), run("code").alias("embedding"))
+    return vectors(chunks, embedder, new.unionByName(cache.select("key", "model", "embedding")) if cache is not None else new, key, code), new
+
 
-    new = missing.select("key", F.lit(embedder.name).alias("model"), run("code").alias("embedding"))
-    every = new.unionByName(cache.select("key", "model", "embedding")) if cache is not None else new
-    return keyed.select(key, "key").join(every.select("key", "embedding"), "key").select(key, "embedding"), new
+def vectors(chunks: DataFrame, embedder: Embedder, cache: DataFrame, key: str = "chunk_id", code: str = "code") -> DataFrame:
+    """(key, embedding) for each chunk whose text the cache holds."""
+    keyed = chunks.select(key, cache_key(embedder.name, F.coalesce(F.col(code), F.lit(""))).alias("key"))
+    return keyed.join(cache.select("key", "embedding"), "key").select(key, "embedding")
 
 
-def classify_files(files: DataFrame, content: str = "content") -> DataFrame:
+def classify_files(files: DataFrame, content: str = "content", most_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
     """files with skip: oversize, blank, or null for those to be embedded."""
     c = F.col(content)
-    return files.withColumn("skip", F.when(F.octet_length(c) > fixed.MAX_FILE_BYTES, "oversize").when(c.isNull() | (F.trim(c) == ""), "blank"))
+    return files.withColumn("skip", F.when(F.octet_length(c) > most_bytes, "oversize").when(c.isNull() | (F.trim(c) == ""), "blank"))

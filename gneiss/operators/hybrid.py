@@ -34,8 +34,10 @@ def _minmax(hits: DataFrame) -> DataFrame:
     return hits.crossJoin(F.broadcast(ends)).withColumn("score", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)).drop("lo", "hi")
 
 
-def top(fused: DataFrame, k: int, key: str = "chunk_id", digits: int = 4) -> DataFrame:
-    return fused.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), key).limit(k)
+def top(fused: DataFrame, k: int, key: str = "chunk_id", digits: int | None = 4) -> DataFrame:
+    """The k best by score, ties by key; rounded when all is ranked, with digits None not at all."""
+    best = fused.orderBy(F.desc("score"), key).limit(k)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
 def explain(ranked: DataFrame, w: tuple[float, float], key: str = "chunk_id", rows: int = 10, digits: int = 4) -> DataFrame:
@@ -48,7 +50,7 @@ def explain(ranked: DataFrame, w: tuple[float, float], key: str = "chunk_id", ro
 
 
 def top_per_group(hits: DataFrame, group: str, n: int, over: int = 10, key: str = "chunk_id") -> DataFrame:
-    """Of the best over * n hits, n at most of each group, in rank order."""
+    """Of the best over * n hits, n at most of each group, in rank order; hits with scores as they are, not rounded."""
     best = hits.orderBy(F.desc("score"), key).limit(over * n)
     order = Window.partitionBy(group).orderBy(F.desc("score"), key)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)

@@ -98,6 +98,23 @@ def symbols_of(code: str, language: str | None, dedupe: bool = False) -> list[di
     return found
 
 
+# Short rules, name in group 1, for texts without a syntax tree.
+SHORT_RULES = {
+    "python": [("class", r"class\s+(\w+)"), ("function", r"def\s+(\w+)\s*\("), ("import", r"(?:from\s+)?import\s+(\w+)")],
+    "javascript": [("class", r"class\s+(\w+)"), ("function", r"(?:function|const|let|var)\s+(\w+)\s*="), ("import", r"import\s+.*\s+from\s+['\"](\w+)")],
+}
+
+
+def _by_short_rules(code: str, language: str) -> dict:
+    """symbols only, each on one line."""
+    found = []
+    for kind, pattern in SHORT_RULES.get(language, []):
+        for m in re.finditer(pattern, code):
+            line = code.count("\n", 0, m.start()) + 1
+            found.append(_symbol(m.group(1), kind, line, line))
+    return {"symbols": found, "imports": [], "calls": []}
+
+
 def parsed(code: str, language: str | None) -> dict:
     """symbols, imports, calls and error of a text: by syntax tree for Python, by rules otherwise."""
     if language != "python":
@@ -106,7 +123,7 @@ def parsed(code: str, language: str | None) -> dict:
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError) as e:
-        return {"symbols": [], "imports": [], "calls": [], "error": str(e)}
+        return _by_short_rules(code, language) | {"error": str(e)}
     found, imports, calls = [], set(), set()
 
     def visit(node, parent):

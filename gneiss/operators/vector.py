@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.operators.catalog import Table
+
 #: Queries and rows in a block: 2048 x 2048 products take 32 MB in double precision.
 BLOCK = 2048
 
@@ -55,12 +57,14 @@ def score_column(metric: str, a: Column, b: Column) -> Column:
     return cosine(a, b) if metric == "ip" else squared_distance(a, b)
 
 
-def knn(vectors: DataFrame, query: DataFrame, k: int = 10, metric: str = "ip", key: str = "chunk_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+def knn(vectors: DataFrame, query: DataFrame, k: int = 10, metric: str = "ip", key: str = "chunk_id", vector: str = "embedding", digits: int | None = 6) -> DataFrame:
     """key and score of the k nearest rows to the one vector in query (column q). Filter vectors before, not after.
 
-    The query is a single row, so it is broadcast; the rest is one scan with a top-k."""
-    scored = vectors.crossJoin(F.broadcast(query.limit(1))).select(key, F.round(score_column(metric, as_double(vector), as_double("q")), digits).alias("score"))
-    return scored.orderBy(F.desc("score") if metric == "ip" else "score", key).limit(k)
+    The query is a single row, so it is broadcast; the rest is one scan with a top-k. Scores are rounded when all is
+    ranked, with digits None not at all."""
+    scored = vectors.crossJoin(F.broadcast(query.limit(1))).select(key, score_column(metric, as_double(vector), as_double("q")).alias("score"))
+    best = scored.orderBy(F.desc("score") if metric == "ip" else "score", key).limit(k)
+    return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
 def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -84,16 +88,29 @@ def _finite(v: str) -> Column:
     return F.col(v).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows of x and y, summed in the order of the components, so that equal rows give equal bits."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += x[:, j] * y[:, j]
+    return total
+
+
+#: What a matrix product of unit vectors may differ by from the sum in order.
+SLACK = 1e-9
+
+
 def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, id and score of the k best rows of each query."""
-    scores = np.round(_unit(queries) @ _unit(rows).T, 6) + 0.0
-    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
-    q, c = np.nonzero(scores >= least)
-    order = np.lexsort((ids[c], -scores[q, c], q))
-    q, c = q[order], c[order]
+    """query_id, id and score of the k best rows of each query: a matrix product picks them, and their scores are computed again one by one."""
+    rough = _unit(queries) @ _unit(rows).T
+    least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k, None] - SLACK if len(ids) > k else -np.inf
+    q, c = np.nonzero(rough >= least)
+    length = np.sqrt(_dots(queries, queries))[q] * np.sqrt(_dots(rows, rows))[c]
+    scores = np.divide(_dots(queries[q], rows[c]), length, out=np.zeros(len(q)), where=length > 0)
+    order = np.lexsort((ids[c], -scores, q))
+    q, c, scores = q[order], c[order], scores[order]
     stays = np.arange(len(q)) - np.searchsorted(q, q) < k
-    q, c = q[stays], c[stays]
-    return query_ids[q], ids[c], scores[q, c]
+    return query_ids[q[stays]], ids[c[stays]], scores[stays]
 
 
 def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
@@ -125,7 +142,7 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
     tile = [*on, "row", "column"]
     found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, f"query_id long, {key} long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -213,3 +230,44 @@ def knn_cells_batch(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
     """knn_batch among the nprobe cells nearest to each query; each cell's vectors meet only the queries that probe it."""
     asked = cell_order(queries, centroids, nprobe).select("cell", "query_id", "q")
     return _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), asked, k, key)
+
+
+class CellIndex:
+    """Vectors stored in a folder for each cell, with the centroids beside them; a search reads the folders of its cells."""
+
+    def __init__(self, path: str, rows: DataFrame, centroids: DataFrame, key: str, vector: str):
+        self.path, self.rows, self.centroids, self.key, self.vector = path, rows, centroids, key, vector
+
+    @staticmethod
+    def build(vectors: DataFrame, centroids: DataFrame, path: str, key: str = "chunk_id", vector: str = "embedding") -> CellIndex:
+        table = Table(vectors.sparkSession, path)
+        with table.version() as to:
+            centroids.select("cell", "c").write.parquet(f"{to}/centroids")
+            known = vectors.sparkSession.read.parquet(f"{to}/centroids")
+            # A cell may hold any share of the vectors, so its rows come from several tasks.
+            with_cells(vectors, known, key, vector).repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).write.partitionBy("cell").parquet(f"{to}/rows")
+        return CellIndex.load(vectors.sparkSession, path, key, vector)
+
+    @staticmethod
+    def load(spark, path: str, key: str = "chunk_id", vector: str = "embedding") -> CellIndex:
+        at = Table(spark, path).at()
+        return CellIndex(path, spark.read.parquet(f"{at}/rows"), spark.read.parquet(f"{at}/centroids"), key, vector)
+
+    def search(self, query: DataFrame, k: int = 10, nprobe: int = 10, digits: int | None = 6) -> DataFrame:
+        """knn among the nprobe cells nearest to the one vector in query (column q)."""
+        cells = [r["cell"] for r in probe(query, self.centroids, nprobe).collect()]  # nprobe rows
+        return knn(self.rows.filter(F.col("cell").isin(cells)), query, k, key=self.key, vector=self.vector, digits=digits)
+
+    def search_batch(self, queries: DataFrame, k: int = 10, nprobe: int = 10) -> DataFrame:
+        return knn_cells_batch(self.rows, queries, self.centroids, k, nprobe, self.key, self.vector)
+
+
+def store_quantised(vectors: DataFrame, path: str, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """Writes key, values (int8) and scale."""
+    q = quantised(as_double(vector))
+    return Table(vectors.sparkSession, path).write(vectors.filter(F.col(vector).isNotNull()).select(key, q.alias("q")).select(key, "q.values", "q.scale"))
+
+
+def load_quantised(spark, path: str, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """key and vector, as far as int8 values tell, from what store_quantised wrote."""
+    return Table(spark, path).read().select(key, F.transform("values", lambda x: x * F.col("scale")).alias(vector))

@@ -62,31 +62,31 @@ _TOK = r"""base AS (SELECT doc_id, lang, source, list_filter(regexp_extract_all(
 
 def _bm25(terms: list[str], base: str = _TOK) -> str:
     """CTEs up to sc(doc_id, sc, terms)."""
-    values = ", ".join(f"('{t}')" for t in terms)
+    values = ", ".join(f"('{t}', {i})" for i, t in enumerate(terms))
     return f"""WITH {base}, tok AS (SELECT doc_id, unnest(t) term FROM base),
 p AS (SELECT doc_id, term, count(*)::DOUBLE tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, lang, source, len(t)::DOUBLE dl FROM base),
 st AS (SELECT count(*)::DOUBLE n, avg(dl) av FROM dl), df AS (SELECT term, count(*)::DOUBLE df FROM p GROUP BY term),
-asked AS (SELECT * FROM (VALUES {values}) v(term)),
-sc AS (SELECT p.doc_id, dl.lang, dl.source, sum(ln((n-df+0.5::DOUBLE)/(df+0.5::DOUBLE)+1.0::DOUBLE) * (tf*2.5::DOUBLE)
-  / (tf + 1.5::DOUBLE*(0.25::DOUBLE + 0.75::DOUBLE*dl/av))) sc, string_agg(DISTINCT p.term, ',' ORDER BY p.term) terms
+asked AS (SELECT * FROM (VALUES {values}) v(term, place)),
+sc AS (SELECT p.doc_id, dl.lang, dl.source, list_reduce(list(ln((n-df+0.5::DOUBLE)/(df+0.5::DOUBLE)+1.0::DOUBLE) * ((tf*2.5::DOUBLE)
+  / (tf + 1.5::DOUBLE*(0.25::DOUBLE + 0.75::DOUBLE*dl/av))) ORDER BY place), lambda a, b: a + b) sc, string_agg(DISTINCT p.term, ',' ORDER BY p.term) terms
   FROM asked JOIN p USING (term) JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY ALL)"""
 
 
 # Lexical ranking
 
 
-@query(_bm25(TERMS) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY score DESC, doc_id LIMIT 20")
+@query(_bm25(TERMS) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY sc DESC, doc_id LIMIT 20")
 def bm25_topk(spark, sf_dir):
     return lexical.top(lexical.search(_tokenised(spark, sf_dir), TERMS, "doc_id"), 20, "doc_id").select("doc_id", "score")
 
 
-@query(_bm25(TERMS) + " SELECT doc_id, lang, round(sc, 4) score FROM sc WHERE lang = 'en' ORDER BY score DESC, doc_id LIMIT 20")
+@query(_bm25(TERMS) + " SELECT doc_id, lang, round(sc, 4) score FROM sc WHERE lang = 'en' ORDER BY sc DESC, doc_id LIMIT 20")
 def bm25_lang_filter(spark, sf_dir):
     found = lexical.search(_tokenised(spark, sf_dir, "lang"), TERMS, "doc_id", ("lang",))
     return lexical.top(found.filter("lang = 'en'"), 20, "doc_id").select("doc_id", "lang", "score")
 
 
-@query(_bm25(REPEATED) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY score DESC, doc_id LIMIT 20")
+@query(_bm25(REPEATED) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY sc DESC, doc_id LIMIT 20")
 def bm25_dup_terms(spark, sf_dir):
     return lexical.top(lexical.search(_tokenised(spark, sf_dir), REPEATED, "doc_id"), 20, "doc_id").select("doc_id", "score")
 
@@ -101,7 +101,7 @@ def bm25_scores(spark, sf_dir):
     return lexical.search(_tokenised(spark, sf_dir), TERMS, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query(_bm25(TERMS, _TOK.replace("FROM documents)", "FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500))")) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY score DESC, doc_id LIMIT 20")
+@query(_bm25(TERMS, _TOK.replace("FROM documents)", "FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 500))")) + " SELECT doc_id, round(sc, 4) score FROM sc ORDER BY sc DESC, doc_id LIMIT 20")
 def bm25_chunk_limit(spark, sf_dir):
     """The build's own limit: the first 500 chunks by id are the corpus."""
     rows = _tokenised(spark, sf_dir).orderBy("doc_id").limit(500)
@@ -158,38 +158,38 @@ def keyword_search(spark, sf_dir):
 # Vectors
 
 _Q = f"q AS (SELECT embedding::DOUBLE[] q FROM embeddings WHERE vec_id = {ASKED} LIMIT 1)"
-_COS = "round(list_cosine_similarity(embedding::DOUBLE[], q), 6)"
+_COS = "list_cosine_similarity(embedding::DOUBLE[], q)"
 
 
-@query(f"WITH {_Q} SELECT vec_id, {_COS} score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {_Q} SELECT vec_id, round({_COS}, 6) score FROM embeddings, q ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def knn_cosine(spark, sf_dir):
     return vector.knn(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), key="vec_id")
 
 
-@query(f"WITH {_Q} SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda z: (z[1]-z[2])*(z[1]-z[2]))), 6) score FROM embeddings, q ORDER BY score, vec_id LIMIT 10")
+@query(f"WITH {_Q} SELECT vec_id, round(s, 6) score FROM (SELECT vec_id, list_sum(list_transform(list_zip(embedding::DOUBLE[], q), lambda z: (z[1]-z[2])*(z[1]-z[2]))) s FROM embeddings, q) ORDER BY s, vec_id LIMIT 10")
 def knn_l2(spark, sf_dir):
     return vector.knn(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), key="vec_id", metric="l2")
 
 
-@query(f"WITH {_Q} SELECT vec_id, {_COS} score FROM embeddings, q WHERE label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {_Q} SELECT vec_id, round({_COS}, 6) score FROM embeddings, q WHERE label IN (1, 3, 5) ORDER BY {_COS} DESC, vec_id LIMIT 10")
 def knn_filtered(spark, sf_dir):
     wanted = spark.createDataFrame([(1,), (3,), (5,)], "label int")
     rows = table(spark, sf_dir, "embeddings").join(F.broadcast(wanted), "label", "left_semi")
     return vector.knn(rows, _asked(spark, sf_dir), key="vec_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) score
+@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) score
 FROM embeddings c JOIN embeddings q ON q.vec_id < 8)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
+SELECT query_id, rank, vec_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
 def knn_batch(spark, sf_dir):
     """Eight stated queries; knn_batch_all has the whole query set."""
     rows = table(spark, sf_dir, "embeddings")
     return vector.knn_batch(rows, _queries(rows.filter("vec_id < 8")), key="vec_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) score
+@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) score
 FROM embeddings c JOIN embeddings q ON q.vec_id % 50 = 0)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
+SELECT query_id, rank, vec_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
 def knn_batch_all(spark, sf_dir):
     """Every row whose id is divisible by 50 as query, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
@@ -215,8 +215,8 @@ _CELLS = """c AS (SELECT vec_id::INT cell, embedding::DOUBLE[] c FROM embeddings
 a AS (SELECT vec_id, embedding, arg_max(cell, (round(list_cosine_similarity(embedding::DOUBLE[], c), 9), -cell)) cell FROM embeddings, c GROUP BY vec_id, embedding)"""
 
 
-@query(f"""WITH {_Q}, {_CELLS}, near AS (SELECT cell FROM c, q ORDER BY round(list_cosine_similarity(c, q), 9) DESC, cell LIMIT 4)
-SELECT vec_id, {_COS} score FROM a, q WHERE cell IN (SELECT cell FROM near) ORDER BY score DESC, vec_id LIMIT 10""")
+@query(f"""WITH {_Q}, {_CELLS}, near AS (SELECT cell FROM c, q ORDER BY list_cosine_similarity(c, q) DESC, cell LIMIT 4)
+SELECT vec_id, round({_COS}, 6) score FROM a, q WHERE cell IN (SELECT cell FROM near) ORDER BY {_COS} DESC, vec_id LIMIT 10""")
 def ivf_probe(spark, sf_dir):
     """Cells of the first 16 vectors as stated centroids; every vector is assigned, four cells are probed."""
     rows = table(spark, sf_dir, "embeddings")
@@ -252,31 +252,34 @@ def vector_count_by_label(spark, sf_dir):
 
 
 def _fused(spark, sf_dir, k: int = 20, w=(0.5, 0.5), least: float = hybrid.MIN_SCORE) -> DataFrame:
-    words = lexical.top(lexical.search(_tokenised(spark, sf_dir), TERMS, "doc_id"), 2 * k, "doc_id")
-    near = vector.knn(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 2 * k, key="vec_id").withColumnRenamed("vec_id", "doc_id")
+    words = lexical.top(lexical.search(_tokenised(spark, sf_dir), TERMS, "doc_id"), 2 * k, "doc_id", None)
+    near = vector.knn(table(spark, sf_dir, "embeddings"), _asked(spark, sf_dir), 2 * k, key="vec_id", digits=None).withColumnRenamed("vec_id", "doc_id")
     return hybrid.fuse(words, near, w, "doc_id", least)
 
 
 def _hybrid(w: tuple[float, float] = (0.5, 0.5), least: float = 0.01, k: int = 20) -> str:
-    return _bm25(TERMS) + f""", {_Q}, lx AS (SELECT doc_id, round(sc, 4) b FROM sc ORDER BY b DESC, doc_id LIMIT {2 * k}),
+    return _bm25(TERMS) + f""", {_Q}, lx AS (SELECT doc_id, sc b FROM sc ORDER BY b DESC, doc_id LIMIT {2 * k}),
 vx AS (SELECT vec_id doc_id, {_COS} s FROM embeddings, q ORDER BY s DESC, doc_id LIMIT {2 * k}),
 f AS (SELECT doc_id, coalesce(b, 0.0::DOUBLE) b, coalesce(s, 0.0::DOUBLE) s FROM lx FULL JOIN vx USING (doc_id)),
 h AS (SELECT doc_id, b, s, {w[0]}::DOUBLE * b + {w[1]}::DOUBLE * s score, CASE WHEN b > 0 AND s = 0 THEN 'bm25_only' WHEN s > 0 AND b = 0 THEN 'semantic_only' ELSE 'hybrid' END result_type
   FROM f WHERE {w[0]}::DOUBLE * b + {w[1]}::DOUBLE * s >= {least}::DOUBLE)"""
 
 
-#: Inputs have up to six digits and weights two, so eight digits never round half a digit, where engines differ.
-_HIT = ["doc_id", "score", "bm25_score", "semantic_score", "result_type"]
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "score", F.round("bm25_score", 6).alias("bm25_score"), F.round("semantic_score", 6).alias("semantic_score"), "result_type")
 
 
-@query(_hybrid() + " SELECT doc_id, round(score, 8) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
+_HIT_SQL = "doc_id, round(score, 8) score, round(b, 6) bm25_score, round(s, 6) semantic_score, result_type FROM h ORDER BY h.score DESC, doc_id LIMIT 20"
+
+
+@query(_hybrid() + " SELECT " + _HIT_SQL)
 def hybrid_topk(spark, sf_dir):
-    return hybrid.top(_fused(spark, sf_dir), 20, "doc_id", 8).select(*_HIT)
+    return _hits(hybrid.top(_fused(spark, sf_dir), 20, "doc_id", 8))
 
 
-@query(_hybrid((0.25, 0.75)) + " SELECT doc_id, round(score, 8) score, b bm25_score, s semantic_score, result_type FROM h ORDER BY score DESC, doc_id LIMIT 20")
+@query(_hybrid((0.25, 0.75)) + " SELECT " + _HIT_SQL)
 def hybrid_weights(spark, sf_dir):
-    return hybrid.top(_fused(spark, sf_dir, w=hybrid.weights(1, 3)), 20, "doc_id", 8).select(*_HIT)
+    return _hits(hybrid.top(_fused(spark, sf_dir, w=hybrid.weights(1, 3)), 20, "doc_id", 8))
 
 
 @query(_hybrid(least=0.4) + " SELECT doc_id, round(score, 8) score FROM h")
@@ -289,18 +292,19 @@ def hybrid_result_type(spark, sf_dir):
     return _fused(spark, sf_dir).groupBy("result_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_hybrid() + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT rank FROM (SELECT * REPLACE (round(score, 8) AS score) FROM h ORDER BY score DESC, doc_id LIMIT 20))
+@query(_hybrid() + """, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id)::INT rank FROM (SELECT * FROM h ORDER BY score DESC, doc_id LIMIT 20))
 SELECT rank, doc_id, round(score, 8) score, round(0.5::DOUBLE * b, 8) bm25_part, round(0.5::DOUBLE * s, 8) semantic_part,
 CASE WHEN score > 0 THEN round(100 * (0.5::DOUBLE * b) / score, 1) ELSE 0.0::DOUBLE END bm25_percent, CASE WHEN score > 0 THEN round(100 * (0.5::DOUBLE * s) / score, 1) ELSE 0.0::DOUBLE END semantic_percent FROM r WHERE rank <= 10""")
 def hybrid_explain(spark, sf_dir):
-    return hybrid.explain(hybrid.top(_fused(spark, sf_dir), 20, "doc_id", 8), (0.5, 0.5), "doc_id", digits=8)
+    return hybrid.explain(hybrid.top(_fused(spark, sf_dir), 20, "doc_id", None), (0.5, 0.5), "doc_id", digits=8)
 
 
-@query(_bm25(TERMS) + """, best AS (SELECT doc_id, source, round(sc, 4) score FROM sc ORDER BY score DESC, doc_id LIMIT 50)
-SELECT doc_id, source, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INT rank FROM best) WHERE rank <= 5""")
+@query(_bm25(TERMS) + """, best AS (SELECT doc_id, source, sc score FROM sc ORDER BY score DESC, doc_id LIMIT 50)
+SELECT doc_id, source, round(score, 4) score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id)::INT rank FROM best) WHERE rank <= 5""")
 def multi_source_topn(spark, sf_dir):
-    found = lexical.search(_tokenised(spark, sf_dir, "source"), TERMS, "doc_id", ("source",)).withColumn("score", F.round("score", 4))
-    return hybrid.top_per_group(found.select("doc_id", "source", "score"), "source", 5, key="doc_id")
+    found = lexical.search(_tokenised(spark, sf_dir, "source"), TERMS, "doc_id", ("source",))
+    best = hybrid.top_per_group(found.select("doc_id", "source", "score"), "source", 5, key="doc_id")
+    return best.withColumn("score", F.round("score", 4))
 
 
 # Chunks
@@ -460,13 +464,13 @@ def _requests(spark, sf_dir) -> DataFrame:
 
 @query()
 def debounce_replay(spark, sf_dir):
-    """Acceptance feeds back; tested against a plain loop."""
+    """Of each user's events of a type those that come six hours or more after the last one that passed."""
     return replay.debounce(_requests(spark, sf_dir), ["user_id", "event_type"], gap_us=6 * 3_600_000_000)
 
 
 @query()
 def rate_limit_replay(spark, sf_dir):
-    """Acceptance feeds back; tested against a plain loop."""
+    """Three accepted requests a client and day; rejected ones don't count."""
     return replay.rate_limit(_requests(spark, sf_dir), "user_id", limit=3, window_us=24 * 3_600_000_000)
 
 

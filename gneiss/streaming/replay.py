@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions import text
@@ -33,28 +33,43 @@ def _debounced(times: list[int], last: int | None, gap: int) -> tuple[list[int],
     return passed, last
 
 
+def _stretches(events: DataFrame, key: list[str], at: str, gap_us: int) -> tuple[DataFrame, list[str]]:
+    """events with _stretch, a number that grows where an event comes gap_us or more after the one before; and the order of events.
+
+    Nothing before such a gap matters behind it, so a key's stretches can be worked through apart."""
+    order = [at, *(c for c in events.columns if c not in (at, *key))]
+    before = Window.partitionBy(*key).orderBy(*order)
+    far = F.col(at) - F.lag(at).over(before) >= gap_us
+    return events.withColumn("_stretch", F.sum(F.when(far, 1).otherwise(0)).over(before)), order
+
+
 def debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
-    """Of each key's events those that come gap_us or more after the last one passed. Acceptance feeds back, so each key's
-    events are worked through in order; a key's times travel in blocks of an iterator, not as one frame."""
+    """Of each key's events those that come gap_us or more after the last one passed, of equal times the first in the order
+    of the other columns. Acceptance feeds back, so events are worked through in order, a stretch without a gap at a time."""
+    parted, order = _stretches(events, key, at, gap_us)
+    names = [f.name for f in events.schema]
 
-    def run(_, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at, kind="stable")
+    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
         passed, keep = None, []
         for t in frame[at].tolist():
             ok = passed is None or t - passed >= gap_us
             keep.append(ok)
             passed = t if ok else passed
-        return frame[keep]
+        return frame[keep][names]
 
-    return events.groupBy(*key).applyInPandas(run, events.schema)
+    return parted.groupBy(*key, "_stretch").applyInPandas(run, events.schema)
 
 
 def rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int = 60, window_us: int = 60_000_000) -> DataFrame:
     """requests with accepted: fewer than limit accepted ones of the client lie within the window before; rejected ones don't count."""
     from collections import deque
 
-    def run(_, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at, kind="stable")
+    parted, order = _stretches(requests, [client], at, window_us)
+    names = [*(f.name for f in requests.schema), "accepted"]
+
+    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
         taken, ok = deque(), []
         for t in frame[at].tolist():
             while taken and taken[0] <= t - window_us:
@@ -62,10 +77,10 @@ def rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int =
             ok.append(len(taken) < limit)
             if ok[-1]:
                 taken.append(t)
-        return frame.assign(accepted=ok)
+        return frame.assign(accepted=ok)[names]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean"
-    return requests.groupBy(client).applyInPandas(run, schema)
+    return parted.groupBy(client, "_stretch").applyInPandas(run, schema)
 
 
 def stream_debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
