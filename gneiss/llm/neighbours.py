@@ -1,11 +1,13 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into blocks of bounded size by a hash of their ids; each pair of a query block and a
-candidate block is one tile, worked on by one task. In a tile both sides are quantised to int8 with one scale a vector
-and multiplied as matrices (integers that float32 holds exactly). With x = s q + e, the error of a product is at most
-|s q| |e'| + |e| |x'|, so a pair whose upper bound lies below the k-th largest lower bound of its query can't be among
-the nearest; the rest is computed in double precision from the original vectors and goes through a heap of k for each
-query. The tiles' heaps are merged by a top-k for each query that also runs before the shuffle. The result is exact.
+Queries and candidates are dealt into parts of bounded size by a hash of their ids; each pair of a part of queries and a
+part of candidates is one tile, worked on by one task. There, blocks of candidates stream past each block of queries. A
+block of either side is quantised to int8 with one scale a vector and both are multiplied as matrices. With x = s q + e,
+the error of a product is at most |s q| |e'| + |e| |x'|, and float32 adds its own where the integers are too many for it;
+so a pair whose upper bound lies below the k-th largest lower bound of its query, or below the k-th score that earlier
+blocks gave, can't be among the nearest. The rest is computed in double precision from the original vectors and goes
+through a heap of k for each query. The tiles' heaps are merged by a top-k for each query that also runs before the
+shuffle. The result is exact. A candidate is shuffled once for each part of queries, a query once for each of candidates.
 
 Equal candidates within a block are multiplied once, and of each such group only the k + 1 smallest ids can matter.
 
@@ -29,6 +31,8 @@ from gneiss.llm.shared import read_table
 
 #: Vectors in a block: 2048 x 2048 products take 32 MB in double precision.
 BLOCK = 2048
+#: Bytes of vectors in a part, of either side of a tile.
+PART_BYTES = 32 << 20
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,9 +44,10 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return q, scale, np.linalg.norm(stands, axis=1), np.linalg.norm(x - stands, axis=1), np.linalg.norm(x, axis=1)
 
 
-def shrunk(x: np.ndarray, axis: int | None) -> np.ndarray:
-    """x times a power of two (one a row, or one in all) that takes its largest component to below 1."""
-    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=axis, keepdims=True))[1])
+def shrunk(x: np.ndarray, axis: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """x times a power of two (one a row, or one in all) that takes its largest component to below 1, and the exponents."""
+    exponent = np.frexp(np.abs(x).max(axis=axis, keepdims=True))[1]
+    return np.ldexp(x, -exponent), exponent
 
 
 def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -53,8 +58,8 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query id, id, inner product) of the k nearest of each query, its own id left out."""
+def block_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[float, int]]]:
+    """For each query its nearest in the block, as (-inner product, id), k at most, its own id and what lies below floor left out."""
     _, first, group = np.unique(np.ascontiguousarray(vectors, np.float64).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
     order = np.lexsort((ids, group))
     starts = np.searchsorted(group[order], np.arange(len(first) + 1))
@@ -62,25 +67,43 @@ def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray,
     own = {int(i): g for i, g in zip(ids, group, strict=True)}
     distinct = vectors[first]
     # The order for a query survives a factor of its own and one of all candidates, so bounds neither overflow nor vanish.
-    a, b = quantised(shrunk(queries, 1)), quantised(shrunk(distinct, None))
+    (x, of_query), (y, of_block) = shrunk(queries, 1), shrunk(distinct, None)
+    a, b = quantised(x), quantised(y)
     products = (a[0].astype(np.float32) @ b[0].astype(np.float32).T).astype(np.float64) * a[1][:, None] * b[1][None, :]
     error = a[2][:, None] * b[3][None, :] + a[3][:, None] * b[4][None, :] + 1e-9 * a[4][:, None] * b[4][None, :] + 1e-140
+    dim = vectors.shape[1]
+    if dim * 127 * 127 >= 1 << 24:  # beyond, float32 rounds the sums of integers
+        error += dim * 2.0**-23 * a[2][:, None] * b[2][None, :]
     upper, lower = products + error, products - error
     for r, i in enumerate(query_ids.tolist()):
         if (g := own.get(i)) is not None and len(members[g]) == 1:
             upper[r, g] = lower[r, g] = -np.inf
+    least = np.where(np.isfinite(floor), np.ldexp(np.where(np.isfinite(floor), floor, 0), -(of_query[:, 0] + of_block[0, 0])), -np.inf)
+    least -= 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)) + 1e-140
     if len(distinct) > k:
-        least = np.partition(lower, len(distinct) - k, axis=1)[:, len(distinct) - k]
-        survivors = (upper >= least[:, None]) & (upper > -np.inf)
-    else:
-        survivors = upper > -np.inf
-    rows, columns = np.nonzero(survivors)
+        least = np.maximum(least, np.partition(lower, len(distinct) - k, axis=1)[:, len(distinct) - k])
+    rows, columns = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
     exact = inner_products(queries[rows], distinct[columns])
     found, ends = [], np.searchsorted(rows, np.arange(len(query_ids) + 1))
     for r, i in enumerate(query_ids.tolist()):
         span = slice(ends[r], ends[r + 1])
-        pairs = ((-s, j) for s, c in zip(exact[span].tolist(), columns[span].tolist(), strict=True) for j in members[c].tolist() if j != i)
-        found += [(i, j, -s) for s, j in heapq.nsmallest(k, pairs)]
+        found.append(heapq.nsmallest(k, ((-s, j) for s, c in zip(exact[span].tolist(), columns[span].tolist(), strict=True) for j in members[c].tolist() if j != i)))
+    return found
+
+
+def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, float]]:
+    """(query id, id, inner product) of the k nearest of each query, its own id left out."""
+    found = []
+    for a in range(0, len(query_ids), block):
+        own = query_ids[a : a + block]
+        best, floor = [[] for _ in own], np.full(len(own), -np.inf)
+        for b in range(0, len(ids), block):
+            near = block_neighbours(own, queries[a : a + block], ids[b : b + block], vectors[b : b + block], k, floor)
+            for r, pairs in enumerate(near):
+                if pairs:
+                    best[r] = heapq.nsmallest(k, best[r] + pairs)
+                    floor[r] = -best[r][-1][0] if len(best[r]) == k else -np.inf
+        found += [(i, j, -s) for i, pairs in zip(own.tolist(), best, strict=True) for s, j in pairs]
     return found
 
 
@@ -97,12 +120,13 @@ def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest of each vector for which is_query(vec_id column) holds."""
     rows = usable(vectors)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q")).first()
-    tall, wide = max(1, ceil(counts["q"] / block)), max(1, ceil(counts["n"] / block))
-    # Few candidates are cut into more blocks, so that a small table also occupies several tasks.
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q"), F.max(F.size("v")).alias("dim")).first()
+    part = max(block, part_bytes // (8 * max(1, counts["dim"] or 1)))
+    tall, wide = max(1, ceil(counts["q"] / part)), max(1, ceil(counts["n"] / part))
+    # Few candidates are cut into more parts, so that a small table also occupies several tasks.
     wide = max(wide, min(16, ceil(counts["n"] / 256)))
     deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -117,7 +141,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK) -> Da
         for t in (left, right):
             flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             parts += [t.column("vec_id").to_numpy(), flat.reshape(t.num_rows, -1)]
-        found = tile_neighbours(*parts, k)
+        found = tile_neighbours(*parts, k, block)
         return pa.Table.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in range(3)], schema=schema)
 
     tiles = queries.groupBy("row", "column").cogroup(candidates.groupBy("row", "column")).applyInArrow(run, "query_id long, vec_id long, score double")
