@@ -246,18 +246,12 @@ def _classes(rows: DataFrame) -> DataFrame:
     return written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
-def _labelled(docs: DataFrame, shingle: int, percent: int, fold: bool) -> DataFrame:
-    """id, row, n_shingles and component of each row of docs: the first node that its class reaches, and in first_id that node's id; both null for wordless rows."""
-    rows = written(signatures(docs, shingle, fold), "signatures")
-    classes = _classes(rows)
-    reps = rows.join(classes.select(*ROW, "set_key", "node"), [*ROW, "set_key"]).dropDuplicates(["node"])
-    bands = reps.select("node", F.explode("bands").alias("key"), *SIGNATURE)
-    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    # Bands of one node differ, but for chance; one that stands alone in its bucket compares with itself and goes.
-    hubs = written(hubs, "band-hubs")
-    total = classes.count() * BANDS
-    members = written(join_hot(bands, hubs, "key", "size", total).drop("size"), "band-members")
-    drop_written(hubs)
+def _of_node(df: DataFrame, name: str) -> DataFrame:
+    return df.select(F.col("id").alias("node"), name)
+
+
+def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, total: int, shingle: int, percent: int, fold: bool) -> DataFrame:
+    """id and component of each node with a link; members are the nodes of buckets with several, total is the number of bands."""
     release_shuffles(docs.sparkSession)
     least = least_estimate(percent / 100)
 
@@ -278,18 +272,19 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, fold: bool) -> DataFr
     drawn = written(components(first).withColumnRenamed("component", "group"), "groups")
     grouped = written(drawn.join(found, "id", "left").select(F.col("id").alias("node"), "group", F.coalesce("component", "id").alias("component")), "grouped")
     major = written(_major(grouped.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")), "group"), "majors")
-    mixed = join_hot(grouped, major, "group", "many", grouped.count())
-    mixed = written(mixed.join(members.select("node", *SIGNATURE).dropDuplicates(["node"]), "node"), "mixed-groups")
-    ids = written(classes.select(*ROW, "node").join(mixed.select("node"), "node"), "mixed-nodes")
-    grams = written(_grams(docs, ids, shingle, fold).dropDuplicates(["node"]), "mixed-sets")
-    links = written(links.unionByName(_group_links(mixed, grams, least, percent)), "group-links")
-    drop_written(grams, ids, mixed, major)
-    release_shuffles(docs.sparkSession)
-    found = written(components(links), "group-components")
+    if not major.isEmpty():
+        mixed = join_hot(grouped, major, "group", "many", grouped.count())
+        mixed = written(mixed.join(members.select("node", *SIGNATURE).dropDuplicates(["node"]), "node"), "mixed-groups")
+        ids = written(classes.select(*ROW, "node").join(mixed.select("node"), "node"), "mixed-nodes")
+        grams = written(_grams(docs, ids, shingle, fold).dropDuplicates(["node"]), "mixed-sets")
+        links = written(links.unionByName(_group_links(mixed, grams, least, percent)), "group-links")
+        drop_written(grams, ids, mixed)
+        release_shuffles(docs.sparkSession)
+        found = written(components(links), "group-components")
+    drop_written(major)
 
     # Buckets that still hold several components: members outside the largest one against those of other groups.
-    of_node = lambda df, name: df.select(F.col("id").alias("node"), name)
-    labelled = members.join(of_node(found, "component"), "node", "left").join(of_node(drawn, "group"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("group", "node").alias("group"), *SIGNATURE)
+    labelled = members.join(_of_node(found, "component"), "node", "left").join(_of_node(drawn, "group"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("group", "node").alias("group"), *SIGNATURE)
     major = written(_major(labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "key"), "majors")
     rest = written(join_hot(labelled, major, "key", "many", total).drop("few", "many"), "mixed-members")
     x, y = rest.filter("component <> major").alias("x"), rest.alias("y")
@@ -300,8 +295,25 @@ def _labelled(docs: DataFrame, shingle: int, percent: int, fold: bool) -> DataFr
     release_shuffles(docs.sparkSession)
     if not second.isEmpty():
         found = written(components(links.unionByName(confirmed(second, docs, classes, shingle, fold, percent))), "components")
+    return found
+
 
-    whole = classes.join(of_node(found, "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _labelled(docs: DataFrame, shingle: int, percent: int, fold: bool) -> DataFrame:
+    """id, row, n_shingles and component of each row of docs: the first node that its class reaches, and in first_id that node's id; both null for wordless rows."""
+    rows = written(signatures(docs, shingle, fold), "signatures")
+    classes = _classes(rows)
+    reps = rows.join(classes.select(*ROW, "set_key", "node"), [*ROW, "set_key"]).dropDuplicates(["node"])
+    bands = reps.select("node", F.explode("bands").alias("key"), *SIGNATURE)
+    hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    hubs = written(hubs, "band-hubs")
+    total = classes.count() * BANDS
+    members = written(join_hot(bands, hubs, "key", "size", total).drop("size"), "band-members")
+    drop_written(hubs)
+    # Without a bucket of several nodes there are no links.
+    linked = None if members.isEmpty() else _linked(docs, classes, members, total, shingle, percent, fold)
+    whole = classes.withColumn("component", F.col("node"))
+    if linked is not None:
+        whole = classes.join(_of_node(linked, "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = classes.select(F.col("node").alias("component"), F.col("id").alias("first_id"))
     sizes = whole.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     whole = join_hot(whole.select("set_key", "n", "component"), names.join(sizes, "component"), "component", "size", classes.count()).drop("size")
