@@ -26,6 +26,8 @@ class Engine:
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings | None = None, embedder: embedding.Embedder | None = None):
         self.spark, self.folder, self.settings = spark, folder.rstrip("/"), settings or Settings()
+        if wrong := validate.startup(self.settings):
+            raise ValueError(f"settings: {wrong}")
         self.embedder = embedder or embedding.HashingEmbedder(self.settings.embedding_size)
         self.weights = hybrid.weights(self.settings.bm25_weight, self.settings.semantic_weight)
         self.jobs, self.limiter = Jobs(), RateLimiter(self.settings.requests_per_minute)

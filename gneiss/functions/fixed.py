@@ -93,5 +93,5 @@ PYTHON_NOT_CALLS = "if while for with assert return yield print len str int floa
 COMPLEXITY_MARKS = "if elif else for while case && || ?".split()
 
 # Requests.
-MAX_QUERY, MAX_FILE_BYTES, MAX_PATH = 1000, 10 * 1024 * 1024, 4096
+MAX_QUERY, MAX_STRICT_QUERY, MAX_FILE_BYTES, MAX_PATH = 1000, 500, 10 * 1024 * 1024, 4096
 CHUNK_LINES, CHUNK_OVERLAP, MIN_CHUNK_CHARS = 50, 10, 10

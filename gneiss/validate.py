@@ -22,6 +22,36 @@ def language(name: str | None) -> str | None:
     return clean if clean in fixed.REQUEST_LANGUAGES else None
 
 
+def strict_query(text: str | None, most: int = fixed.MAX_STRICT_QUERY) -> str:
+    """The stripped query; blank, longer ones and any control character raise ValueError."""
+    text = (text or "").strip()
+    if not text or len(text) > most or any(ord(c) < 32 for c in text):
+        raise ValueError(f"a query has 1 to {most} characters and no control characters")
+    return text
+
+
+def language_name(name: str | None, known: list[str] | None = None) -> str:
+    """The stripped name; other characters than letters, digits and . _ + -, and with known unknown names, raise ValueError."""
+    name = (name or "").strip()
+    if not re.fullmatch(r"[a-zA-Z0-9._+-]+", name) or (known and name not in known):
+        raise ValueError("bad language")
+    return name
+
+
+def body_size(size: int | None, most: int = fixed.MAX_FILE_BYTES) -> None:
+    if size and size > most:
+        raise ValueError("request body too large")
+
+
+def request(values: dict) -> dict:
+    """A search request with its limits checked and defaults filled in: query, language, limit and per_repo."""
+    text = values.get("query")
+    if not isinstance(text, str) or not 1 <= len(text) <= fixed.MAX_QUERY:
+        raise ValueError(f"query must have 1 to {fixed.MAX_QUERY} characters")
+    limits = {"limit": number(values.get("limit", 10), 1, 100, "limit"), "per_repo": number(values.get("per_repo", 5), 1, 50, "per_repo")}
+    return values | limits
+
+
 def number(value, low: int, high: int, what: str) -> int:
     if isinstance(value, bool) or not re.fullmatch(r"-?\d+", str(value)) or not low <= int(value) <= high:
         raise ValueError(f"{what} must be from {low} to {high}")
@@ -82,3 +112,23 @@ def settings(values: dict, rules: dict) -> dict[str, str]:
             except ValueError as e:
                 wrong[key] = str(e)
     return wrong
+
+
+def startup(found) -> dict[str, str]:
+    """Messages by key of Settings that an engine can't start with."""
+
+    def share(value) -> None:
+        if not isinstance(value, int | float) or not 0 <= value <= 1:
+            raise ValueError("must be from 0 to 1")
+
+    rules = {
+        "limit": limit,
+        "bm25_weight": share,
+        "semantic_weight": share,
+        "min_score": share,
+        "embedding_size": lambda v: number(v, 1, 65_536, "embedding_size"),
+        "requests_per_minute": lambda v: number(v, 1, 1_000_000, "requests_per_minute"),
+        "chunk_limit": lambda v: v is None or number(v, 1, (1 << 63) - 1, "chunk_limit"),
+        "index_path": lambda v: path(v, must_exist=False) if "://" not in v else v,
+    }
+    return settings({k: v for k, v in vars(found).items() if k != "sources"}, rules)

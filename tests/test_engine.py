@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gneiss import validate
 from gneiss.__main__ import run
+from gneiss.config import Settings
 from gneiss.engine import Engine
 from gneiss.operators import catalog, embedding, hybrid, lexical, vector
 from gneiss.streaming.jobs import Jobs, RateLimiter, Stream, Watch
@@ -86,6 +88,21 @@ def test_command_line(spark, tree, tmp_path):
     assert run(["--settings", str(tmp_path / "s.json"), "config"])[1]["limit"] == {"value": 10, "from": "file"}
 
 
+def test_requests_and_settings_are_checked(spark, tmp_path):
+    assert validate.request({"query": "x"}) == {"query": "x", "limit": 10, "per_repo": 5}
+    for bad in ({"query": ""}, {"query": "x" * 1001}, {"query": "x", "limit": 101}, {"query": "x", "per_repo": 0}, {}):
+        with pytest.raises(ValueError):
+            validate.request(bad)
+    assert validate.strict_query("  a b ") == "a b" and validate.language_name(" c++ ") == "c++"
+    for call in (lambda: validate.strict_query("a\x01b"), lambda: validate.strict_query("x" * 501), lambda: validate.strict_query(" "), lambda: validate.language_name("c#"), lambda: validate.language_name("go", ["rust"]), lambda: validate.body_size(11 << 20)):
+        with pytest.raises(ValueError):
+            call()
+    validate.body_size(None)
+    assert validate.startup(Settings()) == {} and set(validate.startup(Settings(limit=0, bm25_weight=2, index_path="../x"))) == {"limit", "bm25_weight", "index_path"}
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path), Settings(limit=0))
+
+
 def test_jobs():
     jobs = Jobs(most=2)
     good, bad = jobs.run("a", lambda: {"n": 1}), jobs.run("b", lambda: 1 / 0)
