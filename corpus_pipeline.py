@@ -3,6 +3,11 @@
 STAGES lists (name, function) in order. A function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Each works on all that the stage before it kept, and its decisions take effect. run()
 writes each stage's rows as Parquet in the shared folder and reads them again, as a cluster job does between stages.
+
+Defined results: rows are judged by their texts, never merged by doc_id, so rows with null or repeated doc_ids go through
+like others; a null or blank text counts as empty: it isn't toxic unless the model's bias says so, all such rows are one
+group of exact copies, are linked with nothing, have size 0 and give no ids; a null source comes last in the mix; of equal
+rows one stays in front of the mix; columns of any name pass through all stages but the last; empty tables give empty ones.
 """
 
 from __future__ import annotations
