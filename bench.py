@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from gneiss.plans import code, stored  # noqa: F401  (they add their queries)
 from gneiss.plans.catalog import QUERIES
 
-HEADLINE = ["bm25_topk", "bm25_index_stats", "term_frequency", "document_frequency", "keyword_search", "knn_cosine", "knn_batch", "ivf_probe", "hybrid_topk", "chunk_windows", "duplicate_chunks", "multi_source_topn", "snapshot_diff", "complexity", "bm25_index_search", "ivf_stored", "int8_knn", "names_by_language", "cache_evict", "debounce_replay"]
+HEADLINE = ["bm25_topk", "bm25_index_stats", "term_frequency", "document_frequency", "keyword_search", "knn_cosine", "knn_batch", "ivf_probe", "hybrid_topk", "chunk_windows", "duplicate_chunks", "multi_source_topn", "snapshot_diff", "complexity", "bm25_index_search", "ivf_stored", "int8_knn", "names_by_language", "cache_evict"]
 
 
 def main() -> None:

@@ -33,20 +33,25 @@ def _debounced(times: list[int], last: int | None, gap: int) -> tuple[list[int],
     return passed, last
 
 
-def _stretches(events: DataFrame, key: list[str], at: str, gap_us: int) -> tuple[DataFrame, list[str]]:
-    """events with _stretch, a number that grows where an event comes gap_us or more after the one before; and the order of events.
+#: Events of a key that are worked through together, but for a longer stretch without a gap.
+BLOCK = 10_000
 
-    Nothing before such a gap matters behind it, so a key's stretches can be worked through apart."""
+
+def _blocks(events: DataFrame, key: list[str], at: str, gap_us: int) -> tuple[DataFrame, list[str]]:
+    """events with _block, a number within each key, and the order of events.
+
+    Nothing before a gap of gap_us or more matters behind it, so a key's events are parted at such gaps, about BLOCK in each part."""
     order = [at, *(c for c in events.columns if c not in (at, *key))]
     before = Window.partitionBy(*key).orderBy(*order)
-    far = F.col(at) - F.lag(at).over(before) >= gap_us
-    return events.withColumn("_stretch", F.sum(F.when(far, 1).otherwise(0)).over(before)), order
+    last = F.lag(at).over(before)
+    starts = F.when(last.isNull() | (F.col(at) - last >= gap_us), F.row_number().over(before))
+    return events.withColumn("_start", starts).withColumn("_block", F.floor(F.max("_start").over(before) / BLOCK)).drop("_start"), order
 
 
 def debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
     """Of each key's events those that come gap_us or more after the last one passed, of equal times the first in the order
-    of the other columns. Acceptance feeds back, so events are worked through in order, a stretch without a gap at a time."""
-    parted, order = _stretches(events, key, at, gap_us)
+    of the other columns. Acceptance feeds back, so events are worked through in order."""
+    parted, order = _blocks(events, key, at, gap_us)
     names = [f.name for f in events.schema]
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -58,14 +63,14 @@ def debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int =
             passed = t if ok else passed
         return frame[keep][names]
 
-    return parted.groupBy(*key, "_stretch").applyInPandas(run, events.schema)
+    return parted.groupBy(*key, "_block").applyInPandas(run, events.schema)
 
 
 def rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int = 60, window_us: int = 60_000_000) -> DataFrame:
     """requests with accepted: fewer than limit accepted ones of the client lie within the window before; rejected ones don't count."""
     from collections import deque
 
-    parted, order = _stretches(requests, [client], at, window_us)
+    parted, order = _blocks(requests, [client], at, window_us)
     names = [*(f.name for f in requests.schema), "accepted"]
 
     def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -80,7 +85,7 @@ def rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int =
         return frame.assign(accepted=ok)[names]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean"
-    return parted.groupBy(client, "_stretch").applyInPandas(run, schema)
+    return parted.groupBy(client, "_block").applyInPandas(run, schema)
 
 
 def stream_debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
