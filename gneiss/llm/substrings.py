@@ -11,8 +11,8 @@ all of it can be broadcast. It is cut down and sharded without losing a window:
    anchors; they are counted over all documents.
 3. Passages. The runs of consecutive windows that share an anchor which occurs in several documents are passages (seldom
    over 20 words). Equal passages are one reference passage with its smallest doc_id.
-4. Shards. Reference passages are dealt into shards of bounded size by their anchor. Passages of an anchor that has more
-   than a shard's words are cut into windows, which are dealt by their words. A shard's suffix automaton holds all its
+4. Shards. Reference passages are dealt into shards of bounded size by their anchor. Reference passages of an anchor that
+   has more words than an automaton may take are cut into windows, which are dealt by their words. A shard's suffix automaton holds all its
    passages, and each state the smallest doc_id of the passages that contain its strings. The shard's passages are
    streamed through it for matching statistics: at each word the state of the longest match gives, by way of suffix
    links, the state of the last 13 words and so the smallest document in which this window starts.
@@ -42,6 +42,8 @@ from gneiss.llm.words import gram_hashes, word_hashes
 WINDOW, GRAM = 13, 6
 #: Words of reference passages in one shard: its automaton has at most twice as many states.
 SHARD_WORDS = 100_000
+#: An anchor with more than so many shards' words is cut; an automaton of as many takes under 200 MB.
+CROWDED = 4
 #: Up to so many ids (under 20 MB) are broadcast to pick out texts; beyond, texts are shuffled.
 BROADCAST_IDS = 500_000
 LAST = (1 << 63) - 1
@@ -191,9 +193,11 @@ def _passages(docs: DataFrame, repeated: DataFrame, window: int, gram: int) -> D
     return _texts(_chosen(docs, repeated)).join(repeated, ROW).mapInArrow(run, "id long, row long, start long, anchor long, words binary")
 
 
-def _least(reference: DataFrame, shards: int, window: int) -> DataFrame:
-    """key, anchor and owners (for each window of the passage the smallest id in which it starts) of each reference passage."""
+def _least(reference: DataFrame, deal: str, window: int) -> DataFrame:
+    """key, anchor and owners (for each window of the passage the smallest id in which it starts) of each reference passage, dealt by deal."""
     schema = pa.schema([("key", pa.int64()), ("anchor", pa.int64()), ("owners", pa.list_(pa.int64()))])
+    size = reference.agg(F.sum(F.length("words"))).first()[0] or 0
+    shards = max(1, ceil(size / 4 / SHARD_WORDS))
 
     def run(table: pa.Table) -> pa.Table:
         automaton = SuffixAutomaton()
@@ -204,32 +208,26 @@ def _least(reference: DataFrame, shards: int, window: int) -> DataFrame:
         owners = [automaton.least_owners(p, window) for p in passages]
         return pa.Table.from_arrays([*(table.column(c).combine_chunks() for c in ("key", "anchor")), pa.array(owners, pa.list_(pa.int64()))], schema=schema)
 
-    return reference.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "deal"), F.lit(shards))).groupBy("shard").applyInArrow(run, "key long, anchor long, owners array<long>")
-
-
-def _reference(found: DataFrame) -> DataFrame:
-    """The distinct passages, each with the smallest id that holds it."""
-    return written(found.groupBy("key", "anchor", "words", "deal").agg(F.min("id").alias("owner")), "reference")
+    return reference.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), deal), F.lit(shards))).groupBy("shard").applyInArrow(run, "key long, anchor long, owners array<long>")
 
 
-def _split(found: DataFrame, reference: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """found and reference, with the passages of anchors that have more than a shard's words cut into windows."""
-    crowded = reference.groupBy("anchor").agg(F.sum(F.length("words")).alias("size")).filter(F.col("size") > 4 * SHARD_WORDS).select("anchor")
-    crowded = written(crowded, "crowded-anchors")
-    if crowded.isEmpty():
-        return found, reference
+def _owners(reference: DataFrame, window: int) -> DataFrame:
+    """As _least, with the passages of crowded anchors cut into windows."""
+    crowded = reference.groupBy("anchor").agg(F.sum(F.length("words")).alias("size")).filter(F.col("size") > 4 * CROWDED * SHARD_WORDS).select("anchor")
     # At most one anchor for each SHARD_WORDS words of the reference, so their number is checked before a broadcast.
-    small = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
-    windows = F.transform(F.sequence(F.lit(0), (F.length("words") / 4).cast("int") - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.expr("words").substr(i * 4 + 1, F.lit(4 * window)).alias("words")))
-    cut = found.join(small, "anchor", "left_semi").select(*ROW, "anchor", F.explode(windows).alias("w")).select(*ROW, "w.start", "anchor", "w.words")
-    cut = _keyed(cut).withColumn("deal", F.col("key"))
-    split = written(found.join(small, "anchor", "left_anti").unionByName(cut), "passages")
-    drop_written(found, reference)
-    return split, _reference(split)
-
-
-def _keyed(found: DataFrame) -> DataFrame:
-    return found.withColumn("key", F.xxhash64("anchor", "words"))
+    n = crowded.limit(BROADCAST_IDS + 1).count()
+    if n == 0:
+        return _least(reference, "anchor", window)
+    crowded = F.broadcast(crowded) if n <= BROADCAST_IDS else crowded
+    every = F.sequence(F.lit(0), (F.length("words") / 4).cast("int") - window)
+    cut = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("words").substr(i * 4 + 1, F.lit(4 * window)).alias("words")))
+    rows = reference.join(crowded, "anchor", "left_semi").select("key", "anchor", "owner", F.explode(cut).alias("w")).select("key", "anchor", "owner", "w.*")
+    rows = rows.withColumn("window", F.xxhash64("anchor", "words"))
+    windows = written(rows.groupBy("window", "anchor", "words").agg(F.min("owner").alias("owner")).withColumnRenamed("window", "key"), "windows")
+    least = _least(windows, "key", window).select(F.col("key").alias("window"), "anchor", F.col("owners")[0].alias("least"))
+    found = rows.select("key", "anchor", "i", "window").join(least, ["window", "anchor"]).groupBy("key", "anchor").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
+    found = found.select("key", "anchor", F.transform("w", lambda w: w["least"]).alias("owners"))
+    return _least(reference.join(crowded, "anchor", "left_anti"), "anchor", window).unionByName(found)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
@@ -237,8 +235,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     spark = docs.sparkSession
     rows = written(_anchors(docs, window, gram), "anchors")
     copies = rows.groupBy("sha").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = written(copies.select("sha", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "first-copies")
-    few = F.broadcast(copies) if copies.count() <= BROADCAST_IDS // 2 else copies
+    copies = copies.select("sha", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
+    few = F.broadcast(copies) if copies.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2 else copies
     rows_of = rows.join(few, "sha", "left").withColumns({"first_id": F.coalesce("first_id", "id"), "first_row": F.coalesce("first_row", "row")})
     firsts = rows_of.filter("id = first_id and row = first_row")
 
@@ -247,18 +245,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     repeated = written(every.join(several, "anchor").groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
     # Only what the result needs stays on disk besides the repeated anchors.
     rows_of = written(rows_of.select("id", "row", "n_words", "sha", "first_id", "first_row"), "whole-rows")
-    drop_written(rows, copies)
+    drop_written(rows)
     release_shuffles(spark)
 
-    found = _keyed(_passages(docs, repeated, window, gram)).withColumn("deal", F.col("anchor"))
-    found = written(found, "passages")
+    found = written(_passages(docs, repeated, window, gram).withColumn("key", F.xxhash64("anchor", "words")), "passages")
     drop_written(repeated)
     release_shuffles(spark)
-    reference = _reference(found)
+    reference = written(found.groupBy("key", "anchor", "words").agg(F.min("id").alias("owner")), "reference")
     release_shuffles(spark)
-    found, reference = _split(found, reference, window)
-    size = reference.agg(F.sum(F.length("words"))).first()[0] or 0
-    least = written(_least(reference, max(1, ceil(size / 4 / SHARD_WORDS)), window), "least-owners")
+    least = written(_owners(reference, window), "least-owners")
     release_shuffles(spark)
     hits = found.select(*ROW, "start", "key", "anchor").join(least, ["key", "anchor"])
     hits = hits.select(*ROW, F.expr("transform(filter(transform(owners, (o, i) -> struct(o as owner, i as i)), x -> x.owner < id), x -> start + x.i)").alias("starts")).filter(F.size("starts") > 0)
@@ -285,7 +280,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
 
     schema = "first_id long, first_row long, cut long, cut_sha string, cut_text string"
     cut = _texts(_chosen(docs, hits)).join(hits, ROW).mapInArrow(run, schema)
-    cut = written((cut if texts else cut.drop("cut_text")).dropDuplicates(["first_id", "first_row"]), "cut-rows")
+    cut = (cut if texts else cut.drop("cut_text")).dropDuplicates(["first_id", "first_row"])
     if texts:
         plain = F.array_join(F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), " ")
         own = rows_of.dropDuplicates(ROW).withColumnRenamed("id", "_id").withColumnRenamed("row", "_row")
