@@ -1,44 +1,41 @@
 """Extensions, ignored names, stop words and patterns that results depend on."""
 
 # File extension and language.
-LANGUAGES = dict(
-    line.split()
-    for line in """
-.py python
-.js javascript
-.ts typescript
-.jsx javascript
-.tsx typescript
-.java java
-.cpp cpp
-.c c
-.h c
-.hpp cpp
-.go go
-.rs rust
-.rb ruby
-.php php
-.swift swift
-.kt kotlin
-.scala scala
-.md markdown
-.json json
-.yaml yaml
-.yml yaml
-.xml xml
-.html html
-.css css
-.sql sql
-.sh bash
-.bash bash
-.zsh bash
-.r r
-.toml toml
-.ini ini
-.cfg cfg
-.txt text
-""".strip().splitlines()
-)
+LANGUAGES = {
+    ".py": "python",
+    ".js": "javascript",
+    ".ts": "typescript",
+    ".jsx": "javascript",
+    ".tsx": "typescript",
+    ".java": "java",
+    ".cpp": "cpp",
+    ".c": "c",
+    ".h": "c",
+    ".hpp": "cpp",
+    ".go": "go",
+    ".rs": "rust",
+    ".rb": "ruby",
+    ".php": "php",
+    ".swift": "swift",
+    ".kt": "kotlin",
+    ".scala": "scala",
+    ".md": "markdown",
+    ".json": "json",
+    ".yaml": "yaml",
+    ".yml": "yaml",
+    ".xml": "xml",
+    ".html": "html",
+    ".css": "css",
+    ".sql": "sql",
+    ".sh": "bash",
+    ".bash": "bash",
+    ".zsh": "bash",
+    ".r": "r",
+    ".toml": "toml",
+    ".ini": "ini",
+    ".cfg": "cfg",
+    ".txt": "text",
+}
 
 # The narrow scan's extensions and languages; anything else is text.
 NARROW_EXTENSIONS = "py rs js ts go java cpp c h md json yaml yml".split()
