@@ -88,11 +88,21 @@ def drop_written(*tables: DataFrame) -> None:
         drop_path(df.sparkSession, df.gneiss_path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of stages whose results have been written."""
+def give_back() -> None:
+    """Returns memory that this process has freed to the system, where the C library can."""
+    import ctypes
     import gc
 
     gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of stages whose results have been written."""
+    give_back()
     spark._jvm.System.gc()
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import read_table
+from gneiss.llm.shared import give_back, read_table
 from gneiss.llm.tokenizer import text_blocks
 
 #: Training rows of each class, features of the model before the L1 step; texts are read whole, in the fit and in scoring.
@@ -253,7 +253,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).join(chosen, "_hash").dropDuplicates(["_toxic", "_hash"]).select(*columns, "text")
     rows = rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary").collect()
     rows.sort(key=lambda r: (r["_hash"], r["_toxic"]))
-    return fit((bytes(r["words"]).split() for r in rows), np.array([r["_toxic"] for r in rows]), np.array([r["_times"] for r in rows]))
+    model = fit((bytes(r["words"]).split() for r in rows), np.array([r["_toxic"] for r in rows]), np.array([r["_times"] for r in rows]))
+    del rows
+    give_back()  # the driver goes on to other stages
+    return model
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:
