@@ -31,12 +31,16 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.shared import read_table
 
-#: Candidates whose lists are sorted together, and queries that read them in step: their bounds take 2048 x 256 x 8 bytes each.
-BLOCK, QUERY_BLOCK = 2048, 256
+#: Candidates whose lists are sorted together, and queries that read them in step: their bounds take 2048 x 512 x 8 bytes.
+BLOCK, QUERY_BLOCK = 2048, 512
+#: The first block is so many times smaller: it gives scores that let queries stop early in the others.
+FIRST_PART = 8
 #: Bytes of vectors in a part, of either side of a tile.
 PART_BYTES = 32 << 20
-#: Entries that are read of each list before bounds are looked at for the first time; a quarter more each time after.
-FIRST_DEPTH = 16
+#: Bounds are looked at after each of so many equal stretches of the lists.
+STEPS = 8
+#: Below all scores.
+BELOW = -(1 << 140)
 #: A query stops where at most so many times k candidates can still qualify.
 INSIDERS = 4
 LONGS = -(1 << 63), (1 << 63) - 1
@@ -68,42 +72,35 @@ def survivors(queries: np.ndarray, entries: np.ndarray, skipped: np.ndarray, flo
 
     skipped: for each query an entry that doesn't count for it, or -1. floor: what a score has to reach at least."""
     n, dim = entries.shape
-    order = np.argsort(entries, axis=0, kind="stable")
-    values = np.take_along_axis(entries, order, axis=0)
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    rising, falling = np.where(queries > 0, queries, 0), np.where(queries < 0, queries, 0)
     found: list[np.ndarray] = [np.arange(n)] * len(queries)
-    active, sums = np.arange(len(queries)), np.zeros((n, len(queries)), entries.dtype)
     depth, read, few = 0, 0, max(INSIDERS * k, 1)
     if n <= few or not dim:
         return found, 0
+    order = np.argsort(entries, axis=0, kind="stable")
+    values = np.take_along_axis(entries, order, axis=0)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
+    # A list is read from its large end for the left half of these, from its small end for the right half.
+    weights = np.hstack([np.where(queries > 0, queries, 0), np.where(queries < 0, queries, 0)])
+    least_known = np.sort if entries.dtype == object else lambda x, axis: np.partition(x, n - k, axis=axis)
+    active = np.arange(len(queries))
     while len(active):
-        begin, depth = depth, min(n, max(depth + FIRST_DEPTH, depth * 5 // 4))
-        up, down = rising[active].T, falling[active].T
-        for j in range(dim):
-            large, small = order[n - depth : n - begin, j], order[begin:depth, j]
-            sums[large] += entries[large, j, None] * up[j]
-            sums[small] += entries[small, j, None] * down[j]
+        begin, depth = depth, min(n, depth + -(-n // STEPS))
         read += (depth - begin) * int(np.count_nonzero(queries[active]))
-        if depth == n:
-            upper = lower = sums.T
-        else:
-            from_large, from_small = (place >= n - depth).astype(entries.dtype), (place < depth).astype(entries.dtype)
-            bound = lambda high, low: sums.T + ((high * up.T).sum(1) + (low * down.T).sum(1))[:, None] - (up.T * high) @ from_large.T - (down.T * low) @ from_small.T  # noqa: E731, B023
-            upper, lower = bound(values[n - depth - 1], values[depth]), bound(values[0], values[n - 1])
         counted = np.arange(n) != skipped[active, None]
-        if n > k + 1:
-            # The k-th of all but the skipped one is no smaller than the (k + 1)-th of all.
-            least = np.sort(np.where(counted, lower, lower.min()), axis=1)[:, n - k]
-            least = np.maximum(least, floor[active])
-        else:
-            least = floor[active]
+        large, small = place >= n - depth, place < depth
+        filled = lambda at_large, at_small: weights[active] @ np.hstack([np.where(large, entries, at_large), np.where(small, entries, at_small)]).T  # noqa: E731, B023
+        upper = filled(values[max(0, n - depth - 1)], values[min(n - 1, depth)])
+        least = floor[active]
+        if n > k + 1 and (least == BELOW).any():
+            lower = upper if depth == n else filled(values[0], values[n - 1])
+            # The k-th of all but the skipped one, which takes the last place here.
+            least = np.maximum(least, least_known(np.where(counted, lower, lower.min()), axis=1)[:, n - k])
         inside = counted & (upper >= least[:, None])
         stop = (inside.sum(axis=1) <= few) | (depth == n)
         for i in np.flatnonzero(stop):
             found[active[i]] = np.flatnonzero(inside[i])
-        active, sums = active[~stop], sums[:, ~stop]
+        active = active[~stop]
     return found, read
 
 
@@ -118,9 +115,10 @@ def tile_topk(queries: tuple, candidates: tuple, k: int, block: int = BLOCK, que
     kind = object if unsafe else np.float64
     by_id = np.lexsort((own_ids, own_null))
     best: list[list[tuple[int, int, int]]] = [[] for _ in ids]
-    floor = np.full(len(ids), -(1 << 140) if unsafe else -np.inf, kind)
-    for b in range(0, len(by_id), block):
-        rows = by_id[b : b + block]
+    floor = np.full(len(ids), BELOW, kind)
+    starts = [0, *range(max(1, block // FIRST_PART), len(by_id), block)]
+    for b, end in zip(starts, [*starts[1:], len(by_id)], strict=True):
+        rows = by_id[b:end]
         _, first, group = np.unique(np.ascontiguousarray(y[rows]).view(np.dtype((np.void, max(1, 8 * y.shape[1])))).ravel() if y.shape[1] else np.zeros(len(rows), int), return_index=True, return_inverse=True)
         members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
         entries = y[rows[first]]
