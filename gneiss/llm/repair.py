@@ -19,7 +19,7 @@ marks into the same sort, so texts move once.
 Defined results: a null role, text, conv_id or turn counts as one space in texts and in the key of the damage; rows with
 null turns come first; rows of one turn go by the SHA-256 of conv_id, role and text; null conv_ids are one conversation;
 of equal rows the first counts and the rest are duplicates; a conversation without rows after damage gives zeros, an
-empty audit and the hash of an empty string; an empty table gives an empty one; other columns are not carried.
+empty audit and the hash of an empty string; gaps stop at the end of a long; an empty table gives an empty one; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from gneiss.llm.shared import SPACES, drop_written, join_hot, read_table, writte
 PART_ROWS, PART_BYTES = 100_000, 64 << 20
 PIECE_ROWS, PIECE_BYTES = 512, 1 << 20
 
-FAR = 1 << 60
+FAR, LONGEST = 1 << 60, (1 << 63) - 1
 NONE, BLANK, DUPLICATE, TRUNCATED = range(4)  # faults
 START, AFTER_S, AFTER_U, AFTER_A = STATES = range(4)
 DELETE_COST, REROLE_COST, INSERT_COST, TRUNCATED_COST = 3, 2, 2, 1
@@ -193,7 +193,7 @@ class Rows:
         ((_, _, path),) = edits(bytes(self.cells), [START], BEGIN, END, cost, True)
         low, high, n, *_ = self.ends()
         digest = sha256(b"\n".join(lines(path, self.roles, self.texts))).hexdigest()
-        return {"conv_id": self.conv_id, "gaps": high - low + 1 - n if n else 0, **dict(zip(SUMS, self.counts(), strict=True)), "cost": cost, "audit": "".join(e for e, _, _ in path), "repaired_sha256": digest}
+        return {"conv_id": self.conv_id, "gaps": min(LONGEST, high - low + 1 - n) if n else 0, **dict(zip(SUMS, self.counts(), strict=True)), "cost": cost, "audit": "".join(e for e, _, _ in path), "repaired_sha256": digest}
 
     def pieces(self, part: int) -> Iterator[dict]:
         """Pieces with costs across what is before and behind each of them in this task; the first has the sums of all."""
@@ -297,7 +297,7 @@ def chain_runs(runs: list) -> tuple[dict[tuple[int, int], Link], list[dict]]:
         total["illegal"] += sum((a[4], b[3]) not in LEGAL for a, b in zip(seen, seen[1:], strict=False))
         turns = [e for e in seen if e[2]]
         distinct = sum(e[2] for e in turns) - sum(a[1] == b[0] for a, b in zip(turns, turns[1:], strict=False))
-        sums.append({"conv_id": chain[0]["conv_id"], "gaps": turns[-1][1] - turns[0][0] + 1 - distinct if turns else 0, **total, "cost": cost})
+        sums.append({"conv_id": chain[0]["conv_id"], "gaps": min(LONGEST, turns[-1][1] - turns[0][0] + 1 - distinct) if turns else 0, **total, "cost": cost})
     return links, sums
 
 
@@ -393,5 +393,52 @@ def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(read_table(spark, sf_dir, "conversations")))
 
 
+def _sql() -> str:
+    """Damage, faults and counts as windows; the edits by a recursion from the last row to the first.
+
+    e0 to e3 are, for each state, cost, letters and repaired text of the best way to the end: equal cost and state compare by the letters to come."""
+
+    def step(letter: str, cost: str, to: int, line: str | None, when: str = "TRUE") -> str:
+        rest = f"p.e{to}"
+        text = f"{rest}.r" if line is None else f"{line} || CASE WHEN {rest}.r = '' THEN '' ELSE chr(10) END || {rest}.r"
+        return f"CASE WHEN {when} THEN {{'c': {rest}.c + {cost}, 's': '{letter}' || {rest}.s, 'r': {text}}} END"
+
+    def own(s: int) -> str:
+        to, role = (3, "assistant") if s == 2 else (2, "user")
+        sound, extra = "x.fault NOT IN ('blank', 'duplicate')", "(x.fault = 'truncated')::INT"
+        keep = "x.role || ':' || x.text"
+        ways = [step("D", "3", s, None), step("K", extra, to, keep, f"{sound} AND x.initial = '{role[0]}'"), step("R", f"2 + {extra}", to, f"'{role}:' || x.text", sound)]
+        return "list_min([" + ", ".join(ways + ([step("K", extra, 1, keep, f"{sound} AND x.initial = 's'")] if s == 0 else [])) + "])"
+
+    def insert(s: int) -> str:
+        to, role = (3, "assistant") if s == 2 else (2, "user")
+        return f"{{'c': e{to}.c + 2, 's': 'I' || e{to}.s, 'r': '{role}:' || CASE WHEN e{to}.r = '' THEN '' ELSE chr(10) END || e{to}.r}}"
+
+    # Insertions lead from 3 to 2 and from 2 to 3, so 2 comes first, then 3, then the others.
+    closed = "SELECT {keep}, list_min([e0, {i0}]) AS e0, list_min([e1, {i1}]) AS e1, e2, e3 FROM (SELECT * REPLACE (list_min([e3, {i3}]) AS e3) FROM (SELECT * REPLACE (list_min([e2, {i2}]) AS e2) FROM {rows}))"
+    close = lambda rows: closed.format(keep="conv_id, pos", rows=rows, **{f"i{s}": insert(s) for s in STATES})
+    shift = ", ".join(["-1"] * 8)
+    return rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT *, xor(list_reduce(flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::BIGINT, {shift}])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END, 4294967295::BIGINT), 4294967295) % 20 AS f FROM b),
+d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat_ws(':', coalesce(conv_id::VARCHAR, ''), length(role)::VARCHAR, role || text)), copy) AS pos, left(role, 1) AS initial FROM d),
+x AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS pair FROM n),
+t AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM x GROUP BY conv_id),
+z AS (SELECT conv_id, n + 1 AS pos, {{'c': 0::BIGINT, 's': '', 'r': ''}} AS e0, {{'c': 1000000000::BIGINT, 's': '', 'r': ''}} AS e1, {{'c': 1000000000::BIGINT, 's': '', 'r': ''}} AS e2, {{'c': 0::BIGINT, 's': '', 'r': ''}} AS e3 FROM t),
+w AS ({close("z")}
+  UNION ALL {close(f"(SELECT x.conv_id, x.pos, {', '.join(f'{own(s)} AS e{s}' for s in STATES)} FROM w p JOIN x ON x.conv_id IS NOT DISTINCT FROM p.conv_id AND x.pos = p.pos - 1)")}),
+o AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(w.e0.c, 0) AS cost, coalesce(w.e0.s, '') AS audit, sha256(coalesce(w.e0.r, '')) AS repaired_sha256
+FROM o LEFT JOIN t ON o.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN w ON o.conv_id IS NOT DISTINCT FROM w.conv_id AND w.pos = 1
+"""
+
+
 QUERIES = {"op13_repair": op13_repair}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op13_repair": _sql()}

@@ -96,6 +96,8 @@ def survivors(queries: np.ndarray, entries: np.ndarray, skipped: np.ndarray, flo
             lower = upper if depth == n else filled(values[0], values[n - 1])
             # The k-th of all but the skipped one, which takes the last place here.
             least = np.maximum(least, least_known(np.where(counted, lower, lower.min()), axis=1)[:, n - k])
+        if entries.dtype == object:  # scores that stop at the ends of a long are equal
+            least = np.where(least <= LONGS[0], BELOW, np.minimum(least, LONGS[1]))
         inside = counted & (upper >= least[:, None])
         stop = (inside.sum(axis=1) <= few) | (depth == n)
         for i in np.flatnonzero(stop):
@@ -140,7 +142,7 @@ def tile_topk(queries: tuple, candidates: tuple, k: int, block: int = BLOCK, que
                     for i in members[g].tolist():
                         copies = min(left, int(times[rows[i]]) - (i == mine))
                         if copies > 0:
-                            best[q].append((-int(score), b + i, copies))
+                            best[q].append((-max(LONGS[0], min(LONGS[1], int(score))), b + i, copies))
                             left -= copies
                         if not left:
                             break
@@ -152,7 +154,7 @@ def tile_topk(queries: tuple, candidates: tuple, k: int, block: int = BLOCK, que
                 del best[q][keep:]
                 if total >= k:
                     floor[q] = -best[q][-1][0]
-    return [(q, int(by_id[i]), max(LONGS[0], min(LONGS[1], -score)), copies) for q, pairs in enumerate(best) for score, i, copies in pairs]
+    return [(q, int(by_id[i]), -score, copies) for q, pairs in enumerate(best) for score, i, copies in pairs]
 
 
 def top_scores(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
