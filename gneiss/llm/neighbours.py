@@ -1,38 +1,34 @@
 """Nearest neighbours by a block matrix join.
 
-Queries and candidates are dealt into parts of bounded size by a hash of their ids; each pair of a part of queries and a
-part of candidates is one tile, worked on by one task. There, blocks of candidates stream past each block of queries. A
+Queries meet candidates in tiles (see tiles.py), where blocks of candidates stream past each block of queries. A
 block of either side is quantised to int8 with one scale a vector and both are multiplied as matrices. With x = s q + e,
 the error of a product is at most |s q| |e'| + |e| |x'|, and float32 adds its own where the integers are too many for it;
 so a pair whose upper bound lies below the k-th largest lower bound of its query, or below the k-th score that earlier
 blocks gave, can't be among the nearest. The rest is computed in double precision from the original vectors and goes
-through a heap of k for each query. The tiles' heaps are merged by a top-k for each query that also runs before the
-shuffle. The result is exact. A candidate is shuffled once for each part of queries, a query once for each of candidates.
+through a heap of k for each query. The result is exact.
 
-Equal candidates within a block are multiplied once, and of each such group only the k + 1 smallest ids can matter.
+Equal candidates within a block are multiplied once, and of each such group only the smallest ids can matter.
 
-Defined results: vectors that are null, all zero, hold a null or non-finite component, or have another length than most
-take no part, nor do null ids; of rows that repeat a vec_id the one with the smallest vector counts; with fewer than k
-candidates all are returned; ties go to the smaller vec_id; other columns are not carried.
+Defined results: vectors that are null, all zero, or hold a null or non-finite component take no part; a missing
+component counts as 0 where lengths differ; rows are known by vec_id and vector, so of repeated rows each is a query and
+each of the others its candidate; null ids are candidates and come last among equal scores; with fewer than k candidates
+all are returned; ties go to the smaller vec_id; other columns are not carried.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import ceil
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from gneiss.llm.shared import read_table
+from gneiss.llm.tiles import PART_BYTES, Best, Side, counted, expanded, tile_ranks
 
 #: Vectors in a block: 2048 x 2048 products take 32 MB in double precision.
 BLOCK = 2048
-#: Bytes of vectors in a part, of either side of a tile.
-PART_BYTES = 32 << 20
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,95 +54,60 @@ def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def block_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray) -> list[list[tuple[float, int]]]:
-    """For each query its nearest in the block, as (-inner product, id), k at most, its own id and what lies below floor left out."""
-    _, first, group = np.unique(np.ascontiguousarray(vectors, np.float64).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    order = np.lexsort((ids, group))
-    starts = np.searchsorted(group[order], np.arange(len(first) + 1))
-    members = [ids[order[a : min(b, a + k + 1)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-    own = {int(i): g for i, g in zip(ids, group, strict=True)}
-    distinct = vectors[first]
+def block_neighbours(queries: Side, candidates: Side, offset: int, k: int, floor: np.ndarray) -> list[list[tuple[float, int, int]]]:
+    """For each query its nearest in the block, as (-inner product, place, copies), k places at most, what lies below floor left out."""
+    first, group, members = candidates.groups()
+    own, distinct = candidates.places(queries), candidates.vectors[first]
     # The order for a query survives a factor of its own and one of all candidates, so bounds neither overflow nor vanish.
-    (x, of_query), (y, of_block) = shrunk(queries, 1), shrunk(distinct, None)
+    (x, of_query), (y, of_block) = shrunk(queries.vectors, 1), shrunk(distinct, None)
     a, b = quantised(x), quantised(y)
     products = (a[0].astype(np.float32) @ b[0].astype(np.float32).T).astype(np.float64) * a[1][:, None] * b[1][None, :]
     error = a[2][:, None] * b[3][None, :] + a[3][:, None] * b[4][None, :] + 1e-9 * a[4][:, None] * b[4][None, :] + 1e-140
-    dim = vectors.shape[1]
+    dim = distinct.shape[1]
     if dim * 127 * 127 >= 1 << 24:  # beyond, float32 rounds the sums of integers
         error += dim * 2.0**-23 * a[2][:, None] * b[2][None, :]
     upper, lower = products + error, products - error
-    for r, i in enumerate(query_ids.tolist()):
-        if (g := own.get(i)) is not None and len(members[g]) == 1:
-            upper[r, g] = lower[r, g] = -np.inf
+    for r, i in enumerate(own.tolist()):
+        if i >= 0 and len(members[group[i]]) == 1 and candidates.times[i] == 1:
+            upper[r, group[i]] = lower[r, group[i]] = -np.inf
     least = np.where(np.isfinite(floor), np.ldexp(np.where(np.isfinite(floor), floor, 0), -(of_query[:, 0] + of_block[0, 0])), -np.inf)
     least -= 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)) + 1e-140
     if len(distinct) > k:
         least = np.maximum(least, np.partition(lower, len(distinct) - k, axis=1)[:, len(distinct) - k])
     rows, columns = np.nonzero((upper >= least[:, None]) & (upper > -np.inf))
-    exact = inner_products(queries[rows], distinct[columns])
-    found, ends = [], np.searchsorted(rows, np.arange(len(query_ids) + 1))
-    for r, i in enumerate(query_ids.tolist()):
-        span = slice(ends[r], ends[r + 1])
-        found.append(heapq.nsmallest(k, ((-s, j) for s, c in zip(exact[span].tolist(), columns[span].tolist(), strict=True) for j in members[c].tolist() if j != i)))
-    return found
-
-
-def tile_neighbours(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, float]]:
-    """(query id, id, inner product) of the k nearest of each query, its own id left out."""
-    found = []
-    for a in range(0, len(query_ids), block):
-        own = query_ids[a : a + block]
-        best, floor = [[] for _ in own], np.full(len(own), -np.inf)
-        for b in range(0, len(ids), block):
-            near = block_neighbours(own, queries[a : a + block], ids[b : b + block], vectors[b : b + block], k, floor)
-            for r, pairs in enumerate(near):
-                if pairs:
-                    best[r] = heapq.nsmallest(k, best[r] + pairs)
-                    floor[r] = -best[r][-1][0] if len(best[r]) == k else -np.inf
-        found += [(i, j, -s) for i, pairs in zip(own.tolist(), best, strict=True) for s, j in pairs]
-    return found
+    exact = inner_products(queries.vectors[rows], distinct[columns])
+    ends = np.searchsorted(rows, np.arange(len(own) + 1))
+    scored = [zip((-exact[s]).tolist(), columns[s].tolist(), strict=True) for s in map(slice, ends[:-1], ends[1:])]
+    return [heapq.nsmallest(k, expanded(pairs, members, candidates.times, i, offset, k)) for pairs, i in zip(scored, own.tolist(), strict=True)]
+
+
+def tile_neighbours(queries: Side, candidates: Side, k: int, block: int = BLOCK) -> list[tuple[int, int, float, int]]:
+    """Query and candidate by their places, inner product and copies of the k nearest of each query; candidates come in the order of ids."""
+    out = []
+    for a in range(0, len(queries.ids), block):
+        own = queries.part(slice(a, a + block))
+        best, floor = [Best(k) for _ in own.ids], np.full(len(own.ids), -np.inf)
+        for b in range(0, len(candidates.ids), block):
+            for r, pairs in enumerate(block_neighbours(own, candidates.part(slice(b, b + block)), b, k, floor)):
+                best[r].add(pairs)
+                floor[r] = -best[r].found[-1][0] if best[r].full else -np.inf
+        out += [(a + r, i, -s, copies) for r, x in enumerate(best) for s, i, copies in x.found]
+    return out
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id and v, the vectors that take part, each id once."""
+    """vec_id, v and times of the vectors that take part."""
     # Components as they are where they are floats, else as doubles; products are in double precision of either.
     kind = "float" if vectors.schema[vector].dataType == ArrayType(FloatType(), vectors.schema[vector].dataType.containsNull) else "double"
     v = F.col(vector).cast(f"array<{kind}>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")).cast(kind))
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
-    rows = rows.filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    rows = rows.filter(F.size("v") == (size["size"] if size else 0))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(F.col("v").isNotNull())
+    return counted(rows.filter(~F.exists("v", bad) & F.exists("v", lambda x: x != 0)))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest of each vector for which is_query(vec_id column) holds."""
-    rows = usable(vectors)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q"), F.max(F.size("v")).alias("dim")).first()
-    part = max(block, part_bytes // (8 * max(1, counts["dim"] or 1)))
-    tall, wide = max(1, ceil(counts["q"] / part)), max(1, ceil(counts["n"] / part))
-    # Few candidates are cut into more parts, so that a small table also occupies several tasks.
-    wide = max(wide, min(16, ceil(counts["n"] / 256)))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = rows.filter(is_query(F.col("vec_id"))).select("vec_id", "v", deal(tall, 1).alias("row"), every(wide).alias("column"))
-    candidates = rows.select("vec_id", "v", every(tall).alias("row"), deal(wide, 2).alias("column"))
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        parts = []
-        for t in (left, right):
-            flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            parts += [t.column("vec_id").to_numpy(), flat.reshape(t.num_rows, -1)]
-        found = tile_neighbours(*parts, k, block)
-        return pa.Table.from_arrays([pa.array([f[i] for f in found], schema.field(i).type) for i in range(3)], schema=schema)
-
-    tiles = queries.groupBy("row", "column").cogroup(candidates.groupBy("row", "column")).applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return tiles.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tile_ranks(usable(vectors), is_query, k, block, part_bytes, np.float64, "double", lambda queries, candidates, size: tile_neighbours(queries, candidates, k, size))
 
 
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,10 +117,10 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_neighbours": op4_neighbours}
 ORACLE_SQL = {
     "op4_neighbours": """
-WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY vec_id),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.n <> c.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 }

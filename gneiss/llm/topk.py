@@ -8,11 +8,9 @@ read last. The sums of these are a lower and an upper bound of the score. A quer
 candidates have upper bounds below its k-th largest lower bound (or its k-th score in earlier blocks): these outsiders
 can't qualify. The few that are left get their final scores.
 
-Queries and candidates are dealt into parts of bounded size by hashes, and each pair of parts is one tile, worked on by
-one task, where blocks of candidates are sorted into lists once and read for all queries of a block in step. The tiles'
-results are merged by a top-k for each query. Bounds are exact integers. Equal vectors of a block are one entry of the
-lists, and of each such group only the k + 1 smallest ids can matter. A candidate is shuffled once for each part of
-queries, a query once for each part of candidates.
+Queries meet candidates in tiles (see tiles.py), where blocks of candidates are sorted into lists once and read for all
+queries of a block in step. Bounds are exact integers. Equal vectors of a block are one entry of the lists, and of each
+such group only the smallest ids can matter.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; a missing component counts
 as 0 where lengths differ, so empty vectors score 0; components and scores stop at the ends of a long; rows are known by
@@ -22,21 +20,17 @@ come last among equal scores; with fewer than k candidates all are returned; oth
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.shared import read_table
+from gneiss.llm.tiles import PART_BYTES, Best, Side, counted, expanded, tile_ranks
 
 #: Candidates whose lists are sorted together, and queries that read them in step: their bounds take 2048 x 512 x 8 bytes.
 BLOCK, QUERY_BLOCK = 2048, 512
 #: The first block is so many times smaller: it gives scores that let queries stop early in the others.
 FIRST_PART = 8
-#: Bytes of vectors in a part, of either side of a tile.
-PART_BYTES = 32 << 20
 #: Bounds are looked at after each of so many equal stretches of the lists.
 STEPS = 8
 #: Below all scores.
@@ -54,19 +48,6 @@ def integer_vectors(vectors: DataFrame, scale: int, vector: str, *carried) -> Da
     return rows.select(*carried, F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x)).alias("v"))
 
 
-def dense(lists: pa.ChunkedArray | pa.Array, width: int | None = None) -> np.ndarray:
-    """Lists of integers as rows of a matrix, shorter ones filled up with 0."""
-    column = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    sizes = np.diff(column.offsets.to_numpy())
-    width = int(sizes.max(initial=0)) if width is None else width
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    if (sizes == width).all():
-        return flat.reshape(len(sizes), width)
-    out = np.zeros((len(sizes), width), np.int64)
-    out[np.arange(width) < sizes[:, None]] = flat
-    return out
-
-
 def survivors(queries: np.ndarray, entries: np.ndarray, skipped: np.ndarray, floor: np.ndarray, k: int) -> tuple[list[np.ndarray], int]:
     """For each query the entries that can be among its k best, and how many list entries were read in all.
 
@@ -106,93 +87,42 @@ def survivors(queries: np.ndarray, entries: np.ndarray, skipped: np.ndarray, flo
     return found, read
 
 
-def tile_topk(queries: tuple, candidates: tuple, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, reads: list | None = None) -> list[tuple[int, int, int, int]]:
-    """(query, candidate, score, copies) by their places in the arguments: for each query the candidates that hold its k best scores.
+def tile_topk(queries: Side, candidates: Side, k: int, block: int = BLOCK, query_block: int = QUERY_BLOCK, reads: list | None = None) -> list[tuple[int, int, int, int]]:
+    """Query and candidate by their places, score and copies: for each query the candidates, which come in the order of ids, of its k best scores.
 
-    queries and candidates: ids, whether an id is null, vectors and how often a row occurs. reads: gets entries read and of all lists."""
-    (ids, _, x, _), (own_ids, own_null, y, times) = queries, candidates
-    largest = int(max(np.abs(x).max(initial=0), 0)) * int(max(np.abs(y).max(initial=0), 0)) * max(1, x.shape[1])
+    reads: gets the number of entries read and that of all entries."""
+    x, y = queries.vectors, candidates.vectors
+    largest = int(np.abs(x).max(initial=0)) * int(np.abs(y).max(initial=0)) * max(1, x.shape[1])
     # Sums of whole numbers below 2^52 are exact in doubles, whose products are fast; beyond, Python's integers are used.
     unsafe = largest >= 1 << 50 or min(x.min(initial=0), y.min(initial=0)) == LONGS[0]
     kind = object if unsafe else np.float64
-    by_id = np.lexsort((own_ids, own_null))
-    best: list[list[tuple[int, int, int]]] = [[] for _ in ids]
-    floor = np.full(len(ids), BELOW, kind)
-    starts = [0, *range(max(1, block // FIRST_PART), len(by_id), block)]
-    for b, end in zip(starts, [*starts[1:], len(by_id)], strict=True):
-        rows = by_id[b:end]
-        _, first, group = np.unique(np.ascontiguousarray(y[rows]).view(np.dtype((np.void, max(1, 8 * y.shape[1])))).ravel() if y.shape[1] else np.zeros(len(rows), int), return_index=True, return_inverse=True)
-        members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
-        entries = y[rows[first]]
-        at = {}  # places of an id in the block
-        for i, r in enumerate(rows.tolist()):
-            if not own_null[r]:
-                at.setdefault(int(own_ids[r]), []).append(i)
-        for a in range(0, len(ids), query_block):
-            span = range(a, min(a + query_block, len(ids)))
-            own = [next((i for i in at.get(int(ids[q]), []) if np.array_equal(y[rows[i]], x[q])), -1) for q in span]
-            skipped = np.array([group[i] if i >= 0 and len(members[group[i]]) == 1 and times[rows[i]] == 1 else -1 for i in own])
-            found, read = survivors(x[span.start : span.stop].astype(kind), entries.astype(kind), skipped, floor[span.start : span.stop], k)
+    best = [Best(k) for _ in x]
+    floor = np.full(len(x), BELOW, kind)
+    starts = [0, *range(max(1, block // FIRST_PART), len(y), block)]
+    for b, end in zip(starts, [*starts[1:], len(y)], strict=True):
+        own_block = candidates.part(slice(b, end))
+        first, group, members = own_block.groups()
+        entries = own_block.vectors[first]
+        for a in range(0, len(x), query_block):
+            asked = queries.part(slice(a, a + query_block))
+            own = own_block.places(asked)
+            skipped = np.array([group[i] if i >= 0 and len(members[group[i]]) == 1 and own_block.times[i] == 1 else -1 for i in own])
+            found, read = survivors(asked.vectors.astype(kind), entries.astype(kind), skipped, floor[a : a + query_block], k)
             if reads is not None:
-                reads.append((read, len(entries) * int(np.count_nonzero(x[span.start : span.stop]))))
-            for q, mine, inside in zip(span, own, found, strict=True):
+                reads.append((read, len(entries) * int(np.count_nonzero(asked.vectors))))
+            for q, (mine, inside) in enumerate(zip(own.tolist(), found, strict=True), a):
                 scores = (entries[inside].astype(kind) @ x[q].astype(kind)).tolist() if len(inside) else []
-                for g, score in zip(inside.tolist(), scores, strict=True):
-                    left = k  # no more than k of equal scores can matter
-                    for i in members[g].tolist():
-                        copies = min(left, int(times[rows[i]]) - (i == mine))
-                        if copies > 0:
-                            best[q].append((-max(LONGS[0], min(LONGS[1], int(score))), b + i, copies))
-                            left -= copies
-                        if not left:
-                            break
-                best[q].sort()
-                total, keep = 0, 0
-                while keep < len(best[q]) and total < k:
-                    total += best[q][keep][2]
-                    keep += 1
-                del best[q][keep:]
-                if total >= k:
-                    floor[q] = -best[q][-1][0]
-    return [(q, int(by_id[i]), -score, copies) for q, pairs in enumerate(best) for score, i, copies in pairs]
+                clipped = ((-max(LONGS[0], min(LONGS[1], int(s))), g) for s, g in zip(scores, inside.tolist(), strict=True))
+                best[q].add(expanded(clipped, members, own_block.times, mine, b, k))
+                if best[q].full:
+                    floor[q] = -best[q].found[-1][0]
+    return [(q, i, -score, copies) for q, own in enumerate(best) for score, i, copies in own.found]
 
 
 def top_scores(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: the k best of each row for which is_query(vec_id column) holds."""
-    rows = integer_vectors(vectors, scale, vector, F.col(key).cast("long").alias("vec_id"))
-    rows = rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query(F.col("vec_id"))).alias("q"), F.max(F.size("v")).alias("dim")).first()
-    dim = max(1, counts["dim"] or 1)
-    part = max(1, part_bytes // (8 * dim))
-    block, query_block = max(1, min(block, (part_bytes >> 1) // (8 * dim))), max(1, min(QUERY_BLOCK, (part_bytes >> 1) // (8 * dim)))
-    tall, wide = max(1, ceil(counts["q"] / part)), max(1, ceil(counts["n"] / part))
-    # Few candidates are cut into more parts, so that a small table also occupies several tasks.
-    wide = max(wide, min(16, ceil(counts["n"] / 256)))
-    deal = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    # Rows of one id are told apart by a digest of the vector.
-    known = F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256)
-    queries = rows.filter(is_query(F.col("vec_id"))).select("vec_id", "v", "times", known.alias("digest"), deal(tall, 1).alias("row")).select("*", every(wide).alias("column"))
-    candidates = rows.select("vec_id", "v", "times", deal(wide, 2).alias("column")).select("*", every(tall).alias("row"))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        longest = max(int(np.diff(t.column("v").combine_chunks().offsets.to_numpy()).max(initial=0)) for t in (left, right))
-        sides = []
-        for t in (left, right):
-            ids = t.column("vec_id").combine_chunks()
-            sides.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), dense(t.column("v"), longest), t.column("times").to_numpy()))
-        found = tile_topk(*sides, k, block, query_block) if left.num_rows and right.num_rows else []
-        of, to = pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())
-        columns = [left.column("vec_id").take(of), left.column("digest").take(of), left.column("times").take(of), right.column("vec_id").take(to)]
-        columns += [pa.array([f[i] for f in found], pa.int64()) for i in (2, 3)]
-        return pa.table(columns, names=["query_id", "digest", "asked", "vec_id", "score", "copies"])
-
-    tiles = queries.groupBy("row", "column").cogroup(candidates.groupBy("row", "column")).applyInArrow(run, "query_id long, digest string, asked long, vec_id long, score long, copies long")
-    single = tiles.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    best = Window.partitionBy("query_id", "digest").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = single.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    # Each of the equal query rows gets the list.
-    return ranked.withColumn("asked", F.explode(F.sequence(F.lit(1).cast("long"), F.col("asked")))).select("query_id", "rank", "vec_id", "score")
+    rows = counted(integer_vectors(vectors, scale, vector, F.col(key).cast("long").alias("vec_id")))
+    return tile_ranks(rows, is_query, k, block, part_bytes, np.int64, "long", lambda queries, candidates, size: tile_topk(queries, candidates, k, size))
 
 
 def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.shared import drop_written, join_hot, read_table, written
-from gneiss.llm.topk import LONGS, dense, integer_vectors
+from gneiss.llm.tiles import dense
+from gneiss.llm.topk import LONGS, integer_vectors
 
 PARTS, ENTRIES, ROUNDS, SCALE = 8, 16, 6, 4096
 #: Bytes of components that are compared with a codebook at a time.

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.llm import bpe, components, exact_dedup, minhash, mixing, neighbours, pii, registry, sharding, substrings, token_files, tokenizer, toxicity
+from gneiss.llm import bpe, components, exact_dedup, minhash, mixing, neighbours, pii, registry, sharding, substrings, tiles, token_files, tokenizer, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = (1 << 63) - 1
@@ -264,24 +264,31 @@ def test_scores_do_not_depend_on_doc_ids(spark):
 # Neighbours
 
 
+def near(rows, every, k):
+    """Brute force over rows (vec_id, vector), all but each query's own; shorter vectors are filled up with 0."""
+    used = [(i, v) for i, v in rows if v is not None and all(a is not None and np.isfinite(a) for a in v) and any(v)]
+    width, out = max(len(v) for _, v in used), []
+    x = np.array([[*v, *[0.0] * (width - len(v))] for _, v in used], np.float64)
+    for n, (i, _) in enumerate(used):
+        if i is not None and i % every == 0:
+            scores = neighbours.inner_products(np.repeat(x[n : n + 1], len(x), axis=0), x)
+            order = sorted((m for m in range(len(x)) if m != n), key=lambda m: (-scores[m], used[m][0] is None, used[m][0] or 0))[:k]
+            out += [(i, rank, used[m][0], scores[m]) for rank, m in enumerate(order, 1)]
+    return sorted(out, key=str)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(700, 16)).astype(np.float32)
     x[100:400] = x[0]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
-    bad = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] * 16), (1080, [1.0]), (None, [1.0] * 16), (0, [99.0] * 16)]
-    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumns({"row": F.lit(1), "column": F.lit(2), "v": F.lit(3)})
-    found = defaultdict(list)
-    for r in neighbours.nearest(frame, lambda i: i % 20 == 0, block=128).orderBy("query_id", "rank").collect():
-        found[r["query_id"]].append((r["vec_id"], r["score"]))
-    assert set(found) == set(range(0, 700, 20))
-    wide = x.astype(np.float64)
-    for q in found:
-        scores = neighbours.inner_products(np.repeat(wide[q : q + 1], 700, axis=0), wide)
-        order = sorted((j for j in range(700) if j != q), key=lambda j: (-scores[j], j))[:20]
-        assert found[q] == [(j, scores[j]) for j in order]
+    rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] * 16), (1080, [1.0]), (None, [1.0] * 16), (0, [99.0] * 16), *[(20, [2.0] * 16)] * 3, *[(None, [1.0] * 16)] * 30]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"row": F.lit(1), "column": F.lit(2), "v": F.lit(3), "times": F.lit(4)})
+    assert sorted(map(tuple, neighbours.nearest(frame, lambda i: i % 20 == 0, block=128).collect()), key=str) == near(rows, 20, 20)
     assert neighbours.nearest(frame.limit(0), lambda i: i % 20 == 0).count() == 0
-    assert neighbours.nearest(frame.filter("vec_id < 3"), lambda i: i % 20 == 0).count() == 2
+    few = [(0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [1.0, 2.0])]  # one id, two vectors
+    frame = spark.createDataFrame(few, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in neighbours.nearest(frame, lambda i: i % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 2.0), (0, 2, 1, 0.5)]
 
 
 @pytest.mark.parametrize("dim, size", [(3, 1.0), (40, 1e-80), (40, 1e80), (2000, 1.0)])
@@ -289,15 +296,16 @@ def test_blocks_stream_past_queries(dim, size):
     rng = np.random.default_rng(dim)
     x = rng.normal(size=(500, dim)) * size * rng.choice([1.0, 1e-3, 1e3], size=(500, 1))
     x[50:120] = x[7]
-    ids = rng.permutation(500) * 3
     queries = np.arange(0, 500, 9)
+    side = tiles.Side(np.arange(500) * 3, np.zeros(500, bool), x, np.ones(500, int))
     found = defaultdict(list)
-    for q, j, score in neighbours.tile_neighbours(ids[queries], x[queries], ids, x, 11, block=64):
-        found[q].append((j, score))
+    for q, j, score, copies in neighbours.tile_neighbours(side.part(queries), side, 11, block=64):
+        found[queries[q]].append((j, score))
+        assert copies == 1
     for q in queries:
         scores = neighbours.inner_products(np.repeat(x[q : q + 1], 500, axis=0), x)
-        order = sorted((j for j in range(500) if j != q), key=lambda j: (-scores[j], ids[j]))[:11]
-        assert found[ids[q]] == [(ids[j], scores[j]) for j in order]
+        order = sorted((j for j in range(500) if j != q), key=lambda j: (-scores[j], j))[:11]
+        assert found[q] == [(j, scores[j]) for j in order]
 
 
 @pytest.mark.parametrize("size", [1.0, 1e60, 1e-60])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss.llm import repair, topk, vector_codes
+from gneiss.llm import repair, tiles, topk, vector_codes
 
 LAST = (1 << 63) - 1
 VECTORS = "vec_id long, embedding array<double>, label int"
@@ -65,7 +65,7 @@ def test_lists_stop_early_and_lose_nothing(monkeypatch):
     y = np.floor(1024 * (centres[rng.integers(0, 60, 6000)] * 3 + rng.normal(size=(6000, 16)) * 0.1)).astype(np.int64)
     x, none = y[:50], np.zeros(6000, bool)
     reads = []
-    found = topk.tile_topk((np.arange(50), none[:50], x, np.ones(50, int)), (np.arange(6000), none, y, np.ones(6000, int)), 10, reads=reads)
+    found = topk.tile_topk(tiles.Side(np.arange(50), none[:50], x, np.ones(50, int)), tiles.Side(np.arange(6000), none, y, np.ones(6000, int)), 10, reads=reads)
     got = defaultdict(list)
     for q, c, s, _ in found:
         got[q].append((-s, c))
@@ -81,8 +81,8 @@ def test_tiles_of_equal_and_large_vectors(monkeypatch):
         rows = defaultdict(int)
         for _ in range(rng.randint(1, 60)):
             rows[rng.choice([None, *range(12)]), tuple(rng.randint(-top, top) for _ in range(dim))] += rng.choice([1, 1, 1, 2, 6])
-        keys = list(rows)
-        side = lambda own: (np.array([i or 0 for i, _ in own], np.int64), np.array([i is None for i, _ in own], bool), np.array([v for _, v in own], np.int64).reshape(len(own), dim), np.array([rows[o] for o in own]))  # noqa: E731, B023
+        keys = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+        side = lambda own: tiles.Side(np.array([i or 0 for i, _ in own], np.int64), np.array([i is None for i, _ in own], bool), np.array([v for _, v in own], np.int64).reshape(len(own), dim), np.array([rows[o] for o in own]))  # noqa: E731, B023
         queries = [q for q in keys if q[0] is not None and q[0] % 3 == 0]
         monkeypatch.setattr(topk, "STEPS", rng.choice([1, 2, 8, 30]))
         got = [[] for _ in queries]
