@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.shared import drop_written, join_hot, join_salted, read_table, release_shuffles, written
+from gneiss.llm.shared import drop_written, join_hot, join_salted, read_table, written
 from gneiss.llm.tokenizer import text_blocks
 from gneiss.llm.words import gram_hashes, mix, sequence_hash, word_hashes
 
@@ -178,7 +178,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     joined = join_salted(members, grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), uses, "b", "uses", pairs.count(), "a")
     out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed", batch=100)
     drop_written(ids, grams, uses)
-    release_shuffles(docs.sparkSession)
     return out
 
 
@@ -252,7 +251,6 @@ def _of_node(df: DataFrame, name: str) -> DataFrame:
 
 def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, total: int, shingle: int, percent: int, fold: bool) -> DataFrame:
     """id and component of each node with a link; members are the nodes of buckets with several, total is the number of bands."""
-    release_shuffles(docs.sparkSession)
     least = least_estimate(percent / 100)
 
     # One comparison for each member: with the hub that it shares most bands with.
@@ -279,7 +277,6 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, total: int,
         grams = written(_grams(docs, ids, shingle, fold).dropDuplicates(["node"]), "mixed-sets")
         links = written(links.unionByName(_group_links(mixed, grams, least, percent)), "group-links")
         drop_written(grams, ids, mixed)
-        release_shuffles(docs.sparkSession)
         found = written(components(links), "group-components")
     drop_written(major)
 
@@ -292,7 +289,6 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, total: int,
     second = x.join(y, apart & (estimate("x", "y") >= least)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     second = written(second, "rest-pairs")
     drop_written(members, rest, major, grouped, drawn)
-    release_shuffles(docs.sparkSession)
     if not second.isEmpty():
         found = written(components(links.unionByName(confirmed(second, docs, classes, shingle, fold, percent))), "components")
     return found

@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Folders of sessions without spark.checkpoint.dir, by application.
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (tests, one machine), a temporary one, set for the session."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process (tests, one machine), a temporary one for the session."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="gneiss-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_folders.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="gneiss-")
+        _own_folders[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
@@ -28,18 +32,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a query at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, survives lost executors, computes Python stages once.
 
-    batch: rows that go to a Python worker at a time; fewer where rows are large."""
+    What the plan of df shuffled is deleted once the table is whole. batch: rows that go to a Python worker at a time;
+    fewer where rows are large."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(batch))
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch), CLEAN_UP: "true"}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     out = spark.read.schema(df.schema).parquet(path)
     out.gneiss_path = path
     return out
@@ -88,24 +99,6 @@ def drop_written(*tables: DataFrame) -> None:
         drop_path(df.sparkSession, df.gneiss_path)
 
 
-def give_back() -> None:
-    """Returns memory that this process has freed to the system, where the C library can."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of stages whose results have been written."""
-    give_back()
-    spark._jvm.System.gc()
-
-
 #: Keys that hold more than one of HOT_SHARE of all rows, and more than HOT_ROWS, are joined by broadcast: HOT_SHARE of them at most.
 HOT_SHARE, HOT_ROWS = 100_000, 1000
 

@@ -8,9 +8,10 @@ mere mentions of a group don't raise a score. An L1 step keeps only words that c
 don't add up noise. Beginnings (the first four and five bytes) let inflected and compound forms of a word share a weight.
 Last the bias is moved so that THRESHOLD lies in the middle of the gap that parts the training rows best.
 
-The model is fitted on the driver on at most SAMPLE distinct texts of each class, drawn by a hash of the text, and has at
-most FEATURES features; both bounds hold at any size of input. Neither sample nor fit depends on doc_ids but for the rows
-held out. Scoring streams whole texts past the model without a shuffle.
+The model is fitted on at most SAMPLE distinct texts of each class, drawn by a hash of the text, at any size of input.
+Tasks count their features; those with evidence are the model's, and the driver, which takes the gradient steps, gets the
+sample as numbers of these features, never words of texts. Neither sample nor fit depends on doc_ids but for the rows held
+out. Scoring streams whole texts past the model without a shuffle.
 
 Defined results: a null or empty text has the score of the bias alone; null labels aren't learnt from; a null doc_id
 counts as not held out; a text with rows of both labels is learnt from in each class; without labels of both classes
@@ -29,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import give_back, read_table
+from gneiss.llm.shared import drop_written, read_table, written
 from gneiss.llm.tokenizer import text_blocks
 
-#: Training rows of each class, features of the model before the L1 step; texts are read whole, in the fit and in scoring.
-SAMPLE, FEATURES = 4000, 2000
+#: Training rows of each class; texts are read whole, in the fit and in scoring.
+SAMPLE = 4000
 #: A feature has to occur in so many training rows, with class shares so many standard errors apart.
 MIN_ROWS, MIN_Z = 3, 4.0
 THRESHOLD = 0.7
@@ -108,39 +109,27 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
 
 
-def _feature_rows(rows: Iterable[list[bytes]]) -> tuple[np.ndarray, list[bytes], list[np.ndarray], list[list[tuple[np.ndarray, np.ndarray]]], np.ndarray]:
-    """Kind and text of all features, the feature numbers of each row, for each variant what each row's counterfactual has more and less, and the numbers of the identity terms.
+def features(found: Iterable[bytes]) -> set[tuple[int, bytes]]:
+    return {(kind, w[:kind] if kind else w) for w in found for kind in KINDS}
 
-    Words are held once and rows as numbers, so rows may come from a generator."""
-    words: dict[bytes, int] = {}
-    number = lambda r: np.array([words.setdefault(w, len(words)) for w in r], np.int32)
-    own, other = [], [[] for _ in range(VARIANTS)]
-    for r in rows:
-        own.append(number(r))
-        for v, out in enumerate(other):
-            changed = counterfactual(r, v)
-            out.append(tuple(number(x) for x in ([w for w in changed if w in _GROUP], [w for w in r if w in _GROUP])))
-    terms = number(_TERMS)
-    kinds, names, of_kind = [], [], []
-    for kind in KINDS:
-        found: dict[bytes, int] = {}
-        of_kind.append(np.fromiter((found.setdefault(w[:kind] if kind else w, len(found)) for w in words), np.int32, len(words)) + len(names))
-        kinds += [kind] * len(found)
-        names += found
-    every = lambda r: np.unique(np.concatenate([k[r] for k in of_kind])) if len(r) else r
 
-    def change(r: np.ndarray, came: np.ndarray, went: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(went):  # a word was added
-            return np.setdiff1d(every(came), every(r)), went
-        before, after = every(r), every(np.concatenate([np.setdiff1d(r, went), came]))
-        return np.setdiff1d(after, before), np.setdiff1d(before, after)
+#: A training row: the columns of its features, and for each variant those that its counterfactual has more and less.
+Encoded = tuple[list[int], list[tuple[list[int], list[int]]]]
 
-    return np.array(kinds), names, [every(r) for r in own], [[change(r, *x) for r, x in zip(own, out, strict=True)] for out in other], every(terms)
 
+def encoded(found: list[bytes], column: dict[tuple[int, bytes], int]) -> Encoded:
+    known = lambda f: sorted(column[x] for x in f if x in column)
+    own, changes = features(found), []
+    for v in range(VARIANTS):
+        other = features(counterfactual(found, v))
+        changes.append((known(other - own), known(own - other)))
+    return known(own), changes
 
-def _matrix(rows: list[np.ndarray], column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found = [c[c >= 0] for c in (column[r] for r in rows)]
-    return np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), np.array([len(x) for x in found])
+
+def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rows of a matrix of zeros and ones."""
+    sizes = [len(r) for r in rows]
+    return np.fromiter((c for r in rows for c in r), np.int32, sum(sizes)), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
 
 
 def _evidence(rows: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
@@ -153,30 +142,37 @@ def _evidence(rows: list[np.ndarray], toxic: np.ndarray, weights: np.ndarray, si
     return np.where(counts[0] + counts[1] >= MIN_ROWS, np.abs(z), 0)
 
 
-def fit(rows: Iterable[list[bytes]], toxic: np.ndarray, weights: np.ndarray | None = None, penalty: float = 10.0, l1: float = 5e-4, steps: int = 400) -> Model:
-    """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|.
+def _columns(chosen: Iterable[tuple[int, bytes]]) -> dict[tuple[int, bytes], int]:
+    """The model's features, numbered: those with evidence and all of identity terms."""
+    return {f: i for i, f in enumerate(sorted(set(chosen) | features(_TERMS)))}
+
 
-    A row is the list of its distinct words, and its weight says how often it counts; the mean is over rows and variants."""
-    toxic = np.asarray(toxic, float)
+def fit(rows: Iterable[list[bytes]], toxic: np.ndarray, weights: np.ndarray | None = None, **options) -> Model:
+    """The model of rows in this process. A row is the list of its distinct words, and its weight says how often it counts."""
+    rows, toxic = list(rows), np.asarray(toxic, float)
     weights = np.ones(len(toxic)) if weights is None else np.asarray(weights, float)
+    number: dict[tuple[int, bytes], int] = {}
+    own = [np.array([number.setdefault(f, len(number)) for f in features(r)], np.int64) for r in rows]
+    chosen: list[tuple[int, bytes]] = []
+    if len(set(toxic.tolist())) == 2:
+        z = _evidence(own, toxic, weights, len(number))
+        chosen = [f for f, i in number.items() if z[i] >= MIN_Z]
+    column = _columns(chosen)
+    return solve([encoded(r, column) for r in rows], column, toxic, weights, **options)
+
+
+def solve(rows: list[Encoded], column: dict[tuple[int, bytes], int], toxic: np.ndarray, weights: np.ndarray, penalty: float = 10.0, l1: float = 5e-4, steps: int = 400) -> Model:
+    """Accelerated proximal gradient descent on balanced log loss + penalty * mean squared score change + l1 * |weights|; the mean is over rows and variants."""
     n, whole, positive = len(toxic), weights.sum(), (weights * toxic).sum()
     if not n or positive in (0, whole):
         return Model(0.0 if positive and positive == whole else -2.0, {})
-    kinds, names, own, changes, terms = _feature_rows(rows)
-    z = _evidence(own, toxic, weights, len(names))
-    chosen = sorted(np.flatnonzero(z >= MIN_Z).tolist(), key=lambda i: (-z[i], kinds[i], names[i]))[:FEATURES]
-    chosen = sorted({*chosen, *terms.tolist()}, key=lambda i: (kinds[i], names[i]))
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    column = {(int(kinds[i]), names[i]): j for j, i in enumerate(chosen)}
     # A matrix as its columns, rows and values; a counterfactual as what it adds to its row's sum.
-    at, counts = _matrix(own, place)
-    base = at, np.repeat(np.arange(n), counts), np.ones(len(at))
+    at, of = _matrix([own for own, _ in rows])
+    base = at, of, np.ones(len(at), np.float32)
     deltas = []
-    for variant in changes:
-        parts = [_matrix([x[i] for x in variant], place) for i in (0, 1)]
-        deltas.append((np.concatenate([p[0] for p in parts]), np.concatenate([np.repeat(np.arange(n), p[1]) for p in parts]), np.repeat([1.0, -1.0], [len(p[0]) for p in parts])))
-    del own, changes, names
+    for v in range(VARIANTS):
+        (more, more_of), (less, less_of) = (_matrix([changes[v][i] for _, changes in rows]) for i in (0, 1))
+        deltas.append((np.concatenate([more, less]), np.concatenate([more_of, less_of]), np.repeat(np.array([1, -1], np.float32), [len(more), len(less)])))
     share = weights * np.where(toxic == 1, 0.5 / positive, 0.5 / (whole - positive))
     weight = penalty * weights / whole / len(deltas)
 
@@ -249,14 +245,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             found = [b" ".join(sorted(words(t))) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(found, pa.binary())], [*columns, "words"])
 
-    # One row for each class and text, so at most 2 * sample come to the driver however often a text repeats.
+    # One row for each class and text, so at most 2 * sample however often a text repeats.
     rows = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).join(chosen, "_hash").dropDuplicates(["_toxic", "_hash"]).select(*columns, "text")
-    rows = rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary").collect()
-    rows.sort(key=lambda r: (r["_hash"], r["_toxic"]))
-    model = fit((bytes(r["words"]).split() for r in rows), np.array([r["_toxic"] for r in rows]), np.array([r["_times"] for r in rows]))
-    del rows
-    give_back()  # the driver goes on to other stages
-    return model
+    rows = written(rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary"), "toxicity-sample", batch=200)
+
+    def counted(batches):
+        for batch in batches:
+            for label, times, w in zip(*(batch.column(c).to_pylist() for c in ("_toxic", "_times", "words")), strict=True):
+                kinds, names = zip(*features(w.split()), strict=True) if w else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.binary()), pa.array([label] * len(names), pa.int32()), pa.array([times] * len(names), pa.int64())], ["kind", "name", "label", "times"])
+
+    n = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.sum("_times").alias("n")).collect()}
+    chosen = []
+    if len(n) == 2:
+        counts = [F.coalesce(F.sum(F.when(F.col("label") == t, F.col("times"))), F.lit(0)).cast("double").alias(f"n{t}") for t in (0, 1)]
+        found = rows.mapInArrow(counted, "kind int, name binary, label int, times long").groupBy("kind", "name").agg(*counts).filter(F.col("n0") + F.col("n1") >= MIN_ROWS)
+        part = (F.col("n0") + F.col("n1")) / sum(n.values())
+        z = F.abs(F.col("n1") / n[1] - F.col("n0") / n[0]) / F.sqrt(F.greatest(part * (1 - part), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
+        chosen = [(r["kind"], bytes(r["name"])) for r in found.filter(z >= MIN_Z).select("kind", "name").toLocalIterator()]
+    column = _columns(chosen)
+    sent = rows.sparkSession.sparkContext.broadcast(column)
+    lists = pa.list_(pa.int32())
+
+    def numbered(batches):
+        for batch in batches:
+            found = [encoded(w.split(), sent.value) for w in batch.column("words").to_pylist()]
+            changes = [pa.array([c[v][i] for _, c in found], lists) for v in range(VARIANTS) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([own for own, _ in found], lists), *changes], [*columns, "own", *(f"c{i}" for i in range(2 * VARIANTS))])
+
+    known = rows.mapInArrow(numbered, ", ".join(["_toxic int, _hash long, _times long, own array<int>", *(f"c{i} array<int>" for i in range(2 * VARIANTS))])).orderBy("_hash", "_toxic").toArrow().to_pydict()
+    drop_written(rows)
+    changes = [[(known[f"c{2 * v}"][i], known[f"c{2 * v + 1}"][i]) for v in range(VARIANTS)] for i in range(len(known["own"]))]
+    return solve(list(zip(known["own"], changes, strict=True)), column, np.array(known["_toxic"], float), np.array(known["_times"], float))
 
 
 def _scores(batch: pa.RecordBatch, model: Model) -> list[float]:

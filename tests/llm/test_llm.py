@@ -756,3 +756,45 @@ def test_pipeline(spark, sf_dir, docs):
     assert len(rows) == now.count()
     assert all(list(r["ids"]) == library.encode(kept[-1][r["doc_id"]], add_special_tokens=False).ids for r in rows)
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(r["doc_id"] for r in rows)
+
+
+# Shared folder, draws of repeated rows
+
+
+def test_folder_of_a_session_without_setting(spark, monkeypatch):
+    from gneiss.llm import shared
+
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, other=None: other)})
+        sparkContext = type("Context", (), {"master": "local[2]", "applicationId": "one"})
+
+    a, b = shared.shared_dir(Bare()), shared.shared_dir(Bare())
+    assert a == b and a.startswith("file:///")
+    Bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Bare())
+    # The operators take the folder from there.
+    monkeypatch.setattr(shared, "shared_dir", lambda _: a)
+    assert shared.written(spark.range(5).groupBy("id").count(), "x").count() == 5
+
+
+@pytest.mark.parametrize("same_text", [False, True])
+def test_draws_of_null_and_repeated_ids(spark, monkeypatch, same_text):
+    rows = [(None, "one two three four" if same_text else f"one two three {i}", f"s{i % 4}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for broadcast in (50_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_KEYS", broadcast)
+        found = mixing.mix_sources(frame).groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.count(F.lit(1)).alias("n")).collect()
+        assert len(found) == 4
+        for r in found:
+            assert r["n"] == 250 and abs(r["taken"] - r["target"]) <= 0.1 * r["target"]
+    assert mixing.mix_sources(frame).select("copies").collect() == mixing.mix_sources(frame).select("copies").collect()
+
+
+def test_sources_in_many_tasks(spark):
+    rows = [(f"s{i:05}" if i else None, i % 97) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "source string, source_size long").repartition(7)
+    found = {r["source"]: r for r in mixing._weighed(frame).collect()}
+    for n, name in enumerate(sorted((s for s, _ in rows if s), key=str)):
+        assert (found[name]["number"], found[name]["weight"]) == (n, (3, 1, 2)[n % 3])
+    assert found[None]["number"] == 2999
