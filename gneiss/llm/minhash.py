@@ -211,15 +211,19 @@ def tile_links(few: dict, many: dict, least: float, percent: int) -> list[tuple[
 FEW, MANY = 512, 1024
 
 
-def _group_links(groups: DataFrame, grams: DataFrame, least: float, percent: int) -> DataFrame:
-    """Links between components of the same group; groups has group, few, many, major, component, node and the signature."""
+def _tiled(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """columns, row and column of the members outside the largest component (major) and of all, as tiles of a group's pairs; rows has few, many, major, component and node."""
     tall, wide = F.ceil(F.col("few") / FEW).cast("int"), F.ceil(F.col("many") / MANY).cast("int")
-    rows = groups.join(grams, "node").withColumns({"tall": tall, "wide": wide})
+    rows = rows.withColumns({"tall": tall, "wide": wide})
     deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["group", "node", "component", *SIGNATURE, "grams"]
     few = rows.filter("component <> major").select(*columns, deal(1, "tall").alias("row"), every("wide").alias("column"))
-    many = rows.select(*(F.col(c).alias(c) for c in columns), every("tall").alias("row"), deal(2, "wide").alias("column"))
+    return few, rows.select(*(F.col(c).alias(c) for c in columns), every("tall").alias("row"), deal(2, "wide").alias("column"))
+
+
+def _group_links(groups: DataFrame, grams: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links between components of the same group; groups has group, few, many, major, component, node and the signature."""
+    few, many = _tiled(groups.join(grams, "node"), ["group", "node", "component", *SIGNATURE, "grams"])
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def side(t: pa.Table) -> dict:
@@ -283,9 +287,10 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, total: int,
     # Buckets that still hold several components: members outside the largest one against those of other groups.
     labelled = members.join(_of_node(found, "component"), "node", "left").join(_of_node(drawn, "group"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("group", "node").alias("group"), *SIGNATURE)
     major = written(_major(labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")), "key"), "majors")
-    rest = written(join_hot(labelled, major, "key", "many", total).drop("few", "many"), "mixed-members")
-    x, y = rest.filter("component <> major").alias("x"), rest.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
+    rest = written(join_hot(labelled, major, "key", "many", total), "mixed-members")
+    x, y = (side.alias(name) for side, name in zip(_tiled(rest, ["key", "node", "component", "group", "major", *SIGNATURE]), "xy", strict=True))
+    tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.column") == F.col("y.column"))
+    apart = tile & (F.col("x.component") != F.col("y.component")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.component") == F.col("y.major")) | (F.col("x.node") < F.col("y.node")))
     second = x.join(y, apart & (estimate("x", "y") >= least)).select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     second = written(second, "rest-pairs")
     drop_written(members, rest, major, grouped, drawn)

@@ -123,6 +123,18 @@ def join_salted(rows: DataFrame, side: DataFrame, counts: DataFrame, key: str, s
     return salted.join(copied, [key, "_salt"]).drop("_salt")
 
 
+def join_spread(rows: DataFrame, side: DataFrame, counts: DataFrame, keys: list[str], size: str, total: int, spread: str) -> DataFrame:
+    """rows joined with side, which has a row for each value of keys; counts has in size how many of all rows have it.
+
+    Values that hold many rows (by the bounds of join_hot) are parted by a hash of spread, and their rows of side go to each
+    part. rows is read once, and a part is about a thousandth of all rows."""
+    hot = counts.filter(F.col(size) > max(HOT_ROWS, total // HOT_SHARE)).select(*keys, F.ceil(F.col(size) / max(HOT_ROWS, total // 1000)).alias("_parts"))
+    parted = lambda df: df.join(F.broadcast(hot), keys, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("long")))
+    salted = parted(rows).withColumn("_salt", F.pmod(F.xxhash64(spread), F.col("_parts"))).drop("_parts")
+    copied = parted(side).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
+    return salted.join(copied, [*keys, "_salt"]).drop("_salt")
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import drop_written, read_table, written
+from gneiss.llm.shared import drop_written, join_spread, read_table, written
 from gneiss.llm.tokenizer import text_blocks
 from gneiss.llm.words import gram_hashes, word_hashes
 
@@ -232,7 +232,6 @@ def _owners(reference: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs; with texts also kept_text, the words that stay."""
-    spark = docs.sparkSession
     rows = written(_anchors(docs, window, gram), "anchors")
     copies = rows.groupBy("sha").agg(F.min(F.struct(*ROW)).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = copies.select("sha", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
@@ -241,17 +240,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     firsts = rows_of.filter("id = first_id and row = first_row")
 
     every = firsts.select(*ROW, F.explode("anchors").alias("anchor"))
-    several = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
-    repeated = written(every.join(several, "anchor").groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
+    several = every.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    several = written(several.select("anchor", "n"), "anchor-counts")
+    shared = join_spread(every, several.select("anchor"), several, ["anchor"], "n", rows.count(), "row")
+    repeated = written(shared.groupBy(*ROW).agg(F.collect_set("anchor").alias("anchors")), "repeated-anchors")
     # Only what the result needs stays on disk besides the repeated anchors.
     rows_of = written(rows_of.select("id", "row", "n_words", "sha", "first_id", "first_row"), "whole-rows")
-    drop_written(rows)
+    drop_written(rows, several)
 
     found = written(_passages(docs, repeated, window, gram).withColumn("key", F.xxhash64("anchor", "words")), "passages")
     drop_written(repeated)
-    reference = written(found.groupBy("key", "anchor", "words").agg(F.min("id").alias("owner")), "reference")
+    reference = written(found.groupBy("key", "anchor", "words").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")), "reference")
     least = written(_owners(reference, window), "least-owners")
-    hits = found.select(*ROW, "start", "key", "anchor").join(least, ["key", "anchor"])
+    counts = reference.groupBy("key", "anchor").agg(F.sum("n").alias("n"))
+    hits = join_spread(found.select(*ROW, "start", "key", "anchor"), least, counts, ["key", "anchor"], "n", found.count(), "row")
     hits = hits.select(*ROW, F.expr("transform(filter(transform(owners, (o, i) -> struct(o as owner, i as i)), x -> x.owner < id), x -> start + x.i)").alias("starts")).filter(F.size("starts") > 0)
     # Rows of one id and text give equal lists: a set of lists, not a list of all.
     hits = written(hits.groupBy(*ROW).agg(F.flatten(F.collect_set("starts")).alias("starts")), "repeats")

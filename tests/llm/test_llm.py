@@ -798,3 +798,14 @@ def test_sources_in_many_tasks(spark):
     for n, name in enumerate(sorted((s for s, _ in rows if s), key=str)):
         assert (found[name]["number"], found[name]["weight"]) == (n, (3, 1, 2)[n % 3])
     assert found[None]["number"] == 2999
+
+
+def test_hot_bucket_of_many_groups_is_tiled(spark, monkeypatch):
+    """Members of one bucket that no hub draws together are compared in tiles of bounded size."""
+    monkeypatch.setattr(minhash, "FEW", 4)
+    monkeypatch.setattr(minhash, "MANY", 8)
+    rows = spark.createDataFrame([(1, n, n // 3, 0, 40, 60) for n in range(60)], "key long, node long, component long, major long, few long, many long")
+    few, many = minhash._tiled(rows, ["key", "node", "component"])
+    pairs = few.alias("x").join(many.alias("y"), [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "row", "column")])
+    assert pairs.count() == 57 * 60 == pairs.select("x.node", "y.node").distinct().count()
+    assert pairs.groupBy("x.row", "x.column").count().agg(F.max("count")).first()[0] < 57 * 60 / 10
