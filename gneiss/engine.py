@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from gneiss import schema, validate
 from gneiss.config import Settings
 from gneiss.functions import text as columns
-from gneiss.operators import catalog, embedding, hybrid, lexical, vector
+from gneiss.operators import catalog, embedding, hybrid, segments, vector
 from gneiss.sources import files
 from gneiss.streaming import replay
 from gneiss.streaming.jobs import Jobs, RateLimiter, Watch
 
 log = logging.getLogger(__name__)
-TABLES = ("repos", "chunks", "embeddings", "emb_cache", "file_state", "file_events", "scan")
+TABLES = ("repos", "chunks", "new_chunks", "embeddings", "emb_cache", "file_state", "file_events", "scan", "removed")
 HITS = "chunk_id long, score double, terms array<string>"
 
 
@@ -30,6 +30,7 @@ class Engine:
             raise ValueError(f"settings: {wrong}")
         self.embedder = embedder or embedding.HashingEmbedder(self.settings.embedding_size)
         self.weights = hybrid.weights(self.settings.bm25_weight, self.settings.semantic_weight)
+        self.failures: dict[str, str] = {}
         self.jobs, self.limiter = Jobs(), RateLimiter(self.settings.requests_per_minute)
 
     def table(self, name: str) -> catalog.Table:
@@ -57,13 +58,16 @@ class Engine:
         repos = self.table("repos").write(catalog.upsert_repos(self.repos(), seen))
         repo = repos.filter(F.col("path") == root).first()["repo_id"]
         found = self.table("scan").write(self._scan(root))
-        rest = catalog.delete_repo(repo, self.chunks())[0]
+        before = self.chunks()
+        old = before.filter(F.col("repo_id") == repo).select("chunk_id")
         others = self._read("file_state", schema.FILE_STATE).filter(~self._below(root))
-        chunks = self.table("chunks").write(rest.unionByName(self._chunked(found, repo)))
+        chunks = self.table("chunks").write(catalog.delete_repo(repo, before)[0].unionByName(self._chunked(found, repo)))
         self.table("file_state").write(others.unionByName(found.select("file_path", "file_hash", F.current_timestamp().alias("seen_at"))))
-        self._embed(chunks)
-        self.build()
-        return {"repo_id": repo, "files": found.count(), "chunks": chunks.filter(F.col("repo_id") == repo).count()}
+        own = chunks.filter(F.col("repo_id") == repo)
+        self._embed(own, old)
+        self._put(own, old)
+        self._drop_old()
+        return {"repo_id": repo, "files": found.count(), "chunks": own.count()}
 
     def _scan(self, root: str) -> DataFrame:
         return files.scan(self.spark, root).withColumn("file_path", F.concat(F.lit(root + "/"), "file_path"))
@@ -76,14 +80,25 @@ class Engine:
     def _chunked(found: DataFrame, repo: int) -> DataFrame:
         return files.chunks(found, repo).withColumn("chunk_id", F.xxhash64("file_path", "start_line"))
 
-    def _embed(self, chunks: DataFrame) -> None:
-        """Embeds texts that the cache lacks, once: new vectors are written before anything is made from them."""
+    def _embed(self, chunks: DataFrame, removed: DataFrame) -> None:
+        """Vectors of chunks take the place of those of removed (chunk_id), and chunks without a vector get one. Texts that the cache lacks are embedded once: new vectors are written before anything is made from them."""
+        gone = removed.select("chunk_id").unionByName(chunks.select("chunk_id")).distinct()
+        kept = self.embeddings().join(gone, "chunk_id", "left_anti")
+        todo = catalog.pending(self.chunks(), kept)
         cache = self._read("emb_cache", schema.EMB_CACHE)
-        _, new = embedding.embed(chunks, self.embedder, cache)
-        new = new.withColumn("created_at", F.current_timestamp())
-        cache = self.table("emb_cache").write(cache.unionByName(new))
-        self.table("embeddings").write(embedding.vectors(chunks, self.embedder, cache))
-        self._drop_old()
+        _, new = embedding.embed(todo, self.embedder, cache)
+        cache = self.table("emb_cache").append(new.withColumn("created_at", F.current_timestamp()))
+        self.table("embeddings").write(kept.unionByName(embedding.vectors(todo, self.embedder, cache)))
+
+    def _put(self, chunks: DataFrame | None, removed: DataFrame) -> None:
+        """Brings the postings up to date: one segment with chunks, in which removed (chunk_id) are gone.
+
+        With a limit of chunks, which are the first by id, all are indexed anew."""
+        index = segments.SegmentIndex(self.spark, f"{self.folder}/bm25")
+        if self.settings.chunk_limit is not None or not index.versions.numbers():
+            self.build()
+        else:
+            index.update(chunks, removed)
 
     def evict(self, most_bytes: int) -> int:
         """Drops the oldest fifth of the vector cache where its vectors take more than most_bytes; returns the number of entries left."""
@@ -100,7 +115,8 @@ class Engine:
             self.table(name).forget()
 
     def build(self) -> None:
-        lexical.Index.build(self.chunks(), self.settings.chunk_limit).save(f"{self.folder}/bm25")
+        """Indexes all chunks anew."""
+        segments.SegmentIndex.build(self.chunks(), f"{self.folder}/bm25", self.settings.chunk_limit)
 
     def build_cells(self, nlist: int = 100, sample: int = 50_000) -> vector.CellIndex:
         """Trains cells on a bounded sample and stores all vectors by cell."""
@@ -124,11 +140,15 @@ class Engine:
             self.index(root)
             return
         changed = now.join(events.filter("event_type <> 'deleted'").select("file_path"), "file_path", "left_semi")
-        chunks = self.table("chunks").write(catalog.replace_files(self.chunks(), self._chunked(changed, known["repo_id"]), events))
+        before = self.chunks()
+        old = before.join(events.select("file_path"), "file_path", "left_semi").select("chunk_id")
+        new = self.table("new_chunks").write(self._chunked(changed, known["repo_id"]))
+        self.table("chunks").write(catalog.replace_files(before, new, events))
         seen = events.filter("event_type <> 'deleted'").select("file_path", "file_hash", F.col("ts").alias("seen_at"))
         self.table("file_state").write(catalog.replace_files(state, seen, events))
-        self._embed(chunks)
-        self.build()
+        self._embed(new, old)
+        self._put(new, old)
+        self._drop_old()
 
     def watch(self, root: str, interval: float = 0.5) -> Watch:
         """Polls root and applies what changes; start(), stop() and status() are the watch's."""
@@ -138,32 +158,37 @@ class Engine:
         self.weights = hybrid.weights(lexical_weight, semantic_weight, self.weights)
         return self.weights
 
-    def _arm(self, find, columns: str) -> DataFrame:
-        """The hits of one arm, a bounded number; none where it fails."""
+    def _arm(self, name: str, find, columns: str, failures: dict[str, str]) -> DataFrame:
+        """The hits of one arm, a bounded number; none where its index or its model fails, which failures then tells. Other errors are raised."""
         try:
             return self.spark.createDataFrame(find().collect(), columns)
         except (PySparkException, FileNotFoundError) as e:
-            log.warning("search arm failed: %s", e)
+            log.warning("search arm %s failed: %s", name, e)
+            failures[name] = str(e).split("\n", 1)[0]
             return self.spark.createDataFrame([], columns)
 
     def search(self, text: str, language: str | None = None, limit: int | None = None, bm25: bool = True, semantic: bool = True, weights: tuple[float, float] | None = None) -> DataFrame:
-        """Hits with scores, their parts and payload; a blank query and both arms off give none. Weights hold for this call only."""
+        """Hits with scores, their parts and payload; a blank query and both arms off give none. Weights hold for this call only.
+
+        self.failures then tells which arm failed, and why; its hits are missing."""
         limit, blank = limit or self.settings.limit, not (text or "").strip()
         chunks = self.chunks() if language is None else self.chunks().filter(F.col("language") == language)
         words = near = None
+        failures: dict[str, str] = {}
         if not blank:
             text = validate.query(text)
 
             def of_words() -> DataFrame:
-                return lexical.Index.load(self.spark, f"{self.folder}/bm25").search(text, language, 2 * limit, None).select("chunk_id", "score", "terms")
+                return segments.SegmentIndex(self.spark, f"{self.folder}/bm25").search(text, language, 2 * limit, None)
 
             def of_vectors() -> DataFrame:
                 vectors = self.embeddings().join(chunks.select("chunk_id"), "chunk_id", "left_semi") if language else self.embeddings()
                 asked = self.spark.createDataFrame([([float(x) for x in self.embedder.embed([text])[0]],)], "q array<float>")
                 return vector.knn(vectors, asked, 2 * limit, digits=None)
 
-            words = self._arm(of_words, HITS) if bm25 else None
-            near = self._arm(of_vectors, "chunk_id long, score double") if semantic else None
+            words = self._arm("bm25", of_words, HITS, failures) if bm25 else None
+            near = self._arm("semantic", of_vectors, "chunk_id long, score double", failures) if semantic else None
+        self.failures = failures
         none = self.spark.createDataFrame([], HITS)
         w = hybrid.weights(*weights) if weights else self.weights
         best = hybrid.top(hybrid.fuse(words or none, near or none.drop("terms"), w, least=self.settings.min_score), limit, digits=None)
@@ -182,22 +207,27 @@ class Engine:
         return hybrid.top_per_group(found, "repo_id", per_repo)
 
     def delete(self, repo_id: int) -> int:
-        """Removes a repository with its chunks, vectors and postings; returns the number of chunks."""
-        chunks = self.chunks()
-        gone = chunks.filter(F.col("repo_id") == repo_id).count()
-        repos, rest = catalog.delete_repo(repo_id, self.repos(), chunks)
-        self.table("repos").write(repos)
-        rest = self.table("chunks").write(rest)
-        self.table("embeddings").write(self.embeddings().join(rest.select("chunk_id"), "chunk_id", "left_semi"))
-        self.build()
+        """Removes a repository with its chunks, vectors, postings and known files; returns the number of chunks."""
+        known = self.repos().filter(F.col("repo_id") == repo_id).first()
+        gone = self._remove(self.chunks().filter(F.col("repo_id") == repo_id).select("chunk_id"))
+        if known is not None:
+            self.table("repos").write(catalog.delete_repo(repo_id, self.repos())[0])
+            # Unknown files are indexed again by the next refresh.
+            self.table("file_state").write(self._read("file_state", schema.FILE_STATE).filter(~self._below(known["path"])))
         return gone
 
     def cleanup(self) -> int:
-        chunks = self.chunks()
-        gone = catalog.orphans(chunks, self.repos()).count()
+        """Removes chunks whose repository is null or unknown, with their vectors and postings; returns their number."""
+        return self._remove(catalog.orphans(self.chunks(), self.repos()).select("chunk_id"))
+
+    def _remove(self, ids: DataFrame) -> int:
+        ids = self.table("removed").write(ids)
+        gone = ids.count()
         if gone:
-            self.table("chunks").write(catalog.without_orphans(chunks, self.repos()))
-            self.build()
+            self.table("chunks").write(self.chunks().join(ids, "chunk_id", "left_anti"))
+            self.table("embeddings").write(self.embeddings().join(ids, "chunk_id", "left_anti"))
+            self._put(None, ids)
+        self._drop_old()
         return gone
 
     def vacuum(self) -> None:
@@ -221,7 +251,7 @@ class Engine:
         chunks = self.chunks()
         found = catalog.stats(chunks).first().asDict() | {"by_language": {r["language"]: r["n"] for r in catalog.by_language(chunks).collect()}}
         try:
-            words = lexical.Index.load(self.spark, f"{self.folder}/bm25").stats().first().asDict()
+            words = segments.SegmentIndex(self.spark, f"{self.folder}/bm25").stats().first().asDict()
         except FileNotFoundError:
             words = {"doc_count": 0}
         vectors = self.embeddings().count()

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 
 def upsert_repos(repos: DataFrame, seen: DataFrame) -> DataFrame:
@@ -71,13 +75,17 @@ def cache_size(cache: DataFrame, size: str = "size") -> DataFrame:
 def evicted(cache: DataFrame, share: int = 5, order: str = "created_at", key: str = "key", size: str | None = None, most: int = 0) -> DataFrame:
     """cache without the oldest 1/share of its rows, in the order of order (nulls first) and key; with size only where its sum is above most.
 
-    The value of order at the cut is found by counts over ever finer ranges, so no task takes the rows that go; only rows
-    that share this one value are sorted by key."""
+    order is a number, a date or a timestamp; other types raise. The value at the cut is found by counts over ever finer
+    ranges, and of the rows that share it those that go by a rank of key, taken in a sort over ranges: no task takes the
+    rows that go."""
+    kind = cache.schema[order].dataType
+    if not isinstance(kind, (NumericType, DateType, TimestampType, TimestampNTZType)):
+        raise TypeError(f"no order to evict by: {order} is of type {kind.simpleString()}")
     stats = cache.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col(size).cast("long")), F.lit(0)).alias("size") if size else F.lit(0).alias("size")).first()
     n = stats["n"] // share
     if n == 0 or (size and stats["size"] <= most):
         return cache
-    number = F.unix_micros(order) if dict(cache.dtypes)[order] == "timestamp" else F.col(order)
+    number = F.col(order) if isinstance(kind, NumericType) else F.unix_micros(F.col(order).cast("timestamp"))
     value = F.coalesce(number.cast("double"), F.lit(-1e300))
     low, high = cache.agg(F.min(value), F.max(value)).first()
     before = 0  # rows below low; up to high there are n or more
@@ -89,8 +97,23 @@ def evicted(cache: DataFrame, share: int = 5, order: str = "created_at", key: st
             if before + r["n"] >= n:
                 break
             before += r["n"]
-    going = cache.filter(value == low).select(key).orderBy(key).limit(n - before)
-    return cache.filter(value > low).unionByName(cache.filter(value == low).join(going, key, "left_anti"))
+    tied = cache.filter(value == low)
+    cut = key_at(tied, key, n - before)
+    return cache.filter(value > low).unionByName(tied.filter(F.col(key) > F.lit(cut)) if cut is not None else tied)
+
+
+def key_at(rows: DataFrame, key: str, n: int):
+    """The n-th smallest key (keys are distinct; None for n = 0), by counts over the tasks of a sort over ranges."""
+    if n <= 0:
+        return None
+    placed = rows.select(key).repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    parts = sorted((r["_part"], r["n"], r["low"], r["high"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect())
+    for _, count, low, high in parts:  # a row a task
+        if n <= count:
+            # One task's range of keys.
+            return rows.filter((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high))).select(key).orderBy(key).limit(n).agg(F.max(key)).first()[0]
+        n -= count
+    return None
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -114,56 +137,125 @@ def mark_embedded(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id
     return chunks.join(has, key, "left").withColumn("embedding_id", F.when(F.col("_has"), F.col(key))).drop("_has")
 
 
-class Table:
-    """A Parquet table under a pointer: writers fill a new folder and then move the pointer; a read plan keeps its folder."""
+class Versions:
+    """Numbered states of something stored in a folder: a small JSON file each, the latest one holds.
+
+    Data goes to new folders, which no other writer knows; a state then names the folders that it consists of. A state's
+    file is created only where none has its number, so of two writers one finds that it was late."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+    def _store(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return p, p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
-    def _versions(self) -> list[int]:
-        fs, p = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def numbers(self) -> list[int]:
+        p, fs = self._store("")
         if not fs.exists(p):
             return []
-        found = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = {x[5:] for x in found if x.startswith("done-")}
-        return sorted(int(x[1:]) for x in found if x.startswith("v") and x[1:] in done)
+        return sorted(int(x[6:]) for x in (s.getPath().getName() for s in fs.listStatus(p)) if x.startswith("state-"))
+
+    def state(self, number: int) -> dict:
+        p, fs = self._store(f"state-{number}")
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def now(self) -> tuple[int, dict]:
+        """Number and content of the present state; 0 and an empty one where there is none."""
+        numbers = self.numbers()
+        return (numbers[-1], self.state(numbers[-1])) if numbers else (0, {"folders": []})
+
+    def new_folder(self) -> str:
+        return f"data-{uuid.uuid4().hex}"
+
+    def commit(self, number: int, state: dict) -> bool:
+        """Makes state the one after number; False where another writer was first."""
+        p, fs = self._store(f"state-{number + 1}")
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or "already exists" in str(e.java_exception):
+                return False
+            raise
+        stream.write(bytearray(json.dumps(state).encode()))
+        stream.close()
+        return True
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.at())
+    def forget(self, keep: int = 2) -> None:
+        """Deletes all states but the latest ones and the folders that only those had; with two kept, plans over the one before still read."""
+        numbers = self.numbers()
+        stay = {f for n in numbers[-keep:] for f in self.state(n)["folders"]}
+        for n in numbers[:-keep]:
+            for folder in [*(f for f in self.state(n)["folders"] if f not in stay), f"state-{n}"]:
+                p, fs = self._store(folder)
+                fs.delete(p, True)
 
-    def at(self) -> str:
-        """The folder of the present version."""
-        versions = self._versions()
-        if not versions:
+
+class Table:
+    """A Parquet table as versions: a writer fills a new folder, then a state that names it; a read plan keeps its folders.
+
+    An append adds a folder to those of the version before and copies nothing. Writers beside each other: appends all
+    count, in the order of their states; of two writes the later one holds."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.versions = spark, path.rstrip("/"), Versions(spark, path)
+
+    def _versions(self) -> list[int]:
+        return self.versions.numbers()
+
+    def folders(self) -> list[str]:
+        """The folders of the present version."""
+        number, state = self.versions.now()
+        if not number:
             raise FileNotFoundError(self.path)
-        return f"{self.path}/v{versions[-1]}"
+        return [f"{self.path}/{f}" for f in state["folders"]]
 
-    def _delete(self, name: str) -> None:
-        self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+    def at(self) -> str:
+        """The one folder of a version that was written at once."""
+        return self.folders()[-1]
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(*self.folders())
 
     @contextmanager
-    def version(self):
-        """The folder of a new version; the pointer moves to it when the block ends without an error."""
-        number = max([0, *self._versions()]) + 1
-        self._delete(f"v{number}")  # left by a writer that failed
-        yield f"{self.path}/v{number}"
-        self._fs().create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/done-{number}")).close()
-
-    def write(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        with self.version() as to:
-            df.write.partitionBy(*partition_by).parquet(to)
+    def version(self, batch: tuple[str, int] | None = None, append: bool = False):
+        """A new folder, which makes the version (append: is added to it) when the block ends without an error.
+
+        batch: a stream's name and the number of its batch, which is kept with the data."""
+        folder = self.versions.new_folder()
+        yield f"{self.path}/{folder}"
+        while True:
+            number, state = self.versions.now()
+            if batch and state.get("batches", {}).get(batch[0], -1) >= batch[1]:
+                return  # the batch came in while this writer was at it
+            batches = state.get("batches", {}) | ({batch[0]: batch[1]} if batch else {})
+            if self.versions.commit(number, {"folders": [*state["folders"], folder] if append else [folder], "batches": batches}):
+                return
+
+    def has_batch(self, stream: str, batch_id: int) -> bool:
+        """Whether the batch of that number, or a later one, of the stream is in the table."""
+        return self.versions.now()[1].get("batches", {}).get(stream, -1) >= batch_id
+
+    def write(self, df: DataFrame, partition_by: tuple[str, ...] = (), batch: tuple[str, int] | None = None) -> DataFrame:
+        if not (batch and self.has_batch(*batch)):
+            with self.version(batch) as to:
+                df.write.partitionBy(*partition_by).parquet(to)
         return self.read()
 
     def clear(self) -> DataFrame:
         """An empty version with the same columns."""
         return self.write(self.read().limit(0))
 
-    def append(self, df: DataFrame) -> DataFrame:
-        return self.write(self.read().unionByName(df) if self._versions() else df)
+    def append(self, df: DataFrame, batch: tuple[str, int] | None = None) -> DataFrame:
+        """Adds rows. With batch (a stream's name and a batch's number) a batch that is there already is left out, so one that is replayed changes nothing."""
+        if not (batch and self.has_batch(*batch)):
+            with self.version(batch, append=True) as to:
+                df.write.parquet(to)
+        return self.read()
 
     def vacuum(self, files: int | None = None, keep: int = 1) -> DataFrame:
         """Rewrites the table into few files and deletes older versions."""
@@ -172,7 +264,4 @@ class Table:
         return now
 
     def forget(self, keep: int = 2) -> None:
-        """Deletes all versions but the latest ones; with two kept, plans over the one before still read."""
-        for v in self._versions()[:-keep]:
-            for name in (f"done-{v}", f"v{v}"):
-                self._delete(name)
+        self.versions.forget(keep)

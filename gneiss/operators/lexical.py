@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions import text
-from gneiss.operators.catalog import Table
 
 K1, B = 1.5, 0.75
 
@@ -17,16 +19,25 @@ def doc_tokens(docs: DataFrame, language: Column | str = "code", mode: str = "li
     return docs.withColumn("tokens", text.tokens(F.col(code), language, mode)).withColumn("doc_len", F.size("tokens"))
 
 
-def term_frequency(tokenised: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """term, key, tf: one row for each term of a document.
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, tf and the other columns for each term of each row of batches, whose column tokens holds lists of words.
+
+    A batch's words are numbered by a dictionary, and pairs of row and number counted by a sort."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        words = tokens.flatten().dictionary_encode()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
+        size = max(1, len(words.dictionary))
+        pairs, times = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        of = pa.array(pairs // size)
+        others = [c for c in batch.schema.names if c != "tokens"]
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(pairs % size)), *(batch.column(c).take(of) for c in others), pa.array(times, pa.int32())], ["term", *others, "tf"])
+
 
-    A document is one row, so its terms are counted there and nothing is shuffled: in the sorted tokens a term's run ends
-    where the next token differs, and two neighbouring run ends are its count apart."""
-    tokens = F.array_sort("tokens")
-    ends = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == F.size("_s")) | (F.get("_s", i - 1) != F.get("_s", i)))
-    runs = F.transform("_e", lambda e, j: F.struct(F.get("_s", e - 1).alias("term"), (e - F.coalesce(F.get("_e", j - 1), F.lit(0))).alias("tf")))
-    rows = tokenised.select(key, tokens.alias("_s")).filter(F.size("_s") > 0).select(key, "_s", ends.alias("_e"))
-    return rows.select(key, F.explode(runs).alias("r")).select(key, "r.term", "r.tf")
+def term_frequency(tokenised: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """term, key, tf: one row for each term of a document. Terms are counted where their document is, so nothing is shuffled."""
+    rows = tokenised.select(key, "tokens").filter(F.size("tokens") > 0)
+    return rows.mapInArrow(counted, f"term string, `{key}` {rows.schema[key].dataType.simpleString()}, tf int")
 
 
 def document_frequency(tokenised: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -76,78 +87,6 @@ def top(scored: DataFrame, k: int, key: str = "chunk_id", digits: int | None = 4
     return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
-def _postings(tokenised: DataFrame) -> DataFrame:
-    """term, chunk_id, tf, doc_len, language."""
-    rows = tokenised.withColumn("key", F.struct("chunk_id", "doc_len", "language"))
-    return term_frequency(rows, "key").select("term", "key.chunk_id", "tf", "key.doc_len", "key.language")
-
-
-class Index:
-    """Postings and statistics as tables, for many queries over the same documents.
-
-    postings: term, chunk_id, tf, doc_len, language; term_stats: term, df; doc_stats: chunk_id, language, doc_len; corpus: one row."""
-
-    def __init__(self, postings: DataFrame, term_stats: DataFrame, doc_stats: DataFrame, corpus: DataFrame, rows: DataFrame | None = None):
-        self.postings, self.term_stats, self.doc_stats, self.corpus, self.rows = postings, term_stats, doc_stats, corpus, rows
-
-    @staticmethod
-    def build(chunks: DataFrame, limit: int | None = None) -> Index:
-        """chunks: chunk_id, code, language; limit: the first so many by chunk_id."""
-        chunks = chunks.orderBy("chunk_id").limit(limit) if limit is not None else chunks
-        tokenised = doc_tokens(chunks, F.coalesce("language", F.lit("code")))
-        return Index._of(tokenised.select("chunk_id", "language", "doc_len", "tokens"))
-
-    @staticmethod
-    def _of(rows: DataFrame) -> Index:
-        counted = _postings(rows)
-        return Index(counted, counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")), rows.select("chunk_id", "language", "doc_len"), corpus_stats(rows), rows)
-
-    def save(self, path: str) -> None:
-        """Writes a new version and moves the pointer to it, so readers never meet half an index.
-
-        Texts are tokenised once, into a table that everything else is made from. Postings are laid out by term, so that a
-        query prunes files by their minima and maxima."""
-        table = Table(self.corpus.sparkSession, path)
-        with table.version() as to:
-            spark = self.corpus.sparkSession
-            if self.rows is not None:
-                self.rows.write.parquet(f"{to}/rows")
-                made = Index._of(spark.read.parquet(f"{to}/rows"))
-            else:
-                made = self
-            made.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.parquet(f"{to}/postings")
-            spark.read.parquet(f"{to}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{to}/term_stats")
-            made.doc_stats.write.parquet(f"{to}/doc_stats")
-            corpus_stats(spark.read.parquet(f"{to}/doc_stats")).write.parquet(f"{to}/corpus_stats")
-        table.forget()
-
-    @staticmethod
-    def load(spark, path: str) -> Index:
-        at = Table(spark, path).at()
-        return Index(*(spark.read.parquet(f"{at}/{t}") for t in ("postings", "term_stats", "doc_stats", "corpus_stats")))
-
-    def search(self, query: str, language: str | None = None, limit: int = 10, digits: int | None = 4) -> DataFrame:
-        """chunk_id, score, terms. Statistics are of the whole corpus, the language filters documents only.
-
-        A posting carries its document's length and language, so only the postings of the query's terms are read."""
-        spark = self.postings.sparkSession
-        asked = spark.createDataFrame([(query,)], "q string").select(F.explode(text.tokens(F.col("q"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-        terms = [r["term"] for r in asked.collect()]  # the words of one query
-        wanted = F.col("term").isin(terms)
-        hits = self.postings.filter(wanted if language is None else wanted & (F.col("language") == language))
-        weighed = F.broadcast(asked.join(self.term_stats.filter(wanted), "term").crossJoin(F.broadcast(self.corpus)))  # a row a term
-        part = F.col("times") * idf(F.col("doc_count"), F.col("df")) * weight(F.col("tf"), F.col("doc_len"), F.col("avg_len"))
-        parts = hits.join(weighed, "term").groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("term", part.alias("part")))).alias("parts"))
-        # Added up in the order of terms, so that equal documents have equal scores.
-        score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["part"])
-        return top(parts.select("chunk_id", score.alias("score"), F.transform("parts", lambda x: x["term"]).alias("terms")), limit, digits=digits)
-
-    def stats(self) -> DataFrame:
-        """doc_count, total_length, avg_len, term_count and the bytes of the postings."""
-        size = self.term_stats.agg(F.count(F.lit(1)).alias("term_count"), F.coalesce(F.sum(F.octet_length("term") * F.col("df") + 8 * F.col("df")), F.lit(0)).alias("posting_bytes"))
-        return self.corpus.crossJoin(F.broadcast(size))
-
-
 def keyword_search(chunks: DataFrame, query: str, key: str = "chunk_id", code: str = "code", symbols: str | None = None, limit: int = 10) -> DataFrame:
     """For each word of query 1 if the code contains it and 2 if the symbols do; the best limit rows."""
     words = query.lower().split()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 from gneiss.operators import catalog as store
-from gneiss.operators import chunks, embedding, lexical, vector
+from gneiss.operators import chunks, embedding, segments, vector
 from gneiss.plans.catalog import _CELLS, _CHUNKS, _COS, _Q, _TOK, ORACLE_SQL, TERMS, _asked, _bm25, query, table
 from gneiss.sources import files
 from gneiss.streaming import replay
@@ -29,23 +29,43 @@ def folder(spark: SparkSession, name: str) -> str:
 # Indexes
 
 
-def _index(spark, sf_dir) -> lexical.Index:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"), F.lit("text").alias("language"))
-    path = folder(spark, "bm25")
-    lexical.Index.build(docs).save(path)
-    return lexical.Index.load(spark, path)
+def _texts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("code"), F.lit("text").alias("language"))
 
 
-@query(_bm25(TERMS) + " SELECT doc_id chunk_id, round(sc, 4) score, terms FROM sc ORDER BY sc DESC, doc_id LIMIT 20")
+def _index(spark, sf_dir) -> segments.SegmentIndex:
+    return segments.SegmentIndex.build(_texts(spark, sf_dir), folder(spark, "bm25"))
+
+
+_TOP = _bm25(TERMS) + " SELECT doc_id chunk_id, round(sc, 4) score, terms FROM sc ORDER BY sc DESC, doc_id LIMIT 20"
+
+
+def _top(index: segments.SegmentIndex) -> DataFrame:
+    return index.search(" ".join(TERMS), None, 20).select("chunk_id", "score", F.array_join("terms", ",").alias("terms"))
+
+
+@query(_TOP)
 def bm25_index_search(spark, sf_dir):
-    """A query over stored postings: only the files of its terms are read."""
-    return _index(spark, sf_dir).search(" ".join(TERMS), None, 20).select("chunk_id", "score", F.array_join("terms", ",").alias("terms"))
+    """A query over stored postings: buckets that can't reach the k-th score aren't scored."""
+    return _top(_index(spark, sf_dir))
+
+
+@query(_TOP)
+def bm25_segments_search(spark, sf_dir):
+    """An index that grew by parts: some documents came first with other texts, some came twice, others were removed and came again."""
+    docs, i = _texts(spark, sf_dir), F.col("chunk_id")
+    former = docs.filter(i % 3 != 0).withColumn("code", F.when(i % 4 == 0, "other words the and where").otherwise(F.col("code")))
+    index = segments.SegmentIndex.build(former, folder(spark, "bm25"))
+    index.update(docs.filter(i % 4 == 0))
+    index.update(None, docs.filter(i % 5 == 1).select("chunk_id"))
+    index.update(docs.filter((i % 3 == 0) & (i % 4 != 0)))
+    index.update(docs.filter(i % 5 == 1))
+    return _top(index)
 
 
 @query(f"WITH {_TOK}, tok AS (SELECT doc_id, unnest(t) term FROM base) SELECT term, count(DISTINCT doc_id)::BIGINT df, count(*)::BIGINT tf FROM tok GROUP BY term")
 def bm25_index_terms(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return index.term_stats.join(index.postings.groupBy("term").agg(F.sum("tf").alias("tf")), "term").select("term", "df", "tf")
+    return _index(spark, sf_dir).terms()
 
 
 @query(f"""WITH {_TOK}, tok AS (SELECT doc_id, unnest(t) term FROM base), df AS (SELECT term, count(DISTINCT doc_id) df FROM tok GROUP BY term)

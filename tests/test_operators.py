@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gneiss import config, validate
 from gneiss.engine import Engine
 from gneiss.functions import text
-from gneiss.operators import catalog, chunks, embedding, hybrid, lexical, symbols, vector
+from gneiss.operators import catalog, chunks, embedding, hybrid, lexical, segments, symbols, vector
 from gneiss.plans import catalog as plans
 from gneiss.sources import files
 from gneiss.streaming import replay
@@ -120,9 +120,8 @@ def corpus(spark):
 
 
 def test_index_search(spark, corpus, tmp_path):
-    index = lexical.Index.build(corpus)
-    index.save(str(tmp_path / "bm25"))
-    index = lexical.Index.load(spark, str(tmp_path / "bm25"))
+    segments.SegmentIndex.build(corpus, str(tmp_path / "bm25"))
+    index = segments.SegmentIndex(spark, str(tmp_path / "bm25"))
     assert [r["chunk_id"] for r in index.search("greet").collect()] == [2, 1]
     assert [r["chunk_id"] for r in index.search("GREET", language="python").collect()] == [1]
     assert [r["chunk_id"] for r in index.search("123").collect()] == [5]
