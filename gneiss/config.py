@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field, fields
+from typing import get_args, get_type_hints
 
 
 @dataclass
@@ -22,8 +23,17 @@ class Settings:
 
 
 def _typed(name: str, value):
-    kind = type(getattr(Settings(), name))
-    return kind(value) if isinstance(value, str) and kind in (int, float) else value
+    """value as the field's annotation says; a text that is no number stays one, for the checks to find. An empty text is None where that is allowed."""
+    kinds = [get_type_hints(Settings)[name], *get_args(get_type_hints(Settings)[name])]
+    if isinstance(value, str) and type(None) in kinds and not value.strip():
+        return None
+    for kind in (int, float):
+        if isinstance(value, str) and kind in kinds:
+            try:
+                return kind(value)
+            except ValueError:
+                return value
+    return value
 
 
 def load(path: str | None = None, prefix: str = "GNEISS_", environ: dict[str, str] | None = None, **given) -> Settings:

@@ -7,12 +7,13 @@ import logging
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from gneiss import schema, validate
 from gneiss.config import Settings
 from gneiss.functions import text as columns
 from gneiss.operators import catalog, embedding, hybrid, segments, vector
-from gneiss.sources import files
+from gneiss.sources import files, watch
 from gneiss.streaming import replay
 from gneiss.streaming.jobs import Jobs, RateLimiter, Watch
 
@@ -154,6 +155,15 @@ class Engine:
         """Polls root and applies what changes; start(), stop() and status() are the watch's."""
         return Watch(lambda: self.refresh(root).count(), interval)
 
+    def follow(self, root: str, interval: float = 0.5, once: bool = False) -> StreamingQuery:
+        """Refreshes root whenever a stream of its changes brings some, and goes on where it stopped; once: takes what has changed and ends."""
+        root = validate.directory(root)
+        name = F.xxhash64(F.lit(root))
+        at = f"{self.folder}/follow/{self.spark.range(1).select(name).first()[0] & (1 << 64) - 1:x}"
+        stream = watch.changes(self.spark, root, f"{at}/snapshots")
+        writer = stream.writeStream.foreachBatch(lambda events, _: None if events.isEmpty() else self.refresh(root)).option("checkpointLocation", f"{at}/checkpoint")
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval} seconds")).start()
+
     def set_weights(self, lexical_weight: float, semantic_weight: float) -> tuple[float, float]:
         self.weights = hybrid.weights(lexical_weight, semantic_weight, self.weights)
         return self.weights

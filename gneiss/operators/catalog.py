@@ -191,8 +191,11 @@ class Versions:
         stay = {f for n in numbers[-keep:] for f in self.state(n)["folders"]}
         for n in numbers[:-keep]:
             for folder in [*(f for f in self.state(n)["folders"] if f not in stay), f"state-{n}"]:
-                p, fs = self._store(folder)
-                fs.delete(p, True)
+                self.remove(folder)
+
+    def remove(self, name: str) -> None:
+        p, fs = self._store(name)
+        fs.delete(p, True)
 
 
 class Table:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gneiss.operators import catalog as store
 from gneiss.operators import chunks, embedding, segments, vector
 from gneiss.plans.catalog import _CELLS, _CHUNKS, _COS, _Q, _TOK, ORACLE_SQL, TERMS, _asked, _bm25, query, table
-from gneiss.sources import files
+from gneiss.sources import files, watch
 from gneiss.streaming import replay
 
 
@@ -236,6 +236,32 @@ def coalesced_paths(spark, sf_dir):
     return replay.coalesce_paths(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("file_path")))
 
 
+@query("""SELECT 1 AS round, 'created' AS event_type, 'src=' || n_regionkey AS folder, count(DISTINCT n_regionkey) AS n FROM nation WHERE n_regionkey <> 3 GROUP BY n_regionkey
+UNION ALL SELECT 2, CASE WHEN n_regionkey = 3 THEN 'created' ELSE 'deleted' END, 'src=' || n_regionkey, count(DISTINCT n_regionkey) FROM nation WHERE n_regionkey IN (1, 3) GROUP BY n_regionkey""")
+def tree_stream(spark, sf_dir):
+    """A stream of a tree's changes, stopped and started again: a file for each region but one, then one region's goes and the last one's comes.
+
+    Batches are kept with their numbers, so one that is repeated isn't added twice."""
+    at = folder(spark, "watched")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("src"), "n_nationkey", "n_name")
+    events = store.Table(spark, f"{at}/events")
+
+    def put(part: DataFrame, mode: str) -> None:
+        part.repartition("src").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("src").json(f"{at}/tree")
+
+    def take() -> None:
+        stream = watch.changes(spark, f"{at}/tree", f"{at}/snapshots")
+        replay.run_available(stream, lambda df, i: events.append(df, batch=("tree", i)), f"{at}/checkpoint")
+
+    put(rows.filter("src <> 3"), "append")
+    take()
+    put(rows.filter("src = 3"), "append")
+    store.Versions(spark, f"{at}/tree").remove("src=1")
+    take()
+    found = events.read().filter(F.endswith("file_path", F.lit(".json")))
+    return found.groupBy(F.col("version").cast("int").alias("round"), "event_type", F.split("file_path", "/")[0].alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # The two replays of the catalog, as folds over each key's events.
 _EVENTS = "SELECT event_id, event_type, user_id, epoch_us(ts::TIMESTAMP) at_us FROM events"
 ORACLE_SQL["debounce_replay"] = f"""WITH e AS ({_EVENTS}), l AS (SELECT user_id, event_type, list([at_us] ORDER BY at_us) ts FROM e GROUP BY ALL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,11 @@ def scan(spark: SparkSession, root: str, narrow: bool = False, most_bytes: int =
     """file_path (below root), language, content, file_hash, modified of files that aren't ignored, too large or of an unknown kind.
 
     The size limit reaches the scan, so larger files are not opened. Undecodable bytes are replaced, or with narrow the file skipped."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= most_bytes)
-    base = root.split(":", 1)[-1].rstrip("/")
+    literal = re.sub(r"([\[\]{}*?\\])", r"\\\1", root)  # a folder's name, not a pattern
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(literal).filter(F.col("length") <= most_bytes)
+    base = root.split(":", 1)[-1].strip("/")
     path = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
-    below = F.expr(f"substring(p, instr(p, '{base.lstrip('/')}') + {len(base.lstrip('/')) + 1})")
-    rows = found.withColumn("p", path).withColumn("file_path", below)
+    rows = found.withColumn("file_path", F.substring(path, F.instr(path, F.lit(base)) + len(base) + 1, F.length(path)))
     rows = rows.filter(~text.ignored(F.col("file_path"), narrow))
     if narrow:
         rows = rows.filter(F.substring_index("file_path", ".", -1).isin(fixed.NARROW_EXTENSIONS) & F.is_valid_utf8(F.col("content").cast("string")))

@@ -9,7 +9,8 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 @dataclass
@@ -50,6 +51,20 @@ class Jobs:
             do()
         return job
 
+    def known(self, job_id: str, kind: str) -> Job:
+        """The job of that id, which is made where there is none."""
+        with self._lock:
+            job = self._jobs.setdefault(job_id, Job(kind, job_id=job_id))
+            for old in list(self._jobs)[: max(0, len(self._jobs) - self.most)]:
+                del self._jobs[old]
+        return job
+
+    def listen(self, spark: SparkSession) -> Progress:
+        """From now on the session's streaming queries are jobs, under their run ids."""
+        listener = Progress(self)
+        spark.streams.addListener(listener)
+        return listener
+
     def get(self, job_id: str) -> dict | None:
         job = self._jobs.get(job_id)
         return asdict(job) if job else None
@@ -58,6 +73,37 @@ class Jobs:
         return [asdict(j) for j in self._jobs.values()]
 
 
+#: What streams with state and timers need.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+class Progress(StreamingQueryListener):
+    """Keeps a job for each streaming query that the session runs: its batch, rows so far, rows a second and error are the job's result."""
+
+    def __init__(self, jobs: Jobs):
+        self.jobs = jobs
+
+    def _job(self, run_id: str, name: str | None) -> Job:
+        return self.jobs.known(str(run_id), f"stream {name}" if name else "stream")
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - names that Spark calls
+        job = self._job(event.runId, event.name)
+        job.status, job.result = "running", {"batch": None, "rows": 0, "rows_per_second": 0.0}
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        job = self._job(p.runId, p.name)
+        before = (job.result or {}).get("rows", 0)
+        job.result = {"batch": p.batchId, "rows": before + p.numInputRows, "rows_per_second": p.processedRowsPerSecond}
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        job = self._job(event.runId, None)
+        job.error, job.status, job.finished_at = event.exception, "failed" if event.exception else "completed", time.time()
+
+
 class Watch:
     """Polls: calls step() every interval seconds until stopped; what step returns is counted as its events."""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from gneiss.functions import text
 
@@ -23,104 +26,127 @@ def watched(files: DataFrame) -> DataFrame:
     return files.filter(~text.watch_ignored(F.col("file_path")))
 
 
-def _debounced(times: list[int], last: int | None, gap: int) -> tuple[list[int], int | None]:
-    """Times that pass: gap or more after the last that did."""
-    passed = []
-    for t in times:
-        if last is None or t - last >= gap:
-            passed.append(t)
-            last = t
-    return passed, last
+class Gap:
+    """Passes what comes gap_us or more after the last that passed."""
 
+    def __init__(self, gap_us: int, kept: Iterable[int] = ()):
+        self.span, self.kept = gap_us, deque(kept)
 
-#: Events of a key that are worked through together, but for a longer stretch without a gap.
-BLOCK = 10_000
+    def takes(self, t: int) -> bool:
+        if self.kept and t - self.kept[0] < self.span:
+            return False
+        self.kept = deque([t])
+        return True
 
 
-def _blocks(events: DataFrame, key: list[str], at: str, gap_us: int) -> tuple[DataFrame, list[str]]:
-    """events with _block, a number within each key, and the order of events.
+class Quota:
+    """Passes what has fewer than limit passed ones in the window_us before it; what doesn't pass doesn't count."""
 
-    Nothing before a gap of gap_us or more matters behind it, so a key's events are parted at such gaps, about BLOCK in each part."""
-    order = [at, *(c for c in events.columns if c not in (at, *key))]
-    before = Window.partitionBy(*key).orderBy(*order)
-    last = F.lag(at).over(before)
-    starts = F.when(last.isNull() | (F.col(at) - last >= gap_us), F.row_number().over(before))
-    return events.withColumn("_start", starts).withColumn("_block", F.floor(F.max("_start").over(before) / BLOCK)).drop("_start"), order
+    def __init__(self, window_us: int, limit: int, kept: Iterable[int] = ()):
+        self.span, self.limit, self.kept = window_us, limit, deque(kept)
 
+    def takes(self, t: int) -> bool:
+        while self.kept and self.kept[0] <= t - self.span:
+            self.kept.popleft()
+        if len(self.kept) >= self.limit:
+            return False
+        self.kept.append(t)
+        return True
+
+
+def _order(events: DataFrame, key: list[str], at: str) -> list[str]:
+    """Of equal times the first is the first in the order of the other columns."""
+    return [at, *(c for c in events.columns if c not in (at, *key))]
 
-def debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
-    """Of each key's events those that come gap_us or more after the last one passed, of equal times the first in the order
-    of the other columns. Acceptance feeds back, so events are worked through in order."""
-    parted, order = _blocks(events, key, at, gap_us)
-    names = [f.name for f in events.schema]
 
-    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        passed, keep = None, []
-        for t in frame[at].tolist():
-            ok = passed is None or t - passed >= gap_us
-            keep.append(ok)
-            passed = t if ok else passed
-        return frame[keep][names]
+def _accepted(events: DataFrame, key: list[str], at: str, rule: Callable[[], Gap | Quota]) -> DataFrame:
+    """events with accepted, by a rule for each key. Acceptance feeds back, so a key's events are sorted, on disk where they are
+    many, and stream past the rule in one task; memory holds what the rule keeps, not the key."""
 
-    return parted.groupBy(*key, "_block").applyInPandas(run, events.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state = None, rule()
+        for batch in batches:
+            out = []
+            for *now, t in zip(*(batch.column(c).to_pylist() for c in (*key, at)), strict=True):
+                if now != own:
+                    own, state = now, rule()
+                out.append(state.takes(t))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], [*batch.schema.names, "accepted"])
+
+    ordered = events.repartition(*key).sortWithinPartitions(*key, *_order(events, key, at))
+    return ordered.mapInArrow(run, StructType([*events.schema, StructField("accepted", BooleanType())]))
+
+
+def debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
+    """Of each key's events those that come gap_us or more after the last one passed, of equal times the first in the order of the other columns."""
+    return _accepted(events, key, at, lambda: Gap(gap_us)).filter("accepted").drop("accepted")
 
 
 def rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int = 60, window_us: int = 60_000_000) -> DataFrame:
     """requests with accepted: fewer than limit accepted ones of the client lie within the window before; rejected ones don't count."""
-    from collections import deque
-
-    parted, order = _blocks(requests, [client], at, window_us)
-    names = [*(f.name for f in requests.schema), "accepted"]
-
-    def run(_: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        taken, ok = deque(), []
-        for t in frame[at].tolist():
-            while taken and taken[0] <= t - window_us:
-                taken.popleft()
-            ok.append(len(taken) < limit)
-            if ok[-1]:
-                taken.append(t)
-        return frame.assign(accepted=ok)[names]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean"
-    return parted.groupBy(client, "_block").applyInPandas(run, schema)
-
-
-def stream_debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000) -> DataFrame:
-    """debounce over a stream: the time last passed is kept in state for each key."""
-    names = [f.name for f in events.schema]
-
-    def run(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        every = pd.concat(list(frames)).sort_values(at, kind="stable")
-        passed, last = _debounced(every[at].tolist(), last, gap_us)
-        if last is not None:
-            state.update((last,))
-        yield every[every[at].isin(passed)].drop_duplicates(at)[names]
-
-    return events.groupBy(*key).applyInPandasWithState(run, events.schema, "last long", "append", "NoTimeout")
-
-
-def stream_rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int = 60, window_us: int = 60_000_000) -> DataFrame:
-    """rate_limit over a stream: accepted times within the window are kept in state for each client."""
-    names = [f.name for f in requests.schema]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", accepted boolean"
-
-    def run(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        taken = list(state.get[0]) if state.exists else []
-        every = pd.concat(list(frames)).sort_values(at, kind="stable")
-        ok = []
-        for t in every[at].tolist():
-            taken = [x for x in taken if x > t - window_us]
-            ok.append(len(taken) < limit)
-            if ok[-1]:
-                taken.append(t)
-        state.update((taken,))
-        yield every.assign(accepted=ok)[[*names, "accepted"]]
-
-    return requests.groupBy(client).applyInPandasWithState(run, schema, "taken array<long>", "append", "NoTimeout")
+    return _accepted(requests, [client], at, lambda: Quota(window_us, limit))
+
+
+class InOrder(StatefulProcessor):
+    """Hands a key's events to a rule in the order of time, once the watermark says that no earlier ones come.
+
+    Until then they are kept; then what the rule keeps is, and it goes by a timer once nothing later can depend on it. So a
+    key that is idle leaves no state, and the result doesn't depend on how events are dealt into batches."""
+
+    def __init__(self, columns: StructType, order: list[str], at: str, rule: Callable[[list[int]], Gap | Quota]):
+        self.columns, self.order, self.at, self.rule = columns, order, at, rule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.kept = handle.getListState("kept", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803 - names that Spark calls
+        due = set()
+        for r in rows:
+            self.waiting.appendValue(tuple(r[c] for c in self.columns.names))
+            due.add(r[self.at] // 1000 + 1)
+        for t in due:
+            self.handle.registerTimer(t)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        passed_us = timerValues.getCurrentWatermarkInMs() * 1000
+        place = {c: i for i, c in enumerate(self.columns.names)}
+        waiting = [tuple(r) for r in self.waiting.get()]
+        ready = [r for r in waiting if r[place[self.at]] <= passed_us]
+        rule = self.rule([r[0] for r in self.kept.get()])
+        ready.sort(key=lambda r: [(r[place[c]] is not None, r[place[c]]) for c in self.order])
+        for r in ready:
+            yield Row(**dict(zip(self.columns.names, r, strict=True)), accepted=rule.takes(r[place[self.at]]))
+        left = [r for r in waiting if r[place[self.at]] > passed_us]
+        self.waiting.put(left) if left else self.waiting.clear()
+        kept = [(t,) for t in rule.kept if t + rule.span > passed_us]
+        self.kept.put(kept) if kept else self.kept.clear()
+        if kept and ready:
+            self.handle.registerTimer((kept[-1][0] + rule.span) // 1000 + 1)
+
+    def close(self) -> None:
+        pass
+
+
+def _stream_accepted(events: DataFrame, key: list[str], at: str, late_us: int, rule: Callable[[list[int]], Gap | Quota]) -> DataFrame:
+    columns = StructType(list(events.schema))
+    timed = events.withColumn("_time", F.timestamp_micros(at)).withWatermark("_time", f"{late_us} microseconds")
+    processor = InOrder(columns, _order(events, key, at), at, rule)
+    return timed.groupBy(*key).transformWithState(processor, StructType([*columns, StructField("accepted", BooleanType())]), "append", "EventTime")
+
+
+def stream_debounce(events: DataFrame, key: list[str], at: str = "at_us", gap_us: int = 100_000, late_us: int = 0) -> DataFrame:
+    """debounce over a stream. An event comes out once the watermark, late_us behind the latest time seen, has passed it; events behind the watermark take no part.
+
+    Needs the RocksDB state store (jobs.STATE_STORE)."""
+    return _stream_accepted(events, key, at, late_us, lambda kept: Gap(gap_us, kept)).filter("accepted").drop("accepted")
+
+
+def stream_rate_limit(requests: DataFrame, client: str, at: str = "at_us", limit: int = 60, window_us: int = 60_000_000, late_us: int = 0) -> DataFrame:
+    """rate_limit over a stream, with times and late requests as in stream_debounce."""
+    return _stream_accepted(requests, [client], at, late_us, lambda kept: Quota(window_us, limit, kept))
 
 
 def coalesce_paths(events: DataFrame) -> DataFrame:

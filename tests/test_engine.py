@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gneiss import validate
+from gneiss import config, validate
 from gneiss.__main__ import run
 from gneiss.config import Settings
 from gneiss.engine import Engine
-from gneiss.operators import catalog, embedding, hybrid, lexical, vector
+from gneiss.operators import catalog, embedding, hybrid, lexical, segments, vector
+from gneiss.sources import files
 from gneiss.streaming.jobs import Jobs, RateLimiter, Stream, Watch
 
 
@@ -191,3 +192,96 @@ def test_embedding_batches_and_limits(spark):
     chunks = spark.createDataFrame([(1, "one two three"), (2, "one two four")], "chunk_id long, code string")
     vectors, _ = embedding.embed(chunks, embedding.HashingEmbedder(8), most_words=2)
     assert len({tuple(r["embedding"]) for r in vectors.collect()}) == 1
+
+
+def test_a_deleted_repository_is_indexed_again_by_a_refresh(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    done = engine.index(str(tree))
+    assert engine.delete(done["repo_id"]) == 3 and engine.search("greet").count() == 0
+    assert engine.refresh(str(tree)).count() == 3 and engine.chunks().count() == engine.embeddings().count() == 3
+    assert engine.search("greet", semantic=False).count() == 2
+
+
+def test_cleanup_takes_vectors_and_postings(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index(str(tree))
+    engine.table("repos").write(engine.repos().limit(0))
+    assert engine.cleanup() == 3
+    assert engine.chunks().count() == engine.embeddings().count() == engine.search("greet").count() == 0
+    assert engine.cleanup() == 0
+
+
+def test_a_refresh_writes_one_segment(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index(str(tree))
+    index = segments.SegmentIndex(spark, f"{engine.folder}/bm25")
+    before = index._segments()
+    (tree / "a.py").write_text("def changed():\n    return farewell()\n")
+    engine.refresh(str(tree))
+    after = index._segments()
+    assert after[:-1] == before and (after[-1]["rows"], after[-1]["dead"], after[-1]["docs"]) == (1, 1, 0)
+    whole = segments.SegmentIndex.build(engine.chunks(), str(tmp_path / "whole"))
+    for query in ("greet", "farewell untouched return", "hello_world"):
+        assert index.search(query).collect() == whole.search(query).collect()
+
+
+@pytest.mark.parametrize("name", ["it's", "a[1]", "b{c,d}", "what*"])
+def test_folders_of_any_name(spark, tmp_path, name):
+    root = tmp_path / name
+    root.mkdir()
+    (root / "a.py").write_text("def inside():\n    return 1\n")
+    (tmp_path / "a1").mkdir()
+    (tmp_path / "a1" / "b.py").write_text("def outside():\n    return 1\n")
+    assert [(r["file_path"], r["language"]) for r in files.scan(spark, str(root)).collect()] == [("a.py", "python")]
+
+
+def test_settings_have_their_types(spark, tmp_path):
+    found = config.load(environ={"GNEISS_CHUNK_LIMIT": "2", "GNEISS_MIN_SCORE": "0.5"})
+    assert (found.chunk_limit, found.min_score) == (2, 0.5) and config.load(environ={"GNEISS_CHUNK_LIMIT": ""}).chunk_limit is None
+    assert "chunk_limit" in validate.startup(config.load(environ={"GNEISS_CHUNK_LIMIT": "many"}))
+    root = tmp_path / "r"
+    root.mkdir()
+    for i in range(4):
+        (root / f"f{i}.py").write_text(f"def number_{i}():\n    return common()\n")
+    engine = Engine(spark, str(tmp_path / "i"), found)
+    engine.index(str(root))
+    assert engine.stats()["bm25"]["doc_count"] == 2
+
+
+def test_failing_arms_are_named(spark, tree, tmp_path):
+    class Broken(embedding.HashingEmbedder):
+        def embed(self, texts):
+            raise FileNotFoundError("no model")
+
+    class Wrong(embedding.HashingEmbedder):
+        def embed(self, texts):
+            raise KeyError("a fault of the program")
+
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index(str(tree))
+    engine.search("greet")
+    assert engine.failures == {}
+    engine.embedder = Broken(64)
+    engine.search("greet")
+    assert engine.failures == {"semantic": "no model"}
+    engine.embedder = Wrong(64)
+    with pytest.raises(KeyError):
+        engine.search("greet")
+
+
+def test_followed_tree(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.index(str(tree))
+    (tree / "a.py").write_text("def changed():\n    return farewell()\n")
+    engine.follow(str(tree), once=True).awaitTermination()
+    assert [r["file_path"] for r in engine.search("farewell", semantic=False).collect()] == [str(tree / "a.py")]
+
+
+def test_orders_that_eviction_takes(spark):
+    rows = spark.createDataFrame([(f"k{i:03}", str(i), 7) for i in range(50)], "key string, created_at string, size int")
+    with pytest.raises(TypeError):
+        catalog.evicted(rows)
+    dated = rows.withColumn("created_at", F.date_add(F.lit("2024-01-01").cast("date"), F.col("created_at").cast("int")))
+    assert {r["key"] for r in catalog.evicted(dated).collect()} == {f"k{i:03}" for i in range(10, 50)}
+    same = rows.withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
+    assert {r["key"] for r in catalog.evicted(same.repartition(8)).collect()} == {f"k{i:03}" for i in range(10, 50)}
