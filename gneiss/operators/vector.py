@@ -67,10 +67,13 @@ def knn(vectors: DataFrame, query: DataFrame, k: int = 10, metric: str = "ip", k
     return best if digits is None else best.withColumn("score", F.round("score", digits))
 
 
-def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, key, score by cosine for the queries, a list or a DataFrame (query_id, q) of any size."""
-    one = F.lit(0).alias("cell")
-    return _ranked(vectors.select(one, F.col(key).alias("id"), as_double(vector).alias("v")), _as_rows(vectors, queries).select(one, "query_id", "q"), k, key)
+def knn_batch(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", within: str | None = None) -> DataFrame:
+    """query_id, rank, key, score by cosine for the queries, a list or a DataFrame (query_id, q) of any size.
+
+    within: a column of both; a query is compared with the rows that share its value, null with null."""
+    cell = F.lit(0).alias("cell") if within is None else F.coalesce(F.concat(F.lit("="), F.col(within).cast("string")), F.lit("")).alias("cell")
+    asked = _as_rows(vectors, queries).select(cell, "query_id", "q") if within is None else queries.select(cell, F.col("query_id").cast("long").alias("query_id"), as_double("q").alias("q"))
+    return _ranked(vectors.select(cell, F.col(key).alias("id"), as_double(vector).alias("v")), asked, k, key)
 
 
 def _as_rows(vectors: DataFrame, queries: list[tuple[int, list[float]]] | DataFrame) -> DataFrame:
@@ -113,13 +116,13 @@ def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.
     return query_ids[q[stays]], ids[c[stays]], scores[stays]
 
 
-def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
+def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str, search=None) -> DataFrame:
     """query_id, rank, key, score: the k best rows (cell, id, v) in the cells that each query is asked in (cell, query_id, q).
 
     In each cell both sides are dealt into blocks of bounded size by a hash of their ids, and each pair of blocks is one
     tile, a matrix product in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
-    component take no part, and vectors of different lengths don't meet."""
-    rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(_finite("v"))
+    component or without an id take no part, and vectors of different lengths don't meet."""
+    rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(F.col("id").isNotNull() & _finite("v"))
     asked = asked.select("cell", "query_id", "q", F.size("q").alias("dim")).filter(_finite("q"))
     on = ["cell", "dim"]
     n = F.col("n")
@@ -136,7 +139,7 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str) -> DataFrame:
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
         matrix = lambda t, v: t.column(v).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        found = _tile(a.column("query_id").to_numpy(), matrix(a, "q"), b.column("id").to_numpy(), matrix(b, "v"), k)
+        found = (search or _tile)(a.column("query_id").to_numpy(), matrix(a, "q"), b.column("id").to_numpy(), matrix(b, "v"), k)
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema, strict=True)], schema=schema)
 
     tile = [*on, "row", "column"]
@@ -232,6 +235,59 @@ def knn_cells_batch(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
     return _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), asked, k, key)
 
 
+def cell_radii(cells: DataFrame, centroids: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """cell and radius: the largest angle between a cell's centroid and its vectors; pi where one is zero, which has no angle."""
+    known = {r["cell"]: np.array(r["c"], float) for r in centroids.collect()}  # nlist rows
+    matrix = _unit(np.stack([known[c] for c in sorted(known)]))
+    place = np.full(max(known) + 1, -1)
+    place[sorted(known)] = np.arange(len(known))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                cell, x = batch.column("cell").to_numpy(), _unit(x)
+                angle = np.where(x.any(axis=1), np.arccos(np.clip((x * matrix[place[cell]]).sum(axis=1), -1, 1)), np.pi)
+                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(angle)], ["cell", "radius"])
+
+    angles = cells.select("cell", as_double(vector).alias("v")).mapInArrow(run, "cell int, radius double")
+    return angles.groupBy("cell").agg(F.max("radius").alias("radius"))
+
+
+def knn_cells_exact(cells: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """knn_batch through cells, exactly: after the nprobe nearest cells of a query, those that can hold a vector nearer than its k-th so far.
+
+    A vector's angle to the query is no less than the centroid's angle to it minus the cell's radius. cells are all vectors with
+    their cell, queries (query_id, q) of any number; centroids and radii number nlist."""
+    near = cell_order(queries, centroids, nprobe)
+    first = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), near.select("cell", "query_id", "q"), k, key)
+    least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    asked = _as_rows(cells, queries).join(least, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("least")).otherwise(-2.0).alias("least"))
+    known = sorted((r["cell"], list(r["c"])) for r in centroids.collect())
+    radius = {r["cell"]: r["radius"] for r in cell_radii(cells, centroids, key, vector).collect()}
+    known = [x for x in known if x[0] in radius]
+    numbers, matrix = np.array([i for i, _ in known], np.int32), _unit(np.array([c for _, c in known], np.float64))
+    angles = np.array([radius[i] for i, _ in known])
+
+    def reachable(batches):
+        for batch in batches:
+            if batch.num_rows:
+                q = _unit(batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                cosines = q @ matrix.T
+                nearest = np.argsort(-np.round(cosines, 9), axis=1, kind="stable")[:, :nprobe]
+                bound = np.cos(np.maximum(np.arccos(np.clip(cosines, -1, 1)) - angles, 0))
+                bound[~q.any(axis=1)] = 1
+                wanted = bound >= batch.column("least").to_numpy()[:, None] - 2e-6  # scores are rounded
+                np.put_along_axis(wanted, nearest, False, 1)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array([numbers[w].tolist() for w in wanted], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
+
+    good = asked.filter(_finite("q") & (F.size("q") == matrix.shape[1]))
+    more = good.mapInArrow(reachable, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
+    second = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), more.select("cell", "query_id", "q"), k, key)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
 class CellIndex:
     """Vectors stored in a folder for each cell, with the centroids beside them; a search reads the folders of its cells."""
 
@@ -271,3 +327,29 @@ def store_quantised(vectors: DataFrame, path: str, key: str = "chunk_id", vector
 def load_quantised(spark, path: str, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """key and vector, as far as int8 values tell, from what store_quantised wrote."""
     return Table(spark, path).read().select(key, F.transform("values", lambda x: x * F.col("scale")).alias(vector))
+
+
+def knn_int8(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
+    """query_id, rank, key and score: knn_batch on int8 values alone. rows: as store_quantised writes them; queries (query_id, q) are quantised alike.
+
+    Scales cancel out in a cosine, so products and lengths are integers; they are exact in tiles of floats, and a score is one
+    division of them. Rows with a null or non-finite component have no values and take no part."""
+    integers = lambda c: F.transform(c, lambda x: x.cast("double"))
+    asked = _as_rows(rows, queries).filter(_finite("q")).select("query_id", integers(quantised(F.col("q"))["values"]).alias("q"))
+    kept = rows.filter(~F.exists("values", lambda x: x.isNull())).select(F.lit(0).alias("cell"), F.col(key).alias("id"), integers(F.col("values")).alias("v"))
+    return _ranked(kept, asked.select(F.lit(0).alias("cell"), "query_id", "q"), k, key, _integer_tile)
+
+
+def _integer_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_tile for vectors of small integers: their products are exact in float32 while they stay below 2^24, so no score is computed again."""
+    kind = np.float32 if rows.shape[1] * 127 * 127 < 1 << 24 else np.float64
+    q, c = queries.astype(kind), rows.astype(kind)
+    products = (q @ c.T).astype(np.float64)
+    length = np.sqrt((q * q).sum(1, dtype=np.float64)[:, None] * (c * c).sum(1, dtype=np.float64)[None, :])
+    scores = np.divide(products, length, out=np.zeros_like(products), where=length > 0)
+    least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None] if len(ids) > k else -np.inf
+    at, to = np.nonzero(scores >= least)
+    order = np.lexsort((ids[to], -scores[at, to], at))
+    at, to = at[order], to[order]
+    stays = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return query_ids[at[stays]], ids[to[stays]], scores[at[stays], to[stays]]

@@ -178,20 +178,22 @@ def knn_filtered(spark, sf_dir):
     return vector.knn(rows, _asked(spark, sf_dir), key="vec_id")
 
 
-@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) score
-FROM embeddings c JOIN embeddings q ON q.vec_id < 8)
-SELECT query_id, rank, vec_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
+#: Every row whose id is divisible by 50 as query, against all rows or those that share something with it.
+_NEAREST = """WITH s AS (SELECT q.vec_id query_id, c.vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) score
+FROM embeddings c JOIN embeddings q ON q.vec_id % 50 = 0 AND {on})
+SELECT query_id, rank, vec_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10"""
+
+
+@query(_NEAREST.format(on="c.label IS NOT DISTINCT FROM q.label"))
 def knn_batch(spark, sf_dir):
-    """Eight stated queries; knn_batch_all has the whole query set."""
+    """Each query among the vectors of its own label, which the filter takes before the search."""
     rows = table(spark, sf_dir, "embeddings")
-    return vector.knn_batch(rows, _queries(rows.filter("vec_id < 8")), key="vec_id")
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return vector.knn_batch(rows, asked, key="vec_id", within="label")
 
 
-@query("""WITH s AS (SELECT q.vec_id query_id, c.vec_id, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]) score
-FROM embeddings c JOIN embeddings q ON q.vec_id % 50 = 0)
-SELECT query_id, rank, vec_id, round(score, 6) score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT rank FROM s) WHERE rank <= 10""")
+@query(_NEAREST.format(on="TRUE"))
 def knn_batch_all(spark, sf_dir):
-    """Every row whose id is divisible by 50 as query, against all rows."""
     rows = table(spark, sf_dir, "embeddings")
     return vector.knn_batch(rows, _queries(rows.filter("vec_id % 50 = 0")), key="vec_id")
 
@@ -215,14 +217,13 @@ _CELLS = """c AS (SELECT vec_id::INT cell, embedding::DOUBLE[] c FROM embeddings
 a AS (SELECT vec_id, embedding, arg_max(cell, (round(list_cosine_similarity(embedding::DOUBLE[], c), 9), -cell)) cell FROM embeddings, c GROUP BY vec_id, embedding)"""
 
 
-@query(f"""WITH {_Q}, {_CELLS}, near AS (SELECT cell FROM c, q ORDER BY list_cosine_similarity(c, q) DESC, cell LIMIT 4)
-SELECT vec_id, round({_COS}, 6) score FROM a, q WHERE cell IN (SELECT cell FROM near) ORDER BY {_COS} DESC, vec_id LIMIT 10""")
+@query(_NEAREST.format(on="TRUE"))
 def ivf_probe(spark, sf_dir):
-    """Cells of the first 16 vectors as stated centroids; every vector is assigned, four cells are probed."""
-    rows = table(spark, sf_dir, "embeddings")
-    centroids = rows.filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("cell"), vector.as_double("embedding").alias("c"))
-    cells = rows.join(vector.assign_cells(rows, centroids, "vec_id"), "vec_id")
-    return vector.knn_cells(cells, _asked(spark, sf_dir), centroids, nprobe=4, key="vec_id")
+    """Every row whose id is divisible by 50 is asked through trained cells: first the ten nearest cells, then those that can still hold a nearer vector by their radius."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    centroids = vector.train_cells(rows)
+    cells = vector.with_cells(rows, centroids, "vec_id")
+    return vector.knn_cells_exact(cells, _queries(rows.filter("vec_id % 50 = 0")), centroids, key="vec_id")
 
 
 @query(f"WITH {_CELLS} SELECT cell, count(*) n FROM a GROUP BY cell")
