@@ -81,14 +81,21 @@ async def go(x):
 """
 
 
-def test_python_symbols():
-    found = {(s["name"], s["type"], s["start_line"]) for s in symbols.symbols_of(PYTHON, "python")}
+def symbols_in(spark, code, language, dedupe=False):
+    frame = spark.createDataFrame([(code, language)], "code string, language string")
+    return frame.select(symbols.typed_symbols(F.col("code"), F.col("language"), dedupe).alias("s")).first()["s"]
+
+
+def test_python_symbols(spark):
+    every = symbols_in(spark, PYTHON, "python")
+    found = {(s["name"], s["type"], s["start_line"]) for s in every}
     assert {("Greeter", "class", 4), ("greet", "function", 5), ("go", "function", 8), ("os", "import", 1), ("sys", "import", 1), ("c", "import", 2)} <= found
-    assert [s["parent"] for s in symbols.symbols_of(PYTHON, "python") if s["name"] == "Greeter"] == ["Base"]
-    tree = symbols.parsed(PYTHON, "python")
+    assert [s["parent"] for s in every if s["name"] == "Greeter"] == ["Base"]
+    tree = symbols.parsed(PYTHON)
     assert {(s["name"], s["type"]) for s in tree["symbols"]} == {("Greeter", "class"), ("greet", "method"), ("go", "function")}
     assert tree["calls"] == ["hello"] and "a.b.c" in tree["imports"]
-    assert symbols.parsed("def (", "python")["error"]
+    assert symbols.parsed("def (")["error"]
+    assert len(symbols_in(spark, "import a, a\nimport a", "python", dedupe=True)) == 2
 
 
 @pytest.mark.parametrize(
@@ -102,8 +109,8 @@ def test_python_symbols():
         (None, "func a() interface B", {"a", "B"}),
     ],
 )
-def test_symbols_of_other_languages(language, code, expected):
-    assert {s["name"] for s in symbols.symbols_of(code, language)} == expected
+def test_symbols_of_other_languages(spark, language, code, expected):
+    assert {s["name"] for s in symbols_in(spark, code, language)} == expected
 
 
 def test_structure_calls_and_complexity(spark):

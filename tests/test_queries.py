@@ -5,7 +5,7 @@ import re
 import pytest
 from same import assert_same
 
-from gneiss.plans import catalog, code, stored  # noqa: F401  (they add their queries to the catalog)
+from gneiss.plans import catalog, code, sqlapi, stored  # noqa: F401  (they add their queries to the catalog)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
