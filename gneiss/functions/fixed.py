@@ -38,35 +38,45 @@ LANGUAGES = {
 }
 
 # The narrow scan's extensions and languages; anything else is text.
-NARROW_EXTENSIONS = "py rs js ts go java cpp c h md json yaml yml".split()
+NARROW_EXTENSIONS = ["py", "rs", "js", "ts", "go", "java", "cpp", "c", "h", "md", "json", "yaml", "yml"]
 NARROW_LANGUAGES = {".py": "python", ".rs": "rust", ".js": "javascript", ".ts": "typescript", ".go": "go", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".md": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml"}
-NARROW_IGNORED_DIRS = "target node_modules build dist".split()
+NARROW_IGNORED_DIRS = ["target", "node_modules", "build", "dist"]
 
 # Names that a scan leaves out, and files that it leaves out.
-IGNORED_DIRS = """.git .svn .hg __pycache__ .pytest_cache node_modules venv .venv env .env build dist .next out target
-Cargo.lock package-lock.json .idea .vscode .vs .gradle *.egg-info *.pyc *.pyo *.so *.o *.a *.lib *.dll *.exe *.dylib""".split()
-IGNORED_FILES = """.gitignore .dockerignore .editorconfig .gitmodules LICENSE README package.json Cargo.toml go.mod go.sum
-requirements.txt pyproject.toml setup.py package-lock.json yarn.lock Pipfile.lock""".split()
+IGNORED_DIRS = [
+    ".git", ".svn", ".hg", "__pycache__", ".pytest_cache", "node_modules", "venv", ".venv", "env", ".env", "build",
+    "dist", ".next", "out", "target", "Cargo.lock", "package-lock.json", ".idea", ".vscode", ".vs", ".gradle",
+    "*.egg-info", "*.pyc", "*.pyo", "*.so", "*.o", "*.a", "*.lib", "*.dll", "*.exe", "*.dylib",
+]
+IGNORED_FILES = [
+    ".gitignore", ".dockerignore", ".editorconfig", ".gitmodules", "LICENSE", "README", "package.json", "Cargo.toml",
+    "go.mod", "go.sum", "requirements.txt", "pyproject.toml", "setup.py", "package-lock.json", "yarn.lock",
+    "Pipfile.lock",
+]
 
 # What a watch leaves out.
-WATCH_IGNORED = """.git __pycache__ node_modules .venv venv *.pyc *.pyo *.so *.o *.a *.lib build dist .next out target .idea
-.vscode *.egg-info *.whl *.tar.gz""".split()
+WATCH_IGNORED = [
+    ".git", "__pycache__", "node_modules", ".venv", "venv", "*.pyc", "*.pyo", "*.so", "*.o", "*.a", "*.lib", "build",
+    "dist", ".next", "out", "target", ".idea", ".vscode", "*.egg-info", "*.whl", "*.tar.gz",
+]
 
 # Languages that a request may name.
-REQUEST_LANGUAGES = """python javascript typescript java cpp c go rust ruby php swift kotlin scala markdown json yaml xml
-html css sql bash shell""".split()
+REQUEST_LANGUAGES = [
+    "python", "javascript", "typescript", "java", "cpp", "c", "go", "rust", "ruby", "php", "swift", "kotlin", "scala",
+    "markdown", "json", "yaml", "xml", "html", "css", "sql", "bash", "shell",
+]
 
 # Stop words by language. Tokens are lower-cased, entries are compared as they are.
 STOP_WORDS = {
-    "python": "def class if else elif for while try except import from as return len str int float bool list dict set tuple True False None and or not in is".split(),
-    "javascript": "function const let var if else for while try catch return console log new class extends import from export default true false null undefined".split(),
-    "typescript": "function const let var if else for while try catch return console log new class extends import from export default true false null undefined interface type enum".split(),
-    "java": "public private protected static final class interface enum if else for while do try catch finally return void int String boolean true false null".split(),
-    "cpp": "int void char float double bool if else for while do try catch return class struct template namespace using true false nullptr".split(),
-    "go": "func package import const var type struct interface if else for switch case default return true false nil".split(),
-    "rust": "fn let mut const static struct enum trait impl if else for while loop match return true false".split(),
-    "ruby": "def class module if else elsif case when while until for begin rescue ensure return puts print true false nil".split(),
-    "php": "function class interface trait if else elseif for foreach while do switch case default return echo print var true false null".split(),
+    "python": ["def", "class", "if", "else", "elif", "for", "while", "try", "except", "import", "from", "as", "return", "len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "True", "False", "None", "and", "or", "not", "in", "is"],
+    "javascript": ["function", "const", "let", "var", "if", "else", "for", "while", "try", "catch", "return", "console", "log", "new", "class", "extends", "import", "from", "export", "default", "true", "false", "null", "undefined"],
+    "typescript": ["function", "const", "let", "var", "if", "else", "for", "while", "try", "catch", "return", "console", "log", "new", "class", "extends", "import", "from", "export", "default", "true", "false", "null", "undefined", "interface", "type", "enum"],
+    "java": ["public", "private", "protected", "static", "final", "class", "interface", "enum", "if", "else", "for", "while", "do", "try", "catch", "finally", "return", "void", "int", "String", "boolean", "true", "false", "null"],
+    "cpp": ["int", "void", "char", "float", "double", "bool", "if", "else", "for", "while", "do", "try", "catch", "return", "class", "struct", "template", "namespace", "using", "true", "false", "nullptr"],
+    "go": ["func", "package", "import", "const", "var", "type", "struct", "interface", "if", "else", "for", "switch", "case", "default", "return", "true", "false", "nil"],
+    "rust": ["fn", "let", "mut", "const", "static", "struct", "enum", "trait", "impl", "if", "else", "for", "while", "loop", "match", "return", "true", "false"],
+    "ruby": ["def", "class", "module", "if", "else", "elsif", "case", "when", "while", "until", "for", "begin", "rescue", "ensure", "return", "puts", "print", "true", "false", "nil"],
+    "php": ["function", "class", "interface", "trait", "if", "else", "elseif", "for", "foreach", "while", "do", "switch", "case", "default", "return", "echo", "print", "var", "true", "false", "null"],
 }
 
 # Comment styles by language; // where none is named, nothing for text.
@@ -86,8 +96,8 @@ NAME_PATTERNS = {
 PLAIN_PATTERNS = [(r"(?:fn|def|function|func)\s+([a-zA-Z_][a-zA-Z0-9_]*)", "function"), (r"(?:class|struct)\s+([a-zA-Z_][a-zA-Z0-9_]*)", "class"), (r"(?:import|from)\s+([a-zA-Z0-9_.]+)", "import")]
 
 # Words that aren't calls in Python, and what complexity counts.
-PYTHON_NOT_CALLS = "if while for with assert return yield print len str int float list dict set open range enumerate zip".split()
-COMPLEXITY_MARKS = "if elif else for while case && || ?".split()
+PYTHON_NOT_CALLS = ["if", "while", "for", "with", "assert", "return", "yield", "print", "len", "str", "int", "float", "list", "dict", "set", "open", "range", "enumerate", "zip"]
+COMPLEXITY_MARKS = ["if", "elif", "else", "for", "while", "case", "&&", "||", "?"]
 
 # Requests.
 MAX_QUERY, MAX_STRICT_QUERY, MAX_FILE_BYTES, MAX_PATH = 1000, 500, 10 * 1024 * 1024, 4096

@@ -79,15 +79,17 @@ def missing(chunks: DataFrame, model: str, cache: DataFrame | None, key: str = "
     return texts.join(cache.select("key"), "key", "left_anti") if cache is not None else texts
 
 
-def embed(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, key: str = "chunk_id", code: str = "code", batch_size: int = 64, most_words: int = 512, most_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def embed(chunks: DataFrame, embedder: Embedder, cache: DataFrame | None = None, key: str = "chunk_id", code: str = "code", batch_size: int = 64, most_words: int | None = None, most_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(key, embedding) for each chunk, and the new rows of the cache (key, model, embedding).
 
-    batch_size texts go to the embedder at a time, fewer where they hold more than most_chars; of each the first most_words."""
+    batch_size texts go to the embedder at a time, fewer where they hold more than most_chars. They go whole, unless most_words
+    is given or the embedder, as models of a limited length do, has a most_words of its own."""
+    limit = most_words or getattr(embedder, "most_words", None)
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            texts = [cut_words(t, most_words) for t in batch.fillna("").tolist()]
+            texts = [cut_words(t, limit) if limit else t for t in batch.fillna("").tolist()]
             yield pd.Series([v for part in batches_of(texts, batch_size, most_chars) for v in embedder.embed(part)])
 
     new = missing(chunks, embedder.name, cache, key, code).select("key", F.lit(embedder.name).alias("model"), run("code").alias("embedding"))

@@ -18,7 +18,7 @@ from gneiss.functions import fixed, text
 from gneiss.schema import SYMBOLS
 
 # Rules by language: kind, pattern, group of the name, group of the parent, signature (with groups), names left out.
-_JS_CONTROL, _C_CONTROL = "if else for while switch return".split(), "if while for switch return".split()
+_JS_CONTROL, _C_CONTROL = ["if", "else", "for", "while", "switch", "return"], ["if", "while", "for", "switch", "return"]
 RULES = {
     "python": [
         ("class", r"class\s+(\w+)(?:\s*\(\s*([\w,\s]+)\s*\))?\s*:", 1, 2, "", ()),
