@@ -230,7 +230,7 @@ def ivf_probe(spark, sf_dir):
 def ivf_cell_sizes(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     centroids = rows.filter("vec_id < 16").select(F.col("vec_id").cast("int").alias("cell"), vector.as_double("embedding").alias("c"))
-    return vector.assign_cells(rows, centroids, "vec_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    return vector.with_cells(rows, centroids, "vec_id").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
