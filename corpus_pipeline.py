@@ -19,8 +19,17 @@ from gneiss.llm import bpe, exact_dedup, minhash, mixing, toxicity
 from gneiss.llm.shared import drop_written, read_table, written
 
 
+#: Rows that go to a Python worker at a time: rows are whole texts, and both sides hold a batch's bytes more than once.
+BATCH_ROWS = 500
+
+
+def _whole_texts(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counterfactual-regularised classifier, fitted on the label table, doesn't reject."""
+    _whole_texts(spark)
     return toxicity.keep_clean(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
 
 
@@ -31,6 +40,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more over shingles of five words."""
+    _whole_texts(spark)
     return minhash.keep_representatives(docs, shingle=5, percent=80)
 
 
@@ -41,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every document of the mix."""
+    _whole_texts(spark)
     return bpe.encode_documents(docs, decode=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
@@ -59,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        following = written(stage(spark, docs, sf_dir), name)
+        following = written(stage(spark, docs, sf_dir), name, batch=BATCH_ROWS)
         if before is not None:
             drop_written(before)
         docs = before = following

@@ -1,14 +1,14 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A gear hash over the UTF-8 bytes cuts each text into chunks whose borders depend on the bytes before them alone, so
-documents that share a passage share its chunks. Each worker encodes the whole words of a chunk once and keeps their ids
+documents that share a passage share its chunks. Each task encodes the whole words of a chunk once and keeps their ids
 in a bounded cache under the chunk's 128-bit digest. Chunk joins are repaired: the stretch from the last whole word
 before a join to the first one after it, however many chunks it spans, is encoded again by the library, which has to give
 the ids of these two words again at its ends. Where it does, the encodings agree from there on, and what is between the
 words is the repair; where it doesn't, the stretch grows to the whole text.
 
 Within a chunk, words are taken apart where the tokenizer's own pattern always does, and the library encodes each piece
-once while a worker's store has it. Decoding joins the tokens' strings as the library does for a tokenizer without a
+once while a task's store has it. Decoding joins the tokens' strings as the library does for a tokenizer without a
 decoder. Nothing is shuffled; a lost executor costs its tasks and its caches only.
 
 Defined results: a null text counts as empty: no ids; a null doc_id stays null; repeated rows give repeated rows; texts
@@ -31,10 +31,10 @@ from gneiss.llm.tokenizer import Library, PieceStore, bytes_of, gather, joined_s
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks of about 512 bytes, and of MIN_CHUNK at least; a cut depends on the 32 bytes before it.
 CHUNK_BITS, MIN_CHUNK, WINDOW = 9, 64, 32
-#: Chunks, pieces of words and stretches in a worker's caches, about 100 MB together.
-CHUNKS, PIECES, STRETCHES = 30_000, 250_000, 30_000
+#: Chunks, pieces of words and stretches in a task's caches, about 60 MB together.
+CHUNKS, PIECES, STRETCHES = 20_000, 150_000, 20_000
 #: Bytes of text that are encoded together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: What is before the first whole word of a chunk, and that word.
 _FIRST = re.compile(rb"[^ \t-\r]*[ \t-\r]+([^ \t-\r]+)(?=[ \t-\r])")
 #: The first byte of U+0300 and what follows. Before lower characters, a letter takes no combining mark, so it can be lower-cased ahead.
@@ -212,19 +212,9 @@ class ChunkEncoder:
         return b" ".join(map(self.strings.__getitem__, ids.tolist()))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(vocabulary: str) -> ChunkEncoder:
-    """One for each worker and vocabulary, kept between tasks."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = ChunkEncoder(vocabulary)
-    return _encoders[vocabulary]
-
-
 def _encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, ChunkEncoder]]:
     """Of each block of rows: the rows, the ids of their texts, and where each text's begin (one more entry than texts)."""
-    encoder = _encoder(vocabulary)
+    encoder = ChunkEncoder(vocabulary)  # a task's own: a worker goes on to other stages, which need its memory
     for batch in batches:
         texts = batch.column("text").fill_null("")
         for a, b in text_blocks(texts, BLOCK):

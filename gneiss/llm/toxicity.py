@@ -249,8 +249,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).join(chosen, "_hash").dropDuplicates(["_toxic", "_hash"]).select(*columns, "text")
     rows = written(rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary"), "toxicity-sample", batch=200)
 
-    def counted(batches):
+    def few(batches):
+        """Not many whole texts' features at a time."""
         for batch in batches:
+            yield from (batch.slice(a, 100) for a in range(0, batch.num_rows, 100))
+
+    def counted(batches):
+        for batch in few(batches):
             for label, times, w in zip(*(batch.column(c).to_pylist() for c in ("_toxic", "_times", "words")), strict=True):
                 kinds, names = zip(*features(w.split()), strict=True) if w else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(names, pa.binary()), pa.array([label] * len(names), pa.int32()), pa.array([times] * len(names), pa.int64())], ["kind", "name", "label", "times"])
@@ -268,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     lists = pa.list_(pa.int32())
 
     def numbered(batches):
-        for batch in batches:
+        for batch in few(batches):
             found = [encoded(w.split(), sent.value) for w in batch.column("words").to_pylist()]
             changes = [pa.array([c[v][i] for _, c in found], lists) for v in range(VARIANTS) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([own for own, _ in found], lists), *changes], [*columns, "own", *(f"c{i}" for i in range(2 * VARIANTS))])
