@@ -313,7 +313,7 @@ def parse(files: DataFrame, code: str = "code", language: str = "language") -> D
 
 def names_by_type(symbols: DataFrame) -> DataFrame:
     """type and its names from rows with a symbols column."""
-    return symbols.select(F.explode("symbols").alias("s")).groupBy(F.col("s.type").alias("type")).agg(F.array_sort(F.collect_list("s.name")).alias("names"))
+    return symbols.select(F.explode("symbols").alias("s")).groupBy(F.col("s.type").alias("type")).agg(F.sort_array(F.collect_list("s.name")).alias("names"))
 
 
 def counts_by_type(symbols: DataFrame) -> DataFrame:

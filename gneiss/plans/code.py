@@ -102,9 +102,12 @@ def _union(rows, names: str, keys: str = "SELECT c_custkey k FROM customer") ->
 
 
 def _texts(spark, sf_dir, *languages: str) -> DataFrame:
-    """k, language and code for each customer."""
+    """k, language and code for each customer.
+
+    A table of keys is a small file, which one task reads, while the work on the texts made of it is large: the keys are dealt over all tasks first."""
     made = [F.struct(F.lit(x).alias("language"), F.replace(F.lit(TEMPLATES[x][0]), F.lit("{k}"), F.col("k").cast("string")).alias("code")) for x in languages]
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).select("k", F.explode(F.array(*made)).alias("x")).select("k", "x.*")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    return keys.select("k", F.explode(F.array(*made)).alias("x")).select("k", "x.*")
 
 
 def _register_typed(language: str, name: str) -> None:

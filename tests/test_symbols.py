@@ -90,3 +90,9 @@ def test_templates_still_hold(spark):
         found = rows.select(symbols.typed_symbols(F.col("code"), F.col("language")).alias("s")).first()["s"]
         plain = lambda x: x.replace("{k}", "7") if isinstance(x, str) else x
         assert sorted(((s["name"], s["type"], s["start_line"], s["parent"], s["signature"]) for s in found), key=str) == sorted((tuple(map(plain, e)) for e in expected), key=str), language
+
+
+def test_texts_of_a_small_file_are_spread_over_tasks(spark, sf_dir):
+    rows = templates._texts(spark, sf_dir, "java")
+    assert len({r[0] for r in rows.select(F.spark_partition_id()).distinct().collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert rows.count() == spark.read.parquet(f"{sf_dir}/customer.parquet").count()
