@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,25 +16,21 @@ def doc_tokens(docs: DataFrame, language: Column | str = "code", mode: str = "li
     return docs.withColumn("tokens", text.tokens(F.col(code), language, mode)).withColumn("doc_len", F.size("tokens"))
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, tf and the other columns for each term of each row of batches, whose column tokens holds lists of words.
+def term_counts(tokens: Column) -> Column:
+    """term and tf of each distinct word of a list: sorted, each stretch of equal words is one. Nothing leaves the row, whatever its size."""
 
-    A batch's words are numbered by a dictionary, and pairs of row and number counted by a sort."""
-    for batch in batches:
-        tokens = batch.column("tokens")
-        words = tokens.flatten().dictionary_encode()
-        row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
-        size = max(1, len(words.dictionary))
-        pairs, times = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        of = pa.array(pairs // size)
-        others = [c for c in batch.schema.names if c != "tokens"]
-        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(pairs % size)), *(batch.column(c).take(of) for c in others), pa.array(times, pa.int32())], ["term", *others, "tf"])
+    def stretches(words: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: (i == 1) | (F.get(words, i - 1) != F.get(words, i - 2)))
+        count = lambda at: F.transform(at, lambda i, n: F.struct(F.get(words, i - 1).alias("term"), (F.coalesce(F.get(at, n + 1), F.size(words) + 1) - i).alias("tf")))
+        return F.get(F.transform(F.array(starts), count), F.lit(0))
+
+    counted = F.get(F.transform(F.array(F.sort_array(tokens)), stretches), F.lit(0))
+    return F.when(F.size(tokens) > 0, counted).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
 
 
 def term_frequency(tokenised: DataFrame, key: str = "chunk_id") -> DataFrame:
     """term, key, tf: one row for each term of a document. Terms are counted where their document is, so nothing is shuffled."""
-    rows = tokenised.select(key, "tokens").filter(F.size("tokens") > 0)
-    return rows.mapInArrow(counted, f"term string, `{key}` {rows.schema[key].dataType.simpleString()}, tf int")
+    return tokenised.select(key, F.explode(term_counts(F.col("tokens"))).alias("t")).select("t.term", key, "t.tf")
 
 
 def document_frequency(tokenised: DataFrame, key: str = "chunk_id") -> DataFrame:

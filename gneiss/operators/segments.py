@@ -25,10 +25,12 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text
 from gneiss.operators.catalog import Versions
-from gneiss.operators.lexical import doc_tokens, idf, top, weight
+from gneiss.operators.lexical import doc_tokens, idf, term_counts, top, weight
 
 #: Documents in a bucket; buckets that a search scores to find a first k-th score; so many segments of one size are merged.
 BUCKET, FIRST_BUCKETS, FAN = 128, 64, 4
+#: Terms of a document in a row that goes to a Python worker, which gets 10,000 rows at a time; postings that it makes blocks of together.
+SLICE, POSTINGS = 64, 200_000
 #: Rows that are broadcast at most (buckets of a search, removed documents); more are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
@@ -42,44 +44,48 @@ def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
-def counted_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """DOCS from chunk_id, language, doc_len and tokens: each document's distinct terms with their frequencies."""
-    for batch in batches:
-        tokens = batch.column("tokens")
-        words = tokens.flatten().dictionary_encode()
-        row = np.repeat(np.arange(batch.num_rows), np.diff(tokens.offsets.to_numpy()))
-        size = max(1, len(words.dictionary))
-        pairs, times = np.unique(row * size + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        sizes = np.bincount(pairs // size, minlength=batch.num_rows)
-        terms = _lists(words.dictionary.take(pa.array(pairs % size)), sizes)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk_id", "language", "doc_len")), terms, _lists(pa.array(times, pa.int32()), sizes)], ["chunk_id", "language", "doc_len", "terms", "tfs"])
-
-
-def blocked(batches: Iterator[pa.RecordBatch], bucket_size: int) -> Iterator[pa.RecordBatch]:
-    """BLOCKS from sorted documents (DOCS and part, the task's number)."""
-    made = 0
+def blocked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """BLOCKS from sorted documents in slices (chunk_id, language, doc_len, terms, tfs), with part, the task's number, and place, the bucket's.
+
+    Whole buckets are put together, as many as hold most postings."""
+    held, numbers, n, made, last = [], [], 0, -1, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        language = batch.column("language").dictionary_encode().indices.fill_null(-1).to_numpy()
-        begins = np.flatnonzero(np.concatenate([[True], language[1:] != language[:-1]]))
-        within = np.arange(batch.num_rows) - np.repeat(begins, np.diff([*begins, batch.num_rows]))
-        bucket = np.cumsum(np.where(within % bucket_size == 0, 1, 0)) - 1
-        terms, tfs = batch.column("terms"), batch.column("tfs").flatten().to_numpy()
-        words = terms.flatten().dictionary_encode()
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(terms.offsets.to_numpy()))
-        size = max(1, len(words.dictionary))
-        group = bucket[doc] * size + words.indices.to_numpy()
-        order = np.argsort(group, kind="stable")
-        groups, starts, sizes = np.unique(group[order], return_index=True, return_counts=True)
-        if len(groups):
-            lens = batch.column("doc_len").to_numpy()[doc[order]]
-            number = (int(batch.column("part")[0].as_py()) << 40) + made + groups // size
-            of = doc[order][starts]
-            columns = [words.dictionary.take(pa.array(groups % size)), pa.array(number, pa.int64()), batch.column("language").take(pa.array(of)), _lists(batch.column("chunk_id").take(pa.array(doc[order])), sizes), _lists(pa.array(tfs[order], pa.int32()), sizes)]
-            columns += [_lists(pa.array(lens, pa.int32()), sizes), pa.array(np.maximum.reduceat(tfs[order], starts), pa.int32()), pa.array(np.minimum.reduceat(lens, starts), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "bucket", "language", "chunk_ids", "tfs", "doc_lens", "max_tf", "min_len"])
-        made += int(bucket[-1]) + 1
+        language, place = batch.column("language"), batch.column("place").to_numpy()
+        code = language.dictionary_encode().indices.fill_null(-1).to_numpy()
+        new = np.concatenate([[(place[0], language[0].as_py()) != last], (place[1:] != place[:-1]) | (code[1:] != code[:-1])])
+        last = place[-1], language[-1].as_py()
+        bucket = made + np.cumsum(new)
+        before = np.concatenate([[0], np.cumsum(np.diff(batch.column("terms").offsets.to_numpy()))])
+        begin = 0
+        for end in [*np.flatnonzero(new).tolist(), batch.num_rows]:
+            if end < batch.num_rows and n + before[end] - before[begin] >= most:
+                yield _blocks([*held, batch.slice(begin, end - begin)], np.concatenate([*numbers, bucket[begin:end]]))
+                held, numbers, n, begin = [], [], 0, end
+        held.append(batch.slice(begin))
+        numbers.append(bucket[begin:])
+        n += before[-1] - before[begin]
+        made = int(bucket[-1])
+    if held:
+        yield _blocks(held, np.concatenate(numbers))
+
+
+def _blocks(slices: list[pa.RecordBatch], number: np.ndarray) -> pa.RecordBatch:
+    """The blocks of slices of documents; number: of each one's bucket."""
+    rows = pa.Table.from_batches(slices).combine_chunks().to_batches()[0]
+    terms, tfs = rows.column("terms"), rows.column("tfs").flatten().to_numpy()
+    words = terms.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(rows.num_rows), np.diff(terms.offsets.to_numpy()))
+    size = max(1, len(words.dictionary))
+    group = (number - number[0])[doc] * size + words.indices.to_numpy()
+    order = np.argsort(group, kind="stable")
+    groups, starts, sizes = np.unique(group[order], return_index=True, return_counts=True)
+    lens = rows.column("doc_len").to_numpy()[doc[order]]
+    bucket = (int(rows.column("part")[0].as_py()) << 40) + int(number[0]) + groups // size
+    columns = [words.dictionary.take(pa.array(groups % size)), pa.array(bucket, pa.int64()), rows.column("language").take(pa.array(doc[order][starts])), _lists(rows.column("chunk_id").take(pa.array(doc[order])), sizes), _lists(pa.array(tfs[order], pa.int32()), sizes)]
+    columns += [_lists(pa.array(lens, pa.int32()), sizes), pa.array(np.maximum.reduceat(tfs[order], starts), pa.int32()), pa.array(np.minimum.reduceat(lens, starts), pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, ["term", "bucket", "language", "chunk_ids", "tfs", "doc_lens", "max_tf", "min_len"])
 
 
 class SegmentIndex:
@@ -135,8 +141,8 @@ class SegmentIndex:
         to = f"{self.path}/{folder}"
         if chunks is None:
             chunks = self.spark.createDataFrame([], "chunk_id long, code string, language string")
-        tokenised = doc_tokens(chunks, F.coalesce("language", F.lit("code"))).select(F.col("chunk_id").cast("long").alias("chunk_id"), "language", "doc_len", "tokens")
-        self._write(tokenised.mapInArrow(counted_docs, DOCS), to)
+        tokenised = doc_tokens(chunks, F.coalesce("language", F.lit("code"))).select(F.col("chunk_id").cast("long").alias("chunk_id"), "language", "doc_len", term_counts(F.col("tokens")).alias("counts"))
+        self._write(tokenised.select("chunk_id", "language", "doc_len", F.col("counts.term").alias("terms"), F.col("counts.tf").alias("tfs")), to)
         while True:
             number, state = self.versions.now()
             segments = [] if anew else state.get("segments", [])
@@ -153,9 +159,13 @@ class SegmentIndex:
         """docs and blocks of a segment; the documents' words move once, to be sorted by language and length."""
         ordered = docs.repartitionByRange("language", "doc_len", "chunk_id").sortWithinPartitions("language", "doc_len", "chunk_id")
         ordered.write.parquet(f"{to}/docs")
-        known = self.spark.read.schema(DOCS).parquet(f"{to}/docs").withColumn("part", F.spark_partition_id())
-        bucket_size = BUCKET
-        blocks = known.mapInArrow(lambda batches: blocked(batches, bucket_size), BLOCKS)
+        # A row's number in its task is in the lower 33 bits.
+        place = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / BUCKET)
+        known = self.spark.read.schema(DOCS).parquet(f"{to}/docs").withColumns({"part": F.spark_partition_id(), "place": place}).filter(F.size("terms") > 0)
+        parts = known.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("terms"), F.lit(SLICE))))
+        parts = parts.select("chunk_id", "language", "doc_len", *(F.slice(c, F.col("at"), F.lit(SLICE)).alias(c) for c in ("terms", "tfs")), "part", "place")
+        most = POSTINGS
+        blocks = parts.mapInArrow(lambda batches: blocked(batches, most), BLOCKS)
         blocks.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.parquet(f"{to}/blocks")
 
     def _finish(self, to: str, older: list[dict], removed: DataFrame | None) -> dict:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,23 @@ def test_two_writers_both_count(spark, tmp_path):
     a.versions.commit = other_first
     a.update(spark.createDataFrame([(51, "first writer", "text")], SCHEMA))
     assert {i for i, _ in searched(a, "writer")} == {50, 51} and a.stats().first()["doc_count"] == 22
+
+
+def test_python_workers_hold_few_postings(spark):
+    """Slices of long documents make blocks of whole buckets, a few at a time; all in one batch, before, were one."""
+    kinds = {"chunk_id": pa.int64(), "language": pa.string(), "doc_len": pa.int32(), "terms": pa.list_(pa.string()), "tfs": pa.list_(pa.int32()), "part": pa.int32(), "place": pa.int64()}
+    docs = [[i, "text" if i < 30 else None, 9, [f"t{j}" for j in range(part, part + 5)], [1 + i % 3] * 5, 2, i // 8] for i in range(60) for part in (0, 5)]
+    batches = [pa.RecordBatch.from_pydict({n: [r[c] for r in docs[a : a + 25]] for c, n in enumerate(kinds)}, pa.schema(kinds)) for a in range(0, 120, 25)]
+    made = list(segments.blocked(iter(batches), 100))
+    assert len(made) > 3 and max(sum(map(len, b.column("chunk_ids").to_pylist())) for b in made) <= 100 + 80
+    rows = [r for b in made for r in b.to_pylist()]
+    assert sorted((r["term"], i) for r in rows for i in r["chunk_ids"]) == sorted((f"t{j}", i) for i in range(60) for j in range(10))
+    assert len({(r["term"], r["bucket"]) for r in rows}) == len(rows) == 10 * 9
+    assert {r["bucket"] >> 40 for r in rows} == {2} and all((r["language"] is None) == (min(r["chunk_ids"]) >= 30) for r in rows)
+
+
+def test_terms_are_counted_without_a_worker(spark):
+    rows = spark.createDataFrame([(1, ["b", "é", "b"]), (None, ["c"]), (3, []), (4, None)], "chunk_id long, tokens array<string>")
+    found = lexical.term_frequency(rows)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("b", 1, 2), ("é", 1, 1), ("c", None, 1)], key=str)
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
