@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gneiss.llm.shared import read_table
+from gneiss.llm.shared import giving_back, read_table
 from gneiss.llm.tokenizer import Library, PieceStore, bytes_of, gather, joined_sides, piece_borders, pieces_of, sides, text_blocks
 
 VOCABULARY = "word_bpe_49k.json"
@@ -232,7 +232,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, decode: bool
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *decoded], names)
 
     names = ["doc_id", "ids", *["decoded"] * decode]
-    return _input(docs).mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decode)
+    return _input(docs).mapInArrow(giving_back(run), "doc_id long, ids array<int>" + ", decoded string" * decode)
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -245,7 +245,7 @@ def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             decoded = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in spans]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(sha, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _input(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _input(docs).mapInArrow(giving_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _input(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.components import components
-from gneiss.llm.shared import drop_written, join_hot, join_salted, read_table, written
+from gneiss.llm.shared import drop_written, giving_back, join_hot, join_salted, read_table, written
 from gneiss.llm.tokenizer import text_blocks
 from gneiss.llm.words import gram_hashes, mix, sequence_hash, word_hashes
 
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame, shingle: int, fold: bool) -> DataFrame:
                 columns = [*(batch.column(c).slice(a, b - a) for c in ROW), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), *map(pa.array, signature.T), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, [*ROW, "n_shingles", "set_key", *SIGNATURE, "bands"])
 
-    return _texts(docs).mapInArrow(run, f"id long, row long, n_shingles long, set_key binary, {', '.join(f'{s} long' for s in SIGNATURE)}, bands array<long>")
+    return _texts(docs).mapInArrow(giving_back(run), f"id long, row long, n_shingles long, set_key binary, {', '.join(f'{s} long' for s in SIGNATURE)}, bands array<long>")
 
 
 def _grams(docs: DataFrame, nodes: DataFrame, shingle: int, fold: bool) -> DataFrame:
@@ -154,7 +154,7 @@ def _grams(docs: DataFrame, nodes: DataFrame, shingle: int, fold: bool) -> DataF
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "grams"])
 
     chosen = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    return _texts(docs).join(chosen, ROW).select("node", "text").mapInArrow(sets, "node long, grams binary")
+    return _texts(docs).join(chosen, ROW).select("node", "text").mapInArrow(giving_back(sets), "node long, grams binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, fold: bool, percent: int) -> DataFrame:
@@ -176,7 +176,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: in
     uses = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("uses")), "pair-uses")
     members = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
     joined = join_salted(members, grams.select(F.col("node").alias("b"), F.col("grams").alias("y")), uses, "b", "uses", pairs.count(), "a")
-    out = written(joined.select("a", "b", "x", "y").mapInArrow(agree, "a long, b long"), "confirmed", batch=100)
+    out = written(joined.select("a", "b", "x", "y").mapInArrow(giving_back(agree), "a long, b long"), "confirmed", batch=100)
     drop_written(ids, grams, uses)
     return out
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +60,24 @@ def written(df: DataFrame, name: str, batch: int = 2000) -> DataFrame:
     return out
 
 
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, for mapInArrow. Workers stay for later stages: what a task took, its worker gives back to the system when it is through."""
+
+    def task(batches):
+        yield from run(batches)
+        _give_back()
+
+    return task
+
+
 def _store(spark: SparkSession, path: str):
     """The path as Spark's file systems know it, and its file system."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

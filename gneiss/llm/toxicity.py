@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.shared import drop_written, read_table, written
+from gneiss.llm.shared import drop_written, giving_back, read_table, written
 from gneiss.llm.tokenizer import text_blocks
 
 #: Training rows of each class; texts are read whole, in the fit and in scoring.
@@ -247,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     # One row for each class and text, so at most 2 * sample however often a text repeats.
     rows = docs.select(F.xxhash64(text).alias("_hash"), text.alias("text")).join(chosen, "_hash").dropDuplicates(["_toxic", "_hash"]).select(*columns, "text")
-    rows = written(rows.mapInArrow(distinct, "_toxic int, _hash long, _times long, words binary"), "toxicity-sample", batch=200)
+    rows = written(rows.mapInArrow(giving_back(distinct), "_toxic int, _hash long, _times long, words binary"), "toxicity-sample", batch=200)
 
     def few(batches):
         """Not many whole texts' features at a time."""
@@ -264,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = []
     if len(n) == 2:
         counts = [F.coalesce(F.sum(F.when(F.col("label") == t, F.col("times"))), F.lit(0)).cast("double").alias(f"n{t}") for t in (0, 1)]
-        found = rows.mapInArrow(counted, "kind int, name binary, label int, times long").groupBy("kind", "name").agg(*counts).filter(F.col("n0") + F.col("n1") >= MIN_ROWS)
+        found = rows.mapInArrow(giving_back(counted), "kind int, name binary, label int, times long").groupBy("kind", "name").agg(*counts).filter(F.col("n0") + F.col("n1") >= MIN_ROWS)
         part = (F.col("n0") + F.col("n1")) / sum(n.values())
         z = F.abs(F.col("n1") / n[1] - F.col("n0") / n[0]) / F.sqrt(F.greatest(part * (1 - part), F.lit(1e-9)) * (1 / n[0] + 1 / n[1]))
         chosen = [(r["kind"], bytes(r["name"])) for r in found.filter(z >= MIN_Z).select("kind", "name").toLocalIterator()]
@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             changes = [pa.array([c[v][i] for _, c in found], lists) for v in range(VARIANTS) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array([own for own, _ in found], lists), *changes], [*columns, "own", *(f"c{i}" for i in range(2 * VARIANTS))])
 
-    known = rows.mapInArrow(numbered, ", ".join(["_toxic int, _hash long, _times long, own array<int>", *(f"c{i} array<int>" for i in range(2 * VARIANTS))])).orderBy("_hash", "_toxic").toArrow().to_pydict()
+    known = rows.mapInArrow(giving_back(numbered), ", ".join(["_toxic int, _hash long, _times long, own array<int>", *(f"c{i} array<int>" for i in range(2 * VARIANTS))])).orderBy("_hash", "_toxic").toArrow().to_pydict()
     drop_written(rows)
     changes = [[(known[f"c{2 * v}"][i], known[f"c{2 * v + 1}"][i]) for v in range(VARIANTS)] for i in range(len(known["own"]))]
     return solve(list(zip(known["own"], changes, strict=True)), column, np.array(known["_toxic"], float), np.array(known["_times"], float))
@@ -297,7 +297,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(_scores(batch, model), pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return rows.mapInArrow(giving_back(run), "doc_id long, held_out boolean, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -307,7 +307,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s in _scores(batch, model)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
