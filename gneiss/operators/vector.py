@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +12,12 @@ from pyspark.sql import functions as F
 
 from gneiss.operators.catalog import Table
 
-#: Queries and rows in a block: 2048 x 2048 products take 32 MB in double precision.
+#: Queries and rows in a block.
 BLOCK = 2048
+#: Queries of a tile, or rows of a batch, that a worker computes with at once: 256 x 2048 products take 4 MB in double precision.
+SLICE = 256
+#: Pairs whose scores are computed again at once: copies can make all pairs of a tile such.
+PAIRS = 1 << 14
 
 
 def as_double(v: str | Column) -> Column:
@@ -99,17 +106,44 @@ def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
+def _pair_dots(x: np.ndarray, y: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """_dots of x[q] and y[c], without copies of all their rows at once."""
+    total = np.empty(len(q))
+    for i in range(0, len(q), PAIRS):
+        total[i : i + PAIRS] = _dots(x[q[i : i + PAIRS]], y[c[i : i + PAIRS]])
+    return total
+
+
+def _slices(batches):
+    """The batches in parts of at most SLICE rows."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
+def _sliced(search):
+    """search of a tile by SLICE queries at a time, so that a worker's memory doesn't depend on the queries in the tile."""
+
+    @functools.wraps(search)
+    def run(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        found = [search(query_ids[i : i + SLICE], queries[i : i + SLICE], ids, rows, k) for i in range(0, len(queries), SLICE)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    return run
+
+
 #: What a matrix product of unit vectors may differ by from the sum in order.
 SLACK = 1e-9
 
 
+@_sliced
 def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query_id, id and score of the k best rows of each query: a matrix product picks them, and their scores are computed again one by one."""
     rough = _unit(queries) @ _unit(rows).T
     least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k, None] - SLACK if len(ids) > k else -np.inf
     q, c = np.nonzero(rough >= least)
     length = np.sqrt(_dots(queries, queries))[q] * np.sqrt(_dots(rows, rows))[c]
-    scores = np.divide(_dots(queries[q], rows[c]), length, out=np.zeros(len(q)), where=length > 0)
+    scores = np.divide(_pair_dots(queries, rows, q, c), length, out=np.zeros(len(q)), where=length > 0)
     order = np.lexsort((ids[c], -scores, q))
     q, c, scores = q[order], c[order], scores[order]
     stays = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -120,7 +154,7 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str, search=None) ->
     """query_id, rank, key, score: the k best rows (cell, id, v) in the cells that each query is asked in (cell, query_id, q).
 
     In each cell both sides are dealt into blocks of bounded size by a hash of their ids, and each pair of blocks is one
-    tile, a matrix product in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
+    tile, matrix products in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
     component or without an id take no part, and vectors of different lengths don't meet."""
     rows = rows.select("cell", F.col("id").cast("long").alias("id"), "v", F.size("v").alias("dim")).filter(F.col("id").isNotNull() & _finite("v"))
     asked = asked.select("cell", "query_id", "q", F.size("q").alias("dim")).filter(_finite("q"))
@@ -188,9 +222,9 @@ def nearest_cells(rows: DataFrame, centroids: DataFrame, nprobe: int, id_name: s
     matrix = _unit(matrix)
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             v = batch.column("v")
-            x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, matrix.shape[1]))
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             order = np.argsort(-np.round(_unit(x) @ matrix.T, 9), axis=1, kind="stable")[:, :nprobe]
             yield pa.RecordBatch.from_arrays([batch.column("id"), v, pa.array(numbers[order].tolist(), pa.list_(pa.int32()))], ["id", "v", "cells"])
 
@@ -236,22 +270,15 @@ def knn_cells_batch(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
 
 
 def cell_radii(cells: DataFrame, centroids: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """cell and radius: the largest angle between a cell's centroid and its vectors; pi where one is zero, which has no angle."""
-    known = {r["cell"]: np.array(r["c"], float) for r in centroids.collect()}  # nlist rows
-    matrix = _unit(np.stack([known[c] for c in sorted(known)]))
-    place = np.full(max(known) + 1, -1)
-    place[sorted(known)] = np.arange(len(known))
+    """cell and radius: the largest angle between a cell's centroid and its vectors; pi where one is zero, which has no angle.
 
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                cell, x = batch.column("cell").to_numpy(), _unit(x)
-                angle = np.where(x.any(axis=1), np.arccos(np.clip((x * matrix[place[cell]]).sum(axis=1), -1, 1)), np.pi)
-                yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array(angle)], ["cell", "radius"])
-
-    angles = cells.select("cell", as_double(vector).alias("v")).mapInArrow(run, "cell int, radius double")
-    return angles.groupBy("cell").agg(F.max("radius").alias("radius"))
+    As Columns, since cells come out of a Python worker: a second one in the same tasks would double an executor's workers."""
+    known = F.broadcast(centroids.select("cell", normalised(as_double("c")).alias("c")))
+    v = as_double(vector)
+    length = norm(v)
+    nearness = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(v, F.col("c")) / length))
+    angle = F.when((length > 0) & (length < float("inf")), F.acos(nearness)).otherwise(math.pi)
+    return cells.join(known, "cell").select("cell", angle.alias("radius")).groupBy("cell").agg(F.max("radius").alias("radius"))
 
 
 def knn_cells_exact(cells: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = 10, nprobe: int = 10, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -270,16 +297,15 @@ def knn_cells_exact(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
     angles = np.array([radius[i] for i, _ in known])
 
     def reachable(batches):
-        for batch in batches:
-            if batch.num_rows:
-                q = _unit(batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                cosines = q @ matrix.T
-                nearest = np.argsort(-np.round(cosines, 9), axis=1, kind="stable")[:, :nprobe]
-                bound = np.cos(np.maximum(np.arccos(np.clip(cosines, -1, 1)) - angles, 0))
-                bound[~q.any(axis=1)] = 1
-                wanted = bound >= batch.column("least").to_numpy()[:, None] - 2e-6  # scores are rounded
-                np.put_along_axis(wanted, nearest, False, 1)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array([numbers[w].tolist() for w in wanted], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
+        for batch in _slices(batches):
+            q = _unit(batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+            cosines = q @ matrix.T
+            nearest = np.argsort(-np.round(cosines, 9), axis=1, kind="stable")[:, :nprobe]
+            bound = np.cos(np.maximum(np.arccos(np.clip(cosines, -1, 1)) - angles, 0))
+            bound[~q.any(axis=1)] = 1
+            wanted = bound >= batch.column("least").to_numpy()[:, None] - 2e-6  # scores are rounded
+            np.put_along_axis(wanted, nearest, False, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array([numbers[w].tolist() for w in wanted], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
     good = asked.filter(_finite("q") & (F.size("q") == matrix.shape[1]))
     more = good.mapInArrow(reachable, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
@@ -340,6 +366,7 @@ def knn_int8(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk
     return _ranked(kept, asked.select(F.lit(0).alias("cell"), "query_id", "q"), k, key, _integer_tile)
 
 
+@_sliced
 def _integer_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """_tile for vectors of small integers: their products are exact in float32 while they stay below 2^24, so no score is computed again."""
     kind = np.float32 if rows.shape[1] * 127 * 127 < 1 << 24 else np.float64

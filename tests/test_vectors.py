@@ -1,5 +1,7 @@
 """Searches of every fiftieth row: exactness, recall, and how much of the vectors an index touches."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,34 @@ def test_cells_are_left_out_only_where_nothing_nearer_can_be(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vector.knn_batch(rows, fiftieth(rows)).collect()))
 
 
+@pytest.mark.parametrize("tile", [vector._tile, vector._integer_tile])
+def test_a_tile_of_copies_takes_bounded_memory(tile):
+    ids = np.arange(vector.BLOCK)
+    rows = np.tile(np.arange(1.0, 17.0), (vector.BLOCK, 1))  # every pair of copies may be among the best
+    tracemalloc.start()
+    queries, found, scores = tile(ids, rows, ids, rows, 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64e6
+    assert (queries == np.repeat(ids, 10)).all() and (found == np.tile(np.arange(10), vector.BLOCK)).all() and np.allclose(scores, 1)
+
+
+def test_radii_need_no_second_python_worker(spark):
+    x = clustered(2000, 8, 20)
+    rows = frame_of(spark, x, [(5000, [0.0] * 8), (5050, [1e-200] * 8)])
+    centroids = vector.train_cells(rows.filter("chunk_id < 2000"), nlist=20)
+    cells = vector.with_cells(rows, centroids)
+    radii = vector.cell_radii(cells, centroids)
+    assert radii._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    known, most = {r["cell"]: np.array(r["c"]) / np.linalg.norm(r["c"]) for r in centroids.collect()}, {}
+    for r in cells.collect():
+        v = np.array(r["embedding"])
+        angle = np.arccos(np.clip(v @ known[r["cell"]] / np.linalg.norm(v), -1, 1)) if np.linalg.norm(v) else np.pi
+        most[r["cell"]] = max(most.get(r["cell"], 0), angle)
+    found = dict(map(tuple, radii.collect()))
+    assert found.keys() == most.keys() and all(abs(found[i] - most[i]) < 1e-7 for i in most)
+
+
 def test_within_a_label(spark):
     x = clustered(400, 8)
     rows = frame_of(spark, x).withColumn("label", F.when(F.col("chunk_id") % 3 > 0, F.col("chunk_id") % 3))
