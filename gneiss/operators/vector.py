@@ -132,6 +132,15 @@ def _sliced(search):
     return run
 
 
+def _cosines(products: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products over the root of the product of both squared lengths a and b, which gives parallel vectors of whole numbers equal bits,
+    as two roots don't; two roots only where that product leaves the range of doubles. 0 where a vector is all zero."""
+    with np.errstate(over="ignore"):
+        both = a * b
+    length = np.where((both > 1e-290) & (both < np.inf), np.sqrt(both), np.sqrt(a) * np.sqrt(b))
+    return np.clip(np.divide(products, length, out=np.zeros(len(products)), where=length > 0), -1, 1)
+
+
 #: What a matrix product of unit vectors may differ by from the sum in order.
 SLACK = 1e-9
 
@@ -142,17 +151,18 @@ def _tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.
     rough = _unit(queries) @ _unit(rows).T
     least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k, None] - SLACK if len(ids) > k else -np.inf
     q, c = np.nonzero(rough >= least)
-    length = np.sqrt(_dots(queries, queries))[q] * np.sqrt(_dots(rows, rows))[c]
-    scores = np.divide(_pair_dots(queries, rows, q, c), length, out=np.zeros(len(q)), where=length > 0)
+    scores = _cosines(_pair_dots(queries, rows, q, c), _dots(queries, queries)[q], _dots(rows, rows)[c])
     order = np.lexsort((ids[c], -scores, q))
     q, c, scores = q[order], c[order], scores[order]
     stays = np.arange(len(q)) - np.searchsorted(q, q) < k
     return query_ids[q[stays]], ids[c[stays]], scores[stays]
 
 
-def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str, search=None) -> DataFrame:
+def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str, search=None, digits: int | None = 6) -> DataFrame:
     """query_id, rank, key, score: the k best rows (cell, id, v) in the cells that each query is asked in (cell, query_id, q).
 
+    Scores are rounded when all is ranked, with digits None not at all: whoever ranks them again needs them as they are.
+
     In each cell both sides are dealt into blocks of bounded size by a hash of their ids, and each pair of blocks is one
     tile, matrix products in one task, of which k rows a query reach the final ranking. Vectors with a null or non-finite
     component or without an id take no part, and vectors of different lengths don't meet."""
@@ -178,8 +188,14 @@ def _ranked(rows: DataFrame, asked: DataFrame, k: int, key: str, search=None) ->
 
     tile = [*on, "row", "column"]
     found = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(run, f"query_id long, {key} long, score double")
+    return _best(found, k, key, digits)
+
+
+def _best(found: DataFrame, k: int, key: str, digits: int | None) -> DataFrame:
+    """The k best rows of each query by score, ties by key, with their rank."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, F.round("score", 6).alias("score"))
+    score = F.col("score") if digits is None else F.round("score", digits)
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, score.alias("score"))
 
 
 def assign_cells(vectors: DataFrame, centroids: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -287,7 +303,7 @@ def knn_cells_exact(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
     A vector's angle to the query is no less than the centroid's angle to it minus the cell's radius. cells are all vectors with
     their cell, queries (query_id, q) of any number; centroids and radii number nlist."""
     near = cell_order(queries, centroids, nprobe)
-    first = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), near.select("cell", "query_id", "q"), k, key)
+    first = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), near.select("cell", "query_id", "q"), k, key, digits=None)
     least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     asked = _as_rows(cells, queries).join(least, "query_id", "left").select("query_id", "q", F.when(F.col("n") >= k, F.col("least")).otherwise(-2.0).alias("least"))
     known = sorted((r["cell"], list(r["c"])) for r in centroids.collect())
@@ -303,15 +319,14 @@ def knn_cells_exact(cells: DataFrame, queries: DataFrame, centroids: DataFrame,
             nearest = np.argsort(-np.round(cosines, 9), axis=1, kind="stable")[:, :nprobe]
             bound = np.cos(np.maximum(np.arccos(np.clip(cosines, -1, 1)) - angles, 0))
             bound[~q.any(axis=1)] = 1
-            wanted = bound >= batch.column("least").to_numpy()[:, None] - 2e-6  # scores are rounded
+            wanted = bound >= batch.column("least").to_numpy()[:, None] - 2e-6  # angles are rounded
             np.put_along_axis(wanted, nearest, False, 1)
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("q"), pa.array([numbers[w].tolist() for w in wanted], pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
     good = asked.filter(_finite("q") & (F.size("q") == matrix.shape[1]))
     more = good.mapInArrow(reachable, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell"))
-    second = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), more.select("cell", "query_id", "q"), k, key)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    second = _ranked(cells.select("cell", F.col(key).alias("id"), as_double(vector).alias("v")), more.select("cell", "query_id", "q"), k, key, digits=None)
+    return _best(first.unionByName(second), k, key, 6)
 
 
 class CellIndex:

@@ -69,6 +69,35 @@ def test_cells_are_left_out_only_where_nothing_nearer_can_be(spark):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, vector.knn_batch(rows, fiftieth(rows)).collect()))
 
 
+def test_cells_rank_by_scores_that_are_not_rounded(spark):
+    """Neighbours of the queries, the nearer with the larger id, whose scores are equal in six digits."""
+    x = clustered(200, 8, 8)
+    rng = np.random.default_rng(9)
+    near = [(1000 * (1 + n) - i, (x[n] * (1 + 1e-5 * i * rng.normal(size=8))).tolist()) for n in range(0, 200, 50) for i in range(1, 15)]
+    rows = frame_of(spark, x, near)
+    centroids = vector.train_cells(rows, nlist=8)
+    found = vector.knn_cells_exact(vector.with_cells(rows, centroids), fiftieth(rows.filter("chunk_id < 200")), centroids, nprobe=1).collect()
+    batch = vector.knn_batch(rows, fiftieth(rows.filter("chunk_id < 200"))).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, batch))
+    assert any(a["score"] == b["score"] and a["chunk_id"] > b["chunk_id"] for a in found for b in found if a["query_id"] == b["query_id"] and b["rank"] == a["rank"] + 1)
+
+
+def test_parallel_vectors_tie_as_in_sql(spark, duck):
+    """Multiples of whole-number vectors are equally near, so ids decide between them; two roots of lengths, before, did."""
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (40, 8)).astype(float)
+    x = x[x.any(axis=1)]
+    x = np.concatenate([x * 7, x, x * 3])
+    rows = frame_of(spark, x)
+    found = vector.knn_batch(rows, rows.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("q"))).collect()
+    values = ", ".join(f"({i}, {v.tolist()}::DOUBLE[])" for i, v in enumerate(x))
+    expected = duck.sql(f"""WITH t(i, v) AS (VALUES {values}), s AS (SELECT q.i query_id, t.i, list_cosine_similarity(t.v, q.v) s FROM t, t q)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY s DESC, i))::INT AS rank, i FROM s QUALIFY rank <= 10""").fetchall()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in found) == sorted(expected)
+    lengths = np.array([0, 1e-160, 1, 1e160])  # squared; the products of the second and last leave the range of doubles
+    assert np.allclose(vector._cosines(lengths, lengths, lengths), [0, 1, 1, 1])
+
+
 @pytest.mark.parametrize("tile", [vector._tile, vector._integer_tile])
 def test_a_tile_of_copies_takes_bounded_memory(tile):
     ids = np.arange(vector.BLOCK)
