@@ -6,11 +6,13 @@ of the rest; numbers of documents, their length and counts of terms are sums ove
 adds its own with a minus. Segments next to each other are merged when several of one size have gathered, so their number
 grows with the logarithm of the index.
 
-Blocks: documents of a segment, sorted by language and length, are dealt into buckets of BUCKET, and all postings of a
-term in a bucket are one row, with the largest frequency and the least length among them. A document's score can't exceed
+Blocks: documents of a segment, sorted by language and length in each task, are dealt into buckets of BUCKET, and all postings
+of a term in a bucket are one row, with the largest frequency and the least length among them. A document's score can't exceed
 the sum, over the terms of a query, of what its bucket's rows allow. A search reads the bucket bounds first, scores the
 most promising buckets, and then only those that can still reach the k-th score. A term that all documents hold is as many
-rows as there are buckets, and they are laid out over files by term and bucket.
+rows as there are buckets, and they lie in the files of all tasks, each sorted by term and bucket.
+
+Words don't move when a segment is written: a text is tokenised once, and its task sorts and writes what comes of it.
 """
 
 from __future__ import annotations
@@ -31,13 +33,14 @@ from gneiss.operators.lexical import doc_tokens, idf, term_counts, top, weight
 BUCKET, FIRST_BUCKETS, FAN = 128, 64, 4
 #: Terms of a document in a row that goes to a Python worker, which gets 10,000 rows at a time; postings that it makes blocks of together.
 SLICE, POSTINGS = 64, 200_000
-#: Rows that are broadcast at most (buckets of a search, removed documents); more are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows of one or two numbers that are broadcast at most (buckets of a search, removed documents); more are joined by shuffle.
+BROADCAST_ROWS = 1_500_000
 
 DOCS = "chunk_id long, language string, doc_len int, terms array<string>, tfs array<int>"
 BLOCKS = "term string, bucket long, language string, chunk_ids array<long>, tfs array<int>, doc_lens array<int>, max_tf int, min_len int"
 TERMS = "term string, df long"
 DEAD = "chunk_id long"
+GONE = "chunk_id long, doc_len int, seq int"
 
 
 def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
@@ -156,9 +159,8 @@ class SegmentIndex:
             self.versions.forget()
 
     def _write(self, docs: DataFrame, to: str) -> None:
-        """docs and blocks of a segment; the documents' words move once, to be sorted by language and length."""
-        ordered = docs.repartitionByRange("language", "doc_len", "chunk_id").sortWithinPartitions("language", "doc_len", "chunk_id")
-        ordered.write.parquet(f"{to}/docs")
+        """docs and blocks of a segment, each in one pass: parting them by range would make them twice, first for a sample."""
+        docs.sortWithinPartitions("language", "doc_len", "chunk_id").write.parquet(f"{to}/docs")
         # A row's number in its task is in the lower 33 bits.
         place = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / BUCKET)
         known = self.spark.read.schema(DOCS).parquet(f"{to}/docs").withColumns({"part": F.spark_partition_id(), "place": place}).filter(F.size("terms") > 0)
@@ -166,7 +168,7 @@ class SegmentIndex:
         parts = parts.select("chunk_id", "language", "doc_len", *(F.slice(c, F.col("at"), F.lit(SLICE)).alias(c) for c in ("terms", "tfs")), "part", "place")
         most = POSTINGS
         blocks = parts.mapInArrow(lambda batches: blocked(batches, most), BLOCKS)
-        blocks.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.parquet(f"{to}/blocks")
+        blocks.sortWithinPartitions("term", "bucket").write.parquet(f"{to}/blocks")
 
     def _finish(self, to: str, older: list[dict], removed: DataFrame | None) -> dict:
         """dead and terms of a segment, against the older ones, and its numbers."""
@@ -174,17 +176,23 @@ class SegmentIndex:
         ids = docs.select("chunk_id")
         if removed is not None:
             ids = ids.unionByName(removed.select(F.col("chunk_id").cast("long").alias("chunk_id")))
-        gone = self._live(self._of(older, "docs", DOCS), older).drop("seq").join(ids.distinct(), "chunk_id", "left_semi")
+        # Which documents go is told by their numbers alone; words are read of those only, and not moved.
+        gone = self._live(self._of(older, "docs", DOCS).select("chunk_id", "doc_len", "seq"), older).join(ids.distinct(), "chunk_id", "left_semi")
         if not older:
             gone = gone.limit(0)
-        gone.write.mode("overwrite").parquet(f"{to}/gone")
-        gone = self.spark.read.schema(DOCS).parquet(f"{to}/gone")
+        gone.select("chunk_id", "doc_len", "seq").write.mode("overwrite").parquet(f"{to}/gone")
+        gone = self.spark.read.schema(GONE).parquet(f"{to}/gone")
         gone.select("chunk_id").write.mode("overwrite").parquet(f"{to}/dead")
-        sign = lambda df, n: df.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("n"))
-        counts = sign(docs, 1).unionByName(sign(gone, -1)).groupBy("term").agg(F.sum("n").alias("df")).filter("df <> 0")
-        counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{to}/terms")
         facts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("doc_len").cast("long")), F.lit(0)).alias("length")).first()
         own, less = facts(docs), facts(gone)
+        sign = lambda df, n: df.select(F.explode("terms").alias("term"), F.lit(n).cast("long").alias("n"))
+        counts = sign(docs, 1)
+        if less["n"]:
+            pairs = gone.select("chunk_id", "seq")
+            out = self._of(older, "docs", DOCS).join(F.broadcast(pairs) if less["n"] <= BROADCAST_ROWS else pairs, ["chunk_id", "seq"], "left_semi")
+            counts = counts.unionByName(sign(out, -1))
+        counts = counts.groupBy("term").agg(F.sum("n").alias("df")).filter("df <> 0")
+        counts.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{to}/terms")
         return {"rows": own["n"], "docs": own["n"] - less["n"], "length": own["length"] - less["length"], "dead": less["n"]}
 
     def _due(self) -> tuple[int, int] | None:

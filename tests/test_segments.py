@@ -115,3 +115,35 @@ def test_terms_are_counted_without_a_worker(spark):
     found = lexical.term_frequency(rows)
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("b", 1, 2), ("é", 1, 1), ("c", None, 1)], key=str)
     assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_once_and_words_of_removed_documents_not_kept(spark, tmp_path):
+    """Parting documents by range, before, made them twice, first for a sample; words of removed documents were joined by shuffle and written."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = texts(1, range(90))
+    index = segments.SegmentIndex.build(spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA), str(tmp_path / "i"))
+    assert seen.value == 90
+    index.update(spark.createDataFrame(texts(2, range(40, 70)), SCHEMA).mapInArrow(counted, SCHEMA))
+    assert seen.value == 120
+    gone = spark.read.parquet(f"{index.path}/{index._segments()[-1]['folder']}/gone")
+    assert gone.columns == ["chunk_id", "doc_len", "seq"] and sorted(r["chunk_id"] for r in gone.collect()) == list(range(40, 70))
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_removed_documents_are_the_same_by_broadcast_and_by_shuffle(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(segments, "BROADCAST_ROWS", most)
+    rows, more, last = texts(1, range(60)), texts(2, range(30, 80)), texts(3, range(50, 55))
+    index = segments.SegmentIndex.build(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "i"))
+    index.update(spark.createDataFrame(more, SCHEMA))
+    index.update(None, spark.createDataFrame([(i,) for i in range(50, 60)], "chunk_id long"))
+    index.update(spark.createDataFrame(last, SCHEMA))
+    now = [r for r in rows if r[0] < 30] + [r for r in more if not 50 <= r[0] < 60] + last
+    assert searched(index, "common w3 w7") == direct(spark, now, "common w3 w7")
+    whole = segments.SegmentIndex.build(spark.createDataFrame(now, SCHEMA), str(tmp_path / "whole"))
+    assert sorted(map(tuple, index.terms().collect())) == sorted(map(tuple, whole.terms().collect())) and index.stats().first() == whole.stats().first()
